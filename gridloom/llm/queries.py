@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from gridloom.llm.bpe import op9_bpe
+from gridloom.llm.langid import op6_langid
+from gridloom.llm.licenses import op7_licenses, op7_sql
 from gridloom.llm.packing import op8_packing
+from gridloom.llm.urls import op5_urls
 
 QUERIES = {
+    "op5_urls": op5_urls,
+    "op6_langid": op6_langid,
+    "op7_licenses": op7_licenses,
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_licenses": op7_sql(),
+}
