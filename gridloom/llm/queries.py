@@ -5,12 +5,14 @@ from __future__ import annotations
 from gridloom.llm.bpe import op9_bpe
 from gridloom.llm.langid import op6_langid
 from gridloom.llm.licenses import op7_licenses, op7_sql
+from gridloom.llm.minhash import op2_minhash, op2_sql
 from gridloom.llm.packing import op8_packing
 from gridloom.llm.toxicity import op1_toxicity
 from gridloom.llm.urls import op5_urls
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_minhash": op2_minhash,
     "op5_urls": op5_urls,
     "op6_langid": op6_langid,
     "op7_licenses": op7_licenses,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": op2_sql(),
     "op7_licenses": op7_sql(),
 }
