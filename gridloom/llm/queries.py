@@ -7,6 +7,7 @@ from gridloom.llm.langid import op6_langid
 from gridloom.llm.licenses import op7_licenses, op7_sql
 from gridloom.llm.minhash import op2_minhash, op2_sql
 from gridloom.llm.packing import op8_packing
+from gridloom.llm.substrings import op10_sql, op10_substrings
 from gridloom.llm.toxicity import op1_toxicity
 from gridloom.llm.urls import op5_urls
 
@@ -18,9 +19,11 @@ QUERIES = {
     "op7_licenses": op7_licenses,
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash": op2_sql(),
     "op7_licenses": op7_sql(),
+    "op10_substrings": op10_sql(),
 }
