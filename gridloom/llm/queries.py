@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from gridloom.llm.ann import op4_ann
 from gridloom.llm.bpe import op9_bpe
+from gridloom.llm.embeddup import op3_embeddup
 from gridloom.llm.langid import op6_langid
 from gridloom.llm.licenses import op7_licenses, op7_sql
 from gridloom.llm.minhash import op2_minhash, op2_sql
@@ -14,6 +16,8 @@ from gridloom.llm.urls import op5_urls
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash": op2_minhash,
+    "op3_embeddup": op3_embeddup,
+    "op4_ann": op4_ann,
     "op5_urls": op5_urls,
     "op6_langid": op6_langid,
     "op7_licenses": op7_licenses,
