@@ -177,11 +177,15 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
     return found.withColumn("earliest", earliest).where("gone or doc_id > earliest").select("doc_id", "print", "start", "n")
 
 
-def cut_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """Rows (doc_id, text, n_words, n_removed): kept words joined by one space."""
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("print"))
+def cut_passages(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """``docs`` (doc_id, text and the columns ``keep``) with n_words and n_removed, and text without removed words.
+
+    A text that loses words becomes its kept words joined by one space; others stay as they are.
+    """
+    keep = list(keep or [])
+    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("print"), *keep)
     cuts = repeated_passages(base, window, phrase, shard_chars).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
-    joined = packed(base).join(cuts, ["doc_id", "print"], "left")
+    joined = packed(base).join(cuts, ["doc_id", "print"], "left").select("doc_id", "text", *keep, "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
@@ -190,7 +194,8 @@ def cut_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, sh
                 part = batch.slice(a, 512)
                 texts, words, removed = [], [], []
                 for text, own in zip(part.column("text"), part.column("cuts")):
-                    spans = loosen.decompress(text.as_py()).split()
+                    raw = loosen.decompress(text.as_py())
+                    spans = raw.split()
                     n = len(spans)
                     step = np.zeros(n + 1, np.int64)
                     if own.is_valid and n >= window:
@@ -200,18 +205,21 @@ def cut_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, sh
                         np.add.at(step, start + size - 1 + window, -1)
                     gone = np.cumsum(step[:-1]) > 0
                     count = int(gone.sum())
-                    texts.append(b" ".join([w for w, g in zip(spans, gone.tolist()) if not g] if count else spans).decode("utf-8", "surrogatepass"))
+                    texts.append((b" ".join([w for w, g in zip(spans, gone.tolist()) if not g]) if count else raw).decode("utf-8", "surrogatepass"))
                     words.append(n)
                     removed.append(count)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), *(part.column(c) for c in keep), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", *keep, "n_words", "n_removed"])
 
-    return joined.select("doc_id", "text", "cuts").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
+    kinds = dict(docs.dtypes)
+    return joined.mapInArrow(run, ", ".join(["doc_id long", "text string", *(f"`{c}` {kinds[c]}" for c in keep), "n_words long", "n_removed long"]))
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:
     """All documents without the words of repeated passages, reduced to a digest."""
     cut = cut_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    # the kept words joined by one space: white space runs become one space
+    joined = F.regexp_replace(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(joined.cast("binary"), 256).alias("kept_sha256"))
 
 
 def op10_sql() -> str:
