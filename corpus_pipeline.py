@@ -1,25 +1,67 @@
-"""Corpus pipeline: documents through five of the training-data operators."""
+"""Corpus pipeline: documents through five of the training-data operators.
+
+Every stage takes all documents its predecessor kept and returns them with the columns of ``documents``; the last returns
+the packed pieces.  Stages read nothing but their input and, for toxicity, the labels.
+
+Defined results: rows with nulls in any column pass each stage as its operator defines; empty tables give empty results;
+columns beyond those of ``documents`` are dropped at the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.llm import langid, minhash, packing, substrings, toxicity
 from gridloom.llm.common import table, written
-from gridloom.llm.packing import pack_documents
+
+COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+#: Toxicity score from which a document goes.
+TOXIC = 0.5
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learnt language stay; those without a letter, or with letters of no known language, go."""
+    found = langid.identify(_documents(docs), langid.learn(docs))
+    return _documents(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") > 0)))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic go."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return _documents(toxicity.score_toxicity(_documents(docs), model).where(F.col("toxic_score") < TOXIC))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate component stays."""
+    found = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return _documents(_documents(docs).join(found, F.col("doc_id").eqNullSafe(F.col("kept_id"))))
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that also start earlier are cut; n_chars follows the text."""
+    own = _documents(docs)
+    cut = substrings.cut_passages(own, keep=["lang", "source", "n_chars"])
+    return _documents(cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))))
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole surviving texts cut and packed into windows of 4096 tokens."""
-    return pack_documents(docs)
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole texts cut and packed into windows of 4096 tokens."""
+    return packing.pack_documents(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", packed)]
 
+#: Learnt stages and packing have no SQL form; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
