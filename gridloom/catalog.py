@@ -1,6 +1,8 @@
-"""Query name -> (spark, sf_dir) function, and query name -> equivalent SQL."""
+"""All named queries of the grid engine and the SQL they must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from gridloom.plans import association, clustering, grids, sampling, spatial, statistics, zonal  # noqa: F401  they register themselves
+from gridloom.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
