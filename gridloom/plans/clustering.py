@@ -1 +1,399 @@
-"""."""
+"""Scaling, assignment, uncertainty, ranking, agreement and fitted models."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import PCA
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridloom.functions.exprs import entropy, ordinal, r6, ratio, softmax
+from gridloom.operators import metrics, models
+from gridloom.registry import query
+from gridloom.sources.tables import items, table, vectors
+
+DIMS = 5
+#: Starting centres: axis-wise corners of the feature space.
+CENTRES = [[0.1, 0.1, 0.0, 0.0, 0.0], [-0.1, 0.1, 0.0, 0.0, 0.0], [0.1, -0.1, 0.0, 0.0, 0.0], [-0.1, -0.1, 0.0, 0.0, 0.0]]
+FEATURES = ["quantity", "price", "discount", "tax", "size"]
+
+_D = ", ".join(f"sqrt(list_sum(list_transform(range(1, 6), lambda i: (x[i] - ({c!r}::DOUBLE[])[i]) * (x[i] - ({c!r}::DOUBLE[])[i]))))" for c in CENTRES)
+DIST = f"dist AS (SELECT id, label, x, [{_D}] AS d FROM vec), near AS (SELECT *, list_position(d, list_min(d)) - 1 AS cluster, list_sort(d)[1] AS d1, list_sort(d)[2] AS d2 FROM dist)"
+
+
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, x, d: distances to the centres, cluster, d1, d2)."""
+    v = vectors(spark, sf_dir, DIMS).withColumn("d", F.array(*[metrics.distance(F.col("x"), F.array(*map(F.lit, c))) for c in CENTRES]))
+    return v.withColumns({"cluster": (F.array_position("d", F.array_min("d")) - 1).cast("int"), "d1": F.array_sort("d")[0], "d2": F.array_sort("d")[1]})
+
+
+@query("scaler_params", " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 8) AS mean, round(CASE WHEN stddev_pop({f}) = 0 THEN 1 ELSE stddev_pop({f}) END, 6) AS scale FROM items" for f in FEATURES))
+def scaler_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.operators.profiles import profile
+
+    std = lambda c: r6(F.when(F.stddev_pop(c) == 0, 1.0).otherwise(F.stddev_pop(c)))
+    return profile(items(spark, sf_dir), FEATURES, {"mean": lambda c: F.round(F.avg(c), 8), "scale": std})
+
+
+@query("standardize", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((quantity - avg(quantity) OVER ()) / stddev_pop(quantity) OVER (), 6) AS z_quantity, round((size - avg(size) OVER ()) / stddev_pop(size) OVER (), 6) AS z_size FROM items")
+def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir)
+    one = F.broadcast(i.agg(*[f(c).alias(f"{n}_{c}") for c in ("quantity", "size") for n, f in (("m", F.avg), ("s", F.stddev_pop))]))  # one row of parameters
+    z = lambda c: r6((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(f"z_{c}")
+    return i.crossJoin(one).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", z("quantity"), z("size"))
+
+
+@query("inverse_standardize", "SELECT p_partkey, round(((p_size - 25.5) / 14.4) * 14.4 + 25.5, 6)::DOUBLE AS size FROM part")
+def inverse_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = (F.col("p_size") - F.lit(25.5)) / F.lit(14.4)
+    return table(spark, sf_dir, "part").select("p_partkey", r6(z * 14.4 + 25.5).alias("size"))
+
+
+@query("assign_centroids", f"WITH {DIST} SELECT id, CAST(cluster AS INTEGER) AS cluster, round(d1, 6) AS distance FROM near")
+def assign_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distances(spark, sf_dir).select("id", "cluster", r6("d1").alias("distance"))
+
+
+_P = "list_transform(d, lambda v: exp(-(v - list_min(d))))"
+SOFT = f"soft AS (SELECT *, list_transform({_P}, lambda v: v / list_sum({_P})) AS p FROM near)"
+_H = "(-list_sum(list_transform(p, lambda v: v * ln(greatest(v, 1e-12)))) / ln(4.0::DOUBLE))"
+
+
+@query("distance_uncertainty", f"WITH {DIST}, {SOFT} SELECT id, CAST(cluster AS INTEGER) AS cluster, round(d1, 6) AS nearest, round(d2, 6) AS second, round(d2 - d1, 6) AS margin, round(1 - {_H}, 6) AS confidence, round({_H}, 6) AS entropy FROM soft")
+def distance_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = distances(spark, sf_dir).withColumn("p", softmax(F.col("d")))
+    h = entropy(F.col("p"), 4)
+    return d.select("id", "cluster", r6("d1").alias("nearest"), r6("d2").alias("second"), r6(F.col("d2") - F.col("d1")).alias("margin"), r6(1 - h).alias("confidence"), r6(h).alias("entropy"))
+
+
+@query("softmax_entropy", f"WITH {DIST}, {SOFT} SELECT id, round(p[1], 6) AS p0, round(p[2], 6) AS p1, round(p[3], 6) AS p2, round(p[4], 6) AS p3 FROM soft")
+def softmax_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = distances(spark, sf_dir).withColumn("p", softmax(F.col("d")))
+    return d.select("id", *[r6(F.col("p")[i]).alias(f"p{i}") for i in range(4)])
+
+
+@query("percentile_rank_stable", "SELECT event_id, round((row_number() OVER (ORDER BY value, event_id) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1), 6) AS rank FROM events")
+def percentile_rank_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinal rank over n - 1, ties by id; no window over all rows."""
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    n = e.agg(F.count("*").alias("n"))
+    return ordinal(e, [F.col("value"), F.col("event_id")]).crossJoin(F.broadcast(n)).select("event_id", r6(ratio(F.col("ordinal") - 1, F.greatest(F.col("n") - 1, F.lit(1)))).alias("rank"))  # one row
+
+
+@query("ecdf_reference", "WITH ref AS (SELECT value FROM events WHERE event_id % 10 = 0) SELECT event_id, round((SELECT count(*) FROM ref r WHERE r.value <= e.value)::DOUBLE / (SELECT count(*) FROM ref), 6) AS share FROM events e WHERE event_type = 'error'")
+def ecdf_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of a reference sample at or below each value: both sides in one order, a running count per distinct value."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("value").alias("v"))
+    ref = e.where("event_id % 10 = 0").groupBy("v").agg(F.count("*").alias("n"))
+    asked = e.where("event_type = 'error'").select("v").distinct().withColumn("n", F.lit(0).cast("long"))
+    steps = ref.unionByName(asked).groupBy("v").agg(F.sum("n").alias("n"))
+    parts = steps.repartitionByRange(32, "v").withColumn("_p", F.spark_partition_id())
+    before = parts.groupBy("_p").agg(F.sum("n").alias("_s"))  # one row a partition
+    before = before.withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    upto = parts.withColumn("c", F.sum("n").over(Window.partitionBy("_p").orderBy("v"))).join(F.broadcast(before), "_p").select("v", (F.col("c") + F.col("_b")).alias("c"))
+    total = F.broadcast(ref.agg(F.sum("n").alias("all")))
+    return e.where("event_type = 'error'").join(upto, "v").crossJoin(total).select("event_id", r6(ratio("c", "all")).alias("share"))
+
+
+@query("anomaly_rank_centroid", f"WITH {DIST} SELECT id, round((row_number() OVER (ORDER BY round(d1, 9), id) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1), 6) AS centroid_percentile FROM near")
+def anomaly_rank_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = distances(spark, sf_dir).select("id", F.round("d1", 9).alias("d1"))
+    n = F.broadcast(d.agg(F.count("*").alias("n")))
+    return ordinal(d, [F.col("d1"), F.col("id")], parts=16).crossJoin(n).select("id", r6(ratio(F.col("ordinal") - 1, F.greatest(F.col("n") - 1, F.lit(1)))).alias("centroid_percentile"))
+
+
+@query("contingency", f"WITH {DIST} SELECT CAST(label % 4 AS INTEGER) AS a, CAST(cluster AS INTEGER) AS b, CAST(count(*) AS BIGINT) AS n FROM near GROUP BY 1, 2")
+def contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = distances(spark, sf_dir).select((F.col("label") % 4).cast("int").alias("l"), "cluster")
+    return metrics.contingency(d, "l", "cluster")
+
+
+TABLE = "t AS (SELECT l_suppkey % 4 AS a, l_partkey % 4 AS b, count(*) AS n FROM lineitem GROUP BY 1, 2)"
+
+
+def supplier_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("s"), (F.col("l_partkey") % 4).cast("int").alias("p"))
+    return metrics.contingency(d, "s", "p")
+
+
+@query("ari_pairs", f"""WITH {TABLE}, s AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS s, sum(n) AS al FROM t), r AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS ra FROM (SELECT a, sum(n) AS n FROM t GROUP BY a)), c AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS cb FROM (SELECT b, sum(n) AS n FROM t GROUP BY b))
+    SELECT round((s - ra * cb / (al * (al - 1) / 2.0::DOUBLE)) / ((ra + cb) / 2 - ra * cb / (al * (al - 1) / 2.0::DOUBLE)), 9) AS ari FROM s, r, c""")
+def ari_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.adjusted_rand(supplier_part(spark, sf_dir)).select(F.round("ari", 9).alias("ari"))
+
+
+@query("hungarian_align", f"""WITH {TABLE}, p AS (SELECT w, x, y, z FROM (SELECT unnest(range(4)) AS w), (SELECT unnest(range(4)) AS x), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS z) WHERE w <> x AND w <> y AND w <> z AND x <> y AND x <> z AND y <> z),
+    scored AS (SELECT w, x, y, z, sum(CASE WHEN (a = 0 AND b = w) OR (a = 1 AND b = x) OR (a = 2 AND b = y) OR (a = 3 AND b = z) THEN n ELSE 0 END) AS score FROM p, t GROUP BY 1, 2, 3, 4),
+    best AS (SELECT [w, x, y, z] AS q FROM scored ORDER BY score DESC, w, x, y, z LIMIT 1)
+    SELECT CAST(unnest(q) AS INTEGER) AS candidate, CAST(unnest(range(4)) AS INTEGER) AS reference FROM best""")
+def hungarian_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.aligned(supplier_part(spark, sf_dir), 4).select("candidate", "reference")
+
+
+VOTES = "v AS (SELECT event_id, [user_id % 4, CAST(round(value * 100) AS BIGINT) % 4, event_id % 4, (user_id + event_id) % 4] AS l FROM events), n AS (SELECT event_id, list_transform(range(4), lambda c: len(list_filter(l, lambda y: y = c))) AS n FROM v)"
+
+
+@query("consensus_vote", f"""WITH {VOTES} SELECT event_id, CAST(list_position(n, list_max(n)) - 1 AS INTEGER) AS consensus, list_max(n) / 4.0::DOUBLE AS agreement, round(-list_sum(list_transform(n, lambda k: (k / 4.0::DOUBLE) * ln(greatest(k / 4.0::DOUBLE, 1e-12)))) / ln(4.0::DOUBLE), 6) + 0.0 AS entropy FROM n""")
+def consensus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Majority of four labels (lowest on ties), agreement and normalised entropy."""
+    e = table(spark, sf_dir, "events")
+    labels = F.array(*[(c % 4).cast("int") for c in (F.col("user_id"), F.round(F.col("value") * 100).cast("long"), F.col("event_id"), F.col("user_id") + F.col("event_id"))])
+    v = e.select("event_id", labels.alias("l")).withColumn("n", metrics.votes(F.col("l"), 4))
+    share = F.transform("n", lambda k: k / F.lit(4.0))
+    return v.select("event_id", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("consensus"), (F.array_max("n") / 4.0).alias("agreement"), (r6(entropy(share, 4)) + F.lit(0.0)).alias("entropy"))
+
+
+@query("inertia", f"WITH {DIST} SELECT round(sum(d1 * d1), 6) AS inertia FROM near")
+def inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distances(spark, sf_dir).agg(r6(F.sum(F.col("d1") * F.col("d1"))).alias("inertia"))
+
+
+_C = ", ".join(f"avg(x[{i}])" for i in range(1, 6))
+_dist = lambda a, b: f"sqrt(list_sum(list_transform(range(1, 6), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))))"
+
+
+@query("davies_bouldin", f"""WITH {DIST}, c AS (SELECT cluster, [{_C}] AS m FROM near GROUP BY cluster), s AS (SELECT cluster, avg({_dist("x", "m")}) AS s, any_value(m) AS m FROM near JOIN c USING (cluster) GROUP BY cluster),
+    r AS (SELECT a.cluster, max((a.s + b.s) / {_dist("a.m", "b.m")}) AS r FROM s a JOIN s b ON a.cluster <> b.cluster GROUP BY a.cluster) SELECT round(avg(r), 6) AS davies_bouldin FROM r""")
+def davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.davies_bouldin(distances(spark, sf_dir), "cluster", "x", DIMS).select(r6("davies_bouldin").alias("davies_bouldin"))
+
+
+DRAWN = "drawn AS (SELECT * FROM near ORDER BY (id * 2654435761) % 4294967296 LIMIT 300)"
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.functions.exprs import id_hash
+    from gridloom.operators.samples import exact_sample
+
+    return exact_sample(distances(spark, sf_dir), id_hash("id"), 300)
+
+
+@query("silhouette_sample", f"""WITH {DIST}, {DRAWN}, m AS (SELECT a.id, a.cluster AS ca, b.cluster AS cb, avg({_dist("a.x", "b.x")}) AS d FROM drawn a JOIN drawn b ON a.id <> b.id GROUP BY 1, 2, 3),
+    q AS (SELECT id, max(CASE WHEN ca = cb THEN d END) AS a, min(CASE WHEN ca <> cb THEN d END) AS b FROM m GROUP BY id) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM q""")
+def silhouette_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.silhouette(drawn(spark, sf_dir), "cluster", "x").select(r6("silhouette").alias("silhouette"))
+
+
+@query("knn_kdist", f"""WITH {DIST}, {DRAWN}, r AS (SELECT a.id, {_dist("a.x", "b.x")} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_dist("a.x", "b.x")}, b.id) AS k FROM drawn a JOIN drawn b ON true),
+    t AS (SELECT d FROM r WHERE k = 10) SELECT round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.99), 6) AS p99, round(max(d), 6) AS highest FROM t""")
+def knn_kdist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to the tenth neighbour (the row itself is the first) of a bounded sample, and its quantiles."""
+    s = drawn(spark, sf_dir)
+    b = F.broadcast(s.select(F.col("id").alias("j"), F.col("x").alias("y")))  # 300 rows
+    near = s.select("id", "x").join(b, F.lit(True)).withColumn("dist", metrics.distance(F.col("x"), F.col("y")))
+    tenth = near.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("dist", "j"))).where("k = 10")
+    p = lambda q: r6(F.percentile("dist", F.lit(q)))
+    return tenth.agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), r6(F.max("dist")).alias("highest"))
+
+
+@query("dbscan_core_points", f"WITH n AS (SELECT a.id, count(*) AS n FROM vec a JOIN vec b ON {_dist('a.x', 'b.x')} <= 0.2 GROUP BY a.id) SELECT id, CAST(n AS BIGINT) AS n FROM n WHERE n >= 10")
+def dbscan_core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = models.close_pairs(vectors(spark, sf_dir, DIMS), 0.2)
+    return pairs.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n")).where("n >= 10")
+
+
+@query("lloyd_fixed_iters", f"""WITH {DIST}, c1 AS (SELECT cluster, [{_C}] AS m FROM near GROUP BY cluster), a2 AS (SELECT id, any_value(x) AS x, arg_min(c1.cluster, ({_dist("x", "m")}, c1.cluster)) AS cluster FROM vec, c1 GROUP BY id),
+    c2 AS (SELECT cluster, count(*) AS n, [{_C}] AS m FROM a2 GROUP BY cluster) SELECT CAST(cluster AS INTEGER) AS cluster, round(m[1], 6) AS x0, round(m[2], 6) AS x1 FROM c2""")
+def lloyd_fixed_iters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps from fixed centres."""
+    c = models.lloyd(vectors(spark, sf_dir, DIMS), CENTRES, 2)
+    return spark.createDataFrame([(i, round(v[0], 6), round(v[1], 6)) for i, v in enumerate(c)], "cluster int, x0 double, x1 double")
+
+
+@query("dbscan_full")
+def dbscan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.dbscan(vectors(spark, sf_dir, DIMS), 0.2, 10)
+
+
+@query("dbscan_sweep")
+def dbscan_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters, noise and largest share for several radii."""
+    v, out = vectors(spark, sf_dir, DIMS), None
+    for eps in (0.15, 0.2, 0.25):
+        found = models.dbscan(v, eps, 10).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
+        one = found.agg(F.lit(eps).alias("eps"), F.count(F.when(F.col("cluster") >= 0, 1)).alias("clusters"), F.count(F.when((F.col("cluster") >= 0) & (F.col("n") >= 0.01 * F.col("all")), 1)).alias("substantial"), F.coalesce(F.sum(F.when(F.col("cluster") < 0, F.col("n"))), F.lit(0)).alias("noise"), r6(ratio(100 * F.max(F.when(F.col("cluster") >= 0, F.col("n"))), F.max("all"))).alias("largest_pct"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def scaled(spark: SparkSession, sf_dir: str, dims: int = 17) -> DataFrame:
+    return models.standardised(vectors(spark, sf_dir, dims), dims)
+
+
+@query("kmeans_mllib")
+def kmeans_mllib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = scaled(spark, sf_dir)
+    return models.kmeans(v, 4, (42, 43)).transform(models.with_vector(v)).select("id", F.col("prediction").alias("cluster"))
+
+
+@query("kmeans_k2_profile")
+def kmeans_k2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = scaled(spark, sf_dir, DIMS)
+    out = models.kmeans(v, 2).transform(models.with_vector(v))
+    return out.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"), *[r6(F.avg(F.col("x")[i])).alias(f"x{i}") for i in range(DIMS)])
+
+
+@query("kmeans_sweep")
+def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertia and Davies-Bouldin for each number of clusters."""
+    v = scaled(spark, sf_dir, DIMS)
+    rows = []
+    for k in (2, 3, 4, 5):
+        m = models.kmeans(v, k, rounds=20)
+        db = metrics.davies_bouldin(m.transform(models.with_vector(v)), "prediction", "x", DIMS).first()[0]
+        rows.append((k, float(m.summary.trainingCost), db))
+    return spark.createDataFrame(rows, "k int, inertia double, davies_bouldin double")
+
+
+@query("kmeans_stability")
+def kmeans_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted Rand index of each seed's labels against the first seed's."""
+    v = scaled(spark, sf_dir, DIMS)
+    label = {s: models.kmeans(v, 4, (s,), 20).transform(models.with_vector(v)).select("id", F.col("prediction").alias(f"s{s}")) for s in (42, 0, 1)}
+    out = None
+    for s in (0, 1):
+        both = label[42].join(label[s], "id")
+        one = metrics.adjusted_rand(metrics.contingency(both, "s42", f"s{s}")).select(F.lit(s).alias("seed"), "ari")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("gmm")
+def gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = scaled(spark, sf_dir, DIMS)
+    m = models.mixture(v, 4, rounds=20)
+    bic, aic = models.information(m.summary.logLikelihood, v.count(), 4, DIMS)
+    return m.transform(models.with_vector(v)).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n")).withColumns({"bic": F.lit(bic), "aic": F.lit(aic)})
+
+
+@query("model_comparison")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means and mixture side by side."""
+    v = scaled(spark, sf_dir, DIMS)
+    data = models.with_vector(v)
+    a, b = models.kmeans(v, 4), models.mixture(v, 4, rounds=20)
+    db = lambda m: metrics.davies_bouldin(m.transform(data), "prediction", "x", DIMS).first()[0]
+    bic, aic = models.information(b.summary.logLikelihood, v.count(), 4, DIMS)
+    return spark.createDataFrame([("kmeans", db(a), float(a.summary.trainingCost), None, None), ("gmm", db(b), None, bic, aic)], "model string, davies_bouldin double, inertia double, bic double, aic double")
+
+
+@query("pca_variance")
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = PCA(k=5, inputCol="features", outputCol="p").fit(models.with_vector(scaled(spark, sf_dir)))
+    ratios = [float(x) for x in m.explainedVariance]
+    return spark.createDataFrame([(i + 1, r, sum(ratios[: i + 1])) for i, r in enumerate(ratios)], "component int, ratio double, cumulative double")
+
+
+@query("minibatch_kmeans")
+def minibatch_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir, DIMS)
+    return models.assigned(v, models.minibatch(v, CENTRES, 256, 5)).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("d2").alias("inertia"))
+
+
+@query("birch")
+def birch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.birch(scaled(spark, sf_dir, DIMS), 0.5, 4, DIMS).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("ward")
+def ward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.ward(drawn(spark, sf_dir).select("id", "x"), 4).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("kmeans_vs_ward")
+def kmeans_vs_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = drawn(spark, sf_dir).select("id", "x")
+    k = models.kmeans(s, 4).transform(models.with_vector(s)).select("id", F.col("prediction").alias("k"))
+    return metrics.adjusted_rand(metrics.contingency(models.ward(s, 4).join(k, "id"), "cluster", "k"))
+
+
+@query("isolation_forest")
+def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.isolation_scores(vectors(spark, sf_dir, 17), trees=50).select("id", r6("isolation").alias("isolation"))
+
+
+def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = models.isolation_scores(distances(spark, sf_dir).select("id", "x", "cluster", "d1"), trees=50)
+    n = F.broadcast(s.agg(F.count("*").alias("n")))
+    pct = lambda df, c, out: ordinal(df, [F.col(c), F.col("id")], "o", 16).crossJoin(n).withColumn(out, ratio(F.col("o") - 1, F.greatest(F.col("n") - 1, F.lit(1)))).drop("o", "n")
+    return pct(pct(s, "d1", "centroid_percentile"), "isolation", "isolation_percentile").withColumn("combined", (F.col("centroid_percentile") + F.col("isolation_percentile")) / 2)
+
+
+@query("anomaly_combined")
+def anomaly_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies(spark, sf_dir).select("id", "cluster", r6("combined").alias("combined")).orderBy(F.desc("combined"), "id")
+
+
+@query("consensus_4_models")
+def consensus_4_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four models' labels aligned to the first, majority and agreement."""
+    v = scaled(spark, sf_dir, DIMS)
+    data = models.with_vector(v)
+    labels = {
+        "kmeans": models.kmeans(v, 4).transform(data).select("id", F.col("prediction").alias("kmeans")),
+        "minibatch": models.assigned(v, models.minibatch(v, [[c * 10 for c in x] for x in CENTRES], 256, 5)).select("id", F.col("cluster").alias("minibatch")),
+        "gmm": models.mixture(v, 4, rounds=20).transform(data).select("id", F.col("prediction").alias("gmm")),
+        "birch": models.birch(v, 0.5, 4, DIMS).select("id", F.col("cluster").alias("birch")),
+    }
+    out = labels["kmeans"]
+    for name in ("minibatch", "gmm", "birch"):
+        both = labels["kmeans"].join(labels[name], "id")
+        m = metrics.aligned(metrics.contingency(both, "kmeans", name), 4).collect()  # four rows
+        out = out.join(labels[name].select("id", F.element_at(F.create_map(*[F.lit(x) for r in m for x in (r["candidate"], r["reference"])]), F.col(name)).alias(name)), "id")
+    v4 = metrics.votes(F.array("kmeans", "minibatch", "gmm", "birch"), 4)
+    return out.withColumn("n", v4).select("id", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("consensus"), (F.array_max("n") / 4.0).alias("agreement"))
+
+
+@query("full_map_scores")
+def full_map_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid cells scored: cluster, confidence, and the share of a sample's distances at or below each cell's."""
+    from gridloom.operators.focal import derived
+    from gridloom.sources.tables import grid
+
+    g = derived(grid(spark, sf_dir), 2, 2025.0, 2025.0).where("radar is not null")
+    names = ["radar", "height", "emissivity", "slope", "reflectivity", "radar_local_std", "height_gradient"]
+    v = models.standardised(g.select((F.col("row") * 30 + F.col("col")).cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("x")), len(names))
+    m = models.kmeans(v, 4)
+    centres = [list(map(float, c)) for c in m.clusterCenters()]
+    d = v.withColumn("d", F.array(*[metrics.distance(F.col("x"), F.array(*map(F.lit, c))) for c in centres]))
+    h = entropy(softmax(F.col("d")), 4)
+    return d.select("id", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"), r6(1 - h).alias("confidence"), r6(F.cume_dist().over(Window.partitionBy(F.lit(1)).orderBy(F.round(F.array_min("d"), 9)))).alias("anomaly"))
+
+
+@query("stability_verdict", "SELECT CASE WHEN avg(a) >= 0.9 AND min(a) >= 0.8 THEN 'VERY STRONG' WHEN avg(a) >= 0.75 AND min(a) >= 0.6 THEN 'GOOD' WHEN avg(a) >= 0.5 THEN 'MODERATE' ELSE 'WEAK' END AS verdict FROM (SELECT 1 - l_discount AS a FROM lineitem)")
+def stability_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "lineitem").agg(F.avg(1 - F.col("l_discount")).alias("m"), F.min(1 - F.col("l_discount")).alias("lo"))
+    verdict = F.when((F.col("m") >= 0.9) & (F.col("lo") >= 0.8), "VERY STRONG").when((F.col("m") >= 0.75) & (F.col("lo") >= 0.6), "GOOD").when(F.col("m") >= 0.5, "MODERATE").otherwise("WEAK")
+    return a.select(verdict.alias("verdict"))
+
+
+# Published quality figures of three models.
+MODELS = [("K-Means", 0.265054, 1.159043), ("GMM", 0.169883, 1.620612), ("Ward", 0.250624, 1.166653)]
+_M = ", ".join(f"('{m}', {s}::DOUBLE, {d}::DOUBLE)" for m, s, d in MODELS)
+
+
+@query("model_verdict_table", f"WITH m(model, silhouette, davies_bouldin) AS (VALUES {_M}) SELECT model, silhouette, davies_bouldin, silhouette = max(silhouette) OVER () AS best_silhouette, davies_bouldin = min(davies_bouldin) OVER () AS best_davies_bouldin FROM m")
+def model_verdict_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = spark.createDataFrame(MODELS, "model string, silhouette double, davies_bouldin double")
+    all_ = Window.partitionBy()
+    return m.withColumns({"best_silhouette": F.col("silhouette") == F.max("silhouette").over(all_), "best_davies_bouldin": F.col("davies_bouldin") == F.min("davies_bouldin").over(all_)})
+
+
+@query("winner_verdict", f"WITH m(model, silhouette, davies_bouldin) AS (VALUES {_M}), k AS (SELECT * FROM m WHERE model = 'K-Means'), g AS (SELECT * FROM m WHERE model = 'GMM') SELECT CASE WHEN k.silhouette > g.silhouette THEN 'K-Means' ELSE 'GMM' END AS by_silhouette, CASE WHEN k.davies_bouldin < g.davies_bouldin THEN 'K-Means' ELSE 'GMM' END AS by_davies_bouldin FROM k, g")
+def winner_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = spark.createDataFrame(MODELS, "model string, s double, d double")
+    one = m.agg(*[F.max(F.when(F.col("model") == n, F.col(c))).alias(f"{a}{c}") for n, a in (("K-Means", "k"), ("GMM", "g")) for c in "sd"])
+    return one.select(F.when(F.col("ks") > F.col("gs"), "K-Means").otherwise("GMM").alias("by_silhouette"), F.when(F.col("kd") < F.col("gd"), "K-Means").otherwise("GMM").alias("by_davies_bouldin"))
+
+
+@query("bic_aic_from_params", "SELECT k, round((k * 5 + k * 15 + k - 1) * ln(100000.0::DOUBLE) - 2 * (-512345.678), 6) AS bic, round(2.0::DOUBLE * (k * 5 + k * 15 + k - 1) - 2 * (-512345.678), 6) AS aic FROM (SELECT CAST(unnest([2, 3, 4]) AS INTEGER) AS k)")
+def bic_aic_from_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(k, *(round(v, 6) for v in models.information(-512345.678, 100_000, k, 5))) for k in (2, 3, 4)]
+    return spark.createDataFrame(rows, "k int, bic double, aic double")
+
+
+@query("centroid_zscore", f"""WITH {DIST}, c AS (SELECT cluster, avg(x[1]) AS x0, avg(x[2]) AS x1 FROM near GROUP BY cluster) SELECT CAST(cluster AS INTEGER) AS cluster, round((x0 - avg(x0) OVER ()) / stddev_pop(x0) OVER (), 6) AS z0, round((x1 - avg(x1) OVER ()) / stddev_pop(x1) OVER (), 6) AS z1 FROM c""")
+def centroid_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = distances(spark, sf_dir).groupBy("cluster").agg(F.avg(F.col("x")[0]).alias("x0"), F.avg(F.col("x")[1]).alias("x1"))
+    w = Window.partitionBy()  # a row a cluster
+    z = lambda n: r6((F.col(f"x{n}") - F.avg(f"x{n}").over(w)) / F.stddev_pop(f"x{n}").over(w)).alias(f"z{n}")
+    return c.select("cluster", z(0), z(1))

@@ -1 +1,131 @@
-"""."""
+"""Cells on the sphere: areas, bands, weighted and circular means, regions, coordinate transforms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridloom.functions.exprs import RADIUS, r6, ratio
+from gridloom.operators.zones import inside_box, located, polygons_table
+from gridloom.registry import query
+from gridloom.sources.tables import COLUMNS_WIDE, clusters, table
+
+#: name, class, (lon_min, lon_max, lat_min, lat_max); one is given in 0 .. 360.
+REGIONS = [
+    ("north plain", "plain", (-60.0, 0.0, 20.0, 60.0)), ("north rise", "highland", (30.0, 90.0, 10.0, 50.0)), ("equator west", "plain", (-170.0, -110.0, -15.0, 15.0)),
+    ("equator east", "highland", (100.0, 160.0, -20.0, 10.0)), ("south", "plain", (-45.0, 45.0, -80.0, -40.0)), ("meridian", "highland", (330.0, 360.0, -30.0, 30.0)),
+]
+
+
+def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = clusters(spark, sf_dir)
+    return located(c, c.agg(F.max("row")).first()[0] + 1, COLUMNS_WIDE)
+
+
+@query("pixel_geo", """SELECT "row", col, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area, 6) AS area FROM geo""")
+def pixel_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo(spark, sf_dir).select("row", "col", r6("lon").alias("lon"), r6("lat").alias("lat"), r6("area").alias("area"))
+
+
+@query("area_summary", "SELECT cluster, CAST(count(*) AS BIGINT) AS cells, round(sum(area), 3) AS area_km2, round(100 * sum(area) / sum(sum(area)) OVER (), 6) AS classified_pct, round(100 * sum(area) / (4 * pi() * 6051.0 * 6051.0), 6) AS sphere_pct FROM geo WHERE cluster IS NOT NULL GROUP BY cluster")
+def area_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = geo(spark, sf_dir).where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("cells"), F.sum("area").alias("a"))
+    sphere = 4 * F.pi() * (RADIUS / 1000) ** 2
+    return a.select("cluster", "cells", F.round("a", 3).alias("area_km2"), r6(100 * F.col("a") / F.sum("a").over(Window.partitionBy())).alias("classified_pct"), r6(100 * F.col("a") / sphere).alias("sphere_pct"))
+
+
+@query("weighted_latitude", "SELECT cluster, round(sum(area * lat) / sum(area), 6) AS mean_lat, round(sqrt(greatest(sum(area * lat * lat) / sum(area) - (sum(area * lat) / sum(area)) * (sum(area * lat) / sum(area)), 0)), 6) AS std_lat, round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat FROM geo WHERE cluster IS NOT NULL GROUP BY cluster")
+def weighted_latitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.sum("area")
+    mean = F.sum(F.col("area") * F.col("lat")) / w
+    var = F.sum(F.col("area") * F.col("lat") * F.col("lat")) / w - mean * mean
+    return geo(spark, sf_dir).where("cluster is not null").groupBy("cluster").agg(r6(mean).alias("mean_lat"), r6(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std_lat"), r6(F.min("lat")).alias("min_lat"), r6(F.max("lat")).alias("max_lat"))
+
+
+@query("circular_longitude", "SELECT cluster, round(degrees(atan2(sum(area * sin(radians(lon))), sum(area * cos(radians(lon))))), 6) AS mean_lon, round(sqrt(pow(sum(area * sin(radians(lon))) / sum(area), 2) + pow(sum(area * cos(radians(lon))) / sum(area), 2)), 6) AS resultant FROM geo WHERE cluster IS NOT NULL GROUP BY cluster")
+def circular_longitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, c, w = F.sum(F.col("area") * F.sin(F.radians("lon"))), F.sum(F.col("area") * F.cos(F.radians("lon"))), F.sum("area")
+    return geo(spark, sf_dir).where("cluster is not null").groupBy("cluster").agg(r6(F.degrees(F.atan2(s, c))).alias("mean_lon"), r6(F.sqrt((s / w) * (s / w) + (c / w) * (c / w))).alias("resultant"))
+
+
+def _bands(spark: SparkSession, sf_dir: str, c: str, low: float, n: int) -> DataFrame:
+    g = geo(spark, sf_dir).where("cluster is not null")
+    band = F.least(F.floor((F.col(c) - low + 1e-9) / 10), F.lit(n - 1))
+    return g.groupBy((low + 10 * band).cast("double").alias("band")).agg(F.count("*").alias("cells"), *[F.count(F.when(F.col("cluster") == k, 1)).alias(f"c{k}") for k in range(4)])
+
+
+def _band_sql(c: str, low: int, n: int) -> str:
+    return f"SELECT CAST({low} + 10 * least(floor(({c} - ({low}) + 1e-9) / 10), {n - 1}) AS DOUBLE) AS band, CAST(count(*) AS BIGINT) AS cells, " + ", ".join(f"CAST(count(*) FILTER (cluster = {k}) AS BIGINT) AS c{k}" for k in range(4)) + " FROM geo WHERE cluster IS NOT NULL GROUP BY 1"
+
+
+@query("lat_band_mix", _band_sql("lat", -90, 18))
+def lat_band_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bands(spark, sf_dir, "lat", -90.0, 18)
+
+
+@query("lon_band_mix", _band_sql("lon", -180, 36))
+def lon_band_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bands(spark, sf_dir, "lon", -180.0, 36)
+
+
+REGION_ROWS = ", ".join(f"('{n}', '{k}', {b[0]}::DOUBLE, {(b[1] - b[0]) % 360}::DOUBLE, {b[2]}::DOUBLE, {b[3]}::DOUBLE)" for n, k, b in REGIONS)
+IN_REGION = f"r(region, class, west, span, south, north) AS (VALUES {REGION_ROWS}), m AS (SELECT r.*, g.* FROM r JOIN geo g ON ((g.lon - west) % 360 + 360) % 360 <= span AND g.lat BETWEEN south AND north WHERE g.cluster IS NOT NULL)"
+
+
+def in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells once for each region that holds them; the boxes are literals, so nothing is joined."""
+    marks = [F.when(inside_box(F.col("lon"), F.col("lat"), b), F.struct(F.lit(n).alias("region"), F.lit(k).alias("class"))) for n, k, b in REGIONS]
+    g = geo(spark, sf_dir).where("cluster is not null").withColumn("_r", F.filter(F.array(*marks), lambda v: v.isNotNull()))
+    return g.withColumn("_r", F.explode("_r")).select("row", "col", "cluster", "lon", "lat", "area", F.col("_r.region").alias("region"), F.col("_r.class").alias("class"))
+
+
+_PCT = ", ".join(f"round(100 * coalesce(sum(area) FILTER (cluster = {k}), 0) / sum(area), 6) AS pct{k}" for k in range(4))
+
+
+@query("region_mix", f"WITH {IN_REGION} SELECT region, CAST(count(*) AS BIGINT) AS cells, round(sum(area), 3) AS area_km2, {_PCT} FROM m GROUP BY region")
+def region_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pct = lambda k: r6(100 * F.coalesce(F.sum(F.when(F.col("cluster") == k, F.col("area"))), F.lit(0.0)) / F.sum("area")).alias(f"pct{k}")
+    return in_regions(spark, sf_dir).groupBy("region").agg(F.count("*").alias("cells"), F.round(F.sum("area"), 3).alias("area_km2"), *map(pct, range(4)))
+
+
+@query("context_weighted_mean", f"WITH {IN_REGION}, p AS (SELECT region, class, sum(area) AS a, 100 * coalesce(sum(area) FILTER (cluster = 0), 0) / sum(area) AS p0 FROM m GROUP BY 1, 2) SELECT class, round(sum(a * p0) / sum(a), 6) AS pct0 FROM p GROUP BY class")
+def context_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area-weighted mean of the regions' percentages by class."""
+    p = in_regions(spark, sf_dir).groupBy("region", "class").agg(F.sum("area").alias("a"), (100 * F.coalesce(F.sum(F.when(F.col("cluster") == 0, F.col("area"))), F.lit(0.0)) / F.sum("area")).alias("p0"))
+    return p.groupBy("class").agg(r6(F.sum(F.col("a") * F.col("p0")) / F.sum("a")).alias("pct0"))
+
+
+@query("window_extract", """SELECT "row", col, cluster FROM geo WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -30 AND 30""")
+def window_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo(spark, sf_dir).where(F.col("lon").between(-60, 60) & F.col("lat").between(-30, 30)).select("row", "col", "cluster")
+
+
+@query("ns_split", "SELECT CASE WHEN lat >= -12.5 THEN 'north' ELSE 'south' END AS part, cluster, CAST(count(*) AS BIGINT) AS cells FROM geo WHERE cluster IS NOT NULL GROUP BY 1, 2")
+def ns_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo(spark, sf_dir).where("cluster is not null").groupBy(F.when(F.col("lat") >= -12.5, "north").otherwise("south").alias("part"), "cluster").agg(F.count("*").alias("cells"))
+
+
+@query("region_range_summary", f"WITH {IN_REGION} SELECT region, CAST(count(*) AS BIGINT) AS n, round(avg(cluster), 6) AS mean_cluster, max(cluster) AS max_cluster FROM m GROUP BY region")
+def region_range_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_regions(spark, sf_dir).groupBy("region").agg(F.count("*").alias("n"), r6(F.avg("cluster")).alias("mean_cluster"), F.max("cluster").alias("max_cluster"))
+
+
+@query("geo_transforms", """SELECT "row", col, round(6051000.0 * radians(lon), 3) AS x, round(6051000.0 * radians(lat), 3) AS y, round(degrees(6051000.0 * radians(lon) / 6051000.0), 6) AS lon_back, round(degrees(2 * atan(exp(6051000.0 * radians(lat) / 6051800.0)) - pi() / 2), 6) AS mercator_lat, round(((lon % 360) + 360) % 360, 6) AS lon_360 FROM geo""")
+def geo_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equirectangular forward and back, Mercator latitude, and longitude in 0 .. 360."""
+    x, y = RADIUS * F.radians("lon"), RADIUS * F.radians("lat")
+    mercator = F.degrees(2 * F.atan(F.exp(y / 6_051_800.0)) - F.pi() / 2)
+    return geo(spark, sf_dir).select("row", "col", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), r6(F.degrees(x / RADIUS)).alias("lon_back"), r6(mercator).alias("mercator_lat"), r6(F.pmod("lon", F.lit(360.0))).alias("lon_360"))
+
+
+@query("vertex_extent", "WITH v(feature, x, y) AS (VALUES (1, 2.0::DOUBLE, 1.0::DOUBLE), (1, 12.0, 1.0), (1, 12.0, 9.0), (1, 2.0, 9.0), (2, 5.0, 5.0), (2, 25.0, 5.0), (2, 15.0, 14.0)) SELECT feature, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM v GROUP BY feature")
+def vertex_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = polygons_table(spark, [(1, [[(2, 1), (12, 1), (12, 9), (2, 9)]]), (2, [[(5, 5), (25, 5), (15, 14)]])])
+    return v.groupBy("feature").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+
+
+@query("customers_by_region_area", "SELECT r_name, CAST(count(*) AS BIGINT) AS customers, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+def customers_by_region_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = c.groupBy("r_name").agg(F.count("*").alias("customers"))
+    return n.withColumn("share", r6(ratio("customers", F.sum("customers").over(Window.partitionBy()))))

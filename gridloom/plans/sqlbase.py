@@ -14,7 +14,7 @@ CTES = {
     "clusters": """SELECT "row", col, CAST(CASE WHEN slope IS NOT NULL THEN least(slope - 1, 3) END AS INTEGER) AS cluster FROM grid""",
     "items": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, CAST(p_size AS DOUBLE) AS size
       FROM lineitem JOIN part ON p_partkey = l_partkey""",
-    "geo": """SELECT *, -180 + 12 * (col + 0.5) AS lon, 90 - (180.0 / h) * ("row" + 0.5) AS lat,
+    "geo": """SELECT *, CAST(-180 + 12 * (col + 0.5) AS DOUBLE) AS lon, 90 - (180.0 / h) * ("row" + 0.5) AS lat,
       6051.0 * 6051.0 * radians(12.0) * abs(sin(radians(90 - (180.0 / h) * "row")) - sin(radians(90 - (180.0 / h) * ("row" + 1)))) AS area
       FROM (SELECT *, max("row") OVER () + 1 AS h FROM clusters)""",
     "counts": """SELECT o_orderpriority AS cluster, n_name AS geology, CAST(count(*) AS BIGINT) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2""",

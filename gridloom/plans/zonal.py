@@ -1 +1,130 @@
-"""."""
+"""Polygon statistics: per feature, exclusive, pooled, dissolved, rolled up."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions.exprs import r6, ratio
+from gridloom.operators.zones import histogram, members, shares
+from gridloom.registry import query
+from gridloom.sources.tables import clusters
+
+#: feature, rings of (x = column, y = row): a box, a concave shape, two that overlap, one of two parts, one outside.
+POLYGONS = [
+    (1, [[(2.0, 1.0), (12.0, 1.0), (12.0, 9.0), (2.0, 9.0)]]),
+    (2, [[(0.0, 0.0), (28.0, 0.0), (20.0, 14.0), (10.0, 6.0), (4.0, 13.0)]]),
+    (3, [[(8.0, 2.0), (22.0, 3.0), (18.0, 12.0)]]),
+    (4, [[(14.0, 8.0), (29.0, 8.0), (29.0, 15.0), (14.0, 15.0)]]),
+    (5, [[(1.0, 10.0), (6.0, 10.0), (6.0, 14.0), (1.0, 14.0)], [(24.0, 1.0), (29.0, 1.0), (29.0, 5.0), (24.0, 5.0)]]),
+    (6, [[(100.0, 100.0), (120.0, 100.0), (120.0, 110.0)]]),
+]
+#: feature -> (unit, category)
+UNITS = {1: ("u1", "plain"), 2: ("u2", "highland"), 3: ("u1", "plain"), 4: ("u3", "highland"), 5: ("u2", "plain"), 6: ("u4", "plain")}
+
+
+def _inside(rings) -> str:
+    edges = [(a, b) for r in rings for a, b in zip(r, [*r[1:], r[0]]) if a[1] != b[1]]
+    return "(" + " + ".join(f"CASE WHEN ({y1!r}::DOUBLE <= y) <> ({y2!r}::DOUBLE <= y) AND x < {x1!r}::DOUBLE + (y - {y1!r}::DOUBLE) * {(x2 - x1) / (y2 - y1)!r}::DOUBLE THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in edges) + ") % 2 = 1"
+
+
+_UNIT = "CASE feature " + " ".join(f"WHEN {f} THEN '{u}'" for f, (u, _) in UNITS.items()) + " END"
+_CAT = "CASE feature " + " ".join(f"WHEN {f} THEN '{c}'" for f, (_, c) in UNITS.items()) + " END"
+MEMBERS = "xy AS (SELECT *, col + 0.5::DOUBLE AS x, \"row\" + 0.5::DOUBLE AS y FROM clusters), members AS (" + " UNION ALL ".join(f'SELECT {f} AS feature, "row", col, cluster FROM xy WHERE {_inside(r)}' for f, r in POLYGONS) + ")"
+_COUNTS = "CAST(count(cluster) AS BIGINT) AS valid, " + ", ".join(f"CAST(count(*) FILTER (cluster = {k}) AS BIGINT) AS c{k}" for k in range(4))
+_SHARES = ", ".join(f"round(100.0::DOUBLE * c{k} / nullif(valid, 0), 6) AS pct{k}" for k in range(4))
+_DOM = "CASE WHEN valid = 0 THEN NULL WHEN c0 = greatest(c0, c1, c2, c3) THEN 0 WHEN c1 = greatest(c0, c1, c2, c3) THEN 1 WHEN c2 = greatest(c0, c1, c2, c3) THEN 2 ELSE 3 END AS dominant, round(100.0::DOUBLE * greatest(c0, c1, c2, c3) / nullif(valid, 0), 6) AS purity"
+
+
+def zone_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return members(clusters(spark, sf_dir), POLYGONS)
+
+
+def with_units(df: DataFrame) -> DataFrame:
+    look = lambda i: F.element_at(F.create_map(*[F.lit(x) for f, u in UNITS.items() for x in (f, u[i])]), F.col("feature"))
+    return df.withColumns({"unit": look(0), "category": look(1)})
+
+
+@query("zonal_histogram", f"WITH {MEMBERS}, h AS (SELECT feature, {_COUNTS} FROM members GROUP BY feature) SELECT *, {_SHARES}, {_DOM} FROM h")
+def zonal_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(histogram(zone_members(spark, sf_dir), "feature"))
+
+
+@query("zonal_enrichment", f"WITH {MEMBERS}, b AS (SELECT {', '.join(f'count(*) FILTER (cluster = {k})::DOUBLE / count(cluster) AS b{k}' for k in range(4))} FROM clusters), h AS (SELECT feature, {_COUNTS} FROM members GROUP BY feature) SELECT feature, {', '.join(f'round((c{k}::DOUBLE / nullif(valid, 0)) / nullif(b{k}, 0), 6) AS enrichment{k}' for k in range(4))} FROM h, b")
+def zonal_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each cluster in a feature over its share in the whole window."""
+    c = clusters(spark, sf_dir)
+    base = c.agg(*[ratio(F.count(F.when(F.col("cluster") == k, 1)), F.count("cluster")).alias(f"b{k}") for k in range(4)])
+    h = histogram(members(c, POLYGONS), "feature").crossJoin(F.broadcast(base))  # one row
+    return h.select("feature", *[r6(F.try_divide(ratio(f"c{k}", "valid"), F.col(f"b{k}"))).alias(f"enrichment{k}") for k in range(4)])
+
+
+@query("zonal_exclusive", f'WITH {MEMBERS}, last AS (SELECT "row", col, max(feature) AS feature, any_value(cluster) AS cluster FROM members GROUP BY 1, 2) SELECT feature, {_COUNTS} FROM last GROUP BY feature')
+def zonal_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where features overlap, the later one has the cell."""
+    last = zone_members(spark, sf_dir).groupBy("row", "col").agg(F.max("feature").alias("feature"), F.first("cluster").alias("cluster"))
+    return histogram(last, "feature")
+
+
+@query("zonal_pooled", f"WITH {MEMBERS} SELECT {_COUNTS} FROM members")
+def zonal_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features' cells together; overlaps count twice."""
+    return histogram(zone_members(spark, sf_dir))
+
+
+@query("pooled_union", f"WITH {MEMBERS} SELECT {_COUNTS} FROM (SELECT * FROM members WHERE feature = 1 UNION ALL SELECT * FROM members WHERE feature = 3)")
+def pooled_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = zone_members(spark, sf_dir)
+    return histogram(m.where("feature = 1").unionByName(m.where("feature = 3")))
+
+
+@query("zonal_dissolved", f'WITH {MEMBERS} SELECT {_COUNTS} FROM (SELECT DISTINCT "row", col, cluster FROM members)')
+def zonal_dissolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of all features; overlaps count once."""
+    return histogram(zone_members(spark, sf_dir).dropDuplicates(["row", "col"]))
+
+
+@query("zonal_mask_semi", f'WITH {MEMBERS} SELECT cluster, CAST(count(*) AS BIGINT) AS cells FROM clusters c WHERE cluster IS NOT NULL AND EXISTS (SELECT 1 FROM members m WHERE m."row" = c."row" AND m.col = c.col) GROUP BY cluster')
+def zonal_mask_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = clusters(spark, sf_dir)
+    return c.where("cluster is not null").join(members(c, POLYGONS), ["row", "col"], "left_semi").groupBy("cluster").agg(F.count("*").alias("cells"))
+
+
+@query("unit_rollup", f"WITH {MEMBERS}, h AS (SELECT {_UNIT} AS unit, CAST(count(DISTINCT feature) AS BIGINT) AS polygons, {_COUNTS} FROM members GROUP BY 1) SELECT *, {_SHARES}, {_DOM} FROM h")
+def unit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells are summed over a unit's polygons, then shares derived anew."""
+    h = with_units(histogram(zone_members(spark, sf_dir), "feature")).groupBy("unit").agg(F.count("*").alias("polygons"), *[F.sum(c).alias(c) for c in ("valid", "c0", "c1", "c2", "c3")])
+    return shares(h)
+
+
+@query("category_rollup", f"WITH {MEMBERS}, h AS (SELECT {_CAT} AS category, CAST(count(DISTINCT feature) AS BIGINT) AS polygons, {_COUNTS} FROM members GROUP BY 1) SELECT *, {_SHARES}, {_DOM} FROM h")
+def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = with_units(histogram(zone_members(spark, sf_dir), "feature")).groupBy("category").agg(F.count("*").alias("polygons"), *[F.sum(c).alias(c) for c in ("valid", "c0", "c1", "c2", "c3")])
+    return shares(h)
+
+
+@query("category_mix_summary", f"WITH {MEMBERS}, h AS (SELECT feature, {_CAT} AS category, {_COUNTS} FROM members GROUP BY 1, 2), p AS (SELECT *, 100.0::DOUBLE * c0 / nullif(valid, 0) AS p0 FROM h) SELECT category, round(100.0::DOUBLE * sum(c0) / sum(valid), 6) AS weighted_pct0, round(avg(p0), 6) AS mean_pct0, round(median(p0), 6) AS median_pct0, round(max(p0), 6) AS max_pct0 FROM p GROUP BY category")
+def category_mix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = with_units(histogram(zone_members(spark, sf_dir), "feature")).withColumn("p0", ratio(100 * F.col("c0"), F.col("valid")))
+    return p.groupBy("category").agg(r6(ratio(100 * F.sum("c0"), F.sum("valid"))).alias("weighted_pct0"), r6(F.avg("p0")).alias("mean_pct0"), r6(F.median("p0")).alias("median_pct0"), r6(F.max("p0")).alias("max_pct0"))
+
+
+@query("purity_coverage", f"WITH {MEMBERS}, t AS (SELECT cluster, count(*) AS total, sum(count(*)) OVER () AS al FROM clusters WHERE cluster IS NOT NULL GROUP BY cluster), n AS (SELECT feature, cluster, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature) AS f FROM members WHERE cluster IS NOT NULL GROUP BY 1, 2) SELECT feature, cluster, CAST(n AS BIGINT) AS cells, round(100.0::DOUBLE * n / f, 6) AS purity, round(100.0::DOUBLE * n / total, 6) AS coverage, round((n::DOUBLE / f) / (total::DOUBLE / al), 6) AS enrichment FROM n JOIN t USING (cluster)")
+def purity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap over feature, over cluster total, and over what the cluster's share would give."""
+    from pyspark.sql import Window
+
+    c = clusters(spark, sf_dir)
+    t = c.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("total")).withColumn("all", F.sum("total").over(Window.partitionBy()))
+    n = members(c, POLYGONS).where("cluster is not null").groupBy("feature", "cluster").agg(F.count("*").alias("cells")).withColumn("f", F.sum("cells").over(Window.partitionBy("feature")))
+    return n.join(F.broadcast(t), "cluster").select("feature", "cluster", "cells", r6(ratio(100 * F.col("cells"), F.col("f"))).alias("purity"), r6(ratio(100 * F.col("cells"), F.col("total"))).alias("coverage"), r6(F.try_divide(ratio("cells", "f"), ratio("total", "all"))).alias("enrichment"))
+
+
+@query("bbox_overlap_prefilter", "WITH b(feature, x0, x1, y0, y1) AS (VALUES " + ", ".join(f"({f}, {min(p[0] for q in r for p in q)}::DOUBLE, {max(p[0] for q in r for p in q)}::DOUBLE, {min(p[1] for q in r for p in q)}::DOUBLE, {max(p[1] for q in r for p in q)}::DOUBLE)" for f, r in POLYGONS) + ") SELECT a.feature AS a, b.feature AS b FROM b a JOIN b ON a.feature < b.feature AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
+def bbox_overlap_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.operators.zones import polygons_table
+
+    box = polygons_table(spark, POLYGONS).groupBy("feature").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    other = box.select(*[F.col(c).alias(f"b_{c}") for c in box.columns])
+    meet = (F.col("feature") < F.col("b_feature")) & (F.col("x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("x1")) & (F.col("y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("y1"))
+    return box.join(other, meet).select(F.col("feature").alias("a"), F.col("b_feature").alias("b"))
