@@ -1,0 +1,106 @@
+"""Properties and small cases of the grid operators, and what has no SQL form."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.functions.exprs import ordinal, valid
+from gridloom.functions.graphs import components
+from gridloom.operators import focal, metrics, models, objects, samples, zones
+from gridloom.sources import files
+
+
+def cells(spark, values):
+    rows = [(r, c, v) for r, line in enumerate(values) for c, v in enumerate(line)]
+    return spark.createDataFrame(rows, "row int, col int, cluster int")
+
+
+def test_alignment_recovers_a_permutation(spark):
+    pairs = [(0, 2), (0, 2), (1, 0), (1, 0), (2, 3), (2, 3), (3, 1), (3, 1)]
+    df = spark.createDataFrame(pairs, "a int, b int")
+    found = {r["candidate"]: r["reference"] for r in metrics.aligned(metrics.contingency(df, "a", "b"), 4).collect()}
+    assert found == {2: 0, 0: 1, 3: 2, 1: 3}
+
+
+def test_rand_index_of_a_relabelling_is_one(spark):
+    df = spark.createDataFrame([(i % 3, (i + 1) % 3) for i in range(30)], "a int, b int")
+    assert metrics.adjusted_rand(metrics.contingency(df, "a", "b")).first()[0] == pytest.approx(1)
+
+
+def test_allocation_sums_to_the_total(spark):
+    sizes = spark.createDataFrame([(i, n) for i, n in enumerate([5, 17, 3, 40, 35])], "block long, n long")
+    assert samples.allocation(sizes, 23).agg(F.sum("take")).first()[0] == 23
+
+
+def test_smoothing_keeps_a_constant_grid_and_no_data(spark):
+    out = {(r["row"], r["col"]): r["smoothed"] for r in focal.majority(cells(spark, [[2, 2, None], [2, 2, 2]])).collect()}
+    assert out == {(0, 0): 2, (0, 1): 2, (0, 2): None, (1, 0): 2, (1, 1): 2, (1, 2): 2}
+
+
+def test_derived_features_against_numpy(spark):
+    rng = np.random.default_rng(42)
+    bands = ["radar", "height", "emissivity", "slope", "reflectivity"]
+    grids = {b: rng.integers(-50, 50, (11, 13)) for b in bands}
+    df = spark.createDataFrame([(r, c, *(int(grids[b][r, c]) for b in bands)) for r in range(11) for c in range(13)], "row int, col int, " + ", ".join(f"{b} long" for b in bands))
+    out = focal.derived(df, 2, 2025.0, 2025.0).toPandas().sort_values(["row", "col"])
+    assert len(out) == 143 and sum(c.endswith(("_std", "_range", "_gradient", "_curvature")) for c in out.columns) == 12
+    padded = np.pad(grids["radar"], 2, mode="edge")
+    blocks = np.lib.stride_tricks.sliding_window_view(padded, (5, 5))
+    assert np.allclose(out["radar_local_std"].to_numpy().reshape(11, 13), blocks.std((2, 3)))
+    gy, gx = np.gradient(grids["height"].astype(float), 2025.0, 2025.0)
+    assert np.allclose(out["height_gradient"].to_numpy().reshape(11, 13), np.hypot(gx, gy))
+
+
+def test_objects_touch_by_corners_and_sizes_add_up(spark):
+    df = cells(spark, [[1, 0, 1], [0, 1, 0], [1, None, 0]])
+    sizes = {(r["cluster"], r["cells"]) for r in objects.sizes(df).collect()}
+    assert sizes == {(1, 4), (0, 4)} or sum(n for _, n in sizes) == 8
+
+
+def test_components_of_a_long_path(spark):
+    df = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components(df).select("component").distinct().collect()[0][0] == 0
+
+
+def test_ordinal_numbers_all_rows_once(spark):
+    df = spark.range(1000).withColumn("v", F.col("id") % 7)
+    out = ordinal(df, [F.col("v"), F.col("id")], parts=8).orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in out] == list(range(1, 1001)) and [(r["v"], r["id"]) for r in out] == sorted((r["v"], r["id"]) for r in out)
+
+
+def test_box_polygon_is_between(spark):
+    df = cells(spark, [[1] * 8 for _ in range(6)])
+    got = {(r["row"], r["col"]) for r in zones.members(df, [(1, [[(1.0, 1.0), (5.0, 1.0), (5.0, 4.0), (1.0, 4.0)]])]).collect()}
+    assert got == {(r, c) for r in range(1, 4) for c in range(1, 5)}
+
+
+def test_validity(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (-9999.0,), (None,)], "v double")
+    assert df.select(F.count(valid("v", -9999.0))).first()[0] == 1
+
+
+def test_density_clusters(spark):
+    points = [(i, [0.01 * i, 0.0]) for i in range(12)] + [(100 + i, [5.0 + 0.01 * i, 0.0]) for i in range(12)] + [(999, [50.0, 50.0])]
+    out = dict(models.dbscan(spark.createDataFrame(points, "id long, x array<double>"), 0.2, 10).collect())
+    assert {out[i] for i in range(12)} == {0} and {out[100 + i] for i in range(12)} == {100} and out[999] == -1
+
+
+def test_ward_and_isolation(spark):
+    rng = np.random.default_rng(1)
+    points = [(i, [float(v) for v in rng.normal((i % 3) * 10, 1, 2)]) for i in range(90)] + [(90, [200.0, 200.0])]
+    df = spark.createDataFrame(points, "id long, x array<double>")
+    label = dict(models.ward(df.where("id < 90"), 3).collect())
+    assert all(label[i] == label[i % 3] for i in range(90)) and len(set(label.values())) == 3
+    score = dict(models.isolation_scores(df, trees=25).select("id", "isolation").collect())
+    assert max(score, key=score.get) == 90 and all(0 < v < 1 for v in score.values())
+
+
+def test_configuration_and_discovery(spark, tmp_path):
+    assert files.Config.from_json('{"k": 5, "unknown": 1}').k == 5
+    files.write_csv(spark.createDataFrame([("0", "a", 3)], "Cluster_ID string, unit string, pixels int"), str(tmp_path / "one"))
+    files.write_csv(spark.createDataFrame([(1,)], "other int"), str(tmp_path / "two"))
+    found = files.discovered_counts(spark, [str(tmp_path / n) for n in ("one", "two", "none")])
+    assert [tuple(r)[:3] for r in found.collect()] == [("0", "a", "3")]
+    assert "0.500000" in files.report("t", {"x": 0.5})
