@@ -1,15 +1,19 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-1. Each text becomes its set of shingle hashes, a signature of ``COORDINATES`` minima and a fingerprint of the set.
+1. Each text becomes its set of shingle hashes, ``COORDINATES`` minima, a long signature of one minimum in each
+   of ``BINS`` bins, and a fingerprint of the set.
    Equal sets are one class from here on, so copies are never paired.
-2. Each class is posted under every (coordinate, value).  A posting list of one member is dead.  Two sets above the match
-   threshold share at least ``MATCHES`` values, so a class with fewer live lists has no partner and is skipped.
+2. Each class is posted under its (coordinate, value) pairs.  A posting list of one member is dead.
+   Two sets above the match threshold share at least ``MATCHES`` of them, so a class with fewer live lists has no partner
+   and is skipped.
 3. Prefix filter: with its live lists ordered by length (shortest first), such a pair meets within the first
    ``live - MATCHES + 1`` lists of both members; the long lists behind them are never merged.
-4. First every list's members are paired with the list's smallest member alone.  Collisions over whole signatures are
-   counted, pairs above the threshold are confirmed on the full shingle sets, and confirmed links contract the lists.
-   Then only members of lists that still hold several components are paired across components: inside a component a
-   further link would not change the result.
+4. First every list's members are paired with one member alone, the one whose lists are the most crowded (the text that
+   most copies were made from).  Collisions over whole signatures are counted, pairs above the threshold are confirmed on
+   the full shingle sets, and confirmed links contract the lists.  Then lists that still hold several components are
+   merged: members of different components are compared in blocks, each pair only in the first list it shares, and the
+   pairs whose long signatures collide in ``BIN_PERCENT`` of their bins are confirmed.  Inside a component a further link would
+   not change the result.
 5. Components of the confirmed links, named by the smallest id.
 
 Defined results: null or wordless texts have no shingles and link with nothing; fewer words than a shingle count as one
@@ -32,8 +36,13 @@ from gridloom.llm.graphs import components
 from gridloom.llm.words import shingle_set, texts_words
 
 WORDS, PERCENT = 5, 75
-#: Minima in a signature; equal ones needed.  A pair at 75 % misses 14 of 32 with a probability of about 3e-5.
+#: Posted minima and those a pair must share; a pair at 75 % shares fewer with a probability of about 3e-5.
 COORDINATES, MATCHES = 32, 14
+#: Bins of the long signature (one minimum a bin) and the percentage of used bins that must be equal; a pair at 75 % has
+#: fewer with a probability below 1e-5, and for sets much smaller than the bins the share is all but exact.
+BINS, BIN_PERCENT = 1_024, 69
+#: Members of a list compared with each other at once.
+BLOCK = 1_024
 
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,22 +61,31 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def long_signature(shingles: np.ndarray) -> bytes:
+    """One byte for each bin: 0 if it is empty, else 1 to 255 from its smallest hash (``shingles`` come sorted)."""
+    out = np.zeros(BINS, np.uint8)
+    value = (((shingles >> np.uint64(20)) & np.uint64(0xFFFF)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    out[(shingles % np.uint64(BINS)).astype(np.int64)[::-1]] = value[::-1]  # the smallest is written last
+    return out.tobytes()
+
+
 def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, fingerprint, signature) of each document; fingerprint and signature are null for empty sets."""
+    """(doc_id, n_shingles, fingerprint, signature, bins) of each document; the last three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                n, prints, signatures = [], [], []
+                n, prints, signatures, bins = [], [], [], []
                 for _, hashes in texts_words(lowered(part.column("text").to_pylist())):
                     own = shingle_set(hashes, words)
                     n.append(len(own))
                     prints.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     signatures.append(signature(own) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "fingerprint", "signature"])
+                    bins.append(long_signature(own) if len(own) else None)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.list_(pa.int32())), pa.array(bins, pa.binary())], ["doc_id", "n_shingles", "fingerprint", "signature", "bins"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, signature array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, signature array<int>, bins binary")
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -114,31 +132,90 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataF
     return both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (equal >= MATCHES)).select("a", "b")
 
 
+def merged(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of different components that collide often enough, from open lists.
+
+    ``rows`` has key, i, j (the blocks met here), block, rep, component, n, mask (the lists of the member's prefix, a bit
+    for each coordinate), signature and bins.  Rows come sorted by key, i and j; a group has at most two blocks.
+    """
+
+    def pairs(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        get = lambda c: part.column(c).to_numpy()
+        rep, comp, n, mask, block = get("rep"), get("component"), get("n"), get("mask"), get("block")
+        sig = part.column("signature").flatten().to_numpy().reshape(len(rep), -1)
+        bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(len(rep), BINS)
+        i, j, key = part.column("i")[0].as_py(), part.column("j")[0].as_py(), part.column("key")[0].as_py()
+        here = np.uint32(1) << np.uint32(key >> 32)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for a in range(0, len(left), 128):
+            x = left[a : a + 128]
+            ok = (comp[x][:, None] != comp[right][None, :]) & (100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :]))
+            if i == j:
+                ok &= rep[x][:, None] < rep[right][None, :]
+            p, q = np.nonzero(ok)
+            p, q = x[p], right[q]
+            for c in range(0, len(p), 20_000):
+                u, v = p[c : c + 20_000], q[c : c + 20_000]
+                common = mask[u].astype(np.uint32) & mask[v].astype(np.uint32)
+                for at in range(int(key >> 32)):  # shared earlier: another list has the pair
+                    bit = np.uint32(1) << np.uint32(at)
+                    own = (common & bit) != 0
+                    own[own] = sig[u[own], at] == sig[v[own], at]
+                    u, v, common = u[~own], v[~own], common[~own]
+                x_bins, y_bins = bins[u], bins[v]
+                used = (x_bins | y_bins) != 0
+                near = 100 * ((x_bins == y_bins) & used).sum(1) >= BIN_PERCENT * used.sum(1)
+                yield np.minimum(rep[u[near]], rep[v[near]]), np.maximum(rep[u[near]], rep[v[near]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held and sum(h.num_rows for h in held) > 1:
+                for a, b in pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(key)]):
+                name = (key[a], i[a], j[a])
+                if name != last:
+                    yield from flush()
+                    held, last = [], name
+                held.append(batch.slice(a, b - a))
+        yield from flush()
+
+    return rows.select("key", "i", "j", "block", "rep", "component", "n", "mask", "signature", "bins").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (columns doc_id, text)."""
     marked = written(features(docs, words), "minhash-features")
     classes = written(
-        marked.where("doc_id is not null and n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")),
+        marked.where("doc_id is not null and n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bins").alias("bins")),
         "minhash-classes",
     )
     posted = classes.select("rep", F.posexplode("signature").alias("at", "value")).select("rep", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + 2**31).alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    live = posted.join(lists, "key")
-    by_length = Window.partitionBy("rep").orderBy("size", "key")
-    ordered = live.withColumns({"k": F.row_number().over(by_length), "live": F.count("*").over(Window.partitionBy("rep"))})
-    prefix = written(ordered.where(f"k <= live - {MATCHES - 1}").select("rep", "key"), "minhash-prefix")
+    own = Window.partitionBy("rep")
+    ordered = posted.join(lists, "key").withColumns({"k": F.row_number().over(own.orderBy("size", "key")), "live": F.count("*").over(own), "crowd": F.sum("size").over(own)})
+    prefix = written(ordered.where(f"k <= live - {MATCHES - 1}").select("rep", "key", "crowd"), "minhash-prefix")
 
-    heads = prefix.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
+    heads = prefix.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("size")).where("size > 1").select("key", (-F.col("top.minus")).alias("a"))
     stars = prefix.join(heads, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     links = written(confirmed(alike(stars, classes, percent), docs, words, percent), "minhash-links")
     first = components(links, "minhash-first")
 
     # lists that still hold several components; a class without a link is its own
-    grouped = prefix.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = grouped.join(split, "key")
-    across = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")).join(open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb")), "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    rest = written(alike(across.join(stars.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti"), classes, percent), "minhash-rest")
+    grouped = prefix.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
+    split = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low <> high").select("key", "blocks")
+    open_ = grouped.join(split, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    masks = prefix.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))").alias("mask"))
+    full = open_.join(masks, "rep").join(classes.select("rep", "n", "signature", "bins"), "rep")
+    met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rest = written(merged(met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), percent), "minhash-rest")
     if not rest.isEmpty():
         more = written(confirmed(rest, docs, words, percent), "minhash-more")
         if not more.isEmpty():
