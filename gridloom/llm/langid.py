@@ -122,8 +122,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
                 by.setdefault(lang, []).append(np.unique(np.concatenate([trigrams(text[a : a + SLICE]) for a in range(0, max(1, len(text)), SLICE)])))
             for lang, found in by.items():
                 grams, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(list(by)), pa.array([0] * len(by), pa.int64()), pa.array([len(x) for x in by.values()], pa.int64())], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array([0] * len(by), pa.int64()), pa.array([len(x) for x in by.values()], pa.int64())], ["lang", "gram", "n"])
 
     counted = learning_sample(docs, sample).mapInArrow(count, "lang string, gram long, n long")
     # bounded by the sample; gram 0 carries the number of documents

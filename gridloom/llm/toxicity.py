@@ -81,6 +81,8 @@ def units(text: str | None) -> set[str]:
 
 def stretches(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, word numbers, letters as rows) of all words' stretches, by length."""
+    if not words:
+        return
     flat = codes()[np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     flat = np.concatenate([[0], flat[flat >= 0], [0]])
     gaps = np.flatnonzero(flat == 0)  # each becomes the end of a word, a gap and the start of the next
@@ -285,7 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(["\n".join(sorted(units(t))) for t in b.column("text").to_pylist()])], ["doc_id", "toxic", "units"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(["\n".join(sorted(units(t))) for t in b.column("text").to_pylist()], pa.string())], ["doc_id", "toxic", "units"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(drawn, "doc_id").select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, units string").collect()
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["units"]))
