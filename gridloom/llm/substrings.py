@@ -6,7 +6,7 @@ A window is ``WINDOW`` consecutive words.  Every word that lies in a window whos
 1. Each window has one phrase, the ``PHRASE`` consecutive words of smallest hash in it.  Equal windows have equal phrases,
    so only phrases that recur can belong to recurring windows.  Phrases are counted over all texts.
 2. Texts are dealt to shards by id; the shard count follows the corpus size.  A shard gets the recurring phrases that
-   occur in it, compiles them into one Aho-Corasick automaton over word codes, and streams its texts through the
+   occur in it, compiles them into one Aho-Corasick automaton over spelled word hashes, and streams its texts through the
    automaton to locate every occurrence.  Windows whose phrase was located are candidates.
 3. Candidates are judged first inside the shard (so a passage that very many texts share leaves one row a shard), then
    over all shards by the smallest id per window hash.
@@ -33,7 +33,7 @@ from gridloom.llm.words import long_rolling, rolling, texts_words
 
 WINDOW, PHRASE = 20, 8
 #: Characters of text in a shard, about.
-SHARD_CHARS = 12_000_000
+SHARD_CHARS = 8_000_000
 
 
 def phrase_starts(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,27 +85,34 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def automaton(hashes: list[np.ndarray], grams: list[np.ndarray], wanted: np.ndarray, phrase: int):
-    """Automaton over word codes of the wanted phrases, spelled from the texts that hold them; None if there are none."""
-    out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    spelled: set[int] = set()
-    for words, own in zip(hashes, grams):
-        for i in np.flatnonzero(np.isin(own, wanted)).tolist():
+#: Letters that spell a word for the automaton (7 bits of its hash each): few children a node keep its steps short.
+LETTERS = 3
+
+
+def spelled_out(hashes: np.ndarray) -> str:
+    """The text as the automaton reads it; equal spellings of different words only make one more candidate."""
+    parts = (hashes[:, None] >> np.arange(64 - 7, 64 - 7 * (LETTERS + 1), -7, dtype=np.uint64)) & np.uint64(127)
+    return (parts + np.uint64(33)).astype(np.uint8).tobytes().decode("latin-1")
+
+
+def automaton(texts: list[str], grams: list[np.ndarray], wanted: np.ndarray, phrase: int):
+    """Automaton of the wanted phrases, spelled from the texts that hold them; None if there are none."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    known: set[int] = set()
+    wanted = np.sort(wanted)
+    for text, own in zip(texts, grams):
+        at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+        for i in np.flatnonzero(wanted[at] == own).tolist():
             key = int(own[i])
-            if key not in spelled:
-                spelled.add(key)
-                out.add_word(codes(words[i : i + phrase]), len(spelled))
-    if not spelled:
+            if key not in known:
+                known.add(key)
+                out.add_word(text[LETTERS * i : LETTERS * (i + phrase)], len(known))
+    if not known:
         return None
     out.make_automaton()
     return out
 
 
-def codes(hashes: np.ndarray) -> tuple[int, ...]:
-    """Word codes as the automaton's letters (31 bits of the hash; a chance equality only makes one more candidate)."""
-    return tuple((hashes >> np.uint64(33)).tolist())
-
-
 def judged(window: int, phrase: int):
     """The shard's work: locate phrases, judge candidate windows inside the shard."""
 
@@ -118,13 +125,15 @@ def judged(window: int, phrase: int):
         raw = texts.column("text")
         hashes = [h for _, h in texts_words([loosen.decompress(raw[int(i)].as_py()) for i in order])] if len(phrase_keys) else []
         places = [phrase_starts(h, window, phrase) for h in hashes]
-        machine = automaton(hashes, [g for g, _ in places], phrase_keys, phrase) if hashes else None
+        spellings = [spelled_out(h) for h in hashes]
+        machine = automaton(spellings, [g for g, _ in places], phrase_keys, phrase) if hashes else None
         keys, owners, starts = [], [], []
         for i, (words, (grams, at)) in enumerate(zip(hashes, places)):
             if machine is None or not len(at):
                 continue
             located = np.zeros(len(grams), bool)
-            ends = np.fromiter((e for e, _ in machine.iter(codes(words))), np.int64)
+            ends = np.fromiter((e for e, _ in machine.iter(spellings[i])), np.int64)
+            ends = ends[ends % LETTERS == LETTERS - 1] // LETTERS  # matches that start inside a word are none
             located[ends - phrase + 1] = True
             own = np.flatnonzero(located[at])
             if len(own):
