@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gridloom.llm.ann import op4_ann
 from gridloom.llm.bpe import op9_bpe
-from gridloom.llm.embeddup import op3_embeddup
+from gridloom.llm.embeddup import op3_embeddup, op3_sql
 from gridloom.llm.langid import op6_langid
 from gridloom.llm.licenses import op7_licenses, op7_sql
 from gridloom.llm.minhash import op2_minhash, op2_sql
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash": op2_sql(),
+    "op3_embeddup": op3_sql(),
     "op7_licenses": op7_sql(),
     "op10_substrings": op10_sql(),
 }
