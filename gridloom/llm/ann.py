@@ -35,6 +35,8 @@ SAMPLE, LIST_ROWS, ROWS_EACH_CENTROID = 20_000, 128, 8
 COPIES, COPY_RATIO = 2, 1.1
 #: Queries compared with all vectors to find the ratio within which a query looks at lists, and the share to reach.
 AUDIT, RECALL = 64, 0.96
+#: Lists a query looks at even if it lies on a centroid.
+LEAST_LISTS = 8
 #: Rows of a list in one piece; at least so many tasks, more as soon as one would hold over ``TASK_ROWS`` rows.
 PIECE_ROWS, TASKS, TASK_ROWS = 4_096, 8, 65_536
 
@@ -72,13 +74,13 @@ class Router:
             return np.hstack([rows / np.sqrt((rows * rows).sum(1))[:, None] * self.longest, np.zeros((len(rows), 1))])
         return np.hstack([rows, np.sqrt(np.maximum(0, self.longest**2 - (rows * rows).sum(1)))[:, None]])
 
-    def near(self, rows: np.ndarray, ratio: float, most: int | None = None) -> list[list[int]]:
-        """The lists within ``ratio`` of each row's nearest, nearest first; the beam widens until it ends outside."""
+    def near(self, rows: np.ndarray, ratio: float, most: int | None = None, least: int = 1) -> list[list[int]]:
+        """The lists within ``ratio`` of each row's nearest (``least`` lists anyway), nearest first; the beam widens until it ends outside."""
         out: list[list[int]] = [[] for _ in rows]
         todo, width = np.arange(len(rows)), most or 64
         while len(todo):
             found, dist = self.graph.search(rows[todo], max(width, 16))
-            inside = (dist <= ratio * np.maximum(dist[:, :1], 1e-12)) & (found >= 0)
+            inside = ((dist <= ratio * np.maximum(dist[:, :1], 1e-12)) | (np.arange(found.shape[1]) < least)) & (found >= 0)
             open_ = inside[:, -1] & (width < len(self.centroids)) & (most is None)
             for i in np.flatnonzero(~open_).tolist():
                 out[todo[i]] = found[i, inside[i]][:most].tolist()
@@ -117,7 +119,7 @@ def sent_to_tasks(queries: DataFrame, router, ratio: float, pieces, tasks: int)
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 take, task, own = [], [], []
-                for i, lists in enumerate(router.value.near(router.value.lifted(matrix(part.column("embedding")), True), ratio)):
+                for i, lists in enumerate(router.value.near(router.value.lifted(matrix(part.column("embedding")), True), ratio, least=LEAST_LISTS)):
                     ids = [p for c in lists for p in range(pieces.value[c][0], sum(pieces.value[c]))]
                     for t in sorted({p % tasks for p in ids}):
                         take.append(i)
