@@ -1,16 +1,22 @@
-"""Licence scans: each line of a text against licence templates by Dice coefficient over word bigrams.
+"""Licence scans: lines and windows of whole texts against licence templates by Dice coefficient over word bigrams.
 
-Normalised: everything but A-Z, a-z and 0-9 becomes one space, then lower case.  With ``a`` bigrams in a line and ``b``
-in a template, Dice = 2 * common / (a + b) can reach ``t`` only if min(a, b) >= t / (2 - t) * max(a, b); templates
+Normalised: everything but A-Z, a-z and 0-9 becomes one space, then lower case.  With ``a`` bigrams in a line or window and
+``b`` in a template, Dice = 2 * common / (a + b) can reach ``t`` only if min(a, b) >= t / (2 - t) * max(a, b); templates
 outside that bound are never compared.  Only DataFrame functions run; the template table is a constant.
 
-Defined results: null and empty texts give no rows; a line of fewer than two words has no bigram and never matches;
+Each line is compared as a whole.  Windows over the words of the whole text, line ends aside, begin and end with a bigram of
+the template, so that wrapped notices and those inside of prose are found too.  Of overlapping candidates the one of greatest
+Dice stays (lines first, then longer ones); a window inside of a line that reaches the threshold gives way to the line.
+The SQL form states the whole lines only.
+
+Defined results: null and empty texts give no rows; a text of fewer than two words has no bigram and never matches;
 lines are numbered from 1; of equally good templates the name that sorts first wins; repeated rows give repeated rows;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import table
 
-#: Dice coefficient from which a line counts as a template's.
+#: Dice coefficient from which a line or window counts as a template's.
 THRESHOLD = 0.75
 
 # Well-known licence notices and sentences of public licence texts.
@@ -63,35 +69,111 @@ def template_rows() -> list[tuple[str, int, list[str]]]:
     return out
 
 
-def line_bigrams(text: Column) -> Column:
-    """For each line of a text, the distinct word bigrams of its normalised form."""
-    words = F.transform(F.split(text, "\n"), lambda line: F.split(F.trim(F.lower(F.regexp_replace(line, "[^A-Za-z0-9]+", " "))), " "))
-    pairs = lambda w: F.transform(F.slice(w, F.lit(2), F.size(w)), lambda x, i: F.concat_ws(" ", w[i], x))
-    return F.transform(words, lambda w: F.array_distinct(pairs(w)))
+def signs(threshold: float) -> list[str]:
+    """Substrings of normalised texts: whatever reaches ``threshold`` with a template holds at least one of them.
 
+    Such a line or window holds ``share`` of the template's bigrams, so one of more than the others holds a sign.
+    """
+    share, out = threshold / 2 * (1 + threshold / (2 - threshold)), []
+    for _, _, own in template_rows():
+        spare = len(own) - math.ceil(share * len(own) - 1e-9)
+        open_ = [b for b in own if not any(s in b for s in out)]
+        while len(own) - len(open_) <= spare:
+            word = max((w for b in open_ for w in b.split(" ")), key=lambda w: (len(w), w))
+            out.append(word if len(word) >= 7 else open_[0])
+            open_ = [b for b in open_ if out[-1] not in b]
+    return out
 
-def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, line_no, license, dice): the best template of each line that reaches ``threshold``."""
+
+def normal(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))
+
+
+def bigrams(w: Column) -> Column:
+    return F.transform(F.slice(w, F.lit(2), F.size(w)), lambda x, i: F.concat_ws(" ", w[i], x))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def notices(text: Column, threshold: float) -> Column:
+    """The notices of a text: array of (minus: -Dice, ..., license, line_no)."""
     rows = template_rows()
     sizes = [len(r[2]) for r in rows]
     slack = threshold / (2 - threshold)
-    known = F.array(*[F.lit(b) for b in sorted({b for r in rows for b in r[2]})])
+    known = sorted({b for r in rows for b in r[2]})
     templates = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(k).alias("template"), F.array(*map(F.lit, own)).alias("bigrams")) for name, k, own in rows])
-    a = F.size("own")
-    lines = docs.select("doc_id", F.posexplode(line_bigrams(F.col("text"))).alias("at", "own"))
-    # common >= t / 2 * (a + b) and b >= slack * a: so many of the line's bigrams must be in some template
-    lines = lines.where(a.between(min(sizes) * slack, max(sizes) / slack) & (F.size(F.array_intersect("own", known)) >= threshold / 2 * (1 + slack) * a))
-    fitting = F.filter(templates, lambda t: F.least(a, F.size(t["bigrams"])) >= slack * F.greatest(a, F.size(t["bigrams"])))
-    scored = F.transform(
-        fitting,
-        lambda t: F.struct((-F.round(2 * F.size(F.array_intersect(F.col("own"), t["bigrams"])) / (a + F.size(t["bigrams"])), 6)).alias("minus"), t["license"].alias("license"), t["template"].alias("template")),
-    )
-    best = lines.select("doc_id", (F.col("at") + 1).alias("line_no"), F.array_min(scored).alias("best")).where(-F.col("best.minus") >= threshold)
-    return best.select("doc_id", "line_no", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("dice"))
+    minus = lambda common, a, b: -F.round(2 * common / (a + b), 6)
+    fits = lambda a, b: F.least(a, b) >= slack * F.greatest(a, b)
+
+    def candidate(minus, kind, first, last, license, template, line_no):
+        """In the order of choice: Dice, lines before windows, longer ones, names; ``first`` and ``last`` are words."""
+        return F.struct(minus.alias("minus"), F.lit(kind).alias("kind"), (first - last).alias("short"), license.alias("license"), template.alias("template"), first.alias("first"), last.alias("last"), line_no.alias("line_no"))
+
+    def best_template(own):
+        a = F.size(own)
+        scored = F.transform(
+            F.filter(templates, lambda t: fits(a, F.size(t["bigrams"]))),
+            lambda t: F.struct(minus(F.size(F.array_intersect(own, t["bigrams"])), a, F.size(t["bigrams"])).alias("minus"), t["license"].alias("license"), t["template"].alias("template"), t["bigrams"].alias("bigrams")),
+        )
+        # common >= t / 2 * (a + b) and b >= slack * a: so many of the line's bigrams must be in some template
+        possible = a.between(min(sizes) * slack, max(sizes) / slack) & (F.size(F.filter(own, lambda b: b.isin(known))) >= threshold / 2 * (1 + slack) * a)
+        return F.when(possible, F.array_min(scored))
+
+    def of_lines(lines, line_of, hits):
+        scored = F.transform(lines, lambda w, i: F.struct((i + 1).alias("line_no"), let(F.array_distinct(bigrams(w)), best_template).alias("best")))
+
+        def placed(c):
+            at = F.transform(F.filter(hits, lambda h: (line_of[h["at"]] == c["line_no"]) & (line_of[h["at"] + 1] == c["line_no"]) & F.array_contains(c["best"]["bigrams"], h["bigram"])), lambda h: h["at"])
+            return let(at, lambda p: candidate(c["best"]["minus"], 0, p[0], F.element_at(p, -1) + 1, c["best"]["license"], c["best"]["template"], c["line_no"]))
+
+        return F.transform(F.filter(scored, lambda c: -c["best"]["minus"] >= threshold), placed)
+
+    def of_windows(all_, line_of, hits):
+        def windows(t, own):
+            b = F.size(t["bigrams"])
+
+            def ending(h, k, g, n):
+                length = g["at"] - h["at"] + 1
+                a = F.size(F.array_distinct(F.slice(all_, h["at"] + 1, length)))
+                common = F.size(F.array_distinct(F.transform(F.slice(own, k + 1, n + 1), lambda x: x["bigram"])))
+                enough = (n + 1 >= threshold / 2 * (1 + slack) * b - 1e-9) & (length <= 2 * b / slack)
+                dice = F.when(enough, let(F.struct(a.alias("a"), common.alias("c")), lambda v: F.when(fits(v["a"], b), minus(v["c"], v["a"], b))))
+                return candidate(dice, 1, h["at"], g["at"] + 1, t["license"], t["template"], line_of[h["at"]])
+
+            # a window has at most b / slack distinct bigrams; twice that leaves room for repeated ones
+            from_ = lambda h, k: F.filter(F.transform(F.slice(own, k + 1, F.floor(2 * b / slack).cast("int")), lambda g, n: ending(h, k, g, n)), lambda c: -c["minus"] >= threshold)
+            return F.flatten(F.transform(own, from_))
+
+        own = lambda t: F.filter(hits, lambda h: F.array_contains(t["bigrams"], h["bigram"]))
+        return F.flatten(F.transform(templates, lambda t: let(own(t), lambda o: windows(t, o))))
+
+    def chosen(all_, line_of, hits, lines):
+        def pick(found):
+            return let(F.array_sort(found), lambda c: F.aggregate(c, F.slice(c, 1, 0), lambda taken, x: F.when(F.exists(taken, lambda o: (o["first"] <= x["last"]) & (x["first"] <= o["last"])), taken).otherwise(F.concat(taken, F.array(x)))))
+
+        within = lambda c, o: (c["first"] <= o["last"]) & (o["first"] <= c["last"]) & (line_of[c["first"]] == o["line_no"]) & (line_of[c["last"]] == o["line_no"])
+        return let(of_lines(lines, line_of, hits), lambda whole: pick(F.concat(whole, F.filter(of_windows(all_, line_of, hits), lambda c: ~F.exists(whole, lambda o: within(c, o))))))
+
+    hits_of = lambda all_: F.filter(F.transform(all_, lambda b, i: F.struct(i.alias("at"), b.alias("bigram"))), lambda h: h["bigram"].isin(known))
+    lines_of = F.transform(F.split(text, "\n"), lambda line: F.filter(F.split(normal(line), " "), lambda w: w != ""))
+    numbers = lambda lines: F.flatten(F.transform(lines, lambda w, i: F.array_repeat(i + 1, F.size(w))))
+    of_bigrams = lambda lines, all_: let(numbers(lines), lambda line_of: let(hits_of(all_), lambda hits: chosen(all_, line_of, hits, lines)))
+    return let(lines_of, lambda lines: let(F.flatten(lines), lambda w: let(bigrams(w), lambda all_: of_bigrams(lines, all_))))
+
+
+def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (doc_id, line_no, license, dice): the notices of each text, with the line on which they begin."""
+    marks = F.array(*map(F.lit, signs(threshold)))
+    able = docs.select("doc_id", "text").where(let(normal(F.col("text")), lambda t: F.exists(marks, lambda m: t.contains(m))))
+    found = able.select("doc_id", F.explode(notices(F.col("text"), threshold)).alias("n"))
+    return found.select("doc_id", F.col("n.line_no").alias("line_no"), F.col("n.license").alias("license"), (-F.col("n.minus")).alias("dice"))
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
-    """Licence lines of all whole documents."""
+    """Licence notices of all whole documents."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 

@@ -344,6 +344,15 @@ def test_licence_lines(spark, odd, none):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
 
 
+def test_licence_notices_that_are_wrapped_or_inside_of_prose(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction.'
+    prose = "The files were gathered by hand and are Released under the MIT License. See the archive for older ones; All rights reserved."
+    split = "Some words first\nLicensed under CC BY-\nNC 4.0 and more words"
+    gpl = "x\n" + "\n * ".join(licenses.TEMPLATES["GPL-3.0"][1][i : i + 60] for i in range(0, 240, 60)).replace("-\n", "")
+    out = [tuple(r)[:3] for r in licenses.scan_licenses(docs(spark, [mit, prose, split, gpl, "under the tree, the software of any person"])).collect()]
+    assert sorted(out) == [(0, 1, "MIT"), (1, 1, "MIT"), (1, 1, "Proprietary"), (2, 2, "CC-BY-NC-4.0"), (3, 2, "GPL-3.0")]
+
+
 # --- pipeline
 
 
