@@ -2,9 +2,10 @@
 
 Equal vectors are one class.  Classes are dealt to shards by a hash; each shard builds one graph.  Every class queries
 every shard, a block of queries at a time.  A query whose whole beam is linked gets a wider beam until the beam ends
-outside the threshold or holds the shard; one query in ``AUDIT`` is also compared with the whole shard, and unless the
-links found reach ``RECALL`` of the true ones the block is searched again with twice the beam.  Links are confirmed by
-cosine in double precision and counted; a block hands on only a spanning forest of its links, which keeps its rows
+outside the threshold or holds the shard; one query in ``AUDIT`` is also compared with the whole shard, more of them until the audit
+has ``EVIDENCE`` links of different classes.  Unless the links found reach ``RECALL`` of the true ones the block is searched
+again with twice the beam; where the beam ``WIDEST`` still fails, or all queries were audited, the block's links are those
+of the exact comparison.  Links are confirmed by cosine in double precision and counted; a block hands on only a spanning forest of its links, which keeps its rows
 linear in the vectors.  Components are united over all blocks.
 
 Vectors of different length are in different shards and link with nothing of each other.  Defined results: vectors that
@@ -32,6 +33,8 @@ SHARDS, SHARD_ROWS = 8, 65_536
 #: Queries that meet a shard in one task.
 BLOCK_ROWS = 8_192
 BEAM, AUDIT, RECALL = 32, 16, 0.98
+#: Audited links below which more queries are audited; beam after which a block is compared with the shard exactly.
+EVIDENCE, WIDEST = 100, 512
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -47,11 +50,40 @@ def indexed(classes: pa.Table) -> pa.Table:
     return pa.table({"shard": classes.column("shard")[:1].cast(pa.string()), "payload": pa.array([payload], pa.large_binary()).cast(pa.binary())})
 
 
-def found_links(graph: Graph, rows: np.ndarray, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query number, shard row) of all pairs found from ``cosine`` on."""
+def confirmed(rows: np.ndarray, queries: np.ndarray, own: np.ndarray, q: np.ndarray, s: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (q, s) those that are links in double precision and not a query with itself."""
+    close = [np.einsum("ij,ij->i", queries[q[a : a + 200_000]], rows[s[a : a + 200_000]]) >= cosine for a in range(0, max(1, len(q)), 200_000)]
+    keep = np.concatenate(close) & (own[q] != s)
+    return q[keep], s[keep]
+
+
+def exact_links(rows: np.ndarray, queries: np.ndarray, own: np.ndarray, at: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """All links of the queries ``at``, each compared with the whole shard."""
+    step, q, s = max(1, 4_000_000 // len(rows)), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a in range(0, len(at), step):
+        i, j = np.nonzero(queries[at[a : a + step]] @ rows.T >= cosine - 1e-9)
+        found = confirmed(rows, queries, own, at[a + i], j, cosine)
+        q.append(found[0])
+        s.append(found[1])
+    return np.concatenate(q), np.concatenate(s)
+
+
+def found_links(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, shard row) of the links from ``cosine`` on; ``own`` is each query's row in the shard, or -1."""
     limit = 2 - 2 * cosine + 1e-4  # squared distance of unit vectors, with room for single precision
-    audit = np.arange(0, len(queries), AUDIT)
-    truth = queries[audit] @ rows.T >= cosine
+    audited, true = np.zeros(len(queries), bool), ([], [])
+    step = AUDIT
+    while True:
+        new = np.setdiff1d(np.arange(0, len(queries), step), np.flatnonzero(audited))
+        audited[new] = True
+        for known, more in zip(true, exact_links(rows, queries, own, new, cosine)):
+            known.append(more)
+        links = sum(map(len, true[0]))
+        if audited.all():
+            return np.concatenate(true[0]), np.concatenate(true[1])
+        if links >= EVIDENCE:
+            break
+        step = max(1, step // 2)
     beam = BEAM
     while True:
         todo, width, q, s = np.arange(len(queries)), beam, [], []
@@ -62,15 +94,11 @@ def found_links(graph: Graph, rows: np.ndarray, queries: np.ndarray, cosine: flo
             q.append(todo[i])
             s.append(at[i, j])
             todo, width = todo[full], min(width * 4, len(rows))
-        q, s = np.concatenate(q), np.concatenate(s)
-        close = np.concatenate([np.einsum("ij,ij->i", queries[q[a : a + 200_000]], rows[s[a : a + 200_000]]) >= cosine for a in range(0, max(1, len(q)), 200_000)])
-        q, s = q[close], s[close]
-        got = np.zeros(truth.shape, bool)
-        mine = q % AUDIT == 0
-        got[q[mine] // AUDIT, s[mine]] = True
-        some = truth.any(1)
-        if not some.any() or ((got & truth).sum(1)[some] / truth.sum(1)[some]).mean() >= RECALL or beam >= len(rows):
+        q, s = confirmed(rows, queries, own, np.concatenate(q), np.concatenate(s), cosine)
+        if audited[q].sum() >= RECALL * links:
             return q, s
+        if beam >= min(WIDEST, len(rows)):
+            return exact_links(rows, queries, own, np.arange(len(queries)), cosine)
         beam = min(beam * 2, len(rows))
 
 
@@ -98,9 +126,8 @@ def searched(cosine: float):
         if shard.num_rows and block.num_rows:
             ids, copies, rows, graph = pickle.loads(shard.column("payload")[0].as_py())
             own = block.column("rep").to_numpy()
-            q, s = found_links(graph, rows, unit(matrix(block.column("embedding"))), cosine)
-            true = own[q] != ids[s]
-            q, s = q[true], s[true]
+            place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            q, s = found_links(graph, rows, unit(matrix(block.column("embedding"))), np.where(ids[place] == own, place, -1), cosine)
             n = np.bincount(q, weights=copies[s], minlength=len(own)).astype(np.int64)
             a, b = forest(own[q], ids[s])
             rep, other, links = [own[n > 0], a], [own[n > 0], b], [n[n > 0], np.zeros(len(a), np.int64)]

@@ -298,6 +298,31 @@ def test_vector_links_by_brute_force(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["component_id"] == i and out[i]["kept"] for i in range(9001, 9008)) and embeddup.near_vectors(df.limit(0)).count() == 0
 
 
+class Blind:
+    """A graph that reaches only the queries themselves, or only what lies in every third row."""
+
+    def __init__(self, rows, reach):
+        self.rows, self.reach = rows, reach
+
+    def search(self, queries, beam):
+        d = ((queries**2).sum(1)[:, None] + (self.rows**2).sum(1) - 2 * queries @ self.rows.T).clip(0)
+        d[(d > 1e-9) & ~self.reach] = np.inf
+        at = np.argsort(d, axis=1)[:, :beam]
+        dist = np.take_along_axis(d, at, 1)
+        return np.where(np.isfinite(dist), at, -1), dist
+
+
+@pytest.mark.parametrize("linked", [0, 24, 1600])
+@pytest.mark.parametrize("third", [False, True])
+def test_audit_of_links_leaves_out_the_query_itself(linked, third):
+    rows = np.random.default_rng(7).normal(size=(1600, 32))
+    for i in range(0, linked, 2):
+        rows[i + 1] = rows[i] + 0.02 * rows[i + 1]
+    rows = embeddup.unit(rows)
+    q, s = embeddup.found_links(Blind(rows, np.arange(1600) % 3 == 0 if third else np.zeros(1600, bool)), rows, rows, np.arange(1600), 0.9)
+    assert sorted(zip(q.tolist(), s.tolist())) == sorted((i, i ^ 1) for i in range(linked))
+
+
 def test_nearest_neighbours_by_brute_force(spark):
     x = cloud(600, seed=4).astype(float)
     df = vector_table(spark, cloud(600, seed=4))
