@@ -16,9 +16,9 @@ from gridloom.functions.graphs import components
 from gridloom.operators.metrics import distance
 
 
-def standardised(df: DataFrame, dims: int) -> DataFrame:
-    """``df`` (id, x) with x scaled to mean 0 and population deviation 1 (0 counts as 1)."""
-    one = df.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(dims)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(dims)])
+def standardised(df: DataFrame, dims: int, of: DataFrame | None = None) -> DataFrame:
+    """``df`` (id, x) with x scaled to mean 0 and population deviation 1 (0 counts as 1), its own or those ``of`` a sample."""
+    one = (df if of is None else of).agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(dims)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(dims)])
     scaled = F.array(*[(F.col("x")[i] - F.col(f"m{i}")) / F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")) for i in range(dims)])
     return df.crossJoin(F.broadcast(one)).withColumn("x", scaled).select(*df.columns)  # one row of parameters
 
@@ -138,17 +138,18 @@ def isolation_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[
     return nodes
 
 
-def isolation_scores(df: DataFrame, trees: int = 100, fit_rows: int = 50_000, seed: int = 42) -> DataFrame:
-    """``df`` (id, x) with isolation: 2 ** (-mean path / factor), larger = more isolated.
+def isolation_scores(df: DataFrame, trees: int = 100, fit_rows: int = 50_000, seed: int = 42, fit: DataFrame | None = None) -> DataFrame:
+    """``df`` (id, x) with isolation: 2 ** (-mean path / factor), larger = more isolated; trees of its own rows or of ``fit``.
 
     Each tree grows in a task of its own on at most 256 rows drawn by a hash; the forest, bounded by trees x 511 nodes,
     is broadcast and rows are scored in batches.
     """
-    n = min(df.count(), fit_rows)
+    fit = df if fit is None else fit
+    n = min(fit.count(), fit_rows)
     size = min(256, n)
     if not n:
         return df.withColumn("isolation", F.lit(None).cast("double"))
-    base = df.where(id_hash("id") < 4294967296 * min(1.0, fit_rows / max(n, 1))).select("id", "x")
+    base = fit.where(id_hash("id") < 4294967296 * min(1.0, fit_rows / max(n, 1))).select("id", "x")
     share = min(1.0, 2.0 * size / n)
     drawn = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1_000_003)) < 1_000_003 * share)
 

@@ -343,20 +343,46 @@ def consensus_4_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n", v4).select("id", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("consensus"), (F.array_max("n") / 4.0).alias("agreement"))
 
 
+def reference_share(df: DataFrame, ref: DataFrame, c: str, out: str) -> DataFrame:
+    """``df`` with the share of ``ref``'s values of ``c`` at or below its own: a running count per distinct value."""
+    own = ref.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
+    steps = own.unionByName(df.select(F.col(c).alias("_v")).distinct().withColumn("_n", F.lit(0).cast("long"))).groupBy("_v").agg(F.sum("_n").alias("_n"))
+    parts = steps.repartitionByRange(32, "_v").withColumn("_p", F.spark_partition_id())
+    before = parts.groupBy("_p").agg(F.sum("_n").alias("_s"))  # one row a partition
+    before = before.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    upto = parts.withColumn("_c", F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))).join(F.broadcast(before), "_p").select("_v", (F.col("_c") + F.col("_b")).alias("_c"))
+    total = F.broadcast(ref.agg(F.count("*").alias("_all")))  # one row
+    return df.join(upto, F.col(c) == F.col("_v")).crossJoin(total).withColumn(out, ratio("_c", "_all")).drop("_v", "_c", "_all")
+
+
 @query("full_map_scores")
 def full_map_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid cells scored: cluster, confidence, and the share of a sample's distances at or below each cell's."""
+    """Grid cells scored on all 17 features: cluster, confidence, and the mean share of a sample's centre distances and isolation values at or below each cell's."""
+    from gridloom.functions.exprs import id_hash
+    from gridloom.functions.graphs import _cut
     from gridloom.operators.focal import derived
-    from gridloom.sources.tables import grid
-
-    g = derived(grid(spark, sf_dir), 2, 2025.0, 2025.0).where("radar is not null")
-    names = ["radar", "height", "emissivity", "slope", "reflectivity", "radar_local_std", "height_gradient"]
-    v = models.standardised(g.select((F.col("row") * 30 + F.col("col")).cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("x")), len(names))
-    m = models.kmeans(v, 4)
-    centres = [list(map(float, c)) for c in m.clusterCenters()]
-    d = v.withColumn("d", F.array(*[metrics.distance(F.col("x"), F.array(*map(F.lit, c))) for c in centres]))
-    h = entropy(softmax(F.col("d")), 4)
-    return d.select("id", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"), r6(1 - h).alias("confidence"), r6(F.cume_dist().over(Window.partitionBy(F.lit(1)).orderBy(F.round(F.array_min("d"), 9)))).alias("anomaly"))
+    from gridloom.operators.samples import exact_sample
+    from gridloom.sources.files import Config
+    from gridloom.sources.tables import BANDS, grid
+
+    config = Config()
+    g = grid(spark, sf_dir)
+    local = derived(g, config.local_radius, 2025.0, 2025.0)
+    names = [*BANDS, *[c for c in local.columns if c not in g.columns]]
+    known = local.where(" AND ".join(f"{b} IS NOT NULL" for b in BANDS))
+    cells = _cut(known.select((F.col("row").cast("long") * 30 + F.col("col")).alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("x")))
+    sample = lambda df, n: exact_sample(df, id_hash("id"), n)
+    v = _cut(models.standardised(cells, len(names), sample(cells, config.sample_size)))
+    fit = sample(v, config.sample_size)
+    centres = [list(map(float, c)) for c in models.kmeans(fit, config.k).clusterCenters()]
+    isolated = models.isolation_scores(v, config.isolation_estimators, fit=sample(v, config.anomaly_subset))
+    d = isolated.withColumn("d", F.array(*[metrics.distance(F.col("x"), F.array(*map(F.lit, c))) for c in centres]))
+    h = entropy(softmax(F.col("d")), config.k)
+    scored = d.select("id", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"), r6(1 - h).alias("confidence"), F.round(F.array_min("d"), 9).alias("nearest"), F.round("isolation", 9).alias("isolation"))
+    scored = _cut(scored)
+    ref = sample(scored, config.sample_size)
+    both = reference_share(reference_share(scored, ref, "nearest", "near_share"), ref, "isolation", "isolation_share")
+    return both.select("id", "cluster", "confidence", r6((F.col("near_share") + F.col("isolation_share")) / 2).alias("anomaly"))
 
 
 @query("stability_verdict", "SELECT CASE WHEN avg(a) >= 0.9 AND min(a) >= 0.8 THEN 'VERY STRONG' WHEN avg(a) >= 0.75 AND min(a) >= 0.6 THEN 'GOOD' WHEN avg(a) >= 0.5 THEN 'MODERATE' ELSE 'WEAK' END AS verdict FROM (SELECT 1 - l_discount AS a FROM lineitem)")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.exprs import ordinal, valid
 from gridloom.functions.graphs import components
 from gridloom.operators import focal, metrics, models, objects, samples, zones
+from gridloom.plans import clustering
 from gridloom.sources import files
 
 
@@ -104,3 +105,15 @@ def test_configuration_and_discovery(spark, tmp_path):
     found = files.discovered_counts(spark, [str(tmp_path / n) for n in ("one", "two", "none")])
     assert [tuple(r)[:3] for r in found.collect()] == [("0", "a", "3")]
     assert "0.500000" in files.report("t", {"x": 0.5})
+
+
+def test_map_scores_use_all_features_and_both_shares(spark, monkeypatch):
+    seen = []
+
+    def flat(df, *args, **kwargs):
+        seen.append(len(df.first()["x"]))
+        return df.withColumn("isolation", F.lit(0.5))
+
+    monkeypatch.setattr(models, "isolation_scores", flat)
+    share = 2 * clustering.full_map_scores(spark, "/root/testdata/sf0.001").toPandas()["anomaly"].to_numpy() - 1
+    assert seen == [17] and np.allclose(share, np.searchsorted(np.sort(share), share + 1e-7) / len(share), atol=1e-5)
