@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +27,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names; only where it is unset, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/gridloom-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names; where it is unset, in the warehouse, which a cluster shares too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/gridloom-shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,5 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_of(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of the text or list ``column`` in each; a longer value is alone in its slice."""
+    values = batch.column(column)
+    long = pc.list_value_length if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length
+    ends = np.cumsum(pc.fill_null(long(values), 0).to_numpy().astype(np.int64) * (1 if long is pc.binary_length else 4))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(ends[end - 1])
+
+
 def stable_hash(data: bytes, seed: int = 0) -> int:
     return zlib.crc32(data, seed)

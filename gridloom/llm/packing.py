@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.bpe import VOCABULARY, encoder
-from gridloom.llm.common import table
+from gridloom.llm.common import parts_of, table
 
 WINDOW = 4096
 #: Id put after every document.
@@ -100,36 +100,34 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_OF_T
     ``ids`` holds the piece's token ids as little-endian unsigned 32-bit numbers, the form training files use.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    end = end_id.to_bytes(4, "little")
-
-    def place(block: list[tuple[int, bytes]], first: int) -> tuple[pa.RecordBatch, int]:
-        doc, start, length, total, ids = [], [], [], [], []
-        for key, raw in block:
-            n = len(raw) // 4
-            for a in range(0, n, window):
-                doc.append(key)
-                start.append(a)
-                length.append(min(window, n - a))
-                total.append(n)
-                ids.append(raw[4 * a : 4 * (a + window)])
-        bins, offsets, opened = best_fit_decreasing(np.asarray(length), window)
-        columns = [pa.array(x, pa.int64()) for x in (doc, start, length, total, bins + first, offsets)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], PIECES.names), first + opened
+
+    def place(block: list[tuple[pa.Array, np.ndarray, np.ndarray]], first: int) -> tuple[pa.RecordBatch, int]:
+        keys = pa.concat_arrays([k for k, _, _ in block])
+        sizes, flat = (np.concatenate([b[i] for b in block]) for i in (1, 2))
+        pieces = -(-sizes // window)
+        doc = np.repeat(np.arange(len(sizes)), pieces)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+        length = np.minimum(window, sizes[doc] - start)
+        bins, offsets, opened = best_fit_decreasing(length, window)
+        ends = pa.array(4 * np.concatenate([[0], np.cumsum(length)]), pa.int32())
+        raw = pa.Array.from_buffers(pa.binary(), len(doc), [None, ends.buffers()[1], pa.py_buffer(flat.astype("<u4"))])
+        columns = [keys.take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, sizes[doc], bins + first, offsets))]
+        return pa.RecordBatch.from_arrays([*columns, raw], PIECES.names), first + opened
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first = encoder(path), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        block: list[tuple[int, bytes]] = []
+        block: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for key, raw in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text").to_pylist())):
-                    block.append((key, raw + end))
-                    held += len(raw) // 4 + 1
-                    if held >= block_tokens:
-                        out, first = place(block, first)
-                        block, held = [], 0
-                        yield out
+            for part in parts_of(batch, "text", 1 << 24):
+                flat, ends = own.encode(part.column("text"))
+                flat = np.insert(flat, ends, end_id)
+                block.append((part.column("doc_id"), np.diff(ends, prepend=0) + 1, flat))
+                held += len(flat)
+                if held >= block_tokens:
+                    out, first = place(block, first)
+                    block, held = [], 0
+                    yield out
         if block:
             yield place(block, first)[0]
 

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -84,10 +85,13 @@ def test_encoding_equals_the_library(spark):
     rng = random.Random(2)
     texts = ODD_TEXTS + ["".join(rng.choice("aéñΣ'\"-. \n\x1d​09٣你😀abcdefg") for _ in range(rng.randint(0, 120))) for _ in range(400)] + [" ".join(words(3000, 5))]
     own = bpe.encoder(public_tokenizers.path(bpe.VOCABULARY))
-    for text, raw in zip(texts, own.encode(texts)):
+    flat, ends = own.encode(pa.array(texts))
+    decoded = own.decode(flat, ends).to_pylist()
+    for text, a, b, back in zip(texts, [0, *ends], ends, decoded):
         ids = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(raw, "<u4").tolist() == ids
-        assert own.decode(np.array(ids, int)) == library.decode(ids, skip_special_tokens=False)
+        assert flat[a:b].tolist() == ids
+        assert back == library.decode(ids, skip_special_tokens=False)
+    assert [len(x) for x in own.encode(pa.array([None, "", "<|endoftext|>"], pa.string()))] == [1, 3]
 
 
 def test_encoding_corner_cases(spark, odd, none):
