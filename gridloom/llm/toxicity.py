@@ -1,41 +1,48 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence string kernel with Nystroem landmarks.
 
-Kernel of two words: common (not necessarily contiguous) subsequences of three and four letters, each occurrence
-weighted LAMBDA to the power of the stretch it spans, spans up to SPAN letters, divided by the words' norms.  Inserted
-letters and gaps only stretch a subsequence, so ``idxiot`` stays close to ``idiot``.  Punctuation inside a word is
-skipped, look-alike digits and signs are read as letters, and runs of spaced-out single letters are joined to a word.
-
-A sentence is toxic through its worst words, so learning is multiple-instance: landmarks are words that mark labelled
-toxic texts; the machine learns on the words that tell toxic texts against words of clean texts, then picks the telling
-words anew and adds each clean text's worst word.  With landmarks l and Nystroem weights g the decision sum_l g_l K(w, l) is linear in the word's
-subsequences, so it is folded into one weight per subsequence and scoring costs the same for any number of landmarks.
-A logistic regression, fitted on sampled texts that the machine was not trained on, turns a text's largest margin and
-the number and share of its words beyond the margin into the score.
+Texts are read as sentences, sentences as words.  A word's features are its (not necessarily contiguous) subsequences of
+three and four letters, each occurrence weighted LAMBDA to the power of the stretch it spans, spans up to SPAN letters; those
+of a sentence are the sums over its words.  The kernel of two sentences is the inner product of their features over the square
+roots of their letters, where a subsequence that clean sentences are full of counts little.  Inserted letters and gaps only
+stretch a subsequence, so ``idxiot`` stays close to ``idiot``.  Punctuation inside a word is skipped, look-alike digits and
+signs are read as letters, and runs of spaced-out single letters are joined to a word.
+
+The machine is trained on sentences of labelled texts.  A toxic text's label holds for some of its sentences only, so learning
+is multiple-instance: at first all sentences of toxic texts are positive, then those the machine itself finds toxic and each
+text's most toxic one, while clean texts' worst sentences join the negatives.  Landmarks are sentences of both classes, drawn
+anew each round.  With landmarks l and Nystroem weights g the decision sum_l g_l K(s, l) is linear in the subsequences, so it is
+folded into one weight each: a word has one value, and scoring costs the same for any number of landmarks.  A logistic
+regression turns a text's largest margin, and the number and share of its toxic sentences, into the score.
 
 Defined results: null and empty texts, and texts without a word of three letters, get the score of a wordless text
 (near 0); texts of any length are read whole; one-sided or missing labels give score 0 everywhere; repeated rows score
-alike; other columns pass through.
+alike; rows that share an id are scored each by its own text; other columns pass through.
 """
 
 from __future__ import annotations
 
-import re
 import sys
-import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import held_out, table
-
-#: Bound of the labelled sample: about so many texts of each class (all of them, if fewer).
-SAMPLE = 2_500
-LANDMARKS = 160
+from gridloom.llm.common import held_out, parts_of, table
+
+#: Bounds of the labelled sample: about so many texts of each class (all, if fewer), and the longest text that is drawn.
+SAMPLE, LONGEST_DRAWN = 2_500, 10_000
+#: Bound of the labelled sentences of each class that the machine sees in a round, and landmarks of each class.
+SENTENCES, LANDMARKS = 6_000, 200
+ROUNDS = 2
+#: What a sentence inside of the margin costs, all those of a class together.
+COST = 200_000.0
+#: Words in a sentence; longer ones are cut.
+WORDS = 30
 LAMBDA, SPAN = 0.5, 7
 #: Letters of a word seen at once; longer words are read in overlapping stretches.
 LONGEST = 24
@@ -43,13 +50,13 @@ LONGEST = 24
 FIRST, LAST = 30, 31
 SIZES = (3, 4)
 ALPHABET = 32
-#: Scored words a worker remembers before it starts anew.
-MEMO = 600_000
+#: Share of all clean weight from which on a subsequence counts half.
+COMMON = 2e-6
+#: Margin of a text without a word.
 WORDLESS = -3.0
 
 # Signs commonly written for letters.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 
 _codes: list[np.ndarray] = []
 OFFSETS = [(k, (0, *rest)) for k in SIZES for rest in combinations(range(1, SPAN), k - 1)]
@@ -70,17 +77,8 @@ def codes() -> np.ndarray:
     return _codes[0]
 
 
-def units(text: str | None) -> set[str]:
-    """The distinct words of a text, with spaced-out letters also joined."""
-    low = (text or "").lower()
-    found = set(low.split())
-    for m in SPACED.finditer(low):
-        found.add("".join(m.group().split()))
-    return found
-
-
 def stretches(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, word numbers, letters as rows) of all words' stretches, by length."""
+    """(length, word numbers, letters as rows) of all words' stretches, by length; no word holds a line feed."""
     if not words:
         return
     flat = codes()[np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
@@ -116,53 +114,119 @@ def subsequences(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
             yield size, code, LAMBDA ** (at[-1] + 1)
 
 
-NORMS = np.sqrt([max(1e-9, sum(LAMBDA ** (2 * at[-1] + 2) * max(0, n - at[-1]) for _, at in OFFSETS)) for n in range(LONGEST + 1)])
+def letters_of(words: list[str]) -> np.ndarray:
+    """Letters of each word as the kernel counts them (0 below three)."""
+    out = np.zeros(len(words))
+    for n, number, _ in stretches(words):
+        np.add.at(out, number, n - 2.0)
+    return out
 
 
-def decide(words: list[str], weights: dict[int, np.ndarray], bias: float) -> np.ndarray:
-    """The machine's margin of each word."""
-    out = np.full(len(words), WORDLESS)
-    for n, number, rows in stretches(words):
+def values(words: list[str], weights: dict[int, np.ndarray]) -> np.ndarray:
+    """Each word's part of the decision."""
+    out = np.zeros(len(words))
+    for _, number, rows in stretches(words):
         total = np.zeros(len(rows))
         for size, code, weight in subsequences(rows):
             total += weight * weights[size][code].sum(axis=1)
-        np.maximum.at(out, number, total / NORMS[n] + bias)
+        np.add.at(out, number, total)
     return out
 
 
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel of each word (its closest stretch) with each landmark."""
-    columns: dict[tuple[int, int], int] = {}
-    rows: list[dict[int, float]] = [{} for _ in landmarks]
-    for n, number, letters in stretches(landmarks):
-        for size, code, weight in subsequences(letters):
-            for i, own in zip(number.tolist(), code.tolist()):
-                for c in own:
-                    k = columns.setdefault((size, c), len(columns) + 1)
-                    rows[i][k] = rows[i].get(k, 0.0) + weight / NORMS[n]
-    dense = np.zeros((len(columns) + 1, len(landmarks)), np.float32)
-    for i, row in enumerate(rows):
-        dense[list(row), i] = list(row.values())
-    at = {size: np.zeros(ALPHABET**size, np.int32) for size in SIZES}
-    for (size, c), k in columns.items():
-        at[size][c] = k
+def add_features(words: list[str], times: np.ndarray, out: dict[int, np.ndarray]) -> None:
+    """Adds ``times`` the features of each word to ``out``."""
+    for _, number, rows in stretches(words):
+        for size, code, weight in subsequences(rows):
+            out[size] += np.bincount(code.ravel(), weights=np.repeat(weight * times[number], code.shape[1]), minlength=len(out[size]))
+
+
+class Sentences:
+    """Sentences of texts: distinct words, and for each sentence its text and its words' numbers."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        coded = lists.flatten().dictionary_encode()
+        word, self.words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        counts = pc.list_value_length(lists).to_numpy()
+        text = np.repeat(np.arange(len(counts)), counts)
+        closing = pc.match_substring_regex(coded.dictionary, r"[.!?|…]['\")]*$").to_numpy(zero_copy_only=False)
+        single = (pc.utf8_length(coded.dictionary).to_numpy() == 1)[word] if len(word) else np.zeros(0, bool)
+        start = np.ones(len(word), bool)
+        start[1:] = (text[1:] != text[:-1]) | closing[word[:-1]]
+        at = np.flatnonzero(start)
+        inside = np.arange(len(word)) - np.repeat(at, np.diff(np.append(at, len(word))))
+        start |= inside % WORDS == 0
+        sentence = np.cumsum(start) - 1
+        self.text = text[start]
+        # runs of three and more single letters also make a word, in the sentence they begin in
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (single).astype(np.int8), [0]])))
+        number = {w: i for i, w in enumerate(self.words)} if len(edge) else {}
+        more_w, more_s = [], []
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            while a < b:
+                end = min(b, int(np.searchsorted(text, text[a], side="right")))
+                if end - a >= 3:
+                    joined = "".join(self.words[w] for w in word[a:end].tolist())
+                    if joined not in number:
+                        number[joined] = len(self.words)
+                        self.words.append(joined)
+                    more_w.append(number[joined])
+                    more_s.append(sentence[a])
+                a = end
+        self.word, self.sentence = np.concatenate([word, np.array(more_w, np.int64)]), np.concatenate([sentence, np.array(more_s, np.int64)])
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def sums(self, of_words: np.ndarray) -> np.ndarray:
+        return np.bincount(self.sentence, weights=of_words[self.word], minlength=len(self))
+
+    def scaled(self, of_words: np.ndarray) -> np.ndarray:
+        """Sums over each sentence, divided by the square root of its letters."""
+        return self.sums(of_words) / np.sqrt(np.maximum(1.0, self.sums(letters_of(self.words))))
+
+    def chosen(self, sentences: np.ndarray) -> list[list[int]]:
+        """The word numbers of some sentences."""
+        order = np.argsort(self.sentence, kind="stable")
+        at = np.searchsorted(self.sentence[order], np.append(np.arange(len(self)), len(self)))
+        return [self.word[order[at[i] : at[i + 1]]].tolist() for i in sentences]
+
+
+def kernel(words: list[str], landmarks: list[list[str]], common: dict[int, np.ndarray]) -> np.ndarray:
+    """Inner product of each word with each landmark (a list of words), weighted by ``common``; not yet scaled by letters."""
+    flat = [w for own in landmarks for w in own]
+    owner = np.repeat(np.arange(len(landmarks)), [len(own) for own in landmarks])
+    keys, owners, amounts = [], [], []
+    for _, number, rows in stretches(flat):
+        for size, code, weight in subsequences(rows):
+            keys.append(code.ravel().astype(np.int64) + (ALPHABET**4 if size == 3 else 0))
+            owners.append(np.repeat(owner[number], code.shape[1]))
+            amounts.append(weight * common[size][code].ravel())
+    if not keys:
+        return np.zeros((len(words), len(landmarks)))
+    key, column = np.unique(np.concatenate(keys), return_inverse=True)
+    dense = np.zeros((len(key) + 1, len(landmarks)), np.float32)
+    np.add.at(dense, (column, np.concatenate(owners)), np.concatenate(amounts))
+    at = np.full(ALPHABET**4 + ALPHABET**3, len(key), np.int32)
+    at[key] = np.arange(len(key))
     out = np.zeros((len(words), len(landmarks)))
-    for n, number, letters in stretches(words):
-        for a in range(0, len(letters), 2_000):
-            part = letters[a : a + 2_000]
+    for _, number, rows in stretches(words):
+        for a in range(0, len(rows), 2_000):
+            part = rows[a : a + 2_000]
             total = np.zeros((len(part), len(landmarks)), np.float32)
             for size, code, weight in subsequences(part):
-                hit = at[size][code]
-                i, j = np.nonzero(hit)
-                np.add.at(total, i, weight * dense[hit[i, j]])
-            np.maximum.at(out, number[a : a + 2_000], total / NORMS[n])
+                hit = at[code + (ALPHABET**4 if size == 3 else 0)]
+                for c in range(hit.shape[1]):
+                    some = np.flatnonzero(hit[:, c] < len(key))
+                    total[some] += weight * dense[hit[some, c]]
+            np.add.at(out, number[a : a + 2_000], total)
     return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 2_000.0) -> tuple[np.ndarray, float]:
+def machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Linear support vector machine, squared hinge loss, both classes of equal weight; Newton steps on the primal."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    c = cost * weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
+    c = COST / np.where(y > 0, (y > 0).sum(), (y < 0).sum())
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     for _ in range(30):
@@ -178,81 +242,74 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 2_00
 class Model:
     """Weights of subsequences, bias, and the logistic regression over what a text's margins show."""
 
-    def __init__(self, texts: list[set[str]], toxic: list[int]) -> None:
+    def __init__(self, texts: list[str], toxic: list[int], seed: int = 11) -> None:
         self.weights = {size: np.zeros(ALPHABET**size, np.float32) for size in SIZES}
         self.bias, self.curve = 0.0, np.array([0.0, 0.0, 0.0, -50.0])
-        self.memo: dict[str, float] = {}
-        merged: dict[tuple[int, int], set[str]] = {}
-        for i, (own, t) in enumerate(zip(texts, toxic)):
-            if i % 3 and own:  # the rest sets the curve; texts with the same smallest hash are taken for copies and count once
-                merged.setdefault((min(zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in own), t), set()).update(own)
-        first = [(own, t) for (_, t), own in merged.items()]
-        n_toxic, n_clean = sum(t for _, t in first), sum(1 - t for _, t in first)
-        if n_toxic and n_clean:
-            self._learn(first, n_toxic, n_clean)
-            self._curve(texts, toxic)
-
-    def _learn(self, texts: list[tuple[set[str], int]], n_toxic: int, n_clean: int) -> None:
-        counts: dict[str, list[int]] = {}
-        for own, t in texts:
-            for u in own:
-                counts.setdefault(u, [0, 0])[t] += 1
-        rate = lambda u: (counts[u][1] + 0.5) / (n_toxic + 1) / ((counts[u][0] + 0.5) / (n_clean + 1))
-        telling = sorted((u for u, (_, t) in counts.items() if t >= 2 and rate(u) > 4), key=lambda u: (-counts[u][1] * np.log(rate(u)), u))
-        common = sorted((u for u, (c, _) in counts.items() if c), key=lambda u: (-counts[u][0], u))
-        landmarks = telling[: LANDMARKS * 3 // 4] + common[: LANDMARKS // 4]
-        clean = sorted(u for u, (c, _) in counts.items() if c)
-        clean = clean[:: max(1, len(clean) // 8_000)] + common[:1_000]
-        values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
-        kept = values > 1e-4 * values[-1]
-        project = vectors[:, kept] / np.sqrt(values[kept])
-        clean_texts = [own for own, t in texts if not t]
-        sure = [u for u in telling[:2_000] if rate(u) > 8 and counts[u][1] >= 4]
-        picks, hard = telling[:2_000] or landmarks[:1], []
-        for _ in range(3):
-            words = [*picks, *clean, *hard]
-            x = kernel(words, landmarks) @ project
-            y = np.concatenate([np.ones(len(picks)), -np.ones(len(words) - len(picks))])
-            weight = np.array([counts.get(u, [0, 0])[int(k > 0)] or 1 for u, k in zip(words, y)], float)
-            w, self.bias = machine(x, y, np.minimum(weight, 50.0))
-            self._fold(landmarks, project @ w)
-            self.memo.clear()
-            self._know(set().union(*(own for own, _ in texts)))
-            # of the likely words those stay that the machine finds telling in some toxic text
-            picks = sorted({u for u in telling[:2_000] if self.memo[u] > 0.3 and not counts[u][0]} | set(sure)) or picks
-            hard = sorted(set(hard) | {max(own, key=lambda u: (self.memo[u], u)) for own in clean_texts if self._know(own)})
-
-    def _fold(self, landmarks: list[str], g: np.ndarray) -> None:
-        for size in SIZES:
-            self.weights[size][:] = 0
-        for n, number, letters in stretches(landmarks):
-            for size, code, weight in subsequences(letters):
-                np.add.at(self.weights[size], code, (weight / NORMS[n] * g[number])[:, None].astype(np.float32))
-
-    def _know(self, own: set[str]) -> bool:
-        """Margins of all words put in the memo; False if there are none."""
-        new = [u for u in own if u not in self.memo]
-        if new:
-            self.memo.update(zip(new, decide(new, self.weights, self.bias).tolist()))
-        return bool(own)
-
-    def show(self, texts: list[set[str]]) -> np.ndarray:
-        """Per text: largest margin, logarithm of telling words, logarithm of their share, and 1."""
-        memo = self.memo
-        new = list({u for own in texts for u in own if u not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({u for own in texts for u in own})
-        memo.update(zip(new, decide(new, self.weights, self.bias).tolist()))
+        y = np.array(toxic, int)
+        learnt = np.arange(len(y)) % 3 != 0  # the rest sets the curve
+        if 0 < y[learnt].sum() < learnt.sum():
+            self._learn(Sentences(pa.array([t for t, k in zip(texts, learnt) if k], pa.string())), y[learnt], np.random.default_rng(seed))
+            self._curve(self.show(pa.array([t for t, k in zip(texts, learnt) if not k], pa.string())), y[~learnt])
+
+    def _learn(self, own: Sentences, toxic: np.ndarray, rng: np.random.Generator) -> None:
+        bad, letters = toxic[own.text] > 0, letters_of(own.words)
+        size = np.sqrt(np.maximum(1.0, own.sums(letters)))
+        clean = {k: np.zeros(ALPHABET**k) for k in SIZES}
+        add_features(own.words, np.bincount(own.word, weights=~bad[own.sentence], minlength=len(own.words)), clean)
+        total = sum(v.sum() for v in clean.values()) or 1.0
+        common = {k: (1 / (1 + v / (COMMON * total))).astype(np.float32) for k, v in clean.items()}
+        draw = lambda at, n: rng.permutation(at)[:n]
+        worst_of = lambda m: (o := np.lexsort((-m, own.text)))[np.concatenate([[True], own.text[o][1:] != own.text[o][:-1]])]
+        # before there is a machine: the difference of the classes' mean features
+        mean = {k: np.zeros(ALPHABET**k) for k in SIZES}
+        part = np.where(bad, 1 / max(1, bad.sum()), -1 / max(1, (~bad).sum())) / size
+        add_features(own.words, np.bincount(own.word, weights=part[own.sentence], minlength=len(own.words)), mean)
+        worst = worst_of(own.sums(values(own.words, {k: (v * common[k]).astype(np.float32) for k, v in mean.items()})) / size)
+        positive, negative, hard = worst[bad[worst]], np.flatnonzero(~bad), worst[~bad[worst]]
+        for _ in range(ROUNDS):
+            pos, neg = draw(positive, SENTENCES), np.unique(np.concatenate([draw(negative, SENTENCES), hard]))
+            landmark = np.concatenate([draw(pos, LANDMARKS), draw(neg, LANDMARKS)])
+            marks = [[own.words[w] for w in s] for s in own.chosen(landmark)]
+            used = np.concatenate([landmark, pos, neg])
+            rows = own.chosen(used)
+            word, at = np.unique([w for r in rows for w in r], return_inverse=True)
+            k = kernel([own.words[w] for w in word], marks, common) / size[landmark]
+            x = np.zeros((len(used), len(landmark)))
+            np.add.at(x, np.repeat(np.arange(len(used)), [len(r) for r in rows]), k[at])
+            x /= size[used][:, None]
+            among, x = x[: len(landmark)], x[len(landmark) :]
+            found, vectors = np.linalg.eigh((among + among.T) / 2)
+            kept = found > 1e-4 * found[-1]
+            project = vectors[:, kept] / np.sqrt(found[kept])
+            w, self.bias = machine(x @ project, np.concatenate([np.ones(len(pos)), -np.ones(len(neg))]))
+            self._fold(marks, project @ w / size[landmark], common)
+            margin = own.sums(values(own.words, self.weights)) / size + self.bias
+            worst = worst_of(margin)
+            positive = np.flatnonzero(bad & ((margin > 0) | np.isin(np.arange(len(own)), worst)))
+            hard = np.union1d(hard, worst[~bad[worst]])
+
+    def _fold(self, marks: list[list[str]], g: np.ndarray, common: dict[int, np.ndarray]) -> None:
+        flat = [w for own in marks for w in own]
+        out = {k: np.zeros(ALPHABET**k) for k in SIZES}
+        add_features(flat, np.repeat(g, [len(own) for own in marks]), out)
+        self.weights = {k: (v * common[k]).astype(np.float32) for k, v in out.items()}
+
+    def margins(self, own: Sentences) -> np.ndarray:
+        """The machine's margin of each sentence."""
+        return own.scaled(values(own.words, self.weights)) + self.bias
+
+    def show(self, texts: pa.Array) -> np.ndarray:
+        """Per text: largest margin, logarithm of its toxic sentences, logarithm of their share, and 1."""
+        own = Sentences(texts)
+        m = self.margins(own)
         out = np.ones((len(texts), 4))
-        for row, own in zip(out, texts):
-            m = np.array([memo[u] for u in own] or [WORDLESS])
-            hits = (1 / (1 + np.exp(-6 * np.clip(m, -4, 4)))).sum()
-            row[:3] = m.max(), np.log(hits + 0.05), np.log((hits + 0.05) / (len(m) + 10))
+        most = np.full(len(texts), WORDLESS)
+        np.maximum.at(most, own.text, m)
+        hits = np.bincount(own.text, weights=1 / (1 + np.exp(-6 * np.clip(m, -4, 4))), minlength=len(texts))
+        out[:, 0], out[:, 1], out[:, 2] = most, np.log(hits + 0.05), np.log((hits + 0.05) / (np.bincount(own.text, minlength=len(texts)) + 2))
         return out
 
-    def _curve(self, texts: list[set[str]], toxic: list[int]) -> None:
-        x, y = self.show(texts[::3]), np.array(toxic[::3], float)
+    def _curve(self, x: np.ndarray, y: np.ndarray) -> None:
         if not 0 < y.sum() < len(y):
             self.curve = np.array([4.0, 0.0, 0.0, 0.0])
             return
@@ -271,8 +328,8 @@ class Model:
         w[3] -= w[:3] @ mean[:3]
         self.curve = w
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.show([units(t) for t in texts]) @ self.curve, -50, 50)))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.show(texts) @ self.curve, -50, 50)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -285,28 +342,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     drawn = F.broadcast(marked.where(draw < share))  # bounded: about twice the sample
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(["\n".join(sorted(units(t))) for t in b.column("text").to_pylist()], pa.string())], ["doc_id", "toxic", "units"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(drawn, "doc_id").select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, units string").collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["units"]))
-    return Model([set(r["units"].split("\n")) - {""} for r in rows], [r["toxic"] for r in rows])
+    short = docs.where(F.length("text") <= LONGEST_DRAWN).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    one = short.join(drawn, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))  # an id may be there often
+    rows = one.collect()  # bounded: rows and length
+    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["text"]))
+    return Model([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "toxic_score") -> DataFrame:
     """``docs`` with the score of each text."""
     if out in docs.columns:
         raise ValueError(f"{out} is already a column")
-    model.memo.clear()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two fixed tables of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                own = shared.value
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.scores(part.column(text).to_pylist()), pa.float64())], [*part.schema.names, out])
+            for part in parts_of(batch, text, 1 << 22):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(text)), pa.float64())], [*part.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
