@@ -50,7 +50,9 @@ def ragged(flat: np.ndarray, ends: np.ndarray, take: np.ndarray) -> tuple[np.nda
     starts = np.concatenate([[0], ends[:-1]])
     sizes = (ends - starts)[take]
     out = np.cumsum(sizes)
-    return flat[np.repeat(starts[take] - out + sizes, sizes) + np.arange(out[-1] if len(out) else 0)], out
+    at = np.repeat((starts[take] - out + sizes).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], out
 
 
 def kinds() -> np.ndarray:
@@ -215,7 +217,7 @@ def bpe_encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for part in parts_of(batch, text, 1 << 24):
+            for part in parts_of(batch, text):
                 flat, ends = own.encode(part.column(text))
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out])
@@ -231,7 +233,7 @@ def bpe_decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for part in parts_of(batch, ids, 1 << 24):
+            for part in parts_of(batch, ids, 1 << 22):
                 col = part.column(ids)
                 texts = own.decode(col.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy()))
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, out])
