@@ -3,13 +3,15 @@
 A window is ``WINDOW`` consecutive words.  Every word that lies in a window whose word sequence also starts earlier
 (smaller id, or same text and earlier start) is removed; windows are judged on the input.
 
-1. Each window has one phrase, the ``PHRASE`` consecutive words of smallest hash in it.  Equal windows have equal phrases,
-   so only phrases that recur can belong to recurring windows.  Phrases are counted over all texts.
-2. Texts are dealt to shards by id; the shard count follows the corpus size.  A shard gets the recurring phrases that
-   occur in it, compiles them into one Aho-Corasick automaton over spelled word hashes, and streams its texts through the
-   automaton to locate every occurrence.  Windows whose phrase was located are candidates.
+1. Words are spelled by one letter each (8 bits of their hash).  Each window has one phrase, the spelling of ``PHRASE``
+   consecutive words, of smallest mixed value in it.  Equal windows have equal phrases, so only phrases that recur can belong to
+   recurring windows.  Phrases are counted over all texts; a spelling is a number of 64 bits, so it is what is shuffled.
+2. Texts are dealt to shards by id; the shard count follows the corpus size.  A shard gets the spellings of the recurring
+   phrases met in it, compiles them into one Aho-Corasick automaton without a look at its texts, and streams these, spelled,
+   through the automaton, which locates every occurrence.  Windows whose phrase was located are candidates.
 3. Candidates are judged first inside the shard (so a passage that very many texts share leaves one row a shard), then
-   over all shards by the smallest id per window hash.
+   over all shards by the smallest id per window.  Windows are compared by 96 bits of hash over their whole words: among 10**13
+   windows one pair would be taken for equal by mistake with a probability below 0.001.
 4. The removed windows of each text, gathered by text, are cut out.
 
 Defined results: null text has no words; texts below ``WINDOW`` words keep everything; rows with a null id are neither
@@ -29,19 +31,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import table
-from gridloom.llm.words import long_rolling, rolling, texts_words
+from gridloom.llm.words import long_rolling, mix, texts_words
 
 WINDOW, PHRASE = 20, 8
 #: Characters of text in a shard, about.
 SHARD_CHARS = 8_000_000
 
 
-def phrase_starts(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase hashes by position, position of each window's phrase): leftmost smallest hash in each window."""
-    grams = rolling(hashes, phrase)
-    if len(hashes) < window:
-        return grams, np.empty(0, np.int64)
-    inside = np.lib.stride_tricks.sliding_window_view(grams, window - phrase + 1)
+def spelled_out(hashes: np.ndarray) -> np.ndarray:
+    """One letter (1 to 255) for each word; words that share one only make more candidates."""
+    return ((hashes >> np.uint64(24)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+
+
+def phrase_starts(letters: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """(spelling of the phrase at each position as a number, position of each window's phrase): leftmost smallest in each window."""
+    if len(letters) < window:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    grams = np.zeros(len(letters) - phrase + 1, np.uint64)
+    for i in range(phrase):
+        grams = (grams << np.uint64(8)) | letters[i : i + len(grams)]
+    inside = np.lib.stride_tricks.sliding_window_view(mix(grams), window - phrase + 1)
     return grams, inside.argmin(axis=1) + np.arange(len(inside))
 
 
@@ -57,7 +66,7 @@ def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             found, shards = [], []
             of = batch.column("shard").to_numpy()
             for i, hashes in texts_words(encoded(batch.column("text").to_pylist())):
-                grams, at = phrase_starts(hashes, window, phrase)
+                grams, at = phrase_starts(spelled_out(hashes), window, phrase)
                 if len(at):
                     found.append(grams[at[np.concatenate([[True], at[1:] != at[:-1]])]])
                     shards.append(np.full(len(found[-1]), of[i], np.uint64))
@@ -85,82 +94,66 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-#: Letters that spell a word for the automaton (7 bits of its hash each): few children a node keep its steps short.
-LETTERS = 3
-
-
-def spelled_out(hashes: np.ndarray) -> str:
-    """The text as the automaton reads it; equal spellings of different words only make one more candidate."""
-    parts = (hashes[:, None] >> np.arange(64 - 7, 64 - 7 * (LETTERS + 1), -7, dtype=np.uint64)) & np.uint64(127)
-    return (parts + np.uint64(33)).astype(np.uint8).tobytes().decode("latin-1")
-
-
-def automaton(texts: list[str], grams: list[np.ndarray], wanted: np.ndarray, phrase: int):
-    """Automaton of the wanted phrases, spelled from the texts that hold them; None if there are none."""
-    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    known: set[int] = set()
-    wanted = np.sort(wanted)
-    for text, own in zip(texts, grams):
-        at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-        for i in np.flatnonzero(wanted[at] == own).tolist():
-            key = int(own[i])
-            if key not in known:
-                known.add(key)
-                out.add_word(text[LETTERS * i : LETTERS * (i + phrase)], len(known))
-    if not known:
-        return None
+def automaton(phrases: np.ndarray, phrase: int):
+    """Automaton of phrases given as numbers."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    spelled = phrases.astype(">u8").tobytes().decode("latin-1")
+    for i in range(0, len(spelled), 8):
+        out.add_word(spelled[i + 8 - phrase : i + 8])
     out.make_automaton()
     return out
 
 
+FOUND = "window long, doc_id long, print long, place long"
+#: A place is the first word << 33, a bit that says whether the row stands for removed windows, and 32 bits: how many of them, or more of the window's hash.
+GONE, LOW = 1 << 32, (1 << 32) - 1
+
+
 def judged(window: int, phrase: int):
     """The shard's work: locate phrases, judge candidate windows inside the shard."""
 
     def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        none = {f.split(" ")[0]: np.empty(0, np.int64) for f in FOUND.split(", ")}
+        if not texts.num_rows or not wanted.num_rows:
+            return pa.table(none)
         loosen = zstandard.ZstdDecompressor()
         ids, prints = texts.column("doc_id").to_numpy(), texts.column("print").to_numpy()
-        phrase_keys = wanted.column("phrase").to_numpy().view(np.uint64)
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((prints, ids))
         ids, prints = ids[order], prints[order]
+        twins = np.unique(ids[1:][(ids[1:] == ids[:-1]) & (prints[1:] != prints[:-1])])  # ids of several texts
+        prints = np.where(np.isin(ids, twins), prints, 0)
+        machine = automaton(wanted.column("phrase").to_numpy(), phrase)
         raw = texts.column("text")
-        hashes = [h for _, h in texts_words([loosen.decompress(raw[int(i)].as_py()) for i in order])] if len(phrase_keys) else []
-        places = [phrase_starts(h, window, phrase) for h in hashes]
-        spellings = [spelled_out(h) for h in hashes]
-        machine = automaton(spellings, [g for g, _ in places], phrase_keys, phrase) if hashes else None
-        keys, owners, starts = [], [], []
-        for i, (words, (grams, at)) in enumerate(zip(hashes, places)):
-            if machine is None or not len(at):
+        keys, more, owners, starts = [], [], [], []
+        for i, words in texts_words([loosen.decompress(raw[int(k)].as_py()) for k in order]):
+            letters = spelled_out(words)
+            grams, at = phrase_starts(letters, window, phrase)
+            if not len(at):
                 continue
             located = np.zeros(len(grams), bool)
-            ends = np.fromiter((e for e, _ in machine.iter(spellings[i])), np.int64)
-            ends = ends[ends % LETTERS == LETTERS - 1] // LETTERS  # matches that start inside a word are none
-            located[ends - phrase + 1] = True
+            located[np.fromiter((e for e, _ in machine.iter(letters.tobytes().decode("latin-1"))), np.int64) - phrase + 1] = True
             own = np.flatnonzero(located[at])
             if len(own):
                 keys.append(long_rolling(words, window)[own])
+                more.append(long_rolling(words ^ np.uint64(0x5BD1E995), window)[own] & np.uint64(LOW))
                 owners.append(np.full(len(own), i))
                 starts.append(own)
         if not keys:
-            return pa.table({"window": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "print": pa.array([], pa.int64()), "start": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "gone": pa.array([], pa.bool_())})
-        key, owner, start = np.concatenate(keys), np.concatenate(owners), np.concatenate(starts)
-        _, first, to = np.unique(key, return_index=True, return_inverse=True)
-        first = first[to]
+            return pa.table(none)
+        key, extra, owner, start = np.concatenate(keys), np.concatenate(more), np.concatenate(owners), np.concatenate(starts)
+        # the first of equal windows: rows come by id and start
+        by = np.lexsort((np.arange(len(key)), extra, key))
+        new = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (extra[by][1:] != extra[by][:-1])])
+        first = np.empty(len(key), np.int64)
+        first[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
         gone = (ids[owner] != ids[owner[first]]) | (start != start[first])
         # removed windows that follow each other become one row, under a key of their own
         g_owner, g_start = owner[gone], start[gone]
         head = np.flatnonzero(np.concatenate([[True], (g_owner[1:] != g_owner[:-1]) | (g_start[1:] != g_start[:-1] + 1)])) if len(g_owner) else np.empty(0, np.int64)
         size = np.diff(np.append(head, len(g_owner)))
         o = np.concatenate([owner[~gone], g_owner[head]])
-        return pa.table(
-            {
-                "window": np.concatenate([key[~gone], key[gone][head] ^ np.uint64(0x5555555555555555) ^ g_owner[head].astype(np.uint64)]).view(np.int64),
-                "doc_id": ids[o],
-                "print": prints[o],
-                "start": np.concatenate([start[~gone], g_start[head]]).astype(np.int32),
-                "n": np.concatenate([np.ones((~gone).sum()), size]).astype(np.int32),
-                "gone": np.concatenate([np.zeros((~gone).sum(), bool), np.ones(len(head), bool)]),
-            }
-        )
+        place = np.concatenate([(start[~gone] << 33) | extra[~gone].astype(np.int64), (g_start[head] << 33) | GONE | size])
+        return pa.table({"window": np.concatenate([key[~gone], key[gone][head]]).view(np.int64), "doc_id": ids[o], "print": prints[o], "place": place})
 
     return run
 
@@ -168,8 +161,10 @@ def judged(window: int, phrase: int):
 def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(doc_id, print, start, n): windows ``start`` to ``start + n - 1`` of the text are removed.
 
-    ``docs`` has doc_id, text and print (a hash of the text).
+    ``docs`` has doc_id, text and print (a hash of the text); the result's print is 0 where an id has one text only.
     """
+    if not 0 < phrase <= min(8, window):
+        raise ValueError("a phrase has 1 to 8 words and fits into a window")
     usable = docs.where("doc_id is not null and text is not null")
     chars = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
@@ -177,13 +172,11 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
     counted = phrases(dealt, window, phrase)
     recurring = counted.withColumn("all", F.sum("n").over(Window.partitionBy("phrase"))).where("all > 1").select("phrase", "shard").distinct()
     texts = packed(dealt.select("shard", "doc_id", "print", "text"))
-    found = (
-        texts.groupBy("shard")
-        .cogroup(recurring.groupBy("shard"))
-        .applyInArrow(judged(window, phrase), "window long, doc_id long, print long, start int, n int, gone boolean")
-    )
-    earliest = F.min(F.when(~F.col("gone"), F.col("doc_id"))).over(Window.partitionBy("window"))
-    return found.withColumn("earliest", earliest).where("gone or doc_id > earliest").select("doc_id", "print", "start", "n")
+    found = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(judged(window, phrase), FOUND)
+    gone = F.col("place").bitwiseAND(GONE) != 0
+    equal = Window.partitionBy("window", F.col("place").bitwiseAND(GONE | LOW))
+    lost = found.withColumn("earliest", F.min("doc_id").over(equal)).where(gone | (F.col("doc_id") > F.col("earliest")))
+    return lost.select("doc_id", "print", F.shiftright("place", 33).cast("int").alias("start"), F.when(gone, F.col("place").bitwiseAND(LOW)).otherwise(1).cast("int").alias("n"))
 
 
 def cut_passages(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -192,9 +185,14 @@ def cut_passages(docs: DataFrame, keep: list[str] | None = None, window: int = W
     A text that loses words becomes its kept words joined by one space; others stay as they are.
     """
     keep = list(keep or [])
+    taken = {"doc_id", "text", "print", "cuts", "n_words", "n_removed"} & set(keep)
+    if taken:
+        raise ValueError(f"reserved column names: {sorted(taken)}")
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("print"), *keep)
-    cuts = repeated_passages(base, window, phrase, shard_chars).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
-    joined = packed(base).join(cuts, ["doc_id", "print"], "left").select("doc_id", "text", *keep, "cuts")
+    cuts = repeated_passages(base, window, phrase, shard_chars).groupBy("doc_id", "print").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("cuts"))
+    own, cuts = packed(base).alias("own"), cuts.alias("cut")
+    here = (F.col("own.doc_id") == F.col("cut.doc_id")) & F.col("cut.print").isin(0, F.col("own.print"))
+    joined = own.join(cuts, here, "left").select("own.doc_id", "own.text", *(f"own.`{c}`" for c in keep), "cut.cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
@@ -208,8 +206,7 @@ def cut_passages(docs: DataFrame, keep: list[str] | None = None, window: int = W
                     n = len(spans)
                     step = np.zeros(n + 1, np.int64)
                     if own.is_valid and n >= window:
-                        start = own.values.field("start").to_numpy().astype(np.int64)
-                        size = own.values.field("n").to_numpy().astype(np.int64)
+                        start, size = own.values.to_numpy() >> 32, own.values.to_numpy() & LOW
                         np.add.at(step, start, 1)
                         np.add.at(step, start + size - 1 + window, -1)
                     gone = np.cumsum(step[:-1]) > 0
