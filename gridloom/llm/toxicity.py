@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from gridloom.llm.common import held_out, parts_of, table
 
 #: Bounds of the labelled sample: about so many texts of each class (all, if fewer), and the longest text that is drawn.
-SAMPLE, LONGEST_DRAWN = 2_500, 10_000
+SAMPLE, LONGEST_DRAWN = 2_500, 6_000
 #: Bound of the labelled sentences of each class that the machine sees in a round, and landmarks of each class.
 SENTENCES, LANDMARKS = 6_000, 200
 ROUNDS = 2
@@ -192,24 +192,28 @@ class Sentences:
         return [self.word[order[at[i] : at[i + 1]]].tolist() for i in sentences]
 
 
-def kernel(words: list[str], landmarks: list[list[str]], common: dict[int, np.ndarray]) -> np.ndarray:
+def kernel(words: list[str], landmarks: list[list[str]], common: dict[int, np.ndarray], block: int = 40) -> np.ndarray:
     """Inner product of each word with each landmark (a list of words), weighted by ``common``; not yet scaled by letters."""
+    return np.hstack([_kernel(words, landmarks[a : a + block], common) for a in range(0, len(landmarks), block)])
+
+
+def _kernel(words: list[str], landmarks: list[list[str]], common: dict[int, np.ndarray]) -> np.ndarray:
     flat = [w for own in landmarks for w in own]
     owner = np.repeat(np.arange(len(landmarks)), [len(own) for own in landmarks])
     keys, owners, amounts = [], [], []
     for _, number, rows in stretches(flat):
         for size, code, weight in subsequences(rows):
-            keys.append(code.ravel().astype(np.int64) + (ALPHABET**4 if size == 3 else 0))
+            keys.append(code.ravel() + (ALPHABET**4 if size == 3 else 0))
             owners.append(np.repeat(owner[number], code.shape[1]))
             amounts.append(weight * common[size][code].ravel())
+    out = np.zeros((len(words), len(landmarks)), np.float32)
     if not keys:
-        return np.zeros((len(words), len(landmarks)))
+        return out
     key, column = np.unique(np.concatenate(keys), return_inverse=True)
     dense = np.zeros((len(key) + 1, len(landmarks)), np.float32)
     np.add.at(dense, (column, np.concatenate(owners)), np.concatenate(amounts))
     at = np.full(ALPHABET**4 + ALPHABET**3, len(key), np.int32)
     at[key] = np.arange(len(key))
-    out = np.zeros((len(words), len(landmarks)))
     for _, number, rows in stretches(words):
         for a in range(0, len(rows), 2_000):
             part = rows[a : a + 2_000]
@@ -274,8 +278,10 @@ class Model:
             rows = own.chosen(used)
             word, at = np.unique([w for r in rows for w in r], return_inverse=True)
             k = kernel([own.words[w] for w in word], marks, common) / size[landmark]
-            x = np.zeros((len(used), len(landmark)))
-            np.add.at(x, np.repeat(np.arange(len(used)), [len(r) for r in rows]), k[at])
+            x, ends = np.zeros((len(used), len(landmark))), np.cumsum([0, *(len(r) for r in rows)])
+            for a in range(0, len(used), 500):
+                b = min(a + 500, len(used))
+                np.add.at(x, np.repeat(np.arange(a, b), np.diff(ends[a : b + 1])), k[at[ends[a] : ends[b]]])
             x /= size[used][:, None]
             among, x = x[: len(landmark)], x[len(landmark) :]
             found, vectors = np.linalg.eigh((among + among.T) / 2)
