@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut through the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gridloom-checkpoint")
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read again from the checkpoint folder; where none is set, from one in the warehouse, which a cluster shares too."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/gridloom-checkpoint")
     return df.checkpoint()
 
 
@@ -22,15 +20,15 @@ def components(links: DataFrame) -> DataFrame:
     Each round every node takes the smallest label around it, then its label's label; rounds grow with the logarithm of
     the longest path, for labels jump.
     """
-    both = _cut(links.where("a <> b").select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    both = cut(links.where("a <> b").select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         own = labels.join(around, "node").select("node", "label", F.least("label", "m").alias("low"))
         # hang the old label's node below the new one as well, then jump
         hung = own.select(F.col("label").alias("node"), "low").unionByName(own.select("node", "low")).groupBy("node").agg(F.min("low").alias("low"))
         jump = hung.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        new = _cut(hung.join(jump, "low").select("node", F.col("next").alias("label")))
+        new = cut(hung.join(jump, "low").select("node", F.col("next").alias("label")))
         if new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
             return new.select("node", F.col("label").alias("component"))
         labels = new

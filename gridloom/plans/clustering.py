@@ -6,7 +6,7 @@ from pyspark.ml.feature import PCA
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.exprs import entropy, ordinal, r6, ratio, softmax
+from gridloom.functions.exprs import entropy, ordinal, r6, ratio, reference_share, softmax
 from gridloom.operators import metrics, models
 from gridloom.registry import query
 from gridloom.sources.tables import items, table, vectors
@@ -79,19 +79,11 @@ def percentile_rank_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal(e, [F.col("value"), F.col("event_id")]).crossJoin(F.broadcast(n)).select("event_id", r6(ratio(F.col("ordinal") - 1, F.greatest(F.col("n") - 1, F.lit(1)))).alias("rank"))  # one row
 
 
-@query("ecdf_reference", "WITH ref AS (SELECT value FROM events WHERE event_id % 10 = 0) SELECT event_id, round((SELECT count(*) FROM ref r WHERE r.value <= e.value)::DOUBLE / (SELECT count(*) FROM ref), 6) AS share FROM events e WHERE event_type = 'error'")
+@query("ecdf_reference", "SELECT event_id, round(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE / (SELECT count(*) FROM events WHERE event_type = 'click'), 6) AS share FROM events")
 def ecdf_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a reference sample at or below each value: both sides in one order, a running count per distinct value."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("value").alias("v"))
-    ref = e.where("event_id % 10 = 0").groupBy("v").agg(F.count("*").alias("n"))
-    asked = e.where("event_type = 'error'").select("v").distinct().withColumn("n", F.lit(0).cast("long"))
-    steps = ref.unionByName(asked).groupBy("v").agg(F.sum("n").alias("n"))
-    parts = steps.repartitionByRange(32, "v").withColumn("_p", F.spark_partition_id())
-    before = parts.groupBy("_p").agg(F.sum("n").alias("_s"))  # one row a partition
-    before = before.withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    upto = parts.withColumn("c", F.sum("n").over(Window.partitionBy("_p").orderBy("v"))).join(F.broadcast(before), "_p").select("v", (F.col("c") + F.col("_b")).alias("c"))
-    total = F.broadcast(ref.agg(F.sum("n").alias("all")))
-    return e.where("event_type = 'error'").join(upto, "v").crossJoin(total).select("event_id", r6(ratio("c", "all")).alias("share"))
+    """Share of the values of one kind of event at or below each event's value."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return reference_share(e, e.where("event_type = 'click'"), "value", "share").select("event_id", r6("share").alias("share"))
 
 
 @query("anomaly_rank_centroid", f"WITH {DIST} SELECT id, round((row_number() OVER (ORDER BY round(d1, 9), id) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1), 6) AS centroid_percentile FROM near")
@@ -343,23 +335,11 @@ def consensus_4_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n", v4).select("id", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("consensus"), (F.array_max("n") / 4.0).alias("agreement"))
 
 
-def reference_share(df: DataFrame, ref: DataFrame, c: str, out: str) -> DataFrame:
-    """``df`` with the share of ``ref``'s values of ``c`` at or below its own: a running count per distinct value."""
-    own = ref.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
-    steps = own.unionByName(df.select(F.col(c).alias("_v")).distinct().withColumn("_n", F.lit(0).cast("long"))).groupBy("_v").agg(F.sum("_n").alias("_n"))
-    parts = steps.repartitionByRange(32, "_v").withColumn("_p", F.spark_partition_id())
-    before = parts.groupBy("_p").agg(F.sum("_n").alias("_s"))  # one row a partition
-    before = before.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    upto = parts.withColumn("_c", F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))).join(F.broadcast(before), "_p").select("_v", (F.col("_c") + F.col("_b")).alias("_c"))
-    total = F.broadcast(ref.agg(F.count("*").alias("_all")))  # one row
-    return df.join(upto, F.col(c) == F.col("_v")).crossJoin(total).withColumn(out, ratio("_c", "_all")).drop("_v", "_c", "_all")
-
-
 @query("full_map_scores")
 def full_map_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid cells scored on all 17 features: cluster, confidence, and the mean share of a sample's centre distances and isolation values at or below each cell's."""
     from gridloom.functions.exprs import id_hash
-    from gridloom.functions.graphs import _cut
+    from gridloom.functions.graphs import cut
     from gridloom.operators.focal import derived
     from gridloom.operators.samples import exact_sample
     from gridloom.sources.files import Config
@@ -370,16 +350,16 @@ def full_map_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = derived(g, config.local_radius, 2025.0, 2025.0)
     names = [*BANDS, *[c for c in local.columns if c not in g.columns]]
     known = local.where(" AND ".join(f"{b} IS NOT NULL" for b in BANDS))
-    cells = _cut(known.select((F.col("row").cast("long") * 30 + F.col("col")).alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("x")))
+    cells = cut(known.select((F.col("row").cast("long") * 30 + F.col("col")).alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("x")))
     sample = lambda df, n: exact_sample(df, id_hash("id"), n)
-    v = _cut(models.standardised(cells, len(names), sample(cells, config.sample_size)))
+    v = cut(models.standardised(cells, len(names), sample(cells, config.sample_size)))
     fit = sample(v, config.sample_size)
     centres = [list(map(float, c)) for c in models.kmeans(fit, config.k).clusterCenters()]
     isolated = models.isolation_scores(v, config.isolation_estimators, fit=sample(v, config.anomaly_subset))
     d = isolated.withColumn("d", F.array(*[metrics.distance(F.col("x"), F.array(*map(F.lit, c))) for c in centres]))
     h = entropy(softmax(F.col("d")), config.k)
     scored = d.select("id", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"), r6(1 - h).alias("confidence"), F.round(F.array_min("d"), 9).alias("nearest"), F.round("isolation", 9).alias("isolation"))
-    scored = _cut(scored)
+    scored = cut(scored)
     ref = sample(scored, config.sample_size)
     both = reference_share(reference_share(scored, ref, "nearest", "near_share"), ref, "isolation", "isolation_share")
     return both.select("id", "cluster", "confidence", r6((F.col("near_share") + F.col("isolation_share")) / 2).alias("anomaly"))

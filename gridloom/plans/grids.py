@@ -225,7 +225,7 @@ def object_atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dilation_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = clusters(spark, sf_dir)
     height = c.agg(F.max("row")).first()[0] + 1
-    rim = objects.ring(objects.labelled(c)).where(F.col("row").between(0, height - 1) & F.col("col").between(0, COLUMNS_WIDE - 1))
+    rim = objects.ring(objects.labelled_runs(c)).where(F.col("row").between(0, height - 1) & F.col("col").between(0, COLUMNS_WIDE - 1))
     return rim.groupBy("object").agg(F.count("*").alias("rim"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import mapped, r6, ratio, valid
-from gridloom.operators.profiles import describe, long, profile
+from gridloom.operators.profiles import DESCRIBE, long, profile, quantile_columns, quantiles
 from gridloom.registry import query
 from gridloom.sources.tables import BANDS, clusters, grid, items, table
 
@@ -52,20 +52,21 @@ def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("describe_exact", _union("SELECT '{f}' AS feature, CAST(count({f}) AS BIGINT) AS n, round(avg({f}), 8) AS mean, round(stddev_samp({f}), 6) AS std, min({f}) AS lowest, round(quantile_cont({f}, 0.25), 6) AS q25, round(quantile_cont({f}, 0.5), 6) AS q50, round(quantile_cont({f}, 0.75), 6) AS q75, max({f}) AS highest FROM items"))
 def describe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile(items(spark, sf_dir), FEATURES, describe())
+    df = items(spark, sf_dir)
+    quarters = quantile_columns(df, FEATURES, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    one = profile(df, FEATURES, DESCRIBE).join(quarters, "feature")  # a row a feature
+    return one.select("feature", "n", "mean", "std", "lowest", r6("q25").alias("q25"), r6("q50").alias("q50"), r6("q75").alias("q75"), "highest")
 
 
 @query("quartiles_iqr", _union("SELECT '{f}' AS feature, round(quantile_cont({f}, 0.25), 6) AS q1, round(median({f}), 6) AS middle, round(quantile_cont({f}, 0.75), 6) AS q3, round(quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25), 6) AS iqr FROM items"))
 def quartiles_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return profile(items(spark, sf_dir), FEATURES, {"q1": lambda c: r6(q(c, 0.25)), "middle": lambda c: r6(q(c, 0.5)), "q3": lambda c: r6(q(c, 0.75)), "iqr": lambda c: r6(q(c, 0.75) - q(c, 0.25))})
+    q = quantile_columns(items(spark, sf_dir), FEATURES, {"q1": 0.25, "middle": 0.5, "q3": 0.75})
+    return q.select("feature", r6("q1").alias("q1"), r6("middle").alias("middle"), r6("q3").alias("q3"), r6(F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 @query("quantile_profile", _union("SELECT '{f}' AS feature, p / 10.0::DOUBLE AS p, round(q[p + 1], 6) AS value FROM (SELECT quantile_cont({f}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM items), (SELECT unnest(range(11)) AS p)"))
 def quantile_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = [i / 10 for i in range(11)]
-    one = profile(items(spark, sf_dir), FEATURES, {"q": lambda c: F.percentile(c, F.array(*map(F.lit, at)))})
-    return one.select("feature", F.posexplode("q").alias("i", "v")).select("feature", (F.col("i") / 10).alias("p"), r6("v").alias("value"))
+    return quantiles(items(spark, sf_dir), FEATURES, [i / 10 for i in range(11)]).select("feature", "p", r6("value").alias("value"))
 
 
 @query("feature_quality", _union("SELECT '{f}' AS feature, CAST(count(*) - count({f}) AS BIGINT) AS missing, CAST(count(DISTINCT {f}) AS BIGINT) AS different, round(avg({f}), 6) AS mean, round(stddev_pop({f}), 6) AS std, CAST(min({f}) AS DOUBLE) AS lowest, CAST(max({f}) AS DOUBLE) AS highest, round((count(*) - count({f}))::DOUBLE / count(*), 6) AS missing_fraction FROM grid", BANDS))

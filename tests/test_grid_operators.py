@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.functions.exprs import ordinal, valid
+from gridloom.functions.exprs import ordinal, reference_share, valid
 from gridloom.functions.graphs import components
-from gridloom.operators import focal, metrics, models, objects, samples, zones
+from gridloom.operators import focal, metrics, models, objects, profiles, samples, zones
 from gridloom.plans import clustering
 from gridloom.sources import files
 
@@ -19,10 +19,12 @@ def cells(spark, values):
 
 
 def test_alignment_recovers_a_permutation(spark):
-    pairs = [(0, 2), (0, 2), (1, 0), (1, 0), (2, 3), (2, 3), (3, 1), (3, 1)]
-    df = spark.createDataFrame(pairs, "a int, b int")
-    found = {r["candidate"]: r["reference"] for r in metrics.aligned(metrics.contingency(df, "a", "b"), 4).collect()}
-    assert found == {2: 0, 0: 1, 3: 2, 1: 3}
+    pairs = [(0, 1)] * 5 + [(1, 2)] * 3 + [(2, 0)] * 4 + [(0, 0), (2, 1), (7, 0), (1, 9)]
+    df = spark.createDataFrame(pairs, "a int, b int")  # labels out of range count for nothing
+    found = {r["candidate"]: r["reference"] for r in metrics.aligned(metrics.contingency(df, "a", "b"), 3).collect()}
+    assert found == {1: 0, 2: 1, 0: 2}
+    tied = spark.createDataFrame([(a, b) for a in range(3) for b in range(3)], "a int, b int")
+    assert {r["candidate"]: r["reference"] for r in metrics.aligned(metrics.contingency(tied, "a", "b"), 3).collect()} == {0: 0, 1: 1, 2: 2}
 
 
 def test_rand_index_of_a_relabelling_is_one(spark):
@@ -40,24 +42,35 @@ def test_smoothing_keeps_a_constant_grid_and_no_data(spark):
     assert out == {(0, 0): 2, (0, 1): 2, (0, 2): None, (1, 0): 2, (1, 1): 2, (1, 2): 2}
 
 
-def test_derived_features_against_numpy(spark):
-    rng = np.random.default_rng(42)
-    bands = ["radar", "height", "emissivity", "slope", "reflectivity"]
-    grids = {b: rng.integers(-50, 50, (11, 13)) for b in bands}
-    df = spark.createDataFrame([(r, c, *(int(grids[b][r, c]) for b in bands)) for r in range(11) for c in range(13)], "row int, col int, " + ", ".join(f"{b} long" for b in bands))
-    out = focal.derived(df, 2, 2025.0, 2025.0).toPandas().sort_values(["row", "col"])
-    assert len(out) == 143 and sum(c.endswith(("_std", "_range", "_gradient", "_curvature")) for c in out.columns) == 12
-    padded = np.pad(grids["radar"], 2, mode="edge")
-    blocks = np.lib.stride_tricks.sliding_window_view(padded, (5, 5))
-    assert np.allclose(out["radar_local_std"].to_numpy().reshape(11, 13), blocks.std((2, 3)))
-    gy, gx = np.gradient(grids["height"].astype(float), 2025.0, 2025.0)
-    assert np.allclose(out["height_gradient"].to_numpy().reshape(11, 13), np.hypot(gx, gy))
+def test_neighbourhood_features_with_missing_cells(spark):
+    rng = np.random.default_rng(7)
+    bands, height, width = ["radar", "height", "emissivity", "slope", "reflectivity"], 9, 14
+    grids = {b: rng.integers(-50, 50, (height, width)).astype(float) for b in bands}
+    gone = rng.random((height, width)) < 0.15
+    cell = lambda b, r, c: None if gone[r, c] else int(grids[b][r, c])
+    df = spark.createDataFrame([(r, c, *(cell(b, r, c) for b in bands)) for r in range(height) for c in range(width)], "row int, col int, " + ", ".join(f"{b} long" for b in bands))
+    out = focal.derived(df, 2, 30.0, 20.0).toPandas().sort_values(["row", "col"])
+    assert len(out) == height * width and sum(c.endswith(("_std", "_range", "_gradient", "_curvature")) for c in out.columns) == 12 and len(out.columns) == 19
+    for g in grids.values():
+        g[gone] = np.nan
+    blocks = lambda b: np.lib.stride_tricks.sliding_window_view(np.pad(grids[b], 2, mode="edge"), (5, 5))
+    got = lambda c: out[c].to_numpy().reshape(height, width)
+    assert np.allclose(got("radar_local_std"), np.nan_to_num(np.nanstd(blocks("radar"), axis=(2, 3))))
+    assert np.allclose(got("height_local_range"), np.nanmax(blocks("height"), axis=(2, 3)) - np.nanmin(blocks("height"), axis=(2, 3)))
+    full = np.where(gone, np.nanmean(blocks("height"), axis=(2, 3)), grids["height"])
+    gy, gx = np.gradient(full, 20.0, 30.0)
+    assert np.allclose(got("height_gradient"), np.hypot(gx, gy))
+    e = np.pad(full, 1, mode="edge")
+    assert np.allclose(got("height_curvature"), (e[:-2, 1:-1] + e[2:, 1:-1] + e[1:-1, :-2] + e[1:-1, 2:] - 4 * full) / 625)
 
 
 def test_objects_touch_by_corners_and_sizes_add_up(spark):
     df = cells(spark, [[1, 0, 1], [0, 1, 0], [1, None, 0]])
     sizes = {(r["cluster"], r["cells"]) for r in objects.sizes(df).collect()}
-    assert sizes == {(1, 4), (0, 4)} or sum(n for _, n in sizes) == 8
+    assert sizes == {(1, 4), (0, 4)}
+    rim = {tuple(r) for r in objects.ring(objects.labelled_runs(df).where("cluster = 1")).select("row", "col").collect()}
+    own = {(0, 0), (0, 2), (1, 1), (2, 0)}
+    assert rim == {(r + a, c + b) for r, c in own for a in (-1, 0, 1) for b in (-1, 0, 1)} - own
 
 
 def test_components_of_a_long_path(spark):
@@ -66,9 +79,26 @@ def test_components_of_a_long_path(spark):
 
 
 def test_ordinal_numbers_all_rows_once(spark):
-    df = spark.range(1000).withColumn("v", F.col("id") % 7)
-    out = ordinal(df, [F.col("v"), F.col("id")], parts=8).orderBy("ordinal").collect()
-    assert [r["ordinal"] for r in out] == list(range(1, 1001)) and [(r["v"], r["id"]) for r in out] == sorted((r["v"], r["id"]) for r in out)
+    """More rows than the borders of a range partitioning are drawn from, and columns beside the keys."""
+    n = 300_000
+    df = spark.range(n).select("id", (F.xxhash64("id") % 5000).alias("v"), F.rand(3).alias("other"), F.lit("x").alias("text"))
+    out = ordinal(df, [F.col("v"), F.col("id")], parts=16).select("ordinal", "v", "id").toPandas().sort_values("ordinal")
+    assert out.ordinal.tolist() == list(range(1, n + 1))
+    assert (out.sort_values(["v", "id"]).id.to_numpy() == out.id.to_numpy()).all()
+
+
+def test_reference_share_against_numpy(spark):
+    df = spark.range(20_000).select("id", (F.xxhash64("id") % 900).alias("v"), F.rand(1).alias("other"))
+    out = reference_share(df, df.where("id % 3 = 0"), "v", "share", parts=16).toPandas()
+    ref = np.sort(out[out.id % 3 == 0].v)
+    assert len(out) == 20_000 and np.allclose(out.share, np.searchsorted(ref, out.v, side="right") / len(ref))
+
+
+def test_quantiles_against_numpy(spark):
+    values = {"a": [3.0, None, 1.0, 1.0, 7.5, 2.0], "b": [5.0, 5.0, None, None, None, 6.0]}
+    df = spark.createDataFrame(list(zip(*values.values())), "a double, b double")
+    out = {(r["feature"], r["p"]): r["value"] for r in profiles.quantiles(df, ["a", "b"], [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    assert len(out) == 10 and all(v == pytest.approx(np.quantile([x for x in values[k] if x is not None], p)) for (k, p), v in out.items())
 
 
 def test_box_polygon_is_between(spark):
