@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.exprs import ratio
+from gridloom.functions.exprs import id_hash, ratio
+from gridloom.operators.samples import exact_sample
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -59,13 +62,50 @@ def davies_bouldin(df: DataFrame, label: str, x: str, dims: int) -> DataFrame:
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette(sample: DataFrame, label: str, x: str) -> DataFrame:
-    """One row ``silhouette`` (Euclidean) of a bounded sample (id, label, x): every row meets every other once."""
-    a = sample.select(F.col("id").alias("i"), F.col(label).alias("li"), F.col(x).alias("xi"))
-    b = F.broadcast(sample.select(F.col("id").alias("j"), F.col(label).alias("lj"), F.col(x).alias("xj")))  # bounded by the caller
-    mean = a.join(b, F.col("i") != F.col("j")).groupBy("i", "li", "lj").agg(F.avg(distance(F.col("xi"), F.col("xj"))).alias("d"))
-    both = mean.groupBy("i").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
-    return both.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))).alias("silhouette"))
+def silhouette(df: DataFrame, label: str, x: str, rows: int = 2_000) -> DataFrame:
+    """One row ``silhouette`` (Euclidean) of (id, label, x): the mean over at most ``rows`` rows, drawn by a hash, each against all rows.
+
+    The drawn rows are the stated queries; each task sums its rows' distances to them by cluster, so what is shuffled grows with
+    the tasks.  A row alone in its cluster counts 0; null with fewer than two clusters.
+    """
+    drawn = exact_sample(df.select("id", F.col(label).alias("l"), F.col(x).alias("x")), id_hash("id"), rows).toPandas()
+    asked, ids, labels = np.array(drawn["x"].tolist(), dtype=float), drawn["id"].tolist(), drawn["l"].tolist()
+
+    def summed(batches):
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            own, of = np.array(pdf["x"].tolist(), dtype=float), pdf["l"].to_numpy()
+            for c in np.unique(of):
+                part, total[c] = own[of == c], total.get(c, np.zeros(len(asked)))
+                for a in range(0, len(part), 1_000):
+                    total[c] += np.sqrt(((asked[:, None] - part[None, a : a + 1_000]) ** 2).sum(2)).sum(1)
+        for c, d in total.items():
+            yield pd.DataFrame({"i": ids, "li": labels, "lj": c, "d": d})
+
+    if not len(drawn):
+        return df.sparkSession.createDataFrame([(None,)], "silhouette double")
+    sums = df.select(F.col(label).alias("l"), F.col(x).alias("x")).mapInPandas(summed, "i long, li long, lj long, d double").groupBy("i", "li", "lj").agg(F.sum("d").alias("d"))
+    sizes = F.broadcast(df.groupBy(F.col(label).cast("long").alias("lj")).agg(F.count("*").alias("n")))  # a row a cluster
+    inside = F.col("li") == F.col("lj")
+    both = sums.join(sizes, "lj").groupBy("i").agg(F.max(F.when(inside, F.try_divide("d", F.col("n") - 1))).alias("a"), F.max(F.when(inside, F.col("n"))).alias("own"), F.min(F.when(~inside, F.col("d") / F.col("n"))).alias("b"))
+    return both.agg(F.avg(F.when(F.col("b").isNotNull(), F.when(F.col("own") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))))).alias("silhouette"))
+
+
+def rand_pairs(df: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, ari) of each pair of label columns, all contingency tables in one pass."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    both = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")) for a, b in pairs]))
+    n = df.select(both.alias("p")).select("p.*").groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+    rows = n.groupBy("a", "b", "x").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(F.sum(pairs_of(F.col("n"))).alias("ra"))
+    cols = n.groupBy("a", "b", "y").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(F.sum(pairs_of(F.col("n"))).alias("cb"))
+    one = n.groupBy("a", "b").agg(F.sum(pairs_of(F.col("n"))).alias("s"), F.sum("n").alias("all")).join(rows, ["a", "b"]).join(cols, ["a", "b"])
+    expected = F.try_divide(F.col("ra") * F.col("cb"), pairs_of(F.col("all")))
+    return one.select("a", "b", F.coalesce(ratio(F.col("s") - expected, (F.col("ra") + F.col("cb")) / 2 - expected), F.lit(1.0)).alias("ari"))
+
+
+def stability_verdict(mean: Column, low: Column) -> Column:
+    """What agreement over seeds says about a clustering."""
+    return F.when((mean >= 0.9) & (low >= 0.8), "VERY STRONG").when((mean >= 0.75) & (low >= 0.6), "GOOD").when(mean >= 0.5, "MODERATE").otherwise("WEAK")
 
 
 def votes(labels: Column, k: int) -> Column:

@@ -6,13 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import id_hash
-from gridloom.functions.graphs import components
+from gridloom.functions.graphs import components, cut
 from gridloom.operators.metrics import distance
 
 
@@ -23,6 +24,45 @@ def standardised(df: DataFrame, dims: int, of: DataFrame | None = None) -> DataF
     return df.crossJoin(F.broadcast(one)).withColumn("x", scaled).select(*df.columns)  # one row of parameters
 
 
+def scaler(df: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, mean, scale) of columns: population deviation, 1 where it is 0."""
+    one = df.agg(*[f(F.col(n)).alias(f"{n}__{m}") for n in names for m, f in (("mean", F.avg), ("scale", F.stddev_pop))])
+    rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"{n}__mean").alias("mean"), F.when(F.col(f"{n}__scale") == 0, 1.0).otherwise(F.col(f"{n}__scale")).alias("scale")) for n in names])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def parameters(table: DataFrame, names: list[str]) -> list[tuple[float, float]]:
+    """(mean, scale) of each name from a persisted scaler, matched by name; raises for names it lacks and for scales of 0."""
+    own = {r["feature"]: (r["mean"], r["scale"]) for r in table.where(F.col("feature").isin(names)).collect()}  # a row a feature
+    missing = [n for n in names if n not in own]
+    if missing:
+        raise ValueError(f"the scaler has no {missing}")
+    flat = [n for n in names if not own[n][1]]
+    if flat:
+        raise ValueError(f"scale 0 for {flat}")
+    return [own[n] for n in names]
+
+
+def scaled_columns(df: DataFrame, table: DataFrame, names: list[str], inverse: bool = False) -> DataFrame:
+    """``df`` with each named column standardised by a persisted scaler, or put back into its own units."""
+    put = {n: F.col(n) * s + m if inverse else (F.col(n) - m) / s for n, (m, s) in zip(names, parameters(table, names))}
+    return df.withColumns(put)
+
+
+def centroid_table(spark, centres: list[list[float]], names: list[str]) -> DataFrame:
+    """(cluster, a column for each feature), the form in which centres are kept."""
+    return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centres)], "cluster int, " + ", ".join(f"`{n}` double" for n in names))
+
+
+def centroids(table: DataFrame, names: list[str]) -> list[list[float]]:
+    """Centres in order of their cluster, features by name; the first column is the key, as in a table with an index."""
+    key = table.columns[0]
+    missing = [n for n in names if n not in table.columns]
+    if missing:
+        raise ValueError(f"the centroids have no {missing}")
+    return [[float(r[n]) for n in names] for r in table.orderBy(key).collect()]  # k rows
+
+
 def with_vector(df: DataFrame) -> DataFrame:
     """Ordered by id in a fixed number of partitions, so that a seed gives the same model again."""
     return df.repartitionByRange(4, "id").sortWithinPartitions("id").withColumn("features", array_to_vector("x"))
@@ -86,31 +126,57 @@ def minibatch(df: DataFrame, centres: list[list[float]], batch: int, rounds: int
     return centres
 
 
-def cells_of(df: DataFrame, eps: float, dims: int) -> DataFrame:
-    return df.withColumn("cell", F.array(*[F.floor(F.col("x")[i] / eps) for i in range(dims)]))
-
-
-def close_pairs(df: DataFrame, eps: float, dims: int = 2) -> DataFrame:
-    """(i, j) of rows at most ``eps`` apart (i = j included): a grid over the first ``dims`` features offers candidates."""
-    own = cells_of(df, eps, dims)
+def near(a: DataFrame, b: DataFrame, eps: float, keep: dict[str, Column] | None = None, dims: int = 2) -> DataFrame:
+    """Pairs of a row of ``a`` and one of ``b`` (id, x, ...) at most ``eps`` apart, with ``distance`` and the columns ``keep``
+    (over a.* and b.*); a grid over the first ``dims`` features offers candidates.  Callers aggregate at once, so pairs are not kept.
+    """
+    cell = lambda df: df.withColumn("cell", F.array(*[F.floor(F.col("x")[i] / eps) for i in range(dims)]))
     steps = [[]]
     for _ in range(dims):
         steps = [[*s, d] for s in steps for d in (-1, 0, 1)]
-    near = own.withColumn("s", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in steps]))).select(
-        F.col("id").alias("j"), F.col("x").alias("xj"), F.zip_with("cell", "s", lambda a, b: a + b).alias("cell")
-    )
-    return own.select(F.col("id").alias("i"), F.col("x").alias("xi"), "cell").join(near, "cell").where(distance(F.col("xi"), F.col("xj")) <= eps).select("i", "j")
+    offered = cell(b).withColumn("s", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in steps]))).withColumn("cell", F.zip_with("cell", "s", lambda p, q: p + q)).drop("s")
+    both = cell(a).alias("a").join(offered.alias("b"), F.col("a.cell") == F.col("b.cell"))
+    apart = both.withColumn("distance", distance(F.col("a.x"), F.col("b.x"))).where(F.col("distance") <= eps)
+    return apart.select("distance", *[c.alias(n) for n, c in (keep or {"i": F.col("a.id"), "j": F.col("b.id")}).items()])
+
 
+def dbscan(df: DataFrame, eps: float, least: int, dims: int) -> DataFrame:
+    """(id, cluster): density clusters named by their smallest core id, -1 for noise; a border row joins the lowest cluster.
 
-def dbscan(df: DataFrame, eps: float, least: int) -> DataFrame:
-    """(id, cluster): density clusters named by their smallest core id, -1 for noise; a border row joins the lowest cluster."""
-    pairs = close_pairs(df, eps)
-    core = pairs.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("i")
-    among = pairs.join(core, "i").join(core.withColumnRenamed("i", "j"), "j")
-    named = components(among.where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b")))
-    cores = core.join(named.withColumnRenamed("node", "i"), "i", "left").select("i", F.coalesce("component", "i").alias("cluster"))
-    border = pairs.join(cores.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("cluster").alias("near"))
-    return df.select("id").join(cores.withColumnRenamed("i", "id"), "id", "left").join(border.withColumnRenamed("i", "id"), "id", "left").select("id", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
+    Pairs within ``eps`` are only counted, never written.  Cores of one small cell (its diagonal is ``eps``) belong together
+    anyway, so links are between cells: a dense spot leaves one row a cell.
+    """
+    side = eps / math.sqrt(dims)
+    own = cut(df.select("id", "x", F.array(*[F.floor(F.col("x")[i] / side) for i in range(dims)]).alias("small")))
+    many = near(own, own, eps, {"i": F.col("a.id")}).groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    core = own.join(many.select(F.col("i").alias("id")), "id")
+    core = cut(core.join(core.groupBy("small").agg(F.min("id").alias("rep")), "small").select("id", "x", "rep"))
+    links = near(core, core, eps, {"a": F.col("a.rep"), "b": F.col("b.rep")}).where("a < b").select("a", "b").distinct()
+    named = components(links).withColumnRenamed("node", "rep")
+    core = cut(core.join(named, "rep", "left").select("id", "x", F.coalesce("component", "rep").alias("cluster")))
+    border = near(own.join(core, "id", "left_anti"), core, eps, {"id": F.col("a.id"), "cluster": F.col("b.cluster")}).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    found = core.select("id", "cluster").unionByName(border)
+    return df.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
+
+
+def kth_distances(df: DataFrame, k: int, eps: float) -> DataFrame:
+    """(id, distance) to the ``k``-th nearest row of all, the row itself being the first; exact.
+
+    Rows are searched within ``eps``; those with fewer than ``k`` rows so near are searched again within twice of it.  With
+    fewer than ``k`` rows in all the farthest counts.
+    """
+    k = min(k, df.count())
+    todo, out = df.select("id", "x"), None
+    all_ = cut(todo)
+    while True:
+        close = near(todo, all_, eps, {"id": F.col("a.id"), "d": F.col("distance"), "j": F.col("b.id")})
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "j"))
+        found = cut(close.withColumn("k", rank).where(F.col("k") <= k).groupBy("id").agg(F.max("d").alias("distance"), F.max("k").alias("k")).where(F.col("k") == k).select("id", "distance"))
+        out = found if out is None else out.unionByName(found)
+        todo = cut(todo.join(found, "id", "left_anti"))
+        if todo.isEmpty():
+            return out
+        eps *= 2
 
 
 def spread_factor(n: int) -> float:
@@ -184,40 +250,117 @@ def isolation_scores(df: DataFrame, trees: int = 100, fit_rows: int = 50_000, se
     return df.withColumn("isolation", score("x"))
 
 
+def ward_merges(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Labels 0 .. k-1 by Ward's method (each row counts ``weight`` times): chains of nearest neighbours, then the lowest merges."""
+    n = len(x)
+    centre, size, alive = x.astype(float).copy(), weight.astype(float).copy(), np.ones(n, bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        i = chain[-1]
+        d = ((centre - centre[i]) ** 2).sum(1) * (size * size[i] / (size + size[i]))
+        d[~alive] = np.inf
+        d[i] = np.inf
+        j = int(d.argmin())
+        if len(chain) > 1 and d[chain[-2]] <= d[j]:
+            j = chain[-2]
+            chain = chain[:-2]
+            merges.append((float(d[j]), i, j))
+            centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            alive[j] = False
+        else:
+            chain.append(j)
+    label = np.arange(n)
+
+    def top(v: int) -> int:
+        while label[v] != v:
+            v = label[v]
+        return int(v)
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(0, n - k)]:
+        a, b = sorted((top(i), top(j)))
+        label[b] = a
+    return np.unique([top(v) for v in range(n)], return_inverse=True)[1]
+
+
 def ward(df: DataFrame, k: int) -> DataFrame:
-    """(id, cluster) by Ward's method on a bounded sample (the caller's), merged by Lance-Williams in one task."""
+    """(id, cluster) by Ward's method; every merge looks at all rows, so ``df`` is a sample of a size the caller bounds, and one task merges it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x = np.array(pdf["x"].tolist(), dtype=float)
-        n = len(x)
-        d = ((x[:, None] - x[None]) ** 2).sum(-1)
-        np.fill_diagonal(d, np.inf)
-        size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-        for _ in range(max(0, n - k)):
-            i, j = divmod(int(np.argmin(d)), n)
-            i, j = min(i, j), max(i, j)
-            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
-            new[~alive | (np.arange(n) == i)] = np.inf
-            alive[j] = False
-            d[i], d[:, i] = new, new
-            d[j], d[:, j], d[i, j], d[j, i], d[i, i] = np.inf, np.inf, np.inf, np.inf, np.inf
-            size[i] += size[j]
-            label[label == j] = i
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "cluster": np.unique(label, return_inverse=True)[1]})
+        return pd.DataFrame({"id": pdf["id"].to_numpy(), "cluster": ward_merges(x, np.ones(len(x)), k)})
 
     return df.select("id", "x", F.lit(1).alias("_one")).groupBy("_one").applyInPandas(run, "id long, cluster int")
 
 
-def birch(df: DataFrame, threshold: float, k: int, dims: int) -> DataFrame:
-    """(id, cluster): rows gathered to cells of the threshold's size (one grouped pass), cells merged by weighted Ward."""
-    side = 2 * threshold / math.sqrt(dims)
-    cell = df.withColumn("cell", F.array(*[F.floor(F.col("x")[i] / side) for i in range(dims)]))
-    grouped = cell.groupBy("cell").agg(F.count("*").alias("w"), F.min("id").alias("id"), F.array(*[F.avg(F.col("x")[i]) for i in range(dims)]).alias("x"))
-    # k-means over the cells' means stands in for the global step: weights enter as repeated mass
-    from pyspark.ml.clustering import KMeans as Weighted
+def clustering_features(rows: np.ndarray, own: np.ndarray, squares: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(count, sum, sum of squared lengths) of subclusters of radius ``threshold`` at most, in order of arrival.
+
+    Each entry joins the nearest subcluster if that stays within the threshold; beyond ``most`` subclusters the threshold
+    grows by half and the subclusters are gathered again, which bounds memory for any input.
+    """
+    n, total, square = np.zeros(0), np.zeros((0, rows.shape[1])), np.zeros(0)
+    for c, s, q in zip(own, rows, squares):
+        if len(n):
+            at = int(((total / n[:, None] - s / c) ** 2).sum(1).argmin())
+            m, t, r = n[at] + c, total[at] + s, square[at] + q
+            if r / m - ((t / m) ** 2).sum() <= threshold**2 + 1e-12:
+                n[at], total[at], square[at] = m, t, r
+                continue
+        n, total, square = np.append(n, c), np.vstack([total, s]), np.append(square, q)
+        if len(n) > most:
+            threshold *= 1.5
+            n, total, square, threshold = clustering_features(total, n, square, threshold, most)
+    return n, total, square, threshold
+
+
+def birch(df: DataFrame, threshold: float, k: int, most: int = 500) -> DataFrame:
+    """(id, cluster): each partition gathers its rows to at most ``most`` subclusters, partitions' subclusters are gathered
+    pairwise to as many, Ward merges those to ``k`` clusters, and each row takes the cluster of the nearest subcluster's centre.
+
+    Rows are read in order of id within a fixed number of partitions, for subclusters depend on the order of arrival.
+    """
+    schema = "part int, at int, n double, total array<double>, square double, threshold double"
+
+    def out(part: int, found) -> pd.DataFrame:
+        n, total, square, limit = found
+        return pd.DataFrame({"part": part, "at": range(len(n)), "n": n, "total": list(total), "square": square, "threshold": limit})
+
+    def gathered(batches):
+        state = None
+        for pdf in batches:
+            x = np.array(pdf["x"].tolist(), dtype=float)
+            rows, own, square, limit = x, np.ones(len(x)), (x * x).sum(1), threshold
+            if state is not None:
+                rows, own, square, limit = np.vstack([state[1], rows]), np.append(state[0], own), np.append(state[2], square), state[3]
+            state = clustering_features(rows, own, square, limit, most)
+        if state is not None:
+            yield out(TaskContext.get().partitionId(), state)
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["part", "at"])
+        return out(int(pdf["part"].min()) // 2, clustering_features(np.array(pdf["total"].tolist()), pdf["n"].to_numpy(), pdf["square"].to_numpy(), float(pdf["threshold"].max()), most))
+
+    parts = 8
+    found = cut(df.select("id", "x").repartitionByRange(parts, "id").sortWithinPartitions("id").mapInPandas(gathered, schema))
+    while parts > 1:
+        found = cut(found.groupBy(F.floor(F.col("part") / 2).alias("pair")).applyInPandas(lambda pdf: joined(pdf), schema))
+        parts = -(-parts // 2)
+    last = found.orderBy("part", "at").toPandas()  # at most ``most`` rows
+    if last.empty:
+        return df.select("id", F.lit(None).cast("int").alias("cluster"))
+    n = last["n"].to_numpy()
+    centre = np.array(last["total"].tolist()) / n[:, None]
+    label = ward_merges(centre, n, k)
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series) -> pd.Series:
+        rows = np.array(x.tolist(), dtype=float)
+        at = [((centre - r) ** 2).sum(1).argmin() for r in rows]
+        return pd.Series(label[at].astype(np.int32) if at else [], dtype="int32")
 
-    data = with_vector(grouped).withColumn("w", F.col("w").cast("double"))
-    model = Weighted(k=k, seed=42, weightCol="w", maxIter=40).fit(data)
-    named = model.transform(data).select("cell", F.col("prediction").alias("cluster"))
-    return cell.join(named, "cell").select("id", "cluster")
+    return df.select("id", nearest("x").alias("cluster"))

@@ -125,8 +125,3 @@ def figure_top_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("key_associations", f"WITH {STUDY_SQL} SELECT region, geology, round(C0_pct / nullif(C0_pct + C1_pct + C2_pct + C3_pct, 0), 6) AS share0 FROM study WHERE pixels >= 10000")
 def key_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study(spark).where("pixels >= 10000").select("region", "geology", r6(ratio("C0_pct", F.col("C0_pct") + F.col("C1_pct") + F.col("C2_pct") + F.col("C3_pct"))).alias("share0"))
-
-
-@query("stability_inertia_series", "SELECT CAST(o_orderkey % 10 AS INTEGER) AS seed, round(sum(o_totalprice), 2) AS inertia FROM orders GROUP BY 1")
-def stability_inertia_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 10).cast("int").alias("seed")).agg(F.round(F.sum("o_totalprice"), 2).alias("inertia"))

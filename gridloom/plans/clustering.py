@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.feature import PCA
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.exprs import entropy, ordinal, r6, ratio, reference_share, softmax
+from gridloom.functions.exprs import entropy, id_hash, ordinal, r6, ratio, reference_share, softmax
+from gridloom.functions.graphs import cut
 from gridloom.operators import metrics, models
+from gridloom.operators.profiles import quantiles
+from gridloom.operators.samples import exact_sample
+from gridloom.plans import workflows
 from gridloom.registry import query
-from gridloom.sources.tables import items, table, vectors
+from gridloom.sources.files import Config
+from gridloom.sources.tables import COLUMNS_WIDE, grid, items, table, vectors
 
 DIMS = 5
 #: Starting centres: axis-wise corners of the feature space.
@@ -22,8 +30,7 @@ DIST = f"dist AS (SELECT id, label, x, [{_D}] AS d FROM vec), near AS (SELECT *,
 
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label, x, d: distances to the centres, cluster, d1, d2)."""
-    v = vectors(spark, sf_dir, DIMS).withColumn("d", F.array(*[metrics.distance(F.col("x"), F.array(*map(F.lit, c))) for c in CENTRES]))
-    return v.withColumns({"cluster": (F.array_position("d", F.array_min("d")) - 1).cast("int"), "d1": F.array_sort("d")[0], "d2": F.array_sort("d")[1]})
+    return workflows.distances(vectors(spark, sf_dir, DIMS), CENTRES)
 
 
 @query("scaler_params", " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 8) AS mean, round(CASE WHEN stddev_pop({f}) = 0 THEN 1 ELSE stddev_pop({f}) END, 6) AS scale FROM items" for f in FEATURES))
@@ -34,18 +41,39 @@ def scaler_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(items(spark, sf_dir), FEATURES, {"mean": lambda c: F.round(F.avg(c), 8), "scale": std})
 
 
-@query("standardize", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((quantity - avg(quantity) OVER ()) / stddev_pop(quantity) OVER (), 6) AS z_quantity, round((size - avg(size) OVER ()) / stddev_pop(size) OVER (), 6) AS z_size FROM items")
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("standardize", f"SELECT {', '.join(KEYS)}, " + ", ".join(f"round(({f} - avg({f}) OVER ()) / (CASE WHEN stddev_pop({f}) OVER () = 0 THEN 1 ELSE stddev_pop({f}) OVER () END), 6) AS z_{f}" for f in FEATURES) + " FROM items")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns by their own scaler's rows."""
     i = items(spark, sf_dir)
-    one = F.broadcast(i.agg(*[f(c).alias(f"{n}_{c}") for c in ("quantity", "size") for n, f in (("m", F.avg), ("s", F.stddev_pop))]))  # one row of parameters
-    z = lambda c: r6((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(f"z_{c}")
-    return i.crossJoin(one).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", z("quantity"), z("size"))
+    return models.scaled_columns(i, models.scaler(i, FEATURES), FEATURES).select(*KEYS, *[r6(f).alias(f"z_{f}") for f in FEATURES])
 
 
-@query("inverse_standardize", "SELECT p_partkey, round(((p_size - 25.5) / 14.4) * 14.4 + 25.5, 6)::DOUBLE AS size FROM part")
+@query("inverse_standardize", f"SELECT {', '.join(KEYS)}, " + ", ".join(f"round({f}, 6) AS {f}" for f in FEATURES) + " FROM items")
 def inverse_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = (F.col("p_size") - F.lit(25.5)) / F.lit(14.4)
-    return table(spark, sf_dir, "part").select("p_partkey", r6(z * 14.4 + 25.5).alias("size"))
+    """There and back over one scaler: the columns themselves."""
+    i = items(spark, sf_dir)
+    scaler = cut(models.scaler(i, FEATURES))
+    back = models.scaled_columns(models.scaled_columns(i, scaler, FEATURES), scaler, FEATURES, inverse=True)
+    return back.select(*KEYS, *[r6(f).alias(f) for f in FEATURES])
+
+
+_SCALES = " UNION ALL ".join(f"SELECT '{f}' AS f, stddev_pop({f}) AS s FROM items" for f in FEATURES)
+_APART = " + ".join(f"power((i.{f} - c.{f}) / (SELECT s FROM p WHERE f = '{f}'), 2)" for f in FEATURES)
+
+
+@query("persisted_model", f"""WITH p AS ({_SCALES}), c AS (SELECT l_linenumber % 4 AS cluster, {", ".join(f"avg({f}) AS {f}" for f in FEATURES)} FROM items GROUP BY 1),
+    d AS (SELECT {", ".join("i." + k for k in KEYS)}, sqrt({_APART}) AS d FROM items i, c) SELECT {", ".join(KEYS)}, round(min(d), 6) AS nearest FROM d GROUP BY {", ".join(KEYS)}""")
+def persisted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaler and centres written as tables, read again by name, and applied: distance to the nearest centre."""
+    i = items(spark, sf_dir)
+    scaler = cut(models.scaler(i, FEATURES).select("scale", "mean", "feature"))
+    centres = cut(i.groupBy((F.col("l_linenumber") % 4).cast("int").alias("cluster")).agg(*[F.avg(f).alias(f) for f in reversed(FEATURES)]))
+    keyed = i.withColumn("id", F.xxhash64(*KEYS))
+    found = workflows.predicted(keyed, scaler, centres, FEATURES).groupBy("id").agg(F.min("d1").alias("d1"))
+    return keyed.select(*KEYS, "id").distinct().join(found, "id").select(*KEYS, r6("d1").alias("nearest"))
 
 
 @query("assign_centroids", f"WITH {DIST} SELECT id, CAST(cluster AS INTEGER) AS cluster, round(d1, 6) AS distance FROM near")
@@ -149,227 +177,235 @@ def davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.davies_bouldin(distances(spark, sf_dir), "cluster", "x", DIMS).select(r6("davies_bouldin").alias("davies_bouldin"))
 
 
-DRAWN = "drawn AS (SELECT * FROM near ORDER BY (id * 2654435761) % 4294967296 LIMIT 300)"
-
-
-def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridloom.functions.exprs import id_hash
-    from gridloom.operators.samples import exact_sample
-
-    return exact_sample(distances(spark, sf_dir), id_hash("id"), 300)
-
-
-@query("silhouette_sample", f"""WITH {DIST}, {DRAWN}, m AS (SELECT a.id, a.cluster AS ca, b.cluster AS cb, avg({_dist("a.x", "b.x")}) AS d FROM drawn a JOIN drawn b ON a.id <> b.id GROUP BY 1, 2, 3),
+@query("silhouette_sample", f"""WITH {DIST}, m AS (SELECT a.id, a.cluster AS ca, b.cluster AS cb, avg({_dist("a.x", "b.x")}) AS d FROM near a JOIN near b ON a.id <> b.id GROUP BY 1, 2, 3),
     q AS (SELECT id, max(CASE WHEN ca = cb THEN d END) AS a, min(CASE WHEN ca <> cb THEN d END) AS b FROM m GROUP BY id) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM q""")
 def silhouette_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.silhouette(drawn(spark, sf_dir), "cluster", "x").select(r6("silhouette").alias("silhouette"))
+    """Up to 2,000 rows, each against all; here they are all rows."""
+    return metrics.silhouette(distances(spark, sf_dir), "cluster", "x").select(r6("silhouette").alias("silhouette"))
+
 
+_AT = "[0.5, 0.75, 0.9, 0.95, 0.99, 1.0]"
 
-@query("knn_kdist", f"""WITH {DIST}, {DRAWN}, r AS (SELECT a.id, {_dist("a.x", "b.x")} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_dist("a.x", "b.x")}, b.id) AS k FROM drawn a JOIN drawn b ON true),
-    t AS (SELECT d FROM r WHERE k = 10) SELECT round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.99), 6) AS p99, round(max(d), 6) AS highest FROM t""")
+
+@query("knn_kdist", f"""WITH {DIST}, r AS (SELECT a.id, {_dist("a.x", "b.x")} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_dist("a.x", "b.x")}, b.id) AS k FROM near a JOIN near b ON true),
+    q AS (SELECT quantile_cont(d, {_AT}) AS q FROM r WHERE k = 10) SELECT unnest({_AT}::DOUBLE[]) AS p, round(unnest(q), 6) AS value FROM q""")
 def knn_kdist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance to the tenth neighbour (the row itself is the first) of a bounded sample, and its quantiles."""
-    s = drawn(spark, sf_dir)
-    b = F.broadcast(s.select(F.col("id").alias("j"), F.col("x").alias("y")))  # 300 rows
-    near = s.select("id", "x").join(b, F.lit(True)).withColumn("dist", metrics.distance(F.col("x"), F.col("y")))
-    tenth = near.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("dist", "j"))).where("k = 10")
-    p = lambda q: r6(F.percentile("dist", F.lit(q)))
-    return tenth.agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), r6(F.max("dist")).alias("highest"))
+    """Quantiles of all rows' distance to their tenth neighbour (the row itself is the first)."""
+    d = models.kth_distances(distances(spark, sf_dir).select("id", "x"), 10, 0.1)
+    return quantiles(d, ["distance"], [0.5, 0.75, 0.9, 0.95, 0.99, 1.0]).select("p", r6("value").alias("value"))
 
 
 @query("dbscan_core_points", f"WITH n AS (SELECT a.id, count(*) AS n FROM vec a JOIN vec b ON {_dist('a.x', 'b.x')} <= 0.2 GROUP BY a.id) SELECT id, CAST(n AS BIGINT) AS n FROM n WHERE n >= 10")
 def dbscan_core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = models.close_pairs(vectors(spark, sf_dir, DIMS), 0.2)
-    return pairs.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n")).where("n >= 10")
+    v = vectors(spark, sf_dir, DIMS).select("id", "x")
+    return models.near(v, v, 0.2, {"id": F.col("a.id")}).groupBy("id").agg(F.count("*").alias("n")).where("n >= 10")
 
 
 @query("lloyd_fixed_iters", f"""WITH {DIST}, c1 AS (SELECT cluster, [{_C}] AS m FROM near GROUP BY cluster), a2 AS (SELECT id, any_value(x) AS x, arg_min(c1.cluster, ({_dist("x", "m")}, c1.cluster)) AS cluster FROM vec, c1 GROUP BY id),
-    c2 AS (SELECT cluster, count(*) AS n, [{_C}] AS m FROM a2 GROUP BY cluster) SELECT CAST(cluster AS INTEGER) AS cluster, round(m[1], 6) AS x0, round(m[2], 6) AS x1 FROM c2""")
+    c2 AS (SELECT cluster, count(*) AS n, [{_C}] AS m FROM a2 GROUP BY cluster) SELECT CAST(cluster AS INTEGER) AS cluster, {", ".join(f"round(m[{i + 1}], 6) AS x{i}" for i in range(DIMS))} FROM c2""")
 def lloyd_fixed_iters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two steps from fixed centres."""
     c = models.lloyd(vectors(spark, sf_dir, DIMS), CENTRES, 2)
-    return spark.createDataFrame([(i, round(v[0], 6), round(v[1], 6)) for i, v in enumerate(c)], "cluster int, x0 double, x1 double")
+    return spark.createDataFrame([(i, *(round(x, 6) for x in v)) for i, v in enumerate(c)], "cluster int, " + ", ".join(f"x{i} double" for i in range(DIMS)))
+
+
+#: What the named queries below run with; the workflows' own defaults are those of ``Config``.
+SMALL = Config(kmeans_n_init=2, kmeans_max_iter=50, gmm_n_init=1, gmm_max_iter=50, isolation_estimators=100, minibatch_batch_size=256)
+
+
+def scaled(spark: SparkSession, sf_dir: str, dims: int = 17) -> DataFrame:
+    return models.standardised(vectors(spark, sf_dir, dims), dims)
 
 
 @query("dbscan_full")
 def dbscan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.dbscan(vectors(spark, sf_dir, DIMS), 0.2, 10)
+    return models.dbscan(vectors(spark, sf_dir, DIMS), 0.2, 10, DIMS)
 
 
 @query("dbscan_sweep")
 def dbscan_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters, noise and largest share for several radii."""
-    v, out = vectors(spark, sf_dir, DIMS), None
-    for eps in (0.15, 0.2, 0.25):
-        found = models.dbscan(v, eps, 10).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
-        one = found.agg(F.lit(eps).alias("eps"), F.count(F.when(F.col("cluster") >= 0, 1)).alias("clusters"), F.count(F.when((F.col("cluster") >= 0) & (F.col("n") >= 0.01 * F.col("all")), 1)).alias("substantial"), F.coalesce(F.sum(F.when(F.col("cluster") < 0, F.col("n"))), F.lit(0)).alias("noise"), r6(ratio(100 * F.max(F.when(F.col("cluster") >= 0, F.col("n"))), F.max("all"))).alias("largest_pct"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The wide radii over standardised features, and quality of what is no noise."""
+    return workflows.density_sweep(cut(scaled(spark, sf_dir, DIMS)), workflows.WIDE_RADII, DIMS)
 
 
-def scaled(spark: SparkSession, sf_dir: str, dims: int = 17) -> DataFrame:
-    return models.standardised(vectors(spark, sf_dir, dims), dims)
+@query("dbscan_compare")
+def dbscan_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrow radii."""
+    return workflows.density_sweep(cut(scaled(spark, sf_dir, DIMS)), workflows.NARROW_RADII, DIMS)
 
 
 @query("kmeans_mllib")
 def kmeans_mllib(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = scaled(spark, sf_dir)
-    return models.kmeans(v, 4, (42, 43)).transform(models.with_vector(v)).select("id", F.col("prediction").alias("cluster"))
+    return workflows.fitted(v, SMALL).transform(models.with_vector(v)).select("id", F.col("prediction").alias("cluster"))
 
 
 @query("kmeans_k2_profile")
 def kmeans_k2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = scaled(spark, sf_dir, DIMS)
-    out = models.kmeans(v, 2).transform(models.with_vector(v))
-    return out.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"), *[r6(F.avg(F.col("x")[i])).alias(f"x{i}") for i in range(DIMS)])
+    """Two clusters of the standardised features; sizes, and centres in the features' own units."""
+    v = vectors(spark, sf_dir, DIMS)
+    z = models.standardised(v, DIMS)
+    named = workflows.fitted(z, replace(SMALL, k=2)).transform(models.with_vector(z)).select("id", F.col("prediction").alias("cluster"))
+    return v.join(named, "id").groupBy("cluster").agg(F.count("*").alias("n"), *[r6(F.avg(F.col("x")[i])).alias(f"x{i}") for i in range(DIMS)])
 
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inertia and Davies-Bouldin for each number of clusters."""
-    v = scaled(spark, sf_dir, DIMS)
-    rows = []
-    for k in (2, 3, 4, 5):
-        m = models.kmeans(v, k, rounds=20)
-        db = metrics.davies_bouldin(m.transform(models.with_vector(v)), "prediction", "x", DIMS).first()[0]
-        rows.append((k, float(m.summary.trainingCost), db))
-    return spark.createDataFrame(rows, "k int, inertia double, davies_bouldin double")
+    """Inertia, silhouette and Davies-Bouldin for 2 to 10 clusters, and which number each of the two prefers (one start each here)."""
+    return workflows.k_sweep(cut(scaled(spark, sf_dir, DIMS)), DIMS, starts=1, rounds=30)
+
+
+def runs_over_seeds(spark: SparkSession, sf_dir: str):
+    return workflows.stability(cut(scaled(spark, sf_dir, DIMS)), SMALL)
 
 
 @query("kmeans_stability")
 def kmeans_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjusted Rand index of each seed's labels against the first seed's."""
-    v = scaled(spark, sf_dir, DIMS)
-    label = {s: models.kmeans(v, 4, (s,), 20).transform(models.with_vector(v)).select("id", F.col("prediction").alias(f"s{s}")) for s in (42, 0, 1)}
-    out = None
-    for s in (0, 1):
-        both = label[42].join(label[s], "id")
-        one = metrics.adjusted_rand(metrics.contingency(both, "s42", f"s{s}")).select(F.lit(s).alias("seed"), "ari")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Adjusted Rand index of the 45 pairs of ten seeds' labels."""
+    return runs_over_seeds(spark, sf_dir)[1]
+
+
+@query("stability_inertia_series")
+def stability_inertia_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertia, cluster sizes and shares of each seed's run."""
+    return runs_over_seeds(spark, sf_dir)[0]
+
+
+@query("stability_centroids")
+def stability_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_over_seeds(spark, sf_dir)[2]
+
+
+@query("stability_verdict")
+def stability_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mean and the least agreement with the run of seed 42 say."""
+    a = runs_over_seeds(spark, sf_dir)[1].where("seed_a = 42 or seed_b = 42").agg(F.avg("ari").alias("mean_ari"), F.min("ari").alias("least_ari"))
+    return a.withColumn("verdict", metrics.stability_verdict(F.col("mean_ari"), F.col("least_ari")))
 
 
 @query("gmm")
 def gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = scaled(spark, sf_dir, DIMS)
-    m = models.mixture(v, 4, rounds=20)
+    m = models.mixture(v, 4, SMALL.seeds(SMALL.gmm_n_init), SMALL.gmm_max_iter)
     bic, aic = models.information(m.summary.logLikelihood, v.count(), 4, DIMS)
     return m.transform(models.with_vector(v)).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n")).withColumns({"bic": F.lit(bic), "aic": F.lit(aic)})
 
 
 @query("model_comparison")
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-means and mixture side by side."""
-    v = scaled(spark, sf_dir, DIMS)
-    data = models.with_vector(v)
-    a, b = models.kmeans(v, 4), models.mixture(v, 4, rounds=20)
-    db = lambda m: metrics.davies_bouldin(m.transform(data), "prediction", "x", DIMS).first()[0]
+    """k-means, mixture and Ward (of at most 3,000 rows) side by side, each with the quality of its labels."""
+    v = cut(scaled(spark, sf_dir, DIMS))
+    data, sample = models.with_vector(v), exact_sample(v.select("id", "x"), id_hash("id"), WARD_ROWS)
+    a, b = workflows.fitted(v, SMALL), models.mixture(v, 4, SMALL.seeds(SMALL.gmm_n_init), SMALL.gmm_max_iter)
+    labels = {"kmeans": a.transform(data).withColumnRenamed("prediction", "cluster"), "gmm": b.transform(data).withColumnRenamed("prediction", "cluster"), "ward": models.ward(sample, 4).join(sample, "id")}
     bic, aic = models.information(b.summary.logLikelihood, v.count(), 4, DIMS)
-    return spark.createDataFrame([("kmeans", db(a), float(a.summary.trainingCost), None, None), ("gmm", db(b), None, bic, aic)], "model string, davies_bouldin double, inertia double, bic double, aic double")
+    more = {"kmeans": (float(a.summary.trainingCost), None, None), "gmm": (None, bic, aic), "ward": (None, None, None)}
+    rows = []
+    for name, df in labels.items():
+        df = cut(df.select("id", "x", F.col("cluster").cast("int").alias("cluster")))
+        rows.append((name, df.count(), metrics.silhouette(df, "cluster", "x").first()[0], metrics.davies_bouldin(df, "cluster", "x", DIMS).first()[0], *more[name]))
+    return spark.createDataFrame(rows, "model string, samples long, silhouette double, davies_bouldin double, inertia double, bic double, aic double")
+
+
+def principal(spark: SparkSession, sf_dir: str):
+    data = models.with_vector(scaled(spark, sf_dir))
+    return PCA(k=5, inputCol="features", outputCol="p").fit(data), data
 
 
 @query("pca_variance")
 def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = PCA(k=5, inputCol="features", outputCol="p").fit(models.with_vector(scaled(spark, sf_dir)))
-    ratios = [float(x) for x in m.explainedVariance]
+    ratios = [float(x) for x in principal(spark, sf_dir)[0].explainedVariance]
     return spark.createDataFrame([(i + 1, r, sum(ratios[: i + 1])) for i, r in enumerate(ratios)], "component int, ratio double, cumulative double")
 
 
+@query("pca_loadings")
+def pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(component, feature, loading); of each component the largest loading is positive, for the sign is arbitrary."""
+    pc = principal(spark, sf_dir)[0].pc.toArray()
+    pc = pc * [1 if abs(c.max()) >= abs(c.min()) else -1 for c in pc.T]
+    return spark.createDataFrame([(j + 1, i, float(pc[i, j])) for j in range(pc.shape[1]) for i in range(pc.shape[0])], "component int, feature int, loading double")
+
+
+@query("pca_scores")
+def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's first two components and its cluster of two."""
+    m, data = principal(spark, sf_dir)
+    two = workflows.fitted(scaled(spark, sf_dir), replace(SMALL, k=2)).transform(data).select("id", F.col("prediction").alias("cluster"))
+    return m.transform(data).withColumn("p", vector_to_array("p")).select("id", r6(F.col("p")[0]).alias("pc1"), r6(F.col("p")[1]).alias("pc2")).join(two, "id")
+
+
 @query("minibatch_kmeans")
 def minibatch_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir, DIMS)
-    return models.assigned(v, models.minibatch(v, CENTRES, 256, 5)).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("d2").alias("inertia"))
+    return models.assigned(v, models.minibatch(v, CENTRES, SMALL.minibatch_batch_size, 10)).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("d2").alias("inertia"))
 
 
 @query("birch")
 def birch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.birch(scaled(spark, sf_dir, DIMS), 0.5, 4, DIMS).groupBy("cluster").agg(F.count("*").alias("n"))
+    return models.birch(scaled(spark, sf_dir, DIMS), 0.5, 4).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+#: Rows Ward's method is run on at most.
+WARD_ROWS = 3_000
+
+
+def for_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_sample(distances(spark, sf_dir).select("id", "x"), id_hash("id"), WARD_ROWS)
 
 
 @query("ward")
 def ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.ward(drawn(spark, sf_dir).select("id", "x"), 4).groupBy("cluster").agg(F.count("*").alias("n"))
+    return models.ward(for_ward(spark, sf_dir), 4).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query("kmeans_vs_ward")
 def kmeans_vs_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = drawn(spark, sf_dir).select("id", "x")
-    k = models.kmeans(s, 4).transform(models.with_vector(s)).select("id", F.col("prediction").alias("k"))
-    return metrics.adjusted_rand(metrics.contingency(models.ward(s, 4).join(k, "id"), "cluster", "k"))
+    """Both labels of each row of Ward's sample, and how far they agree."""
+    s = cut(for_ward(spark, sf_dir))
+    k = workflows.fitted(s, SMALL).transform(models.with_vector(s)).select("id", F.col("prediction").alias("kmeans"))
+    both = cut(models.ward(s, 4).withColumnRenamed("cluster", "ward").join(k, "id"))
+    return both.crossJoin(F.broadcast(metrics.adjusted_rand(metrics.contingency(both, "ward", "kmeans"))))  # one row
 
 
 @query("isolation_forest")
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.isolation_scores(vectors(spark, sf_dir, 17), trees=50).select("id", r6("isolation").alias("isolation"))
+    return models.isolation_scores(vectors(spark, sf_dir, 17), SMALL.isolation_estimators).select("id", r6("isolation").alias("isolation"))
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = models.isolation_scores(distances(spark, sf_dir).select("id", "x", "cluster", "d1"), trees=50)
-    n = F.broadcast(s.agg(F.count("*").alias("n")))
-    pct = lambda df, c, out: ordinal(df, [F.col(c), F.col("id")], "o", 16).crossJoin(n).withColumn(out, ratio(F.col("o") - 1, F.greatest(F.col("n") - 1, F.lit(1)))).drop("o", "n")
-    return pct(pct(s, "d1", "centroid_percentile"), "isolation", "isolation_percentile").withColumn("combined", (F.col("centroid_percentile") + F.col("isolation_percentile")) / 2)
+    return workflows.anomalies(vectors(spark, sf_dir, DIMS), CENTRES, SMALL)
 
 
 @query("anomaly_combined")
 def anomaly_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies(spark, sf_dir).select("id", "cluster", r6("combined").alias("combined")).orderBy(F.desc("combined"), "id")
+    return anomalies(spark, sf_dir).select("id", "cluster", r6("centroid_percentile").alias("centroid_percentile"), r6("isolation_percentile").alias("isolation_percentile"), r6("combined").alias("combined"), "outlier").orderBy(F.desc("combined"), "id")
 
 
 @query("consensus_4_models")
 def consensus_4_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four models' labels aligned to the first, majority and agreement."""
-    v = scaled(spark, sf_dir, DIMS)
-    data = models.with_vector(v)
-    labels = {
-        "kmeans": models.kmeans(v, 4).transform(data).select("id", F.col("prediction").alias("kmeans")),
-        "minibatch": models.assigned(v, models.minibatch(v, [[c * 10 for c in x] for x in CENTRES], 256, 5)).select("id", F.col("cluster").alias("minibatch")),
-        "gmm": models.mixture(v, 4, rounds=20).transform(data).select("id", F.col("prediction").alias("gmm")),
-        "birch": models.birch(v, 0.5, 4, DIMS).select("id", F.col("cluster").alias("birch")),
-    }
-    out = labels["kmeans"]
-    for name in ("minibatch", "gmm", "birch"):
-        both = labels["kmeans"].join(labels[name], "id")
-        m = metrics.aligned(metrics.contingency(both, "kmeans", name), 4).collect()  # four rows
-        out = out.join(labels[name].select("id", F.element_at(F.create_map(*[F.lit(x) for r in m for x in (r["candidate"], r["reference"])]), F.col(name)).alias(name)), "id")
-    v4 = metrics.votes(F.array("kmeans", "minibatch", "gmm", "birch"), 4)
-    return out.withColumn("n", v4).select("id", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("consensus"), (F.array_max("n") / 4.0).alias("agreement"))
+    """Four models' labels, raw and aligned to the first, with majority, agreement and vote entropy."""
+    return workflows.consensus(cut(scaled(spark, sf_dir, DIMS)), SMALL)[0]
+
+
+@query("consensus_pairwise")
+def consensus_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted Rand index of each pair of the four models."""
+    return workflows.consensus(cut(scaled(spark, sf_dir, DIMS)), SMALL)[1].withColumnsRenamed({"a": "model_a", "b": "model_b"})
+
+
+@query("fitted_uncertainty")
+def fitted_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncertainty of all rows from a model fitted on the standardised features."""
+    v = cut(scaled(spark, sf_dir))
+    u = workflows.uncertainty(v, workflows.centres_of(workflows.fitted(v, SMALL)))
+    return u.select("id", "cluster", *[r6(c).alias(c) for c in ("nearest", "second", "margin", "confidence", "entropy")], *[r6(F.col("p")[i]).alias(f"p_cluster_{i}") for i in range(4)])
 
 
 @query("full_map_scores")
 def full_map_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid cells scored on all 17 features: cluster, confidence, and the mean share of a sample's centre distances and isolation values at or below each cell's."""
-    from gridloom.functions.exprs import id_hash
-    from gridloom.functions.graphs import cut
-    from gridloom.operators.focal import derived
-    from gridloom.operators.samples import exact_sample
-    from gridloom.sources.files import Config
-    from gridloom.sources.tables import BANDS, grid
-
-    config = Config()
-    g = grid(spark, sf_dir)
-    local = derived(g, config.local_radius, 2025.0, 2025.0)
-    names = [*BANDS, *[c for c in local.columns if c not in g.columns]]
-    known = local.where(" AND ".join(f"{b} IS NOT NULL" for b in BANDS))
-    cells = cut(known.select((F.col("row").cast("long") * 30 + F.col("col")).alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("x")))
-    sample = lambda df, n: exact_sample(df, id_hash("id"), n)
-    v = cut(models.standardised(cells, len(names), sample(cells, config.sample_size)))
-    fit = sample(v, config.sample_size)
-    centres = [list(map(float, c)) for c in models.kmeans(fit, config.k).clusterCenters()]
-    isolated = models.isolation_scores(v, config.isolation_estimators, fit=sample(v, config.anomaly_subset))
-    d = isolated.withColumn("d", F.array(*[metrics.distance(F.col("x"), F.array(*map(F.lit, c))) for c in centres]))
-    h = entropy(softmax(F.col("d")), config.k)
-    scored = d.select("id", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"), r6(1 - h).alias("confidence"), F.round(F.array_min("d"), 9).alias("nearest"), F.round("isolation", 9).alias("isolation"))
-    scored = cut(scored)
-    ref = sample(scored, config.sample_size)
-    both = reference_share(reference_share(scored, ref, "nearest", "near_share"), ref, "isolation", "isolation_share")
-    return both.select("id", "cluster", "confidence", r6((F.col("near_share") + F.col("isolation_share")) / 2).alias("anomaly"))
-
-
-@query("stability_verdict", "SELECT CASE WHEN avg(a) >= 0.9 AND min(a) >= 0.8 THEN 'VERY STRONG' WHEN avg(a) >= 0.75 AND min(a) >= 0.6 THEN 'GOOD' WHEN avg(a) >= 0.5 THEN 'MODERATE' ELSE 'WEAK' END AS verdict FROM (SELECT 1 - l_discount AS a FROM lineitem)")
-def stability_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "lineitem").agg(F.avg(1 - F.col("l_discount")).alias("m"), F.min(1 - F.col("l_discount")).alias("lo"))
-    verdict = F.when((F.col("m") >= 0.9) & (F.col("lo") >= 0.8), "VERY STRONG").when((F.col("m") >= 0.75) & (F.col("lo") >= 0.6), "GOOD").when(F.col("m") >= 0.5, "MODERATE").otherwise("WEAK")
-    return a.select(verdict.alias("verdict"))
+    m = workflows.full_map(grid(spark, sf_dir), SMALL, 2025.0, 2025.0, COLUMNS_WIDE)
+    return m.select("id", "cluster", r6("confidence").alias("confidence"), r6("anomaly").alias("anomaly"))
 
 
 # Published quality figures of three models.
@@ -397,9 +433,13 @@ def bic_aic_from_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "k int, bic double, aic double")
 
 
-@query("centroid_zscore", f"""WITH {DIST}, c AS (SELECT cluster, avg(x[1]) AS x0, avg(x[2]) AS x1 FROM near GROUP BY cluster) SELECT CAST(cluster AS INTEGER) AS cluster, round((x0 - avg(x0) OVER ()) / stddev_pop(x0) OVER (), 6) AS z0, round((x1 - avg(x1) OVER ()) / stddev_pop(x1) OVER (), 6) AS z1 FROM c""")
+_Z = ", ".join(f"round(coalesce((x{i} - avg(x{i}) OVER ()) / nullif(stddev_pop(x{i}) OVER (), 0), 0), 6) AS z{i}" for i in range(DIMS))
+
+
+@query("centroid_zscore", f"""WITH {DIST}, c AS (SELECT cluster, {", ".join(f"avg(x[{i + 1}]) AS x{i}" for i in range(DIMS))} FROM near GROUP BY cluster) SELECT CAST(cluster AS INTEGER) AS cluster, {_Z} FROM c""")
 def centroid_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = distances(spark, sf_dir).groupBy("cluster").agg(F.avg(F.col("x")[0]).alias("x0"), F.avg(F.col("x")[1]).alias("x1"))
+    """Each cluster's mean of each feature against the clusters' means; 0 where they are all alike."""
+    c = distances(spark, sf_dir).groupBy("cluster").agg(*[F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(DIMS)])
     w = Window.partitionBy()  # a row a cluster
-    z = lambda n: r6((F.col(f"x{n}") - F.avg(f"x{n}").over(w)) / F.stddev_pop(f"x{n}").over(w)).alias(f"z{n}")
-    return c.select("cluster", z(0), z(1))
+    z = lambda n: r6(F.coalesce(F.try_divide(F.col(n) - F.avg(n).over(w), F.stddev_pop(n).over(w)), F.lit(0.0)))
+    return c.select("cluster", *[z(f"x{i}").alias(f"z{i}") for i in range(DIMS)])

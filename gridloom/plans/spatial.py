@@ -88,11 +88,56 @@ def region_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_regions(spark, sf_dir).groupBy("region").agg(F.count("*").alias("cells"), F.round(F.sum("area"), 3).alias("area_km2"), *map(pct, range(4)))
 
 
-@query("context_weighted_mean", f"WITH {IN_REGION}, p AS (SELECT region, class, sum(area) AS a, 100 * coalesce(sum(area) FILTER (cluster = 0), 0) / sum(area) AS p0 FROM m GROUP BY 1, 2) SELECT class, round(sum(a * p0) / sum(a), 6) AS pct0 FROM p GROUP BY class")
+SHARES = ", ".join(f"100 * coalesce(sum(area) FILTER (cluster = {c}), 0) / sum(area) AS p{c}" for c in range(4))
+
+
+def region_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(region, class, n, a: area, p0 .. p3: percentage of the area) of each region."""
+    share = lambda c: 100 * F.coalesce(F.sum(F.when(F.col("cluster") == c, F.col("area"))), F.lit(0.0)) / F.sum("area")
+    return in_regions(spark, sf_dir).groupBy("region", "class").agg(F.count("*").alias("n"), F.sum("area").alias("a"), *[share(c).alias(f"p{c}") for c in range(4)])
+
+
+@query("context_weighted_mean", f"WITH {IN_REGION}, p AS (SELECT region, class, sum(area) AS a, {SHARES} FROM m GROUP BY 1, 2) SELECT class, {', '.join(f'round(sum(a * p{c}) / sum(a), 6) AS pct{c}' for c in range(4))} FROM p GROUP BY class")
 def context_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area-weighted mean of the regions' percentages by class."""
-    p = in_regions(spark, sf_dir).groupBy("region", "class").agg(F.sum("area").alias("a"), (100 * F.coalesce(F.sum(F.when(F.col("cluster") == 0, F.col("area"))), F.lit(0.0)) / F.sum("area")).alias("p0"))
-    return p.groupBy("class").agg(r6(F.sum(F.col("a") * F.col("p0")) / F.sum("a")).alias("pct0"))
+    return region_shares(spark, sf_dir).groupBy("class").agg(*[r6(F.sum(F.col("a") * F.col(f"p{c}")) / F.sum("a")).alias(f"pct{c}") for c in range(4)])
+
+
+@query("region_cells_wide", f"WITH {IN_REGION}, t AS (SELECT cluster, sum(area) AS ca, (SELECT sum(area) FROM geo WHERE cluster IS NOT NULL) AS al FROM geo WHERE cluster IS NOT NULL GROUP BY cluster) SELECT region, cluster, CAST(count(*) AS BIGINT) AS cells, round(sum(area), 3) AS area_km2, round(100 * sum(area) / sum(sum(area)) OVER (PARTITION BY region), 6) AS area_pct, round((sum(area) / sum(sum(area)) OVER (PARTITION BY region)) / (any_value(ca) / any_value(al)), 6) AS enrichment FROM m JOIN t USING (cluster) GROUP BY region, cluster")
+def region_cells_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells, area, share and enrichment over the whole map of each cluster in each region."""
+    m = in_regions(spark, sf_dir).where("cluster is not null").groupBy("region", "cluster").agg(F.count("*").alias("cells"), F.sum("area").alias("area"))
+    whole = geo(spark, sf_dir).where("cluster is not null").groupBy("cluster").agg(F.sum("area").alias("ca"))
+    share = F.col("area") / F.sum("area").over(Window.partitionBy("region"))
+    expected = F.col("ca") / F.sum("ca").over(Window.partitionBy())  # a row a cluster
+    both = m.join(F.broadcast(whole.withColumn("expected", expected)), "cluster")
+    return both.select("region", "cluster", "cells", F.round("area", 3).alias("area_km2"), r6(100 * share).alias("area_pct"), r6(share / F.col("expected")).alias("enrichment"))
+
+
+@query("window_clamped", """WITH b AS (SELECT max("row") + 1 AS h FROM clusters), w AS (SELECT greatest(0, CAST(floor((90 - 80.0::DOUBLE) / (180.0 / h)) AS INTEGER)) AS r0, least(h, CAST(floor((90 + 100.0::DOUBLE) / (180.0 / h)) AS INTEGER)) AS r1, greatest(0, CAST(floor((-200.0::DOUBLE + 180) / 12) AS INTEGER)) AS c0, least(30, CAST(floor((-60.0::DOUBLE + 180) / 12) AS INTEGER)) AS c1 FROM b) SELECT "row", col, cluster FROM clusters, w WHERE "row" >= r0 AND "row" < r1 AND col >= c0 AND col < c1""")
+def window_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells from the cell of the upper left corner up to, without it, that of the lower right one; both kept inside the grid."""
+    return geographic_window(clusters(spark, sf_dir), -200.0, -100.0, -60.0, 80.0, rounded=False)
+
+
+@query("window_rounded", """WITH b AS (SELECT max("row") + 1 AS h FROM clusters), w AS (SELECT CAST(floor((90 - 30.0::DOUBLE) / (180.0 / h) + 0.5) AS INTEGER) AS r0, CAST(floor(60.0::DOUBLE / (180.0 / h) + 0.5) AS INTEGER) AS n, CAST(floor((-60.0::DOUBLE + 180) / 12 + 0.5) AS INTEGER) AS c0, CAST(floor(120.0::DOUBLE / 12 + 0.5) AS INTEGER) AS k FROM b) SELECT "row", col, cluster FROM clusters, w WHERE "row" >= r0 AND "row" < r0 + n AND col >= c0 AND col < c0 + k""")
+def window_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offset and size of the box in cells, each rounded."""
+    return geographic_window(clusters(spark, sf_dir), -60.0, -30.0, 60.0, 30.0, rounded=True)
+
+
+def geographic_window(cells: DataFrame, west: float, south: float, east: float, north: float, rounded: bool) -> DataFrame:
+    """Cells of a box in degrees: offset and size rounded to cells, or both corners' cells, clamped and without the last."""
+    height = F.broadcast(cells.agg((F.max("row") + 1).alias("_h")))  # one row
+    tall, wide = 180.0 / F.col("_h"), 360.0 / COLUMNS_WIDE
+    if rounded:
+        r0, c0 = F.floor((90 - north) / tall + 0.5), F.floor(F.lit((west + 180) / wide + 0.5))
+        r1, c1 = r0 + F.floor((north - south) / tall + 0.5), c0 + F.floor(F.lit((east - west) / wide + 0.5))
+    else:
+        r0, c0 = F.greatest(F.lit(0), F.floor((90 - north) / tall)), F.greatest(F.lit(0), F.floor(F.lit((west + 180) / wide)))
+        r1, c1 = F.least(F.col("_h"), F.floor((90 - south) / tall)), F.least(F.lit(COLUMNS_WIDE), F.floor(F.lit((east + 180) / wide)))
+    inside = (F.col("row") >= r0) & (F.col("row") < r1) & (F.col("col") >= c0) & (F.col("col") < c1)
+    return cells.crossJoin(height).where(inside).select(*cells.columns)
 
 
 @query("window_extract", """SELECT "row", col, cluster FROM geo WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -30 AND 30""")
@@ -105,9 +150,10 @@ def ns_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo(spark, sf_dir).where("cluster is not null").groupBy(F.when(F.col("lat") >= -12.5, "north").otherwise("south").alias("part"), "cluster").agg(F.count("*").alias("cells"))
 
 
-@query("region_range_summary", f"WITH {IN_REGION} SELECT region, CAST(count(*) AS BIGINT) AS n, round(avg(cluster), 6) AS mean_cluster, max(cluster) AS max_cluster FROM m GROUP BY region")
+@query("region_range_summary", f"WITH {IN_REGION}, p AS (SELECT region, class, count(*) AS n, {SHARES} FROM m GROUP BY 1, 2) SELECT class, CAST(count(*) AS BIGINT) AS n, {', '.join(f'round(avg(p{c}), 6) AS mean_pct{c}, round(max(p{c}), 6) AS max_pct{c}' for c in range(4))} FROM p GROUP BY class")
 def region_range_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_regions(spark, sf_dir).groupBy("region").agg(F.count("*").alias("n"), r6(F.avg("cluster")).alias("mean_cluster"), F.max("cluster").alias("max_cluster"))
+    """Rows, mean and largest value of each cluster's percentage by class."""
+    return region_shares(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"), *[f for c in range(4) for f in (r6(F.avg(f"p{c}")).alias(f"mean_pct{c}"), r6(F.max(f"p{c}")).alias(f"max_pct{c}"))])
 
 
 @query("geo_transforms", """SELECT "row", col, round(6051000.0 * radians(lon), 3) AS x, round(6051000.0 * radians(lat), 3) AS y, round(degrees(6051000.0 * radians(lon) / 6051000.0), 6) AS lon_back, round(degrees(2 * atan(exp(6051000.0 * radians(lat) / 6051800.0)) - pi() / 2), 6) AS mercator_lat, round(((lon % 360) + 360) % 360, 6) AS lon_360 FROM geo""")

@@ -103,10 +103,16 @@ def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(h)
 
 
-@query("category_mix_summary", f"WITH {MEMBERS}, h AS (SELECT feature, {_CAT} AS category, {_COUNTS} FROM members GROUP BY 1, 2), p AS (SELECT *, 100.0::DOUBLE * c0 / nullif(valid, 0) AS p0 FROM h) SELECT category, round(100.0::DOUBLE * sum(c0) / sum(valid), 6) AS weighted_pct0, round(avg(p0), 6) AS mean_pct0, round(median(p0), 6) AS median_pct0, round(max(p0), 6) AS max_pct0 FROM p GROUP BY category")
+_MIX = ", ".join(f"round(100.0::DOUBLE * sum(c{c}) / sum(valid), 6) AS weighted_pct{c}, round(avg(p{c}), 6) AS mean_pct{c}, round(median(p{c}), 6) AS median_pct{c}, round(max(p{c}), 6) AS max_pct{c}" for c in range(4))
+_P = ", ".join(f"100.0::DOUBLE * c{c} / nullif(valid, 0) AS p{c}" for c in range(4))
+
+
+@query("category_mix_summary", f"WITH {MEMBERS}, h AS (SELECT feature, {_CAT} AS category, {_COUNTS} FROM members GROUP BY 1, 2), p AS (SELECT *, {_P} FROM h) SELECT category, {_MIX} FROM p GROUP BY category")
 def category_mix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = with_units(histogram(zone_members(spark, sf_dir), "feature")).withColumn("p0", ratio(100 * F.col("c0"), F.col("valid")))
-    return p.groupBy("category").agg(r6(ratio(100 * F.sum("c0"), F.sum("valid"))).alias("weighted_pct0"), r6(F.avg("p0")).alias("mean_pct0"), r6(F.median("p0")).alias("median_pct0"), r6(F.max("p0")).alias("max_pct0"))
+    """Each cluster's share of a category: over all cells, and mean, median and largest of the features' shares."""
+    p = with_units(histogram(zone_members(spark, sf_dir), "feature")).withColumns({f"p{c}": ratio(100 * F.col(f"c{c}"), F.col("valid")) for c in range(4)})
+    measures = lambda c: (r6(ratio(100 * F.sum(f"c{c}"), F.sum("valid"))).alias(f"weighted_pct{c}"), r6(F.avg(f"p{c}")).alias(f"mean_pct{c}"), r6(F.median(f"p{c}")).alias(f"median_pct{c}"), r6(F.max(f"p{c}")).alias(f"max_pct{c}"))
+    return p.groupBy("category").agg(*[m for c in range(4) for m in measures(c)])
 
 
 @query("purity_coverage", f"WITH {MEMBERS}, t AS (SELECT cluster, count(*) AS total, sum(count(*)) OVER () AS al FROM clusters WHERE cluster IS NOT NULL GROUP BY cluster), n AS (SELECT feature, cluster, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature) AS f FROM members WHERE cluster IS NOT NULL GROUP BY 1, 2) SELECT feature, cluster, CAST(n AS BIGINT) AS cells, round(100.0::DOUBLE * n / f, 6) AS purity, round(100.0::DOUBLE * n / total, 6) AS coverage, round((n::DOUBLE / f) / (total::DOUBLE / al), 6) AS enrichment FROM n JOIN t USING (cluster)")

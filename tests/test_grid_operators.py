@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.exprs import ordinal, reference_share, valid
 from gridloom.functions.graphs import components
 from gridloom.operators import focal, metrics, models, objects, profiles, samples, zones
-from gridloom.plans import clustering
+from gridloom.plans import clustering, workflows
 from gridloom.sources import files
 
 
@@ -114,7 +117,7 @@ def test_validity(spark):
 
 def test_density_clusters(spark):
     points = [(i, [0.01 * i, 0.0]) for i in range(12)] + [(100 + i, [5.0 + 0.01 * i, 0.0]) for i in range(12)] + [(999, [50.0, 50.0])]
-    out = dict(models.dbscan(spark.createDataFrame(points, "id long, x array<double>"), 0.2, 10).collect())
+    out = dict(models.dbscan(spark.createDataFrame(points, "id long, x array<double>"), 0.2, 10, 2).collect())
     assert {out[i] for i in range(12)} == {0} and {out[100 + i] for i in range(12)} == {100} and out[999] == -1
 
 
@@ -128,13 +131,124 @@ def test_ward_and_isolation(spark):
     assert max(score, key=score.get) == 90 and all(0 < v < 1 for v in score.values())
 
 
-def test_configuration_and_discovery(spark, tmp_path):
-    assert files.Config.from_json('{"k": 5, "unknown": 1}').k == 5
-    files.write_csv(spark.createDataFrame([("0", "a", 3)], "Cluster_ID string, unit string, pixels int"), str(tmp_path / "one"))
-    files.write_csv(spark.createDataFrame([(1,)], "other int"), str(tmp_path / "two"))
-    found = files.discovered_counts(spark, [str(tmp_path / n) for n in ("one", "two", "none")])
-    assert [tuple(r)[:3] for r in found.collect()] == [("0", "a", "3")]
+def test_configuration(spark, tmp_path):
+    assert files.Config.from_json('{"k": 5, "birch_threshold": 0.7, "unknown": 1}') == replace(files.Config(), k=5, birch_threshold=0.7)
+    files.write_json(spark, json.loads(files.Config(k=6).to_json()), str(tmp_path / "config"))
+    assert files.Config.read(spark, str(tmp_path / "config")) == files.Config(k=6) and files.read_json(spark, str(tmp_path / "config"))["output_prefix"] == "v2"
+
+
+def test_discovery_skips_what_is_no_table_of_counts(spark, tmp_path):
+    files.write_csv(spark.createDataFrame([("0", "a", 3), ("0", "b", 1), ("1", "a", 4)], "Cluster_ID string, unit string, pixels int").coalesce(1), str(tmp_path / "in" / "deep" / "one"))
+    files.write_csv(spark.createDataFrame([(1,)], "other int"), str(tmp_path / "in" / "two"))
+    found = files.discovered_counts(spark, [str(tmp_path / "in" / n) for n in ("deep/one", "two", "none")])
+    assert sorted(tuple(r)[:3] for r in found.collect()) == [("0", "a", "3"), ("0", "b", "1"), ("1", "a", "4")]
+    tables = workflows.associations(spark, str(tmp_path / "in"))
+    rows = {(r["cluster"], r["geology"]): r for t in tables.values() for r in t.collect()}
+    assert len(rows) == 3 and rows["0", "a"]["purity"] == pytest.approx(3 / 7) and rows["0", "a"]["enrichment"] == pytest.approx((3 / 7) / (4 / 8))
+    with pytest.raises(FileNotFoundError, match="none"):
+        files.check_inputs(spark, [str(tmp_path / "in" / "two"), str(tmp_path / "none")])
+    assert files.first_readable(spark, [str(tmp_path / "none"), str(tmp_path / "in" / "two")]).columns == ["other"]
+    assert files.read_csv_or_none(spark, str(tmp_path / "none")) is None
+
+
+def test_sinks(spark, tmp_path):
+    grid = cells(spark, [[1, 2, 3], [4, 5, 6]])
+    files.write_blocks(grid, str(tmp_path / "tiles"), 2)
+    assert spark.read.parquet(str(tmp_path / "tiles")).where("block_c = 1").count() == 2
     assert "0.500000" in files.report("t", {"x": 0.5})
+    files.write_report(spark, str(tmp_path / "report"), "stage", {"one": {"x": 0.25}, "two": {"n": 3}})
+    text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "report")).collect())
+    assert "# stage" in text and "## one" in text and "- x: 0.250000" in text and "- n: 3" in text
+    points = spark.createDataFrame([(i, [float(i % 2) * 9 + i / 100, float(i % 3)]) for i in range(60)], "id long, x array<double>")
+    files.write_mixture(models.mixture(points, 2, rounds=5), str(tmp_path / "gmm"))
+    kept = spark.read.parquet(str(tmp_path / "gmm")).collect()
+    assert len(kept) == 2 and sum(r["weight"] for r in kept) == pytest.approx(1) and all(len(r["covariance"]) == 4 for r in kept)
+    assert files.kept_columns(grid, ["cluster", "none", "row"]).columns == ["cluster", "row"]
+    with pytest.raises(ValueError):
+        files.require(grid, ["none"])
+
+
+def test_persisted_scaler_and_centres(spark):
+    df = spark.createDataFrame([(i, float(i), 5.0) for i in range(10)], "id long, a double, b double")
+    scaler = models.scaler(df, ["b", "a"])
+    assert {r["feature"]: r["scale"] for r in scaler.collect()} == {"a": pytest.approx(np.std(range(10))), "b": 1.0}
+    back = models.scaled_columns(models.scaled_columns(df, scaler, ["a", "b"]), scaler, ["a", "b"], inverse=True)
+    assert [r["a"] for r in back.orderBy("id").collect()] == pytest.approx(list(range(10)))
+    centres = models.centroid_table(spark, [[1.0, 5.0], [8.0, 5.0]], ["a", "b"]).select("cluster", "b", "a")
+    found = workflows.predicted(df, scaler, centres, ["a", "b"]).orderBy("id").collect()
+    assert [r["cluster"] for r in found] == [0] * 5 + [1] * 5
+    with pytest.raises(ValueError, match="c"):
+        models.parameters(scaler, ["a", "c"])
+    with pytest.raises(ValueError, match="scale 0"):
+        models.parameters(scaler.withColumn("scale", F.lit(0.0)), ["a"])
+
+
+def three_groups(spark, n=300):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 4)) + np.array([[0, 0, 0, 0], [9, 0, 0, 0], [0, 9, 9, 0]])[np.arange(n) % 3]
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>"), x
+
+
+def test_models_find_three_groups_and_agree(spark):
+    df, x = three_groups(spark)
+    small = replace(files.Config(), k=3, kmeans_n_init=3, kmeans_max_iter=20, gmm_n_init=3, gmm_max_iter=30, minibatch_batch_size=100)
+    labels, pairs, mappings = workflows.consensus(df, small)
+    assert pairs.count() == 6 and pairs.agg(F.min("ari")).first()[0] > 0.97, pairs.collect()
+    assert set(mappings) == {"kmeans", "minibatch", "gmm", "birch"}
+    rows = labels.orderBy("id").collect()
+    assert all(r["consensus"] == rows[i % 3]["consensus"] for i, r in enumerate(rows)) and all(0 <= r["entropy"] <= 1 for r in rows)
+    runs, pairs, centres = workflows.stability(df, small, seeds=(0, 1, 42))
+    assert runs.count() == 3 and pairs.count() == 3 and centres.count() == 9 and all(sum(r["sizes"]) == 300 for r in runs.collect())
+    sweep = workflows.k_sweep(df, 4, ks=(2, 3, 4), starts=1, rounds=20).collect()
+    assert [r["k"] for r in sweep if r["best_silhouette"]] == [3]
+    u = workflows.uncertainty(df, workflows.centres_of(workflows.fitted(df, small))).collect()
+    assert len(u) == 300 and 0 <= np.mean([r["confidence"] for r in u]) <= 1 and all(sum(r["p"]) == pytest.approx(1) for r in u)
+
+
+def test_silhouette_and_tenth_neighbour_against_numpy(spark):
+    df, x = three_groups(spark, 90)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    label = np.arange(90) % 3
+    a = np.array([d[i][label == label[i]].sum() / (sum(label == label[i]) - 1) for i in range(90)])
+    b = np.array([min(d[i][label == c].mean() for c in range(3) if c != label[i]) for i in range(90)])
+    got = metrics.silhouette(df.withColumn("l", (F.col("id") % 3).cast("int")), "l", "x").first()[0]
+    assert got == pytest.approx(((b - a) / np.maximum(a, b)).mean())
+    found = dict(models.kth_distances(df, 10, 0.05).collect())
+    assert len(found) == 90 and np.allclose([found[i] for i in range(90)], np.sort(d, axis=1)[:, 9])
+
+
+def test_density_clusters_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(0, 0.1, (120, 3)), rng.normal(1, 0.1, (120, 3)), rng.uniform(-3, 3, (60, 3)), np.zeros((30, 3))])
+    got = dict(models.dbscan(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>"), 0.15, 8, 3).collect())
+    close = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.15
+    core = close.sum(1) >= 8
+    label = np.where(core, np.arange(len(x)), 10**6)
+    for _ in range(60):
+        label = np.array([min([label[i], *label[close[i] & core]]) if core[i] else 10**6 for i in range(len(x))])
+    full = [label[i] if core[i] else min(label[close[i] & core], default=10**6) for i in range(len(x))]
+    assert [got[i] for i in range(len(x))] == [-1 if v == 10**6 else v for v in full] and len(set(full)) > 2
+
+
+def test_combined_anomaly_ranks_by_brute_force(spark):
+    df, x = three_groups(spark, 150)
+    out = workflows.anomalies(df, [[0.0] * 4, [9.0, 0, 0, 0]], replace(files.Config(), isolation_estimators=20)).toPandas().sort_values("id")
+    for column, rank in (("d1", "centroid_percentile"), ("isolation", "isolation_percentile")):
+        order = np.lexsort((out.id, out[column]))
+        place = np.empty(150)
+        place[order] = np.arange(150) / 149
+        assert np.allclose(out[rank], place)
+    assert np.allclose(out.combined, (out.centroid_percentile + out.isolation_percentile) / 2) and out.outlier.sum() == 2
+
+
+def test_harmonised_tables(spark):
+    a = spark.createDataFrame([("Pl", " plains ", "12", "80.5", "x")], "usgs_type string, description string, valid_pixels string, cluster_1_percentage string, other string")
+    b = spark.createDataFrame([("Cr", 70.0, 10.0, 5.0, 15.0, "many")], "Geology string, C0_pct double, C1_pct double, C2_pct double, C3_pct double, feature_pixels string")
+    both = workflows.harmonised(a, "north", "polygon").unionByName(workflows.harmonised(b, "south", "unit"))
+    assert len(both.columns) == 16
+    one, two = both.orderBy("region").collect()
+    assert (one["geology"], one["unit_code"], one["valid_pixels"], one["C1_pct"], one["C0_pct"], one["dominant_cluster"]) == ("plains", "Pl", 12.0, 80.5, None, 1)
+    assert (two["geology"], two["valid_pixels"], two["dominant_cluster"], two["dominant_purity"]) == ("Cr", None, 0, 70.0)
 
 
 def test_map_scores_use_all_features_and_both_shares(spark, monkeypatch):
