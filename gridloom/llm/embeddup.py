@@ -1,7 +1,8 @@
 """Embedding near-duplicates over hierarchical navigable small-world graphs.
 
-Equal vectors are one class.  Classes are dealt to shards by a hash; each shard builds one graph.  Every class queries
-every shard, a block of queries at a time.  A query whose whole beam is linked gets a wider beam until the beam ends
+Equal vectors are one class.  Classes are dealt to shards by a hash, bounded in rows and bytes; each shard builds one graph.
+Every class queries every shard: a shard's graph and the queries meet in a task that reads the graph once and then streams
+the queries, a block at a time; only for every ``PART_ROWS`` queries does the graph travel once more.  A query whose whole beam is linked gets a wider beam until the beam ends
 outside the threshold or holds the shard; one query in ``AUDIT`` is also compared with the whole shard, more of them until the audit
 has ``EVIDENCE`` links of different classes.  Unless the links found reach ``RECALL`` of the true ones the block is searched
 again with twice the beam; where the beam ``WIDEST`` still fails, or all queries were audited, the block's links are those
@@ -16,6 +17,7 @@ null id (component null); repeated rows count once and come back repeated; other
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import table, written
-from gridloom.llm.graphs import components
+from gridloom.llm.graphs import components, forest
 from gridloom.llm.hnsw import Graph
-from gridloom.llm.vectors import doubles, matrix
+from gridloom.llm.vectors import matrix, usable_vectors
 
 COSINE = 0.9
-#: At least so many shards; more as soon as one would hold over ``SHARD_ROWS`` vectors.
-SHARDS, SHARD_ROWS = 8, 65_536
-#: Queries that meet a shard in one task.
-BLOCK_ROWS = 8_192
+#: At least so many shards; more as soon as one would hold over ``SHARD_ROWS`` vectors or about ``SHARD_BYTES`` bytes.
+SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 65_536, 1 << 28
+#: Queries that are searched together, and those that meet a shard in one task.
+BLOCK_ROWS, PART_ROWS = 8_192, 65_536
 BEAM, AUDIT, RECALL = 32, 16, 0.98
 #: Audited links below which more queries are audited; beam after which a block is compared with the shard exactly.
 EVIDENCE, WIDEST = 100, 512
@@ -43,10 +45,11 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def indexed(classes: pa.Table) -> pa.Table:
-    """One row: the shard's graph with its ids and sizes."""
+    """One row: the shard's graph with its ids, sizes and vectors as they came."""
     order = np.argsort(classes.column("rep").to_numpy())
-    rows = unit(matrix(classes.column("embedding"))[order])
-    payload = pickle.dumps((classes.column("rep").to_numpy()[order], classes.column("copies").to_numpy()[order], rows, Graph(rows)), protocol=5)
+    own = classes.column("embedding").combine_chunks()
+    rows = own.flatten().to_numpy().reshape(len(own), -1)[order]
+    payload = pickle.dumps((classes.column("rep").to_numpy()[order], classes.column("copies").to_numpy()[order], rows, Graph(unit(rows.astype(np.float64)))), protocol=5)
     return pa.table({"shard": classes.column("shard")[:1].cast(pa.string()), "payload": pa.array([payload], pa.large_binary()).cast(pa.binary())})
 
 
@@ -102,57 +105,64 @@ def found_links(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.nda
         beam = min(beam * 2, len(rows))
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star of each component of the pairs: (smallest id, id)."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new[new]]
-        if (new == label).all():
-            break
-        label = new
-    out = label != np.arange(len(ids))
-    return ids[label[out]], ids[out]
-
-
 def searched(cosine: float):
-    def run(shard: pa.Table, block: pa.Table) -> pa.Table:
-        rep, other, links = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if shard.num_rows and block.num_rows:
-            ids, copies, rows, graph = pickle.loads(shard.column("payload")[0].as_py())
-            own = block.column("rep").to_numpy()
-            place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-            q, s = found_links(graph, rows, unit(matrix(block.column("embedding"))), np.where(ids[place] == own, place, -1), cosine)
-            n = np.bincount(q, weights=copies[s], minlength=len(own)).astype(np.int64)
-            a, b = forest(own[q], ids[s])
-            rep, other, links = [own[n > 0], a], [own[n > 0], b], [n[n > 0], np.zeros(len(a), np.int64)]
-        return pa.table({"rep": np.concatenate(rep), "other": np.concatenate(other), "links": np.concatenate(links)})
+    """For rows sorted by shard, part and role: the graph of each part, then its queries, block by block."""
+
+    def answered(shard, block: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, copies, rows, graph = shard
+        own = np.concatenate([b.column("rep").to_numpy() for b in block])
+        place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        q, s = found_links(graph, rows, unit(np.vstack([matrix(b.column("embedding")) for b in block])), np.where(ids[place] == own, place, -1), cosine)
+        n = np.bincount(q, weights=copies[s], minlength=len(own)).astype(np.int64)
+        a, b = forest(own[q], ids[s])
+        columns = (np.concatenate([own[n > 0], a]), np.concatenate([own[n > 0], b]), np.concatenate([n[n > 0], np.zeros(len(a), np.int64)]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "other", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, block, held = None, [], 0
+        for batch in batches:
+            heads = np.flatnonzero(batch.column("payload").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            at = 0
+            while at < batch.num_rows:
+                if heads and heads[0] == at:
+                    if block:
+                        yield from answered(shard, block)
+                    ids, copies, rows, graph = pickle.loads(batch.column("payload")[heads.pop(0)].as_py())
+                    rows = unit(rows.astype(np.float64))
+                    shard, block, held, at = (ids, copies, rows, graph.attach(rows)), [], 0, at + 1
+                    continue
+                end = min(heads[0] if heads else batch.num_rows, at + BLOCK_ROWS - held)
+                block.append(batch.slice(at, end - at))
+                held, at = held + end - at, end
+                if held == BLOCK_ROWS:
+                    yield from answered(shard, block)
+                    block, held = [], 0
+        if block:
+            yield from answered(shard, block)
 
     return run
 
 
 def near_vectors(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``df`` (columns vec_id, embedding)."""
-    vectors = doubles(df)
-    classes = vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    n = classes.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK_ROWS))
-    place = F.pmod(F.xxhash64("rep"), F.lit(shards))
+    vectors = usable_vectors(df)
+    classes = written(vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "embeddup-classes")
+    n, dims = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    shards, parts = max(SHARDS, -(-n // max(1, min(SHARD_ROWS, SHARD_BYTES // (16 * (dims or 1)))))), max(1, -(-n // PART_ROWS))
     name = lambda k: F.concat_ws("-", F.size("embedding"), k)  # noqa: E731  shards of one length of vector
-    dealt = written(classes.withColumns({"shard": name(place), "block": F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)).cast("int")}), "embeddup-classes")
+    dealt = classes.withColumns({"shard": name(F.pmod(F.xxhash64("rep"), F.lit(shards))), "part": F.pmod(F.xxhash64("rep", F.lit("part")), F.lit(parts)).cast("int")})
     graphs = written(dealt.groupBy("shard").applyInArrow(indexed, "shard string, payload binary"), "embeddup-graphs")
-    asked = dealt.select("rep", "embedding", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("k")).withColumn("shard", name("k")).drop("k")
-    offered = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = written(offered.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(searched(cosine), "rep long, other long, links long"), "embeddup-links")
+    kind = dict(vectors.dtypes)["embedding"]
+    asked = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("k"), "rep", "embedding", "part").select(name("k").alias("shard"), "part", F.lit(None).cast("binary").alias("payload"), "rep", "embedding")
+    # a query whose shard has no vector of its length meets no graph
+    asked = asked.join(F.broadcast(graphs.select("shard")), "shard", "left_semi")  # a name a shard
+    offered = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "payload", F.lit(None).cast("long").alias("rep"), F.lit(None).cast(kind).alias("embedding"))
+    met = offered.unionByName(asked).withColumn("role", F.col("payload").isNull()).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "role")
+    found = written(met.select("payload", "rep", "embedding").mapInArrow(searched(cosine), "rep long, other long, links long"), "embeddup-links")
 
     counts = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(found.where("links = 0").select(F.col("rep").alias("a"), F.col("other").alias("b")), "embeddup-components").withColumnRenamed("node", "rep")
-    of_class = dealt.select("embedding", "rep", "copies").join(counts, "rep", "left").join(named, "rep", "left")
+    of_class = classes.join(counts, "rep", "left").join(named, "rep", "left")
     of_vector = vectors.join(of_class, "embedding").groupBy("vec_id").agg(F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component"))
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id")).join(of_vector, "vec_id", "left")
     component = F.coalesce("component", "vec_id")

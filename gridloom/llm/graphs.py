@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import written
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning star of each component of the pairs: (smallest id, id)."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new[new]]
+        if (new == label).all():
+            break
+        label = new
+    out = label != np.arange(len(ids))
+    return ids[label[out]], ids[out]
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node that ``links`` (columns a, b) touches; a component is named by its smallest node.
 

@@ -17,9 +17,8 @@ class Graph:
 
     def __init__(self, rows: np.ndarray, links: int = LINKS, beam: int = 48, seed: int = 5) -> None:
         n = len(rows)
-        self.order = np.random.default_rng(seed).permutation(n)
-        self.x = np.ascontiguousarray(rows[self.order], dtype=np.float32)
-        self.norm = np.einsum("ij,ij->i", self.x, self.x)
+        self.order = np.random.default_rng(seed).permutation(n).astype(np.int32)
+        self.attach(rows)
         sizes = [n]
         while sizes[-1] > TOP:
             sizes.append(-(-sizes[-1] // THINNING))
@@ -28,6 +27,16 @@ class Graph:
         for size in sizes[-2::-1]:
             self._grow(size, links, beam)
 
+    def __getstate__(self) -> dict:
+        """Without the vectors, which whoever keeps the graph has anyway."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("x", "norm")}
+
+    def attach(self, rows: np.ndarray) -> "Graph":
+        """The graph over the rows it was built on."""
+        self.x = np.ascontiguousarray(rows[self.order], dtype=np.float32)
+        self.norm = np.einsum("ij,ij->i", self.x, self.x)
+        return self
+
     def _far(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Squared distance of each query (row of q) to its nodes (row of nodes)."""
         return np.maximum(0, np.einsum("ij,ij->i", q, q)[:, None] + self.norm[nodes] - 2 * np.matmul(self.x[nodes], q[:, :, None])[:, :, 0])

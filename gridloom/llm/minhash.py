@@ -10,12 +10,15 @@
    ``live - MATCHES + 1`` lists of both members; the long lists behind them are never merged.
 4. First every list's members are paired with one member alone, the one whose lists are the most crowded (the text that
    most copies were made from).  Collisions over whole signatures are counted, pairs above the threshold are confirmed on
-   the full shingle sets, and confirmed links contract the lists.  Then lists that still hold several components are
-   merged: members of different components are compared in blocks, each pair only in the first list it shares, and the
-   pairs whose long signatures collide in ``BIN_PERCENT`` of their bins are confirmed.  Inside a component a further link would
-   not change the result.
+   the full shingle sets, a head's text travelling once for ``STAR`` members, and confirmed links contract the lists.  Then lists
+   that still hold several components are merged: members of different components are compared in blocks, each pair only in
+   the first list it shares.  Members with a partner whose long signature collides in ``BIN_PERCENT`` of the bins get their
+   texts, once for each pair of blocks; there all common shingles are counted by one sparse product, and a block hands on a
+   spanning forest of its true links.  So neither the candidates' pairs nor a text for each pair are ever written out.
+   Inside a component a further link would not change the result.
 5. Components of the confirmed links, named by the smallest id.
 
+Rows that share an id but not the text are one node: each text is compared, and a link of either counts for the id.
 Defined results: null or wordless texts have no shingles and link with nothing; fewer words than a shingle count as one
 shingle; a null id links with nothing; repeated rows come back repeated, in one component; texts are read whole.
 """
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import table, written
-from gridloom.llm.graphs import components
+from gridloom.llm.graphs import components, forest
 from gridloom.llm.words import shingle_set, texts_words
 
 WORDS, PERCENT = 5, 75
@@ -41,8 +44,10 @@ COORDINATES, MATCHES = 32, 14
 #: Bins of the long signature (one minimum a bin) and the percentage of used bins that must be equal; a pair at 75 % has
 #: fewer with a probability below 1e-5, and for sets much smaller than the bins the share is all but exact.
 BINS, BIN_PERCENT = 1_024, 69
-#: Members of a list compared with each other at once.
-BLOCK = 1_024
+#: Members of a list compared with each other at once, and of a star that share one copy of its head's text.
+BLOCK, STAR = 512, 256
+#: Shingles counted at once in a block.
+COLUMNS = 8_192
 
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,39 +94,108 @@ def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def compressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): texts squeezed for the way to their pairs."""
+    """(doc_id, print, packed): texts squeezed for the way to their partners, and what tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([squeeze.compress(t) for t in lowered(batch.column("text").to_pylist())], pa.binary())], ["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array([squeeze.compress(t) for t in lowered(batch.column("text").to_pylist())], pa.binary())], ["doc_id", "print", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, packed binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("print"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, print long, packed binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets overlap enough."""
-    packed = compressed(docs)
-    both = pairs.join(packed.withColumnsRenamed({"doc_id": "a", "packed": "of_a"}), "a").join(packed.withColumnsRenamed({"doc_id": "b", "packed": "of_b"}), "b")
+def sets_of(part: pa.RecordBatch, words: int) -> list[np.ndarray]:
+    """The shingle sets of the column ``packed``."""
+    loosen = zstandard.ZstdDecompressor()
+    return [shingle_set(h, words) for _, h in texts_words([loosen.decompress(t.as_py()) for t in part.column("packed")])]
+
+
+def star_links(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a: the head, b) whose full shingle sets overlap enough."""
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("rep"))
+    heads = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("rep"))
+    with_texts = members.unionByName(heads).join(compressed(docs), F.col("rep") == F.col("doc_id")).drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loosen = zstandard.ZstdDecompressor()
+        star, row, head = None, None, []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets: dict[int, np.ndarray] = {}
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                texts = dict(zip([*a, *b], [*part.column("of_a"), *part.column("of_b")]))
-                keys = list(texts)
-                for i, hashes in texts_words([loosen.decompress(texts[k].as_py()) for k in keys]):
-                    sets[keys[i]] = shingle_set(hashes, words)
-                keep = []
-                for x, y in zip(a, b):
-                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    keep.append(100 * common >= percent * (len(sets[x]) + len(sets[y]) - common))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                found: set[tuple[int, int]] = set()
+                for a, p, role, rep, mark, own in zip(*(part.column(c).to_pylist() for c in ("a", "part", "role", "rep", "print")), sets_of(part, words)):
+                    if star != (a, p):
+                        star, head = (a, p), []
+                    if row == (star, role, rep, mark):  # the same text again
+                        continue
+                    row = (star, role, rep, mark)
+                    if not role:
+                        head.append(own)
+                        continue
+                    common = [len(np.intersect1d(h, own, assume_unique=True)) for h in head]
+                    if any(100 * c >= percent * (len(h) + len(own) - c) for c, h in zip(common, head)):
+                        found.add((a, rep))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return with_texts.repartition("a", "part").sortWithinPartitions("a", "part", "role", "rep", "print").mapInArrow(run, "a long, b long")
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One record batch for each run of rows with equal key, i and j."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(key)]):
+            if b > a:
+                name = (key[a], i[a], j[a])
+                if name != last and held:
+                    yield joined()
+                    held = []
+                last = name
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield joined()
+
+
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: products of their 0/1 rows, some columns at a time."""
+    sets = [*left, *right]
+    sizes = [len(x) for x in sets]
+    shingle, column = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(column, minlength=len(shingle)) > 1
+    new = np.where(often, np.cumsum(often) - 1, -1)[column]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(new, kind="stable")
+    new, row = new[order], row[order]
+    out = np.zeros((len(left), len(right)))
+    for a in range(0, int(often.sum()), COLUMNS):
+        lo, hi = np.searchsorted(new, [a, a + COLUMNS])
+        here = np.zeros((len(sets), COLUMNS), np.float32)
+        here[row[lo:hi], new[lo:hi] - a] = 1
+        out += here[: len(left)] @ here[len(left) :].T
+    return out
+
+
+def block_links(met: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A spanning forest (a, b) of the links in each pair of blocks; ``met`` has key, i, j, block and rep."""
+    with_texts = met.join(compressed(docs), F.col("rep") == F.col("doc_id")).drop("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches):
+            rep, block, mark = (group.column(c).to_numpy() for c in ("rep", "block", "print"))
+            new = np.concatenate([[True], (rep[1:] != rep[:-1]) | (mark[1:] != mark[:-1]) | (block[1:] != block[:-1])])
+            rep, block, sets = rep[new], block[new], sets_of(group.filter(pa.array(new)), words)
+            left, right = (np.flatnonzero(block == group.column(c)[0].as_py()) for c in "ij")
+            if len(left) and len(right):
+                common, size = common_shingles([sets[k] for k in left], [sets[k] for k in right]), np.array([len(x) for x in sets])
+                p, q = np.nonzero((100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)) & (rep[left][:, None] != rep[right][None, :]))
+                a, b = forest(rep[left[p]], rep[right[q]])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return with_texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "rep", "print").mapInArrow(run, "a long, b long")
 
 
 def alike(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -133,20 +207,19 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def merged(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of different components that collide often enough, from open lists.
+    """(key, i, j, block, rep): members of open lists that collide often enough with one of another component.
 
     ``rows`` has key, i, j (the blocks met here), block, rep, component, n, mask (the lists of the member's prefix, a bit
-    for each coordinate), signature and bins.  Rows come sorted by key, i and j; a group has at most two blocks.
+    for each coordinate), signature and bins.
     """
 
-    def pairs(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def colliding(part: pa.RecordBatch) -> np.ndarray:
         get = lambda c: part.column(c).to_numpy()
         rep, comp, n, mask, block = get("rep"), get("component"), get("n"), get("mask"), get("block")
         sig = part.column("signature").flatten().to_numpy().reshape(len(rep), -1)
         bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(len(rep), BINS)
         i, j, key = part.column("i")[0].as_py(), part.column("j")[0].as_py(), part.column("key")[0].as_py()
-        here = np.uint32(1) << np.uint32(key >> 32)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left, right, out = np.flatnonzero(block == i), np.flatnonzero(block == j), np.zeros(len(rep), bool)
         for a in range(0, len(left), 128):
             x = left[a : a + 128]
             ok = (comp[x][:, None] != comp[right][None, :]) & (100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :]))
@@ -165,29 +238,16 @@ def merged(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                 x_bins, y_bins = bins[u], bins[v]
                 used = (x_bins | y_bins) != 0
                 near = 100 * ((x_bins == y_bins) & used).sum(1) >= BIN_PERCENT * used.sum(1)
-                yield np.minimum(rep[u[near]], rep[v[near]]), np.maximum(rep[u[near]], rep[v[near]])
+                out[u[near]] = out[v[near]] = True
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held and sum(h.num_rows for h in held) > 1:
-                for a, b in pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(key)]):
-                name = (key[a], i[a], j[a])
-                if name != last:
-                    yield from flush()
-                    held, last = [], name
-                held.append(batch.slice(a, b - a))
-        yield from flush()
+        for group in grouped(batches):
+            if group.num_rows > 1:
+                yield group.select(["key", "i", "j", "block", "rep"]).filter(pa.array(colliding(group)))
 
-    return rows.select("key", "i", "j", "block", "rep", "component", "n", "mask", "signature", "bins").mapInArrow(run, "a long, b long")
+    dealt = rows.select("key", "i", "j", "block", "rep", "component", "n", "mask", "signature", "bins").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "key long, i int, j int, block int, rep long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -205,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     heads = prefix.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("size")).where("size > 1").select("key", (-F.col("top.minus")).alias("a"))
     stars = prefix.join(heads, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = written(confirmed(alike(stars, classes, percent), docs, words, percent), "minhash-links")
+    links = written(star_links(written(alike(stars, classes, percent), "minhash-stars"), docs, words, percent), "minhash-links")
     first = components(links, "minhash-first")
 
     # lists that still hold several components; a class without a link is its own
@@ -215,9 +275,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     masks = prefix.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))").alias("mask"))
     full = open_.join(masks, "rep").join(classes.select("rep", "n", "signature", "bins"), "rep")
     met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rest = written(merged(met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), percent), "minhash-rest")
+    rest = written(merged(met, percent), "minhash-rest")
     if not rest.isEmpty():
-        more = written(confirmed(rest, docs, words, percent), "minhash-more")
+        more = written(block_links(rest, docs, words, percent), "minhash-more")
         if not more.isEmpty():
             first = components(links.unionByName(more), "minhash-second")
 

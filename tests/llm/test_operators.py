@@ -270,6 +270,44 @@ def test_near_duplicates_in_crowded_lists(spark, monkeypatch):
     assert [out[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_near_duplicates_of_a_family_just_below_the_threshold(spark):
+    """2,000 texts that share a frame: nearly every pair is alike in 70 to 75 of 100 shingles and few are linked."""
+    rng = random.Random(11)
+    frame, texts = words(176, 31), []
+    for i in range(2000):
+        own = list(frame)
+        for at in rng.sample(range(5), 1) + [20, 50, 80, 110, 140]:
+            own[at] = f"q{i}"
+        texts.append(" ".join(own))
+    for i in range(0, 2000, 100):
+        texts[i + 1] = texts[i] + " tail"
+    out = dict(minhash.near_duplicates(docs(spark, texts)).select("doc_id", "component_id").collect())
+    sets = [np.unique([zlib.crc32(b" ".join(x)) for x in shingles(t)]) for t in texts]
+    common = minhash.common_shingles(sets, sets)
+    size = np.array([len(x) for x in sets])
+    link = 100 * common >= 75 * (size[:, None] + size[None, :] - common)
+    shares = (common / (size[:, None] + size[None, :] - common))[~link]
+    assert np.quantile(shares, 0.5) > 0.69 and 20 <= link.sum() - 2000 < 4000
+    label = np.arange(2000)
+    for _ in range(6):
+        label = np.array([label[link[i]].min() for i in range(2000)])
+    assert [out[i] for i in range(2000)] == label.tolist()
+
+
+def test_common_shingles_by_brute_force(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(12)]
+    assert minhash.common_shingles(sets[:5], sets[5:]).tolist() == [[len(set(x) & set(y)) for y in sets[5:]] for x in sets[:5]]
+
+
+def test_near_duplicate_texts_of_one_id_are_compared_each(spark):
+    base = words(60, 71)
+    rows = [(1, " ".join(words(50, 72))), (1, " ".join(base)), (2, " ".join([*base, "tail"])), (3, " ".join(words(40, 73)))]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").distinct().collect()
+    assert sorted(map(tuple, out)) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_near_duplicate_corner_cases(spark, odd, none):
     out = minhash.near_duplicates(odd.select("doc_id", "text")).collect()
     assert len(out) == 7 and sum(r["doc_id"] is None and r["component_id"] is None for r in out) == 1
@@ -374,6 +412,62 @@ def test_audit_of_links_leaves_out_the_query_itself(linked, third):
     assert sorted(zip(q.tolist(), s.tolist())) == sorted((i, i ^ 1) for i in range(linked))
 
 
+def test_vector_links_through_graphs_of_several_layers(spark):
+    """6,000 vectors in 8 shards of about 750, planted links on both sides of the threshold, repeated vectors among them."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 24))
+    for i in range(0, 3000, 3):
+        step = rng.normal(size=(2, 24))
+        x[i + 1 : i + 3] = x[i] + np.linalg.norm(x[i]) * np.array([[0.44], [0.5]]) * step / np.linalg.norm(step, axis=1, keepdims=True)
+    x[5900:] = x[:100]
+    x = x.astype(np.float32)
+    out = embeddup.near_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")).toPandas().set_index("vec_id").sort_index()
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    assert link.sum() - 6000 > 2000
+    label = np.arange(6000)
+    for _ in range(20):
+        label = np.array([label[link[i]].min() for i in range(6000)])
+    assert out.n_links.sum() >= 0.98 * (link.sum() - 6000) and (out.n_links.to_numpy() <= link.sum(1) - 1).all()
+    assert (out.component_id.to_numpy() == label).mean() >= 0.99 and (out.component_id.to_numpy() >= label).all()
+
+
+def test_nearest_neighbours_with_lists_left_out(spark):
+    """8,000 clustered vectors of mixed lengths: recall, the worst query, and that most lists are not looked at."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(0, 60, 8000)] + 0.2 * rng.normal(size=(8000, 16))) * rng.uniform(0.5, 2, (8000, 1))
+    x = x.astype(np.float32)
+    looked = []
+    sent = ann.sent_to_tasks
+
+    def counted(queries, router, ratio, pieces):
+        lists = router.value.near(router.value.lifted(x[::20].astype(float), True), ratio, least=ann.LEAST_LISTS)
+        looked.append(np.mean([len(own) for own in lists]) / len(router.value.centroids))
+        return sent(queries, router, ratio, pieces)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ann, "sent_to_tasks", counted)
+        out = ann.nearest_neighbours(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
+    s = x[::20].astype(float) @ x.astype(float).T
+    s[np.arange(400), np.arange(0, 8000, 20)] = -np.inf
+    true = np.argsort(-s, axis=1)[:, :20]
+    found = {q: set(g.vec_id) for q, g in out.groupby("query_id")}
+    recall = np.array([len(found[20 * i] & set(true[i].tolist())) / 20 for i in range(400)])
+    assert looked[0] < 0.6 and recall.mean() >= 0.95 and np.quantile(recall, 0.02) >= 0.7, (looked, recall.mean(), recall.min())
+
+
+def test_nearest_neighbours_of_repeated_and_tied_vectors(spark):
+    """One vector that most rows share, and pairs of equal score: ties go to the smaller id."""
+    rows = [(i, [1.0, 0.0]) for i in range(200)] + [(300 + i, [0.5, 0.5 if i % 2 else -0.5]) for i in range(6)]
+    out = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas().sort_values(["query_id", "rank"])
+    assert sorted(out.query_id.unique()) == [*range(0, 200, 20), 300]
+    for q in range(0, 200, 20):
+        assert out[out.query_id == q].vec_id.tolist() == [i for i in range(21) if i != q][:20]
+    assert out[out.query_id == 300].vec_id.tolist() == list(range(20)) and set(out[out.query_id == 300].score) == {0.5}
+
+
 def test_nearest_neighbours_by_brute_force(spark):
     x = cloud(600, seed=4).astype(float)
     df = vector_table(spark, cloud(600, seed=4))
