@@ -9,10 +9,12 @@ A window is ``WINDOW`` consecutive words.  Every word that lies in a window whos
 2. Texts are dealt to shards by id; the shard count follows the corpus size.  A shard gets the spellings of the recurring
    phrases met in it, compiles them into one Aho-Corasick automaton without a look at its texts, and streams these, spelled,
    through the automaton, which locates every occurrence.  Windows whose phrase was located are candidates.
-3. Candidates are judged first inside the shard (so a passage that very many texts share leaves one row a shard), then
-   over all shards by the smallest id per window.  Windows are compared by 96 bits of hash over their whole words: among 10**13
-   windows one pair would be taken for equal by mistake with a probability below 0.001.
-4. The removed windows of each text, gathered by text, are cut out.
+3. Candidates are judged first inside the shard (so a passage that very many texts share leaves one row a shard).  What is left
+   goes on as segments, the neighbouring windows of one located phrase: of segments equal as a whole all but those of the smallest
+   id are removed, and only where a phrase has different segments are windows compared one by one.  Equal means the same
+   phrase and the same 64 bits of hash over the whole words.
+4. The removed windows of each text, gathered by text, go back to the shards, whose texts were shuffled once for both uses,
+   and are cut out there.
 
 Defined results: null text has no words; texts below ``WINDOW`` words keep everything; rows with a null id are neither
 compared nor cut; rows that share an id are told apart by text, and windows at the same id and start do not count as
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,18 +107,27 @@ def automaton(phrases: np.ndarray, phrase: int):
     return out
 
 
-FOUND = "window long, doc_id long, print long, place long"
-#: A place is the first word << 33, a bit that says whether the row stands for removed windows, and 32 bits: how many of them, or more of the window's hash.
-GONE, LOW = 1 << 32, (1 << 32) - 1
+FOUND = "phrase long, segment long, doc_id long, print long, place long, windows array<long>"
+#: A place is the first window << 32 and the number of windows.
+LOW = (1 << 32) - 1
 
 
 def judged(window: int, phrase: int):
-    """The shard's work: locate phrases, judge candidate windows inside the shard."""
+    """The shard's work: locate phrases, judge candidate windows inside the shard.
+
+    A row is a segment of windows that stay so far, or, without a list of windows, a run of removed ones (under a key of its own).
+    """
+
+    def table(phrase, segment, doc_id, mark, place, sizes, windows) -> pa.Table:
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(windows), mask=pa.array(sizes == 0))
+        return pa.table({"phrase": phrase.view(np.int64), "segment": segment.view(np.int64), "doc_id": doc_id, "print": mark, "place": place, "windows": lists})
+
+    none = table(*(np.empty(0, np.int64) for _ in range(7)))
 
     def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
-        none = {f.split(" ")[0]: np.empty(0, np.int64) for f in FOUND.split(", ")}
         if not texts.num_rows or not wanted.num_rows:
-            return pa.table(none)
+            return none
+        texts = texts.filter(pc.is_valid(texts.column("doc_id")))
         loosen = zstandard.ZstdDecompressor()
         ids, prints = texts.column("doc_id").to_numpy(), texts.column("print").to_numpy()
         order = np.lexsort((prints, ids))
@@ -124,7 +136,7 @@ def judged(window: int, phrase: int):
         prints = np.where(np.isin(ids, twins), prints, 0)
         machine = automaton(wanted.column("phrase").to_numpy(), phrase)
         raw = texts.column("text")
-        keys, more, owners, starts = [], [], [], []
+        keys, names, spots, owners, starts = [], [], [], [], []
         for i, words in texts_words([loosen.decompress(raw[int(k)].as_py()) for k in order]):
             letters = spelled_out(words)
             grams, at = phrase_starts(letters, window, phrase)
@@ -135,89 +147,102 @@ def judged(window: int, phrase: int):
             own = np.flatnonzero(located[at])
             if len(own):
                 keys.append(long_rolling(words, window)[own])
-                more.append(long_rolling(words ^ np.uint64(0x5BD1E995), window)[own] & np.uint64(LOW))
+                names.append(grams[at[own]])
+                spots.append(at[own])
                 owners.append(np.full(len(own), i))
                 starts.append(own)
         if not keys:
-            return pa.table(none)
-        key, extra, owner, start = np.concatenate(keys), np.concatenate(more), np.concatenate(owners), np.concatenate(starts)
+            return none
+        key, name, spot, owner, start = (np.concatenate(x) for x in (keys, names, spots, owners, starts))
         # the first of equal windows: rows come by id and start
-        by = np.lexsort((np.arange(len(key)), extra, key))
-        new = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (extra[by][1:] != extra[by][:-1])])
+        by = np.lexsort((np.arange(len(key)), name, key))
+        new = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (name[by][1:] != name[by][:-1])])
         first = np.empty(len(key), np.int64)
         first[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
         gone = (ids[owner] != ids[owner[first]]) | (start != start[first])
-        # removed windows that follow each other become one row, under a key of their own
-        g_owner, g_start = owner[gone], start[gone]
-        head = np.flatnonzero(np.concatenate([[True], (g_owner[1:] != g_owner[:-1]) | (g_start[1:] != g_start[:-1] + 1)])) if len(g_owner) else np.empty(0, np.int64)
-        size = np.diff(np.append(head, len(g_owner)))
-        o = np.concatenate([owner[~gone], g_owner[head]])
-        place = np.concatenate([(start[~gone] << 33) | extra[~gone].astype(np.int64), (g_start[head] << 33) | GONE | size])
-        return pa.table({"window": np.concatenate([key[~gone], key[gone][head]]).view(np.int64), "doc_id": ids[o], "print": prints[o], "place": place})
+        # neighbours of one fate become one row; those that stay also have one phrase
+        head = np.ones(len(key), bool)
+        head[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1) | (gone[1:] != gone[:-1]) | (~gone[1:] & (spot[1:] != spot[:-1]))
+        at = np.flatnonzero(head)
+        size = np.diff(np.append(at, len(key)))
+        inside = (np.arange(len(key)) - np.repeat(at, size)).astype(np.uint64)
+        segment = mix(np.add.reduceat(mix(key + inside * np.uint64(0x9E3779B97F4A7C15)), at))
+        stays = ~gone[at]
+        alone = mix(segment ^ mix(owner[at].astype(np.uint64) ^ (start[at].astype(np.uint64) << np.uint64(32))))
+        return table(np.where(stays, name[at], alone), segment, ids[owner[at]], prints[owner[at]], (start[at] << 32) | size, np.where(stays, size, 0), key[~gone].view(np.int64))
 
     return run
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """(doc_id, print, start, n): windows ``start`` to ``start + n - 1`` of the text are removed.
+def dealt(docs: DataFrame, shards: int) -> DataFrame:
+    """``docs`` (with doc_id and print) with the shard of each row; rows without an id are spread by their text."""
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.col("print"))
+    return docs.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int"))
+
 
-    ``docs`` has doc_id, text and print (a hash of the text); the result's print is 0 where an id has one text only.
+def repeated_passages(docs: DataFrame, texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """(doc_id, print, start, n): windows ``start`` to ``start + n - 1`` of the text are removed; print is 0 where an id has one text only.
+
+    ``docs`` has shard, doc_id, print (a hash of the text) and text, ``texts`` the same with the text squeezed.
     """
     if not 0 < phrase <= min(8, window):
         raise ValueError("a phrase has 1 to 8 words and fits into a window")
-    usable = docs.where("doc_id is not null and text is not null")
-    chars = usable.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
-    dealt = usable.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    counted = phrases(dealt, window, phrase)
+    counted = phrases(docs.where("doc_id is not null and text is not null"), window, phrase)
     recurring = counted.withColumn("all", F.sum("n").over(Window.partitionBy("phrase"))).where("all > 1").select("phrase", "shard").distinct()
-    texts = packed(dealt.select("shard", "doc_id", "print", "text"))
     found = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(judged(window, phrase), FOUND)
-    gone = F.col("place").bitwiseAND(GONE) != 0
-    equal = Window.partitionBy("window", F.col("place").bitwiseAND(GONE | LOW))
-    lost = found.withColumn("earliest", F.min("doc_id").over(equal)).where(gone | (F.col("doc_id") > F.col("earliest")))
-    return lost.select("doc_id", "print", F.shiftright("place", 33).cast("int").alias("start"), F.when(gone, F.col("place").bitwiseAND(LOW)).otherwise(1).cast("int").alias("n"))
+    within = Window.partitionBy("phrase")
+    same = Window.partitionBy("phrase", "segment")
+    # dealt once by phrase and read twice: for whole rows, and for the windows of the first of segments where a phrase has several
+    told = found.repartition("phrase").withColumns({"earliest": F.min("doc_id").over(same), "low": F.min("segment").over(within), "high": F.max("segment").over(within)})
+    start, n = F.shiftright("place", 32), F.col("place").bitwiseAND(LOW).cast("int")
+    whole = told.where(F.col("windows").isNull() | (F.col("doc_id") > F.col("earliest"))).select("doc_id", "print", start.cast("int").alias("start"), n.alias("n"))
+    open_ = told.where(F.col("windows").isNotNull() & (F.col("low") != F.col("high")) & (F.col("doc_id") == F.col("earliest")))
+    single = open_.select("phrase", "doc_id", "print", start.alias("start"), F.posexplode("windows").alias("i", "window"))
+    lost = single.withColumn("earliest", F.min("doc_id").over(Window.partitionBy("phrase", "window"))).where("doc_id > earliest")
+    return whole.unionByName(lost.select("doc_id", "print", (F.col("start") + F.col("i")).cast("int").alias("start"), F.lit(1).alias("n")))
 
 
 def cut_passages(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``docs`` (doc_id, text and the columns ``keep``) with n_words and n_removed, and text without removed words.
 
-    A text that loses words becomes its kept words joined by one space; others stay as they are.
+    A text that loses words becomes its kept words joined by one space; others stay as they are.  Columns of ``keep`` with
+    names used here are left out.
     """
-    keep = list(keep or [])
-    taken = {"doc_id", "text", "print", "cuts", "n_words", "n_removed"} & set(keep)
-    if taken:
-        raise ValueError(f"reserved column names: {sorted(taken)}")
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("print"), *keep)
-    cuts = repeated_passages(base, window, phrase, shard_chars).groupBy("doc_id", "print").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("cuts"))
-    own, cuts = packed(base).alias("own"), cuts.alias("cut")
-    here = (F.col("own.doc_id") == F.col("cut.doc_id")) & F.col("cut.print").isin(0, F.col("own.print"))
-    joined = own.join(cuts, here, "left").select("own.doc_id", "own.text", *(f"own.`{c}`" for c in keep), "cut.cuts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep = [c for c in keep or [] if c not in ("doc_id", "text", "print", "shard", "n_words", "n_removed")]
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("print"), *keep)
+    shards = max(1, -(-(own.agg(F.sum(F.length("text"))).first()[0] or 0) // shard_chars))
+    base = dealt(own, shards)
+    texts = packed(base.select("shard", "doc_id", "print", "text", *keep))
+    gone = repeated_passages(base.select("shard", "doc_id", "print", "text"), texts, window, phrase)
+    cuts = gone.groupBy("doc_id", "print").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("cuts"))
+    cuts = dealt(cuts, shards)
+
+    def run(rows: pa.Table, lists: pa.Table) -> pa.Table:
         loosen = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                texts, words, removed = [], [], []
-                for text, own in zip(part.column("text"), part.column("cuts")):
-                    raw = loosen.decompress(text.as_py())
-                    spans = raw.split()
-                    n = len(spans)
-                    step = np.zeros(n + 1, np.int64)
-                    if own.is_valid and n >= window:
-                        start, size = own.values.to_numpy() >> 32, own.values.to_numpy() & LOW
-                        np.add.at(step, start, 1)
-                        np.add.at(step, start + size - 1 + window, -1)
-                    gone = np.cumsum(step[:-1]) > 0
-                    count = int(gone.sum())
-                    texts.append((b" ".join([w for w, g in zip(spans, gone.tolist()) if not g]) if count else raw).decode("utf-8", "surrogatepass"))
-                    words.append(n)
-                    removed.append(count)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), *(part.column(c) for c in keep), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", *keep, "n_words", "n_removed"])
+        own = {(d, p): i for i, (d, p) in enumerate(zip(lists.column("doc_id").to_pylist(), lists.column("print").to_pylist()))}
+        found = lists.column("cuts").combine_chunks() if lists.num_rows else None
+        texts, words, removed = [], [], []
+        for doc_id, mark, text in zip(rows.column("doc_id").to_pylist(), rows.column("print").to_pylist(), rows.column("text")):
+            raw = loosen.decompress(text.as_py())
+            spans = raw.split()
+            at, count = own.get((doc_id, 0), own.get((doc_id, mark))), 0
+            if at is not None and len(spans) >= window:
+                cut = found[at].values.to_numpy()
+                step = np.zeros(len(spans) + 1, np.int64)
+                np.add.at(step, cut >> 32, 1)
+                np.add.at(step, (cut >> 32) + (cut & LOW) - 1 + window, -1)
+                gone = np.cumsum(step[:-1]) > 0
+                count = int(gone.sum())
+                raw = b" ".join([w for w, g in zip(spans, gone.tolist()) if not g])
+            texts.append(raw.decode("utf-8", "surrogatepass"))
+            words.append(len(spans))
+            removed.append(count)
+        columns = [rows.column("doc_id"), pa.array(texts, pa.string()), *(rows.column(c) for c in keep), pa.array(words, pa.int64()), pa.array(removed, pa.int64())]
+        return pa.table(columns, ["doc_id", "text", *keep, "n_words", "n_removed"])
 
     kinds = dict(docs.dtypes)
-    return joined.mapInArrow(run, ", ".join(["doc_id long", "text string", *(f"`{c}` {kinds[c]}" for c in keep), "n_words long", "n_removed long"]))
+    schema = ", ".join(["doc_id long", "text string", *(f"`{c}` {kinds[c]}" for c in keep), "n_words long", "n_removed long"])
+    return texts.groupBy("shard").cogroup(cuts.groupBy("shard")).applyInArrow(run, schema)
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:
