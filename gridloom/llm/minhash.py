@@ -115,7 +115,7 @@ def star_links(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: i
     stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("rep"))
     heads = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("rep"))
-    with_texts = members.unionByName(heads).join(compressed(docs), F.col("rep") == F.col("doc_id")).drop("doc_id")
+    with_texts = members.unionByName(heads).hint("merge").join(compressed(docs), F.col("rep") == F.col("doc_id")).drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, row, head = None, None, []
@@ -181,7 +181,7 @@ def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarr
 
 def block_links(met: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A spanning forest (a, b) of the links in each pair of blocks; ``met`` has key, i, j, block and rep."""
-    with_texts = met.join(compressed(docs), F.col("rep") == F.col("doc_id")).drop("doc_id")
+    with_texts = met.hint("merge").join(compressed(docs), F.col("rep") == F.col("doc_id")).drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches):
