@@ -6,7 +6,8 @@ case, letter/number/other runs) come first.  Texts are taken a few megabytes at
 the fragments of those are reduced to distinct ones, so each is encoded once, and nothing is kept from one part to the next.
 
 Defined results: null text counts as empty, empty text gives an empty id list, very long texts are handled whole,
-repeated rows are kept, all other columns pass through unchanged (clashing output names are rejected up front).
+repeated rows are kept, rows that share an id are encoded each by its own text, all other columns pass through unchanged; a column
+of the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -204,14 +205,9 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _guard(df: DataFrame, out: str) -> None:
-    if out in df.columns:
-        raise ValueError(f"output column {out!r} is already there; choose another name")
-
-
 def bpe_encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """``df`` with ``out``: the text's token ids, array<int>."""
-    _guard(df, out)
+    df = df.drop(out)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +223,7 @@ def bpe_encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary:
 
 def bpe_decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: str | None = None) -> DataFrame:
     """``df`` with ``out``: the tokens' text as the vocabulary decodes it, string."""
-    _guard(df, out)
+    df = df.drop(out)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,9 @@ AND of a trigram's slots returns all languages that contain it at once.  A docum
 corrected for each language's false-positive rate; the language with most votes wins.
 
 Defined results: null text or text without a letter is ``und`` with score 0; ties go to the language that sorts first;
-very long texts are read whole, in slices; a table without learnable labels makes everything ``und``; repeated rows and
-extra columns change nothing.
+very long texts are read whole, in slices that lose no trigram; letters of no known trigram give the first language with score 0;
+a table without learnable labels makes everything ``und``; repeated rows and extra columns change nothing, nor do rows that share an
+id: each text has its own prediction.  Columns of the output's names are replaced.
 """
 
 from __future__ import annotations
@@ -47,16 +48,17 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Hashes of the letter trigrams, word edges included; runs of other characters count as one space."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = np.where(letters()[codes], codes, np.uint32(32))
-    codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])].astype(np.uint64)
-    if len(codes) < 3:
-        return np.empty(0, np.uint64)
-    h = (codes[:-2] << np.uint64(42)) ^ (codes[1:-1] << np.uint64(21)) ^ codes[2:]
-    h = (h ^ (h >> np.uint64(29))) * _MIX[0]
-    return h ^ (h >> np.uint64(32))
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Hashes of the letter trigrams, word edges included, a slice of the text at a time; runs of other characters count as one space."""
+    low, before = text.lower(), np.array([32], np.uint32)
+    for a in range(0, max(1, len(low)), SLICE):
+        part = np.frombuffer(low[a : a + SLICE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = np.concatenate([before, np.where(letters()[part], part, np.uint32(32)), [32] if a + SLICE >= len(low) else []]).astype(np.uint64)
+        codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
+        before = codes[-2:].astype(np.uint32)  # with these the next slice's trigrams begin
+        h = (codes[:-2] << np.uint64(42)) ^ (codes[1:-1] << np.uint64(21)) ^ codes[2:]
+        h = (h ^ (h >> np.uint64(29))) * _MIX[0]
+        yield h ^ (h >> np.uint64(32))
 
 
 def slots(grams: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -80,8 +82,7 @@ class Filters:
     def votes(self, text: str) -> np.ndarray:
         """Per language, trigrams it contains, less those expected by chance."""
         hits, n = np.zeros(len(self.languages)), 0
-        for a in range(0, max(1, len(text)), SLICE):
-            grams = trigrams(text[a : a + SLICE])
+        for grams in trigrams(text):
             n += len(grams)
             at = slots(grams, self.bits)
             for p, plane in enumerate(self.table):
@@ -119,7 +120,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                by.setdefault(lang, []).append(np.unique(np.concatenate([trigrams(text[a : a + SLICE]) for a in range(0, max(1, len(text)), SLICE)])))
+                by.setdefault(lang, []).append(np.unique(np.concatenate(list(trigrams(text)))))
             for lang, found in by.items():
                 grams, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
@@ -127,7 +128,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
 
     counted = learning_sample(docs, sample).mapInArrow(count, "lang string, gram long, n long")
     # bounded by the sample; gram 0 carries the number of documents
-    found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).toPandas()
+    found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | (F.col("gram") == 0)).toPandas()
     of = found[found.gram == 0].set_index("lang").n
     found = found[(found.gram != 0) & found.lang.isin(of.index)]
     languages = sorted(of.index)
@@ -141,9 +142,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
-    if {"lang_pred", "lang_score"} & set(docs.columns):
-        raise ValueError("lang_pred or lang_score is already a column")
+    """``docs`` with lang_pred and lang_score, which take the place of columns of those names."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the learning sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -356,9 +356,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "toxic_score") -> DataFrame:
-    """``docs`` with the score of each text."""
-    if out in docs.columns:
-        raise ValueError(f"{out} is already a column")
+    """``docs`` with the score of each text, which takes the place of a column of its name."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two fixed tables of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,8 @@
 The URLs that a rule decides are the labelled ones; the trees learn from them and judge the URLs that no rule fits.
 Features: length, host length, depth, digit ratio, character entropy, number of parameters, hyphens, host labels, and
 suffix statistics (the smoothed share of blocked labels under the host's last label and last two labels).  Everything
-is a column expression or Spark's own boosted trees; the suffix table is a grouped count joined back.
+is a column expression or Spark's own boosted trees; the suffix table is a grouped count joined back, from the other folds where
+the row itself is labelled.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no rule and is judged by the trees on
 its other features; with labels of one kind only (or none) unruled URLs get that kind (or allow); repeated rows are
@@ -17,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
+from gridloom.llm.common import table, written
 
 #: (verdict, host, path): a rule fits its host and all subdomains whose path starts with the rule's; the longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -26,6 +27,9 @@ SAMPLE = 50_000
 #: Labels a suffix needs before its own share outweighs the overall one.
 PRIOR = 20.0
 TREES, DEPTH = 8, 4
+#: Parts of the labelled rows, each of which gets its suffix statistics from the others.
+FOLDS = 5
+SUFFIXES = ("suffix1", "suffix2")
 FEATURES = ["n_chars", "n_host", "depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "n_labels", "suffix1_share", "suffix2_share"]
 
 
@@ -73,10 +77,15 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def with_suffix_shares(df: DataFrame, labelled: DataFrame, base: float) -> DataFrame:
-    """``df`` with the smoothed share of blocked labels under each suffix; suffixes never labelled get the overall share."""
-    for k in ("suffix1", "suffix2"):
-        stats = labelled.groupBy(k).agg(((F.sum("label") + PRIOR * base) / (F.count("*") + PRIOR)).alias(f"{k}_share"))
-        df = df.join(stats, k, "left").withColumn(f"{k}_share", F.coalesce(f"{k}_share", F.lit(base)))
+    """``df`` with the smoothed share of blocked labels under each suffix; suffixes never labelled get the overall share.
+
+    Rows with a fold get the share of the other folds' labels, so no label is among its own features.
+    """
+    for k in SUFFIXES:
+        stats = labelled.groupBy(k, "fold").agg(F.sum("label").alias("s"), F.count("*").alias("n"))
+        all_ = stats.groupBy(k).agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("s", "n")))).alias("_own"))  # FOLDS entries
+        own = lambda f: F.coalesce(F.try_element_at("_own", F.coalesce("fold", F.lit(-1)))[f], F.lit(0))
+        df = df.join(all_, k, "left").withColumn(f"{k}_share", F.coalesce((F.col("_s") - own("s") + PRIOR * base) / (F.col("_n") - own("n") + PRIOR), F.lit(base))).drop("_s", "_n", "_own")
     return df
 
 
@@ -87,24 +96,22 @@ def fit(features: DataFrame, n: int, sample: int) -> GBTClassificationModel:
 
 
 def filter_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
-    """``pages`` (a column url) with host, path, rule and verdict."""
-    taken = {"host", "path", "rule", "verdict"} & set(pages.columns)
-    if taken:
-        raise ValueError(f"already columns: {sorted(taken)}")
-    kept = pages.columns
-    marked = lexical(ruled(parts(pages), rules))
-    labelled = marked.where(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("double"))
+    """``pages`` (a column url) with host, path, rule and verdict, which take the place of columns of those names."""
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    columns = [*kept, "host", "path", "rule", "verdict"]
+    fold = F.when(F.col("ruled").isNotNull(), F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    marked = lexical(ruled(parts(pages.select(*kept)), rules)).withColumns({"label": (F.col("ruled") == "block").cast("double"), "fold": fold})
+    marked = written(marked, "urls-features")  # read once for each tree level
+    labelled = marked.where(F.col("ruled").isNotNull())
     n, blocked = labelled.agg(F.count("*"), F.sum("label")).first()
     if not n or not 0 < blocked < n:
         other = F.lit("block" if n and blocked == n else "allow")
-        return marked.withColumn("verdict", F.coalesce("ruled", other)).select(*kept, "host", "path", "rule", "verdict")
+        return marked.withColumn("verdict", F.coalesce("ruled", other)).select(*columns)
     base = blocked / n
     model = fit(with_suffix_shares(labelled, labelled, base), n, sample)
     open_ = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_suffix_shares(marked.where(F.col("ruled").isNull()), labelled, base))
     judged = model.transform(open_).withColumn("verdict", F.when(F.col("prediction") > 0, "block").otherwise("allow"))
-    decided = marked.where(F.col("ruled").isNotNull()).withColumn("verdict", F.col("ruled"))
-    columns = [*kept, "host", "path", "rule", "verdict"]
-    return decided.select(*columns).unionByName(judged.select(*columns))
+    return labelled.withColumn("verdict", F.col("ruled")).select(*columns).unionByName(judged.select(*columns))
 
 
 def op5_urls(spark, sf_dir: str) -> DataFrame:

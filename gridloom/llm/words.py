@@ -15,17 +15,20 @@ _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Powers a worker keeps of each base; longer texts have theirs computed and forgotten.
+KEPT = 1 << 21
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and doubled on demand."""
+    """base**0 .. base**(n-1) modulo 2**64; kept and doubled on demand, up to a bound."""
     got = _powers.get(base)
     if got is None or len(got) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        got = np.full(size, base, np.uint64)
+        got = np.full(n if n > KEPT else min(KEPT, max(1 << 16, 1 << int(n).bit_length())), base, np.uint64)
         got[0] = 1
-        _powers[base] = got = np.multiply.accumulate(got)
+        got = np.multiply.accumulate(got)
+        if n <= KEPT:
+            _powers[base] = got
     return got[:n]
 
 

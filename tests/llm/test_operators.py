@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -99,8 +100,16 @@ def test_encoding_corner_cases(spark, odd, none):
     out = bpe.bpe_decode(bpe.bpe_encode(odd)).collect()
     assert len(out) == 7 and [r["ids"] for r in out if r["doc_id"] in (1, 2, 3)] == [[], [], []] and all(r["decoded"] == "" for r in out if r["doc_id"] in (1, 2, 3))
     assert bpe.bpe_encode(none).count() == 0
-    with pytest.raises(ValueError):
-        bpe.bpe_encode(odd.withColumn("ids", F.lit(1)))
+
+
+def test_columns_of_the_outputs_names_are_replaced(spark, odd):
+    d = docs(spark, ["one two three", "http://a.net/x"])
+    assert bpe.bpe_encode(d.withColumn("ids", F.lit("x"))).schema["ids"].dataType.simpleString() == "array<int>"
+    assert bpe.bpe_decode(bpe.bpe_encode(d).withColumn("decoded", F.lit(1))).schema["decoded"].dataType.simpleString() == "string"
+    assert langid.identify(d.withColumn("lang_pred", F.lit(1)), langid.Filters([], np.empty(0, np.uint64), np.zeros((1, 0), np.uint64))).first()["lang_pred"] == "und"
+    assert toxicity.score_toxicity(d.withColumn("toxic_score", F.lit("x")), toxicity.Model([], [])).schema["toxic_score"].dataType.simpleString() == "double"
+    assert urls.filter_urls(d.select(F.col("text").alias("url"), F.lit(1).alias("host"), F.lit(2).alias("verdict"), F.lit(3).alias("label"))).where("host = 'a.net'").first()["verdict"] == "block"
+    assert substrings.cut_passages(d, keep=["print", "n_words", "lang"]).columns == ["doc_id", "text", "lang", "n_words", "n_removed"]
 
 
 # --- packing
@@ -143,6 +152,44 @@ def test_language_on_held_out_documents(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def plain_trigrams(text):
+    low = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in low:
+        low = low.replace("  ", " ")
+    return [low[i : i + 3] for i in range(len(low) - 2)]
+
+
+def test_language_votes_against_plain_sets(monkeypatch):
+    """Slices lose no trigram; filters return every language that contains one, and few others."""
+    monkeypatch.setattr(langid, "SLICE", 7)
+    rng = random.Random(3)
+    texts = {k: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(400)) for k, letters in (("aa", "abcdé"), ("bb", "cdefgh"), ("cc", "xyz'1"))}
+    code = {g: int(h) for t in texts.values() for g, h in zip(plain_trigrams(t), np.concatenate(list(langid.trigrams(t))).tolist())}
+    for t in texts.values():
+        assert [code[g] for g in plain_trigrams(t)] == np.concatenate(list(langid.trigrams(t))).tolist()
+    own = {k: {code[g] for g in plain_trigrams(t)} for k, t in texts.items()}
+    grams = np.array(sorted(set().union(*own.values())), np.uint64)
+    masks = np.array([[sum((int(g) in own[k]) << i for i, k in enumerate(sorted(own))) for g in grams]], np.uint64)
+    filters = langid.Filters(sorted(own), grams, masks)
+    for t in [*texts.values(), "abc def xyz", "é1é"]:
+        seen = [code.get(g) for g in plain_trigrams(t)]
+        hits = np.array([sum(g in own[k] for g in seen) for k in sorted(own)])
+        # votes are hits, wrong ones among them, less those expected by chance
+        votes = filters.votes(t)
+        assert (votes * (1 - filters.false) + len(seen) * filters.false >= hits - 1e-6).all() and (votes <= hits + 0.1 * len(seen)).all()
+    assert langid.Filters(["b", "c"], grams[:4], np.full((1, 4), 3, np.uint64)).languages[int(np.argmax([1, 1]))] == "b"
+
+
+def test_language_ties_go_to_the_first(spark):
+    same = spark.createDataFrame([(i, "one two three", k) for i in range(30) for k in ("zz", "aa")], "doc_id long, text string, lang string")
+    assert langid.learn(same).predict("one two")[0] == "aa"
+
+
+def test_language_of_a_single_document_is_learnt(spark):
+    d = spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(40)] + [(1, "wxyzzy wxyzzy qqq", "qq")], "doc_id long, text string, lang string")
+    assert langid.learn(d).languages == ["en", "qq"]
+
+
 def test_language_corner_cases(spark, odd, none):
     filters = langid.learn(spark.createDataFrame([(i, t, k) for i in range(40) for t, k in (("the cat and the dog", "en"), ("der hund und die katze", "de"))], "doc_id long, text string, lang string"))
     out = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.identify(odd, filters).collect()}
@@ -501,10 +548,58 @@ def test_url_rules_and_parts(spark, none):
     assert {r["verdict"] for r in urls.filter_urls(df.where("page_id in (2, 3)")).collect()} == {"allow"}
 
 
-def test_url_features_and_trees_learn(spark):
+def test_url_features_against_plain_python(spark):
+    cases = ["http://a.b-c.example.org/x/y1/22?q=1&r=#top", "https://WWW.site.net", "no scheme", "", "ftp://h/é漢?"]
+    out = urls.lexical(urls.parts(spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string"))).orderBy("page_id").collect()
+    for r, u in zip(out, cases):
+        after = u.split("://", 1)[1] if "://" in u else ""
+        host = after.split("/")[0].split("?")[0].split("#")[0].lower()
+        path = after[len(host) :].split("?")[0].split("#")[0]
+        n = len(u)
+        entropy = -sum(u.count(c) / n * math.log2(u.count(c) / n) for c in set(u)) if n else 0.0
+        params = len(u.split("?", 1)[1].split("#")[0].split("&")) if "?" in u else 0
+        assert (r["host"], r["path"], r["n_chars"], r["n_host"], r["depth"], r["n_hyphens"], r["n_params"]) == (host, path, n, len(host), path.count("/"), u.count("-"), params)
+        assert r["digit_ratio"] == pytest.approx(sum(c.isdigit() for c in u) / n if n else 0) and r["entropy"] == pytest.approx(entropy, abs=1e-9)
+        assert (r["n_labels"], r["suffix1"], r["suffix2"]) == (len(host.split(".")), host.split(".")[-1], ".".join(host.split(".")[-2:]))
+
+
+def test_url_suffix_shares_leave_out_the_rows_own_fold(spark):
+    rows = [(i, "net" if i % 3 else "org", f"s{i % 4}.net", float(i % 5 == 0), i % urls.FOLDS) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, suffix1 string, suffix2 string, label double, fold int")
+    for r in urls.with_suffix_shares(df, df, 0.2).collect():
+        own = [x for x in rows if x[1] == r["suffix1"] and x[4] != r["fold"]]
+        assert r["suffix1_share"] == pytest.approx((sum(x[3] for x in own) + urls.PRIOR * 0.2) / (len(own) + urls.PRIOR))
+    new = spark.createDataFrame([(1, "net", "none", None)], "page_id long, suffix1 string, suffix2 string, fold int")
+    r = urls.with_suffix_shares(new, df, 0.2).first()
+    own = [x for x in rows if x[1] == "net"]
+    assert r["suffix1_share"] == pytest.approx((sum(x[3] for x in own) + urls.PRIOR * 0.2) / (len(own) + urls.PRIOR)) and r["suffix2_share"] == 0.2
+
+
+def test_url_trees_on_held_out_urls(spark):
+    """Trees fitted on four fifths of the URLs that rules decide, asked about the rest, whose suffixes alone say too little."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        bad = rng.random() < 0.4
+        tail = "".join(rng.choice("0123456789") for _ in range(rng.randint(12, 24))) if bad else rng.choice(["about", "news", "people", "garden"])
+        rows.append((i, f"http://h{rng.randrange(40)}.example.{rng.choice(['com', 'info'])}/{tail}", float(bad)))
+    df = spark.createDataFrame(rows, "page_id long, url string, label double").withColumn("fold", (F.col("page_id") % urls.FOLDS).cast("int"))
+    marked = urls.lexical(urls.parts(df))
+    train = marked.where("fold > 0")
+    model = urls.fit(urls.with_suffix_shares(train, train, 0.4), 1200, 50_000)
+    rest = urls.VectorAssembler(inputCols=urls.FEATURES, outputCol="features").transform(urls.with_suffix_shares(marked.where("fold = 0"), train, 0.4))
+    assert model.transform(rest).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0] > 0.97
+
+
+def test_url_trees_judge_what_no_rule_fits(spark):
     rows = [(i, f"http://h{i % 7}.net/{'9' * (i % 30)}") for i in range(150)] + [(1000 + i, f"http://s.example.net/en/{'word' * (i % 5)}") for i in range(150)] + [(5000, "http://q.info/999999999999")]
     out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"))
-    assert out.where("rule is null").first()["verdict"] in ("allow", "block") and out.count() == 301
+    assert out.where("rule is null").first()["verdict"] == "block" and out.count() == 301
+
+
+def test_licence_ties_go_to_the_name_that_sorts_first(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "TEMPLATES", {"B": ["Granted under alpha beta gamma."], "A": ["Granted under alpha beta gamma."]})
+    assert [r["license"] for r in licenses.scan_licenses(docs(spark, ["granted under alpha beta gamma"])).collect()] == ["A"]
 
 
 def test_licence_lines(spark, odd, none):
