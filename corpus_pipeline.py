@@ -25,9 +25,11 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learnt language stay; those without a letter, or with letters of no known language, go."""
-    found = langid.identify(_documents(docs), langid.learn(docs))
-    return _documents(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") > 0)))
+    """Documents without a letter go; if no language can be learnt, all stay."""
+    filters = langid.learn(docs)
+    if not filters.languages:
+        return _documents(docs)
+    return _documents(langid.identify(_documents(docs), filters).where(F.col("lang_pred") != langid.UNKNOWN))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
