@@ -12,8 +12,12 @@ def exact_sample(df: DataFrame, draw: Column, n: int) -> DataFrame:
 
 
 def allocation(sizes: DataFrame, total: int) -> DataFrame:
-    """``sizes`` (block, n) with take: shares of ``total`` by largest remainder, later blocks first on equal remainders."""
-    whole = sizes.agg(F.sum("n").alias("_all"))
+    """``sizes`` (block, n) with take: shares of ``total`` by largest remainder, later blocks first on equal remainders.
+
+    The query fails if there are fewer rows than ``total``.
+    """
+    few = F.raise_error(F.concat(F.lit(f"{total} rows asked for, there are "), F.sum("n"))).cast("long")
+    whole = sizes.agg(F.when(F.sum("n") >= total, F.sum("n")).otherwise(few).alias("_all"))
     exact = sizes.crossJoin(whole).withColumn("_e", F.col("n") * float(total) / F.col("_all"))  # one row of totals
     left = exact.agg((F.lit(total) - F.sum(F.floor("_e"))).alias("_left"))
     # one row a block, far fewer than cells

@@ -74,3 +74,14 @@ def polygons_table(spark: SparkSession, polygons: list[tuple[int, list]]) -> Dat
     """(feature, part, seq, x, y): all vertices."""
     rows = [(f, i, j, float(x), float(y)) for f, rings in polygons for i, ring in enumerate(rings) for j, (x, y) in enumerate(ring)]
     return spark.createDataFrame(rows, "feature int, part int, seq int, x double, y double")
+
+
+def representative_points(vertices: DataFrame) -> DataFrame:
+    """(feature, x, y): a point for a label, the average of a feature's vertices (of a concave feature it may lie outside)."""
+    return vertices.groupBy("feature").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def feature_counts(vertices: DataFrame) -> DataFrame:
+    """(geometry, features): how many features of one part and of several."""
+    parts = vertices.groupBy("feature").agg(F.count_distinct("part").alias("parts"))
+    return parts.groupBy(F.when(F.col("parts") > 1, "MultiPolygon").otherwise("Polygon").alias("geometry")).agg(F.count("*").alias("features"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import argmax, r6, ratio
+from gridloom.plans import workflows
 from gridloom.registry import query
 from gridloom.sources.files import resolve
 from gridloom.sources.tables import table
@@ -125,3 +126,11 @@ def figure_top_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("key_associations", f"WITH {STUDY_SQL} SELECT region, geology, round(C0_pct / nullif(C0_pct + C1_pct + C2_pct + C3_pct, 0), 6) AS share0 FROM study WHERE pixels >= 10000")
 def key_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study(spark).where("pixels >= 10000").select("region", "geology", r6(ratio("C0_pct", F.col("C0_pct") + F.col("C1_pct") + F.col("C2_pct") + F.col("C3_pct"))).alias("share0"))
+
+
+@query("harmonised_validation")
+def harmonised_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of different layout in the canonical sixteen columns."""
+    regions = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    counts = regions.groupBy(F.col("r_name").alias("Description")).agg(F.count("*").cast("string").alias("feature_pixels"), F.lit("12.5").alias("cluster_2_percentage"))
+    return workflows.harmonised(study(spark), "study", "unit").unionByName(workflows.harmonised(counts, "tables", "category"))

@@ -334,6 +334,15 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.transform(data).withColumn("p", vector_to_array("p")).select("id", r6(F.col("p")[0]).alias("pc1"), r6(F.col("p")[1]).alias("pc2")).join(two, "id")
 
 
+@query("diagnostics_summary")
+def diagnostics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with missing values, constant features, and what one and two components explain."""
+    from gridloom.plans.statistics import quality_summary
+
+    ratios = [float(x) for x in principal(spark, sf_dir)[0].explainedVariance]
+    return quality_summary(spark, sf_dir).withColumns({"pc1": F.lit(ratios[0]), "pc1_pc2": F.lit(ratios[0] + ratios[1])})
+
+
 @query("minibatch_kmeans")
 def minibatch_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir, DIMS)

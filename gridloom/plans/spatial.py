@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import RADIUS, r6, ratio
-from gridloom.operators.zones import inside_box, located, polygons_table
+from gridloom.operators.zones import feature_counts, inside_box, located, polygons_table, representative_points
 from gridloom.registry import query
 from gridloom.sources.tables import COLUMNS_WIDE, clusters, table
 
@@ -175,3 +175,25 @@ def customers_by_region_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     n = c.groupBy("r_name").agg(F.count("*").alias("customers"))
     return n.withColumn("share", r6(ratio("customers", F.sum("customers").over(Window.partitionBy()))))
+
+
+SHAPES = [(1, [[(2, 1), (12, 1), (12, 9), (2, 9)]]), (2, [[(5, 5), (25, 5), (15, 14)]]), (3, [[(0, 0), (4, 0), (4, 4)], [(8, 8), (12, 8), (12, 12), (8, 12)]])]
+_V = "v(feature, part, x, y) AS (VALUES " + ", ".join(f"({f}, {i}, {float(x)}::DOUBLE, {float(y)}::DOUBLE)" for f, rings in SHAPES for i, ring in enumerate(rings) for x, y in ring) + ")"
+
+
+@query("representative_point", f"WITH {_V} SELECT feature, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM v GROUP BY feature")
+def representative_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representative_points(polygons_table(spark, SHAPES)).select("feature", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query("vector_feature_counts", f"WITH {_V} SELECT CASE WHEN parts > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry, CAST(count(*) AS BIGINT) AS features FROM (SELECT feature, count(DISTINCT part) AS parts FROM v GROUP BY feature) GROUP BY 1")
+def vector_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_counts(polygons_table(spark, SHAPES))
+
+
+@query("raster_shape", """SELECT CAST(max("row") + 1 AS INTEGER) AS height, 30 AS width, 12.0::DOUBLE AS step_x, round(-180.0::DOUBLE / (max("row") + 1), 9) AS step_y, -180.0::DOUBLE AS origin_x, 90.0::DOUBLE AS origin_y, CAST(count(*) AS BIGINT) AS cells FROM grid""")
+def raster_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape, resolution and upper left corner of the grid, as a profile states them."""
+    height = F.max("row") + 1
+    one = clusters(spark, sf_dir).agg(height.cast("int").alias("height"), F.count("*").alias("cells"))
+    return one.select("height", F.lit(COLUMNS_WIDE).alias("width"), F.lit(360.0 / COLUMNS_WIDE).alias("step_x"), F.round(-180.0 / F.col("height"), 9).alias("step_y"), F.lit(-180.0).alias("origin_x"), F.lit(90.0).alias("origin_y"), "cells")

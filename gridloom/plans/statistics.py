@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.exprs import mapped, r6, ratio, valid
 from gridloom.operators.profiles import DESCRIBE, long, profile, quantile_columns, quantiles
 from gridloom.registry import query
-from gridloom.sources.tables import BANDS, clusters, grid, items, table
+from gridloom.sources.tables import BANDS, cells, clusters, grid, items, table
 
 FEATURES = ["quantity", "price", "discount", "tax", "size"]
 
@@ -225,3 +225,27 @@ def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("long_values", "SELECT feature, CAST(count(value) AS BIGINT) AS n, round(sum(value), 3) AS total FROM (SELECT 'quantity' AS feature, quantity AS value FROM items UNION ALL SELECT 'size', size FROM items) GROUP BY feature")
 def long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(items(spark, sf_dir), ["quantity", "size"]).groupBy("feature").agg(F.count("value").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("layer_listing", "SELECT table_name AS layer, column_name AS field FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer')")
+def layer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layers of a catalog and their fields; the driver's tables stand for a database of layers."""
+    rows = []
+    for name in ("region", "nation", "customer"):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"layer_{name}")
+        rows += [(name, c.name) for c in spark.catalog.listColumns(f"layer_{name}")]  # metadata only
+        spark.catalog.dropTempView(f"layer_{name}")
+    return spark.createDataFrame(rows, "layer string, field string")
+
+
+@query("top_anomalies", """SELECT "row", col, round(s, 6) AS score FROM (SELECT "row", col, abs(height - avg(height) OVER ()) AS s FROM cells) ORDER BY s DESC, "row", col LIMIT 2500""")
+def top_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,500 cells whose height is farthest from the mean."""
+    c = cells(spark, sf_dir)
+    mean = F.broadcast(c.agg(F.avg("height").alias("m")))  # one row
+    return highest(c.crossJoin(mean).withColumn("score", F.abs(F.col("height") - F.col("m"))), "score").select("row", "col", r6("score").alias("score"))
+
+
+def highest(df: DataFrame, score: str, n: int = 2_500) -> DataFrame:
+    """The ``n`` rows of highest score with their row and col; without coordinates there is nothing to show and no row comes back."""
+    return df.orderBy(F.desc(score), "row", "col").limit(n) if {"row", "col"} <= set(df.columns) else df.limit(0)
