@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Names of the bands.
 BANDS = ["radar", "height", "emissivity", "slope", "reflectivity"]
 COLUMNS_WIDE = 30
 

@@ -76,6 +76,20 @@ def test_objects_touch_by_corners_and_sizes_add_up(spark):
     assert rim == {(r + a, c + b) for r, c in own for a in (-1, 0, 1) for b in (-1, 0, 1)} - own
 
 
+def test_atlas_is_thinned_and_numbered(spark):
+    grid = cells(spark, [[(r // 4) * 2 + (c // 4) for c in range(8)] for r in range(8)])  # four squares of 4 x 4
+    whole = workflows.atlas(grid, files.Config(), 8, 8, 10.0, 10.0, 1).orderBy("object_id").collect()
+    assert [(r["object_id"], r["cluster"], r["cells"], r["area_m2"]) for r in whole] == [(i + 1, i, 16, 1600.0) for i in range(4)]
+    assert (whole[0]["row_min"], whole[0]["col_max"], whole[0]["centroid_row"], whole[0]["perimeter_m"]) == (0, 3, 1.5, 90.0)
+    thin = workflows.atlas(grid, replace(files.Config(), object_downsample_max_dim=4), 8, 8, 10.0, 10.0, 1).orderBy("object_id").collect()
+    assert [(r["object_id"], r["cells"], r["area_m2"]) for r in thin] == [(i + 1, 4, 1600.0) for i in range(4)]
+
+
+def test_allocation_of_more_than_there_is_fails(spark):
+    with pytest.raises(Exception, match="23 rows asked for"):
+        samples.allocation(spark.createDataFrame([(1, 5)], "block long, n long"), 23).collect()
+
+
 def test_components_of_a_long_path(spark):
     df = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert components(df).select("component").distinct().collect()[0][0] == 0
