@@ -194,7 +194,10 @@ class Sentences:
 
 def kernel(words: list[str], landmarks: list[list[str]], common: dict[int, np.ndarray], block: int = 40) -> np.ndarray:
     """Inner product of each word with each landmark (a list of words), weighted by ``common``; not yet scaled by letters."""
-    return np.hstack([_kernel(words, landmarks[a : a + block], common) for a in range(0, len(landmarks), block)])
+    out = np.empty((len(words), len(landmarks)), np.float32)
+    for a in range(0, len(landmarks), block):
+        out[:, a : a + block] = _kernel(words, landmarks[a : a + block], common)
+    return out
 
 
 def _kernel(words: list[str], landmarks: list[list[str]], common: dict[int, np.ndarray]) -> np.ndarray:
@@ -277,11 +280,13 @@ class Model:
             used = np.concatenate([landmark, pos, neg])
             rows = own.chosen(used)
             word, at = np.unique([w for r in rows for w in r], return_inverse=True)
-            k = kernel([own.words[w] for w in word], marks, common) / size[landmark]
+            k = kernel([own.words[w] for w in word], marks, common)
+            k /= size[landmark].astype(np.float32)
             x, ends = np.zeros((len(used), len(landmark))), np.cumsum([0, *(len(r) for r in rows)])
             for a in range(0, len(used), 500):
                 b = min(a + 500, len(used))
                 np.add.at(x, np.repeat(np.arange(a, b), np.diff(ends[a : b + 1])), k[at[ends[a] : ends[b]]])
+            del k
             x /= size[used][:, None]
             among, x = x[: len(landmark)], x[len(landmark) :]
             found, vectors = np.linalg.eigh((among + among.T) / 2)
