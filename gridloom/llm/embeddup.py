@@ -157,7 +157,8 @@ def near_vectors(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     # a query whose shard has no vector of its length meets no graph
     asked = asked.join(F.broadcast(graphs.select("shard")), "shard", "left_semi")  # a name a shard
     offered = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "payload", F.lit(None).cast("long").alias("rep"), F.lit(None).cast(kind).alias("embedding"))
-    met = offered.unionByName(asked).withColumn("role", F.col("payload").isNull()).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "role")
+    # more partitions than pairs of shard and part, so that few of these share a task
+    met = offered.unionByName(asked).withColumn("role", F.col("payload").isNull()).repartition(max(2 * shards * parts, min(8 * shards * parts, 4_096)), "shard", "part").sortWithinPartitions("shard", "part", "role")
     found = written(met.select("payload", "rep", "embedding").mapInArrow(searched(cosine), "rep long, other long, links long"), "embeddup-links")
 
     counts = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
