@@ -7,6 +7,7 @@ from gridloom.llm.bpe import op9_bpe
 from gridloom.llm.embeddup import op3_embeddup, op3_sql
 from gridloom.llm.langid import op6_langid
 from gridloom.llm.licenses import op7_licenses, op7_sql
+from gridloom.llm.lines import op11_lines, op11_sql
 from gridloom.llm.minhash import op2_minhash, op2_sql
 from gridloom.llm.packing import op8_packing
 from gridloom.llm.substrings import op10_sql, op10_substrings
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_substrings": op10_substrings,
+    "op11_lines": op11_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_embeddup": op3_sql(),
     "op7_licenses": op7_sql(),
     "op10_substrings": op10_sql(),
+    "op11_lines": op11_sql(),
 }
