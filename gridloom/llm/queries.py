@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridloom.llm.alignment import op13_alignment
 from gridloom.llm.ann import op4_ann
 from gridloom.llm.bpe import op9_bpe
 from gridloom.llm.embeddup import op3_embeddup, op3_sql
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_substrings": op10_substrings,
     "op11_lines": op11_lines,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
