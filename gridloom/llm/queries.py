@@ -5,6 +5,7 @@ from __future__ import annotations
 from gridloom.llm.alignment import op13_alignment
 from gridloom.llm.ann import op4_ann
 from gridloom.llm.bpe import op9_bpe
+from gridloom.llm.collocations import op12_collocations, op12_sql
 from gridloom.llm.embeddup import op3_embeddup, op3_sql
 from gridloom.llm.langid import op6_langid
 from gridloom.llm.licenses import op7_licenses, op7_sql
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_substrings": op10_substrings,
     "op11_lines": op11_lines,
+    "op12_collocations": op12_collocations,
     "op13_alignment": op13_alignment,
 }
 
@@ -36,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_licenses": op7_sql(),
     "op10_substrings": op10_sql(),
     "op11_lines": op11_sql(),
+    "op12_collocations": op12_sql(),
 }
