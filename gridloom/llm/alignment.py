@@ -21,13 +21,14 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import byte_letters
@@ -172,7 +173,8 @@ def encoded(chunks: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 def grouped(chunks: DataFrame) -> DataFrame:
     """(id, n_a, n_b, groups, links: array of (a, b)) of each row of ``chunks`` (id, a, a_size, b, b_size)."""
-    in_order = Window.partitionBy("id").orderBy("place")
+    in_order = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
 
     def ends(side: str) -> DataFrame:
         # dealt by id before tokens become rows, so nothing that follows moves them again
@@ -180,18 +182,31 @@ def grouped(chunks: DataFrame) -> DataFrame:
         rows = rows.select("id", "place", F.col(f"t.{side}").alias(side), F.col(f"t.{side}_size").alias("size"))
         return rows.select("id", F.sum("size").over(in_order).alias("end"), side)
 
-    met = ends("a").join(ends("b"), ["id", "end"], "full_outer")
-    cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
-    before = Window.partitionBy("id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    rows = met.withColumn("g", F.count(cut).over(before))
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("t"))))), lambda x: x["t"])
-    groups = rows.groupBy("id", "g").agg(listed("a").alias("a"), listed("b").alias("b"))
+    def groups_of(side: str, other: str) -> DataFrame:
+        """(id, g, the side's tokens in order): g counts the ends before that both sides share."""
+        shared = ends(side).join(ends(other).withColumn("cut", F.lit(1)), ["id", "end"], "left")
+        rows = shared.select("id", "end", side, F.count("cut").over(before).alias("g"))
+        return rows.groupBy("id", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("end", side))), lambda x: x[side]).alias(side))
+
+    groups = groups_of("a", "b").join(groups_of("b", "a"), ["id", "g"])
     last = lambda c: F.element_at(F.col(c), -1).alias(c)
     groups = groups.select("id", "g", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.struct(last("a"), last("b")).alias("link"), F.concat_ws("|", F.concat_ws(",", F.col("a").cast("array<string>")), F.concat_ws(",", F.col("b").cast("array<string>"))).alias("text"))
     whole = groups.groupBy("id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.array_sort(F.collect_list(F.struct("g", "link", "text"))).alias("all"))
     return whole.select("id", "n_a", "n_b", F.concat_ws(";", F.col("all.text")).alias("groups"), F.col("all.link").alias("links"))
 
 
+@contextmanager
+def together(spark: SparkSession) -> Iterator[None]:
+    """Rows dealt by a part of a join's keys are joined where they are; the keys left out here are chunks, of which none is hot."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pair_counts(links: DataFrame) -> DataFrame:
     """(a, b, count, best) from (n, a, b): how often a pair is linked, and whether no other A token is linked to b as often."""
     counts = links.groupBy("a", "b").agg(F.sum("n").alias("count"))
@@ -206,7 +221,8 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_a
     own = cut.where("idx is not null")
     chunks = encoded(own.groupBy("chunk").agg(F.sum("n").alias("n")), path_a, path_b)
     chunks = written(chunks.withColumn("id", F.monotonically_increasing_id()), "alignment-chunks")
-    whole = written(grouped(chunks).join(chunks.select("id", "chunk", "n"), "id"), "alignment-groups")
+    with together(docs.sparkSession):
+        whole = written(grouped(chunks).join(chunks.select("id", "chunk", "n"), "id"), "alignment-groups")
 
     links = whole.select("id", "n", F.explode("links").alias("l")).select("id", "n", "l.a", "l.b")
     scored = links.join(pair_counts(links), ["a", "b"]).groupBy("id").agg(F.count("*").alias("n_links"), F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
