@@ -36,9 +36,15 @@ from gridloom.llm.common import parts_of, table, written
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a part, and of chunks handed to a library at once.
-PART, JOINED = 1 << 23, 1 << 14
+PART, JOINED = 1 << 25, 1 << 14
+#: A token is carried as its id times this and its length in bytes, one number.
+LENGTH = 1 << 8
+#: Pairs of linked tokens up to which their counts are broadcast (some 50 MB).
+PAIRS = 1 << 20
 #: What the pieces of B write for a space.
 MARK = "▁"
+#: Rows in which a part's documents are returned.
+ROWS = 256
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -72,13 +78,25 @@ def chunk_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), counts, able
 
 
+def joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``most`` bytes: the larger a part, the fewer of its chunks are in others too."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def parts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows of documents (part, doc, refs) and of chunks (part, idx, chunk, n), in one table."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in joined(batches, PART):
             for rows in parts_of(batch, "text", PART):
                 chunks, counts, able = chunk_texts(rows.column("text"))
                 coded = chunks.dictionary_encode()
@@ -127,9 +145,11 @@ class Vocabulary:
             self.bytes = [bytes([int(p[1:-1], 16)]) if own.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
             self.ids = lambda texts: own.encode([t[1:] for t in texts], num_threads=1)  # it adds the space itself
         self.sizes = np.array([len(b) for b in self.bytes], np.int32)
+        if self.sizes.max() >= LENGTH or len(self.sizes) > (1 << 31) // LENGTH:
+            raise ValueError(f"{path}: a token of {LENGTH} bytes and more, or too many tokens")
 
-    def encode(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """(ids, their bytes) of each chunk, as lists; many chunks are encoded in one text."""
+    def encode(self, chunks: pa.Array) -> pa.Array:
+        """The tokens of each chunk, as lists; many chunks are encoded in one text."""
         sizes = pc.binary_length(chunks).to_numpy().astype(np.int64)
         data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), "")[0].as_py().encode()
         ends = np.cumsum(sizes)
@@ -147,7 +167,7 @@ class Vocabulary:
         if len(sizes) and (cuts[-1] != len(flat) or not np.array_equal(upto[cuts - 1], ends)):
             raise ValueError("the vocabulary alters a chunk of text")
         offsets = pa.array(np.concatenate([[0], cuts]).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(self.sizes[flat]))
+        return pa.ListArray.from_arrays(offsets, pa.array(flat * LENGTH + self.sizes[flat]))
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -160,27 +180,26 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encoded(chunks: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(chunk, n, a, a_size, b, b_size): ids and bytes of a chunk's tokens in either vocabulary."""
+    """(chunk, n, a, b): a chunk's tokens in either vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in parts_of(batch, "chunk", PART):
                 text = rows.column("chunk")
-                yield pa.RecordBatch.from_arrays([text, rows.column("n"), *vocabulary(path_a).encode(text), *vocabulary(path_b).encode(text)], ["chunk", "n", "a", "a_size", "b", "b_size"])
+                yield pa.RecordBatch.from_arrays([text, rows.column("n"), vocabulary(path_a).encode(text), vocabulary(path_b).encode(text)], ["chunk", "n", "a", "b"])
 
-    return chunks.mapInArrow(run, "chunk string, n long, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
+    return chunks.mapInArrow(run, "chunk string, n long, a array<int>, b array<int>")
 
 
 def grouped(chunks: DataFrame) -> DataFrame:
-    """(id, n_a, n_b, groups, links: array of (a, b)) of each row of ``chunks`` (id, a, a_size, b, b_size)."""
+    """(id, n_a, n_b, groups, links: array of (a, b)) of each row of ``chunks`` (id, a, b)."""
     in_order = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
 
     def ends(side: str) -> DataFrame:
         # dealt by id before tokens become rows, so nothing that follows moves them again
-        rows = chunks.select("id", side, f"{side}_size").repartition("id").select("id", F.posexplode(F.arrays_zip(side, f"{side}_size")).alias("place", "t"))
-        rows = rows.select("id", "place", F.col(f"t.{side}").alias(side), F.col(f"t.{side}_size").alias("size"))
-        return rows.select("id", F.sum("size").over(in_order).alias("end"), side)
+        rows = chunks.select("id", side).repartition("id").select("id", F.posexplode(side).alias("place", "t"))
+        return rows.select("id", F.sum(F.col("t") % LENGTH).over(in_order).alias("end"), F.floor(F.col("t") / LENGTH).cast("int").alias(side))
 
     def groups_of(side: str, other: str) -> DataFrame:
         """(id, g, the side's tokens in order): g counts the ends before that both sides share."""
@@ -214,20 +233,34 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return counts.join(top, "b").select("a", "b", "count", (F.col("count") == F.col("top")).alias("best"))
 
 
+def first_half(pair: np.ndarray) -> np.ndarray:
+    return pair >> 32
+
+
+def second_half(pair: np.ndarray) -> np.ndarray:
+    return pair & 0xFFFFFFFF
+
+
 def align(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_a: str | None = None, vocabulary_b: str | None = None) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each row of ``docs``; groups: ``a1,a2|b1;a3|b2,b3``."""
     path_a, path_b = vocabulary_a or public_tokenizers.path(VOCABULARY_A), vocabulary_b or public_tokenizers.path(VOCABULARY_B)
-    cut = written(parts(docs, key, text), "alignment-parts")
+    cut = written(parts(docs, key, text), "alignment-parts", "zstd")
     own = cut.where("idx is not null")
     chunks = encoded(own.groupBy("chunk").agg(F.sum("n").alias("n")), path_a, path_b)
-    chunks = written(chunks.withColumn("id", F.monotonically_increasing_id()), "alignment-chunks")
+    chunks = written(chunks.withColumn("id", F.monotonically_increasing_id()), "alignment-chunks", "zstd")
     with together(docs.sparkSession):
-        whole = written(grouped(chunks).join(chunks.select("id", "chunk", "n"), "id"), "alignment-groups")
-
-    links = whole.select("id", "n", F.explode("links").alias("l")).select("id", "n", "l.a", "l.b")
-    scored = links.join(pair_counts(links), ["a", "b"]).groupBy("id").agg(F.count("*").alias("n_links"), F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
-    figures = whole.withColumn("n_groups", F.size("links")).drop("links", "n").join(scored, "id").select("chunk", *[F.col(c).cast("long").alias(c) for c in FIGURES], "groups")
-    back = own.select(F.col("part").alias("home"), "idx", "chunk").join(figures, "chunk").drop("chunk")
+        whole = written(grouped(chunks).join(chunks.select("id", "chunk", "n"), "id"), "alignment-groups", "zstd")
+
+    links = whole.select("chunk", "n", F.explode("links").alias("l")).select("chunk", "n", "l.a", "l.b")
+    pairs = written(pair_counts(links), "alignment-pairs")
+    # few pairs reach every task; more of them are met by a shuffle, which adaptive execution may split
+    pairs = F.broadcast(pairs) if pairs.count() <= PAIRS else pairs
+    scored = links.join(pairs, ["a", "b"]).groupBy("chunk").agg(F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
+    figures = whole.select("chunk", "n_a", "n_b", F.size("links").alias("n_groups"), "groups")
+    back = own.select(F.col("part").alias("home"), "idx", "chunk").join(figures, "chunk").join(scored, "chunk")
+    # two numbers in one, for these rows are the most that is shuffled
+    two = lambda a, b: F.col(a).cast("long") * (1 << 32) + F.col(b).cast("long")
+    back = back.select("home", "idx", two("n_a", "n_b").alias("tokens"), two("n_groups", "n_best").alias("shared"), "count_sum", "groups")
     kind = dict(docs.dtypes)[key]
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -236,14 +269,21 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_a
         flat = refs.flatten().to_numpy()
         place = np.empty(right.num_rows, np.int64)
         place[right.column("idx").to_numpy()] = np.arange(right.num_rows)
-        taken = pa.array(place[flat])
-        out = {key: left.column("doc")}
+        at = place[flat]
+        first, second = right.column("tokens").to_numpy(), right.column("shared").to_numpy()
+        n_groups = first_half(second)
+        # a group's last tokens end together and no token is empty, so every group is one link
+        own = {"n_a": first_half(first), "n_b": second_half(first), "n_groups": n_groups, "n_links": n_groups, "n_best": second_half(second), "count_sum": right.column("count_sum").to_numpy()}
+        out = [left.column("doc").combine_chunks()]
         for c in FIGURES:
-            upto = np.concatenate([[0], np.cumsum(right.column(c).to_numpy()[place[flat]])])
-            out[c] = pa.array((upto[ends[1:]] - upto[ends[:-1]]).astype(np.int64))
-        texts = right.column("groups").combine_chunks().take(taken)
-        out["groups"] = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), texts), ";")
-        return pa.table(out)
+            upto = np.concatenate([[0], np.cumsum(own[c][at])])
+            out.append(pa.array((upto[ends[1:]] - upto[ends[:-1]]).astype(np.int64)))
+        texts, names, batches = right.column("groups").combine_chunks(), [key, *FIGURES, "groups"], []
+        for a in range(0, len(ends) - 1, ROWS):  # not all texts of a part at once
+            b = min(len(ends) - 1, a + ROWS)
+            lists = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), texts.take(pa.array(at[ends[a] : ends[b]])))
+            batches.append(pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in out), pc.binary_join(lists, ";")], names))
+        return pa.Table.from_batches(batches)
 
     both = cut.where("idx is null").select("part", "doc", "refs").groupBy("part").cogroup(back.groupBy("home"))
     return both.applyInArrow(summed, f"`{key}` {kind}, {', '.join(f'{c} long' for c in FIGURES)}, groups string")
