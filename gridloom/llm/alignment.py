@@ -36,7 +36,7 @@ from gridloom.llm.common import parts_of, table, written
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a part, and of chunks handed to a library at once.
-PART, JOINED = 1 << 25, 1 << 14
+PART, JOINED = 1 << 24, 1 << 14
 #: A token is carried as its id times this and its length in bytes, one number.
 LENGTH = 1 << 8
 #: Pairs of linked tokens up to which their counts are broadcast (some 50 MB).
@@ -255,9 +255,10 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_a
     pairs = written(pair_counts(links), "alignment-pairs")
     # few pairs reach every task; more of them are met by a shuffle, which adaptive execution may split
     pairs = F.broadcast(pairs) if pairs.count() <= PAIRS else pairs
-    scored = links.join(pairs, ["a", "b"]).groupBy("chunk").agg(F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
-    figures = whole.select("chunk", "n_a", "n_b", F.size("links").alias("n_groups"), "groups")
-    back = own.select(F.col("part").alias("home"), "idx", "chunk").join(figures, "chunk").join(scored, "chunk")
+    # dealt by chunk once, for the sums over its links and for the join with its parts
+    each = whole.repartition("chunk").select("chunk", "n_a", "n_b", F.size("links").alias("n_groups"), "groups", F.explode("links").alias("l")).select("*", "l.a", "l.b").drop("l")
+    figures = each.join(pairs, ["a", "b"]).groupBy("chunk", "n_a", "n_b", "n_groups", "groups").agg(F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
+    back = own.select(F.col("part").alias("home"), "idx", "chunk").join(figures, "chunk")
     # two numbers in one, for these rows are the most that is shuffled
     two = lambda a, b: F.col(a).cast("long") * (1 << 32) + F.col(b).cast("long")
     back = back.select("home", "idx", two("n_a", "n_b").alias("tokens"), two("n_groups", "n_best").alias("shared"), "count_sum", "groups")
