@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.exprs import r6
+from gridloom.functions.graphs import shared_path
 from gridloom.operators.polygons import extent_of, histogram, meeting, polygon_members, validation
 from gridloom.operators.zones import feature_counts, representative_points
-from gridloom.functions.exprs import r6
 from gridloom.registry import query
 from gridloom.sources.tables import clusters, table
+from gridloom.sources.vectors import layer_profile, read_shapes, shape_attributes, write_shapes
 
 #: Polygons are small beside the grid; a fifth of them have a second ring, many cross themselves.
 EIGHTHS, RINGS = 8, 5
@@ -126,3 +128,25 @@ def polygon_label_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("polygon_part_counts", f"WITH {_POLY} SELECT CASE WHEN parts > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry, CAST(count(*) AS BIGINT) AS features FROM (SELECT feature, count(DISTINCT part) AS parts FROM v GROUP BY feature) GROUP BY 1")
 def polygon_part_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_counts(_inputs(spark, sf_dir)[1])
+
+
+def written_shapes(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the polygons as shapefiles."""
+    path = shared_path(spark, "polygon-shapes")
+    write_shapes(_inputs(spark, sf_dir)[1], path)
+    return path
+
+
+@query("shapefile_vertices", f"WITH {_POLY} SELECT feature, CAST(part AS INTEGER) AS part, CAST(seq AS INTEGER) AS seq, x, y FROM v")
+def shapefile_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings written as shapefiles and read again; records are named by the attribute table beside them."""
+    path = written_shapes(spark, sf_dir)
+    key = shape_attributes(spark, path).where("name = 'feature'").select("feature", F.col("value").cast("long").alias("key"))
+    return read_shapes(spark, path).join(key, "feature").select(F.col("key").alias("feature"), "part", "seq", "x", "y")
+
+
+@query("shapefile_profile", f"WITH {_POLY} SELECT CAST(count(DISTINCT feature) AS BIGINT) AS records, min(x) AS x_min, min(y) AS y_min, max(x) AS x_max, max(y) AS y_max FROM v")
+def shapefile_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and extent as the files' heads state them."""
+    own = layer_profile(spark, written_shapes(spark, sf_dir))
+    return own.agg(F.sum("records").alias("records"), F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max"))

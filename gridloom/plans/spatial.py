@@ -128,16 +128,16 @@ def window_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def geographic_window(cells: DataFrame, west: float, south: float, east: float, north: float, rounded: bool) -> DataFrame:
     """Cells of a box in degrees: offset and size rounded to cells, or both corners' cells, clamped and without the last."""
-    height = F.broadcast(cells.agg((F.max("row") + 1).alias("_h")))  # one row
-    tall, wide = 180.0 / F.col("_h"), 360.0 / COLUMNS_WIDE
+    shape = F.broadcast(cells.agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w")))  # one row
+    tall, wide = 180.0 / F.col("_h"), 360.0 / F.col("_w")
     if rounded:
-        r0, c0 = F.floor((90 - north) / tall + 0.5), F.floor(F.lit((west + 180) / wide + 0.5))
-        r1, c1 = r0 + F.floor((north - south) / tall + 0.5), c0 + F.floor(F.lit((east - west) / wide + 0.5))
+        r0, c0 = F.floor((90 - north) / tall + 0.5), F.floor((west + 180) / wide + 0.5)
+        r1, c1 = r0 + F.floor((north - south) / tall + 0.5), c0 + F.floor((east - west) / wide + 0.5)
     else:
-        r0, c0 = F.greatest(F.lit(0), F.floor((90 - north) / tall)), F.greatest(F.lit(0), F.floor(F.lit((west + 180) / wide)))
-        r1, c1 = F.least(F.col("_h"), F.floor((90 - south) / tall)), F.least(F.lit(COLUMNS_WIDE), F.floor(F.lit((east + 180) / wide)))
+        r0, c0 = F.greatest(F.lit(0), F.floor((90 - north) / tall)), F.greatest(F.lit(0), F.floor((west + 180) / wide))
+        r1, c1 = F.least(F.col("_h"), F.floor((90 - south) / tall)), F.least(F.col("_w"), F.floor((east + 180) / wide))
     inside = (F.col("row") >= r0) & (F.col("row") < r1) & (F.col("col") >= c0) & (F.col("col") < c1)
-    return cells.crossJoin(height).where(inside).select(*cells.columns)
+    return cells.crossJoin(shape).where(inside).select(*cells.columns)
 
 
 @query("window_extract", """SELECT "row", col, cluster FROM geo WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -30 AND 30""")
