@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import byte_letters
-from gridloom.llm.common import parts_of, table, written
+from gridloom.llm.common import parts_of, released, table, written
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a part, and of chunks handed to a library at once.
@@ -248,11 +248,13 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_a
     own = cut.where("idx is not null")
     chunks = encoded(own.groupBy("chunk").agg(F.sum("n").alias("n")), path_a, path_b)
     chunks = written(chunks.withColumn("id", F.monotonically_increasing_id()), "alignment-chunks", "zstd")
+    released(docs.sparkSession)
     with together(docs.sparkSession):
         whole = written(grouped(chunks).join(chunks.select("id", "chunk", "n"), "id"), "alignment-groups", "zstd")
 
     links = whole.select("chunk", "n", F.explode("links").alias("l")).select("chunk", "n", "l.a", "l.b")
     pairs = written(pair_counts(links), "alignment-pairs")
+    released(docs.sparkSession)
     # few pairs reach every task; more of them are met by a shuffle, which adaptive execution may split
     pairs = F.broadcast(pairs) if pairs.count() <= PAIRS else pairs
     # dealt by chunk once, for the sums over its links and for the join with its parts

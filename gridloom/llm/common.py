@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import graphs
+
 #: Share of documents (crc32 of the id as text, modulo) that no classifier learns labels from.
 FOLDS = 5
 
@@ -27,9 +29,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names; where it is unset, in the warehouse, which a cluster shares too."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/gridloom-shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names; fails on a cluster where it is unset."""
+    return graphs.shared_path(spark, name)
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -39,6 +40,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Asks for the driver's garbage to be collected: only then does Spark delete the shuffle files of jobs whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_of(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of the text or list ``column`` in each; a longer value is alone in its slice."""
     values = batch.column(column)

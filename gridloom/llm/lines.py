@@ -46,11 +46,13 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(lines_of(F.col(text))).alias("place", "line"))
     long = rows.where(F.char_length("line") >= least_chars).withColumn("k", line_key(F.col("line"))).where(F.char_length("k") >= least_chars)
     hashed = long.select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"), "doc", "text_hash", "place")
+    hashed = written(hashed, "lines-hashes")  # the borders of a range partitioning are drawn in a pass of their own
     dealt = hashed.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "text_hash", "place")
     first = F.row_number().over(Window.partitionBy("h1", "h2", "doc").orderBy("text_hash", "place")) == 1
     streamed = written(dealt.withColumn("first", first), "lines-sorted")
 
     shared = streamed.where("first").groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("holder")).where(F.col("docs") >= least_docs)
+    shared = written(shared, "lines-shared")  # read back with its size, and so that the join below can split a hot line
     lost = streamed.join(shared, ["h1", "h2"]).where("doc <> holder")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
     words = lost.groupBy("doc", "text_hash", F.floor(F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("lost"))
@@ -77,7 +79,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     both = docs.join(found, (F.col(key) == F.col("_doc")) & (F.xxhash64(text) == F.col("_hash")), "left")
     own = F.coalesce(F.col(text), F.lit(""))
     out = both.withColumns({"kept": F.when(F.col("_keep").isNull(), own).otherwise(kept_text(F.col(text), F.col("_keep"))), "n_lines": F.size(lines_of(F.col(text))).cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0).cast("long"))})
-    return out.drop("_doc", "_hash", "_keep")
+    return out.select(*docs.columns, "kept", "n_lines", "n_dropped")
 
 
 def op11_lines(spark, sf_dir: str) -> DataFrame:
