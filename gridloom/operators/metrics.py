@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,17 +29,54 @@ def adjusted_rand(table: DataFrame) -> DataFrame:
     return one.select(F.coalesce(ratio(F.col("s") - expected, (F.col("ra") + F.col("cb")) / 2 - expected), F.lit(1.0)).alias("ari"))
 
 
+def assignment(cost: list[list[int]]) -> list[int]:
+    """The column of each row in an assignment of least cost (exact whole numbers, a square table); rows join one by one along shortest paths."""
+    k = len(cost)
+    of_column = [-1] * k  # row that holds a column
+    row_price, column_price = [0] * k, [0] * k
+    for row in range(k):
+        least, back, done = [None] * k, [-1] * k, [False] * k
+        at, column = row, -1
+        while True:
+            for j in range(k):
+                if not done[j]:
+                    slack = cost[at][j] - row_price[at] - column_price[j]
+                    if least[j] is None or slack < least[j]:
+                        least[j], back[j] = slack, column
+            nearest_one = min((j for j in range(k) if not done[j]), key=lambda j: least[j])
+            step = least[nearest_one]
+            row_price[row] += step
+            for j in range(k):
+                if done[j]:
+                    row_price[of_column[j]] += step
+                    column_price[j] -= step
+                else:
+                    least[j] -= step
+            column = nearest_one
+            done[column] = True
+            at = of_column[column]
+            if at < 0:
+                break
+        while column >= 0:  # every row on the path moves one column on
+            before = back[column]
+            of_column[column] = of_column[before] if before >= 0 else row
+            column = before
+    out = [0] * k
+    for j, i in enumerate(of_column):
+        out[i] = j
+    return out
+
+
 def aligned(table: DataFrame, k: int) -> DataFrame:
-    """(candidate, reference): the relabelling of b that keeps most rows on the diagonal; first permutation on ties.
+    """(candidate, reference): the relabelling of b that keeps most rows on the diagonal.
 
-    All ``k``! permutations of a k x k table are scored in one pass, so ``k`` stays small.
+    Of several best ones the first in order of the candidates of references 0, 1, ...: their numbers are a second part of the
+    cost, below one row.  The k x k counts reach the driver.
     """
-    count = F.map_from_entries(F.collect_list(F.struct(F.col("a") * k + F.col("b"), F.col("n"))))
-    one = table.where(F.col("a").between(0, k - 1) & F.col("b").between(0, k - 1)).agg(count.alias("m"))
-    options = F.array(*[F.array(*map(F.lit, p)) for p in permutations(range(k))])  # p[reference] = candidate
-    score = lambda p: F.aggregate(F.transform(p, lambda c, r: F.coalesce(F.element_at(F.col("m"), (r * k + c)), F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
-    ranked = F.array_min(F.transform(options, lambda p: F.struct((-score(p)).alias("minus"), p.alias("p"))))
-    return one.select(F.posexplode(ranked["p"]).alias("reference", "candidate")).select("candidate", "reference")
+    found = {(r["a"], r["b"]): r["n"] for r in table.where(F.col("a").between(0, k - 1) & F.col("b").between(0, k - 1)).groupBy("a", "b").agg(F.sum("n").cast("long").alias("n")).collect()}
+    one = k**k
+    cost = [[c * k ** (k - 1 - r) - found.get((r, c), 0) * one for c in range(k)] for r in range(k)]
+    return table.sparkSession.createDataFrame([(c, r) for r, c in enumerate(assignment(cost))], "candidate int, reference int")
 
 
 def centres(df: DataFrame, label: str, x: str, dims: int) -> DataFrame:

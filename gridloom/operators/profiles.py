@@ -24,25 +24,29 @@ def profile(df: DataFrame, names: list[str], measures: dict) -> DataFrame:
     return wide_to_rows(one, names, list(measures))
 
 
-def quantiles(df: DataFrame, names: list[str], at: list[float]) -> DataFrame:
-    """(feature, p, value): exact quantiles (linear between neighbours) of each column; nulls do not count.
+def quantiles_by(rows: DataFrame, at: list[float]) -> DataFrame:
+    """(feature, p, value): exact quantiles (linear between neighbours) of each feature of ``rows`` (feature, value); nulls do not count.
 
-    Values are counted by distinct value and the counts summed along range partitions, so no task holds a whole column; the
-    two values around each position are then picked out.
+    Values are counted by distinct value and the counts summed along range partitions, so no task holds a whole column or
+    group; the two values around each position are then picked out.
     """
-    counted = long(df, names).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
-    upto = running(counted, [F.col("feature"), F.col("value")], F.col("n"), "upto", 32)
-    upto = upto.select("feature", "value", "n", "upto")
+    counted = rows.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    upto = running(counted, [F.col("feature"), F.col("value")], F.col("n"), "upto").select("feature", "value", "n", "upto")
     totals = upto.groupBy("feature").agg((F.max("upto") - F.min(F.col("upto") - F.col("n"))).alias("all"), F.min(F.col("upto") - F.col("n")).alias("before"))  # a row a feature
     spots = totals.select("feature", "before", F.explode(F.array(*map(F.lit, at))).alias("p"), "all").withColumn("spot", F.col("p") * (F.col("all") - 1))
-    spots = spots.withColumns({"low": F.floor("spot") + F.col("before"), "high": F.ceil("spot") + F.col("before")})
+    spots = spots.withColumns({"low": F.floor("spot") + F.col("before"), "high": F.ceil("spot") + F.col("before")}).withColumnRenamed("feature", "of")
     holds = lambda c: (F.col("upto") - F.col("n") <= F.col(c)) & (F.col(c) < F.col("upto"))
-    met = upto.join(F.broadcast(spots), "feature").where(holds("low") | holds("high"))  # features x positions
+    met = upto.join(spots, F.col("feature").eqNullSafe(F.col("of"))).where(holds("low") | holds("high"))
     one = met.groupBy("feature", "p", "spot").agg(F.max(F.when(holds("low"), F.col("value"))).alias("a"), F.max(F.when(holds("high"), F.col("value"))).alias("b"))
     part = F.col("spot") - F.floor("spot")
     return one.select("feature", "p", (F.col("a") * (1 - part) + F.col("b") * part).alias("value"))
 
 
+def quantiles(df: DataFrame, names: list[str], at: list[float]) -> DataFrame:
+    """(feature, p, value): exact quantiles of each of the columns ``names``."""
+    return quantiles_by(long(df, names), at)
+
+
 def quantile_columns(df: DataFrame, names: list[str], named: dict[str, float]) -> DataFrame:
     """A row for each feature with its quantiles as columns."""
     found = quantiles(df, names, list(named.values()))

@@ -6,9 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges into which draws are counted at once; draws are whole numbers below ``DRAWS``.
+RANGES, DRAWS = 1 << 16, 1 << 32
+
+
 def exact_sample(df: DataFrame, draw: Column, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest draw: exact and repeatable, a top-n per task and one merge."""
-    return df.withColumn("_d", draw).orderBy("_d").limit(n).drop("_d")
+    """The ``n`` rows with the smallest draw (whole numbers in 0 .. 2**32 - 1, null before all): exact and repeatable.
+
+    Rows are first counted by range of their draw, again inside the range that holds the n-th one as long as that holds
+    more than ``n`` rows; only rows up to its end are then ordered, so no task sees more than about twice ``n`` of them.
+    """
+    own = df.withColumn("_d", F.coalesce(draw.cast("long") + 1, F.lit(0).cast("long")))
+    low, width, left = 0, 2 * DRAWS, n
+    while True:
+        step = max(1, width // RANGES)
+        inside = own.where((F.col("_d") >= low) & (F.col("_d") < low + width))
+        counts = sorted(tuple(r) for r in inside.groupBy(F.floor((F.col("_d") - low) / step).alias("i")).agg(F.count("*")).collect())  # a row a range
+        for i, rows in counts:
+            if rows >= left:
+                break
+            left -= rows
+        else:
+            return df.select(*df.columns)  # no more than ``n`` rows in all
+        low, width = low + i * step, step
+        if rows <= n or step == 1:
+            return own.where(F.col("_d") < low + width).orderBy("_d").limit(n).drop("_d")
 
 
 def allocation(sizes: DataFrame, total: int) -> DataFrame:

@@ -118,7 +118,7 @@ def ecdf_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anomaly_rank_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = distances(spark, sf_dir).select("id", F.round("d1", 9).alias("d1"))
     n = F.broadcast(d.agg(F.count("*").alias("n")))
-    return ordinal(d, [F.col("d1"), F.col("id")], parts=16).crossJoin(n).select("id", r6(ratio(F.col("ordinal") - 1, F.greatest(F.col("n") - 1, F.lit(1)))).alias("centroid_percentile"))
+    return ordinal(d, [F.col("d1"), F.col("id")]).crossJoin(n).select("id", r6(ratio(F.col("ordinal") - 1, F.greatest(F.col("n") - 1, F.lit(1)))).alias("centroid_percentile"))
 
 
 @query("contingency", f"WITH {DIST} SELECT CAST(label % 4 AS INTEGER) AS a, CAST(cluster AS INTEGER) AS b, CAST(count(*) AS BIGINT) AS n FROM near GROUP BY 1, 2")

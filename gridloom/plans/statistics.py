@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import mapped, r6, ratio, valid
-from gridloom.operators.profiles import DESCRIBE, long, profile, quantile_columns, quantiles
+from gridloom.operators.profiles import DESCRIBE, long, profile, quantile_columns, quantiles, quantiles_by
 from gridloom.registry import query
 from gridloom.sources.tables import BANDS, cells, clusters, grid, items, table
 
@@ -47,7 +47,10 @@ def value_counts_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("group_stats", "SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS middle, round(stddev_samp(value), 6) AS std FROM events GROUP BY event_type")
 def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(r6(F.avg("value")).alias("mean"), r6(F.median("value")).alias("middle"), r6(F.stddev_samp("value")).alias("std"))
+    e = table(spark, sf_dir, "events").select("event_type", "value")
+    middle = quantiles_by(e.withColumnRenamed("event_type", "feature"), [0.5]).select(F.col("feature").alias("of"), r6("value").alias("middle"))
+    one = e.groupBy("event_type").agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"))
+    return one.join(middle, F.col("event_type").eqNullSafe(F.col("of")), "left").select("event_type", "mean", "middle", "std")
 
 
 @query("describe_exact", _union("SELECT '{f}' AS feature, CAST(count({f}) AS BIGINT) AS n, round(avg({f}), 8) AS mean, round(stddev_samp({f}), 6) AS std, min({f}) AS lowest, round(quantile_cont({f}, 0.25), 6) AS q25, round(quantile_cont({f}, 0.5), 6) AS q50, round(quantile_cont({f}, 0.75), 6) AS q75, max({f}) AS highest FROM items"))
@@ -184,7 +187,10 @@ def distinct_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("metric_summary", "SELECT min(o_totalprice) AS lowest, round(avg(o_totalprice), 6) AS mean, round(median(o_totalprice), 6) AS middle, max(o_totalprice) AS highest FROM orders")
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").agg(F.min("o_totalprice").alias("lowest"), r6(F.avg("o_totalprice")).alias("mean"), r6(F.median("o_totalprice")).alias("middle"), F.max("o_totalprice").alias("highest"))
+    o = table(spark, sf_dir, "orders").select("o_totalprice")
+    middle = quantiles(o, ["o_totalprice"], [0.5]).select(r6("value").alias("middle"))
+    one = o.agg(F.min("o_totalprice").alias("lowest"), r6(F.avg("o_totalprice")).alias("mean"), F.max("o_totalprice").alias("highest"))
+    return one.join(middle, F.lit(True), "left").select("lowest", "mean", "middle", "highest")  # one row each
 
 
 @query("ambiguous_fraction", "SELECT round(avg(CAST(l_discount > 0.05 AS DOUBLE)), 6) AS fraction FROM lineitem")

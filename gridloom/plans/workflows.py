@@ -168,7 +168,7 @@ def atlas(clusters: DataFrame, config: Config, height: int, width: int, step_x:
     if every > 1:
         clusters = clusters.where((F.col("row") % every == 0) & (F.col("col") % every == 0)).withColumns({"row": F.expr(f"int(row div {every})"), "col": F.expr(f"int(col div {every})")})
     found = objects.atlas(clusters, -(-height // every), -(-width // every), step_x * every, step_y * every, least)
-    return ordinal(found, [F.col("cluster"), F.col("object")], "object_id", 8)
+    return ordinal(found, [F.col("cluster"), F.col("object")], "object_id")
 
 
 def associations(spark, root: str) -> dict[str, DataFrame]:
