@@ -1,4 +1,4 @@
-"""Iterative models: k-means and its kin, mixtures, density clusters, isolation forest, Ward."""
+"""Iterative models: k-means and its kin, mixtures, isolation forest, Ward."""
 
 from __future__ import annotations
 
@@ -9,12 +9,11 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import id_hash
-from gridloom.functions.graphs import components, cut
-from gridloom.operators.metrics import distance
+from gridloom.functions.graphs import cut
 
 
 def standardised(df: DataFrame, dims: int, of: DataFrame | None = None) -> DataFrame:
@@ -126,59 +125,6 @@ def minibatch(df: DataFrame, centres: list[list[float]], batch: int, rounds: int
     return centres
 
 
-def near(a: DataFrame, b: DataFrame, eps: float, keep: dict[str, Column] | None = None, dims: int = 2) -> DataFrame:
-    """Pairs of a row of ``a`` and one of ``b`` (id, x, ...) at most ``eps`` apart, with ``distance`` and the columns ``keep``
-    (over a.* and b.*); a grid over the first ``dims`` features offers candidates.  Callers aggregate at once, so pairs are not kept.
-    """
-    cell = lambda df: df.withColumn("cell", F.array(*[F.floor(F.col("x")[i] / eps) for i in range(dims)]))
-    steps = [[]]
-    for _ in range(dims):
-        steps = [[*s, d] for s in steps for d in (-1, 0, 1)]
-    offered = cell(b).withColumn("s", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in steps]))).withColumn("cell", F.zip_with("cell", "s", lambda p, q: p + q)).drop("s")
-    both = cell(a).alias("a").join(offered.alias("b"), F.col("a.cell") == F.col("b.cell"))
-    apart = both.withColumn("distance", distance(F.col("a.x"), F.col("b.x"))).where(F.col("distance") <= eps)
-    return apart.select("distance", *[c.alias(n) for n, c in (keep or {"i": F.col("a.id"), "j": F.col("b.id")}).items()])
-
-
-def dbscan(df: DataFrame, eps: float, least: int, dims: int) -> DataFrame:
-    """(id, cluster): density clusters named by their smallest core id, -1 for noise; a border row joins the lowest cluster.
-
-    Pairs within ``eps`` are only counted, never written.  Cores of one small cell (its diagonal is ``eps``) belong together
-    anyway, so links are between cells: a dense spot leaves one row a cell.
-    """
-    side = eps / math.sqrt(dims)
-    own = cut(df.select("id", "x", F.array(*[F.floor(F.col("x")[i] / side) for i in range(dims)]).alias("small")))
-    many = near(own, own, eps, {"i": F.col("a.id")}).groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    core = own.join(many.select(F.col("i").alias("id")), "id")
-    core = cut(core.join(core.groupBy("small").agg(F.min("id").alias("rep")), "small").select("id", "x", "rep"))
-    links = near(core, core, eps, {"a": F.col("a.rep"), "b": F.col("b.rep")}).where("a < b").select("a", "b").distinct()
-    named = components(links).withColumnRenamed("node", "rep")
-    core = cut(core.join(named, "rep", "left").select("id", "x", F.coalesce("component", "rep").alias("cluster")))
-    border = near(own.join(core, "id", "left_anti"), core, eps, {"id": F.col("a.id"), "cluster": F.col("b.cluster")}).groupBy("id").agg(F.min("cluster").alias("cluster"))
-    found = core.select("id", "cluster").unionByName(border)
-    return df.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
-
-
-def kth_distances(df: DataFrame, k: int, eps: float) -> DataFrame:
-    """(id, distance) to the ``k``-th nearest row of all, the row itself being the first; exact.
-
-    Rows are searched within ``eps``; those with fewer than ``k`` rows so near are searched again within twice of it.  With
-    fewer than ``k`` rows in all the farthest counts.
-    """
-    k = min(k, df.count())
-    todo, out = df.select("id", "x"), None
-    all_ = cut(todo)
-    while True:
-        close = near(todo, all_, eps, {"id": F.col("a.id"), "d": F.col("distance"), "j": F.col("b.id")})
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "j"))
-        found = cut(close.withColumn("k", rank).where(F.col("k") <= k).groupBy("id").agg(F.max("d").alias("distance"), F.max("k").alias("k")).where(F.col("k") == k).select("id", "distance"))
-        out = found if out is None else out.unionByName(found)
-        todo = cut(todo.join(found, "id", "left_anti"))
-        if todo.isEmpty():
-            return out
-        eps *= 2
-
-
 def spread_factor(n: int) -> float:
     """Mean path length of an unsuccessful search among ``n`` rows."""
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n

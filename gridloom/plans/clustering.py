@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import entropy, id_hash, ordinal, r6, ratio, reference_share, softmax
 from gridloom.functions.graphs import cut
-from gridloom.operators import metrics, models
+from gridloom.operators import density, metrics, models
 from gridloom.operators.profiles import quantiles
 from gridloom.operators.samples import exact_sample
 from gridloom.plans import workflows
@@ -191,14 +191,14 @@ _AT = "[0.5, 0.75, 0.9, 0.95, 0.99, 1.0]"
     q AS (SELECT quantile_cont(d, {_AT}) AS q FROM r WHERE k = 10) SELECT unnest({_AT}::DOUBLE[]) AS p, round(unnest(q), 6) AS value FROM q""")
 def knn_kdist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of all rows' distance to their tenth neighbour (the row itself is the first)."""
-    d = models.kth_distances(distances(spark, sf_dir).select("id", "x"), 10, 0.1)
+    d = density.kth_distances(distances(spark, sf_dir).select("id", "x"), 10)
     return quantiles(d, ["distance"], [0.5, 0.75, 0.9, 0.95, 0.99, 1.0]).select("p", r6("value").alias("value"))
 
 
 @query("dbscan_core_points", f"WITH n AS (SELECT a.id, count(*) AS n FROM vec a JOIN vec b ON {_dist('a.x', 'b.x')} <= 0.2 GROUP BY a.id) SELECT id, CAST(n AS BIGINT) AS n FROM n WHERE n >= 10")
 def dbscan_core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir, DIMS).select("id", "x")
-    return models.near(v, v, 0.2, {"id": F.col("a.id")}).groupBy("id").agg(F.count("*").alias("n")).where("n >= 10")
+    return density.core_counts(v, 0.2, 10, DIMS)
 
 
 @query("lloyd_fixed_iters", f"""WITH {DIST}, c1 AS (SELECT cluster, [{_C}] AS m FROM near GROUP BY cluster), a2 AS (SELECT id, any_value(x) AS x, arg_min(c1.cluster, ({_dist("x", "m")}, c1.cluster)) AS cluster FROM vec, c1 GROUP BY id),
@@ -219,7 +219,7 @@ def scaled(spark: SparkSession, sf_dir: str, dims: int = 17) -> DataFrame:
 
 @query("dbscan_full")
 def dbscan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.dbscan(vectors(spark, sf_dir, DIMS), 0.2, 10, DIMS)
+    return density.dbscan(vectors(spark, sf_dir, DIMS), 0.2, 10, DIMS)
 
 
 @query("dbscan_sweep")

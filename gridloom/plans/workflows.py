@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import entropy, id_hash, ordinal, ratio, reference_share, softmax
 from gridloom.functions.graphs import cut
-from gridloom.operators import focal, metrics, models, objects, samples
+from gridloom.operators import density, focal, metrics, models, objects, samples
 from gridloom.sources import files
 from gridloom.sources.files import Config
 from gridloom.sources.tables import BANDS
@@ -77,7 +77,7 @@ def density_sweep(v: DataFrame, radii, dims: int, least: int = 10, rows: int = 2
     """A row for each radius: clusters, those of at least 1 % of the rows, noise, the largest cluster's share, silhouette and Davies-Bouldin of the rows without noise (null below two clusters)."""
     out, n = [], v.count()
     for eps in radii:
-        found = cut(v.select("id", "x").join(models.dbscan(v, eps, least, dims), "id"))
+        found = cut(v.select("id", "x").join(density.dbscan(v, eps, least, dims), "id"))
         kept = found.where("cluster >= 0")
         sizes = [r["n"] for r in kept.groupBy("cluster").agg(F.count("*").alias("n")).collect()]  # a row a cluster
         several = len(sizes) > 1

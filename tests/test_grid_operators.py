@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import ordinal, reference_share, valid
 from gridloom.functions.graphs import components
-from gridloom.operators import focal, metrics, models, objects, profiles, samples, zones
+from gridloom.operators import density, focal, metrics, models, objects, profiles, samples, zones
 from gridloom.plans import clustering, workflows
 from gridloom.sources import files
 
@@ -131,7 +131,7 @@ def test_validity(spark):
 
 def test_density_clusters(spark):
     points = [(i, [0.01 * i, 0.0]) for i in range(12)] + [(100 + i, [5.0 + 0.01 * i, 0.0]) for i in range(12)] + [(999, [50.0, 50.0])]
-    out = dict(models.dbscan(spark.createDataFrame(points, "id long, x array<double>"), 0.2, 10, 2).collect())
+    out = dict(density.dbscan(spark.createDataFrame(points, "id long, x array<double>"), 0.2, 10, 2).collect())
     assert {out[i] for i in range(12)} == {0} and {out[100 + i] for i in range(12)} == {100} and out[999] == -1
 
 
@@ -227,14 +227,14 @@ def test_silhouette_and_tenth_neighbour_against_numpy(spark):
     b = np.array([min(d[i][label == c].mean() for c in range(3) if c != label[i]) for i in range(90)])
     got = metrics.silhouette(df.withColumn("l", (F.col("id") % 3).cast("int")), "l", "x").first()[0]
     assert got == pytest.approx(((b - a) / np.maximum(a, b)).mean())
-    found = dict(models.kth_distances(df, 10, 0.05).collect())
+    found = dict(density.kth_distances(df, 10).collect())
     assert len(found) == 90 and np.allclose([found[i] for i in range(90)], np.sort(d, axis=1)[:, 9])
 
 
 def test_density_clusters_by_brute_force(spark):
     rng = np.random.default_rng(9)
     x = np.vstack([rng.normal(0, 0.1, (120, 3)), rng.normal(1, 0.1, (120, 3)), rng.uniform(-3, 3, (60, 3)), np.zeros((30, 3))])
-    got = dict(models.dbscan(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>"), 0.15, 8, 3).collect())
+    got = dict(density.dbscan(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>"), 0.15, 8, 3).collect())
     close = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.15
     core = close.sum(1) >= 8
     label = np.where(core, np.arange(len(x)), 10**6)
