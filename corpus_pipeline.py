@@ -18,6 +18,8 @@ from gridloom.llm.common import table, written
 COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 #: Toxicity score from which a document goes.
 TOXIC = 0.5
+#: Share of the votes from which a predicted language replaces the given one.
+SURE = 0.5
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -25,11 +27,16 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; if no language can be learnt, all stay."""
+    """Documents in no language that can be told (without a letter) go; if no language can be learnt, all stay.
+
+    The others carry the predicted language where theirs is missing, or where the prediction is ``SURE`` and says another.
+    """
     filters = langid.learn(docs)
     if not filters.languages:
         return _documents(docs)
-    return _documents(langid.identify(_documents(docs), filters).where(F.col("lang_pred") != langid.UNKNOWN))
+    found = langid.identify(_documents(docs), filters).where(F.col("lang_pred") != langid.UNKNOWN)
+    told = F.when(F.col("lang").isNull() | (F.col("lang_score") >= SURE), F.col("lang_pred")).otherwise(F.col("lang"))
+    return _documents(found.withColumn("lang", told))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

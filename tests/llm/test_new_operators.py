@@ -219,3 +219,33 @@ def test_chunks_are_certain_cuts():
     texts = pa.array(["two words", "", None, "  a  b ", "x  y", "▁", "tail "])
     chunks, counts, able = alignment.chunk_texts(texts)
     assert chunks.to_pylist() == [" two", " words", "   a", "  b", " ", " x  y", " tail", " "] and counts.tolist() == [2, 0, 0, 3, 1, 0, 2] and able.tolist() == [True, False, False, True, True, False, True]
+
+
+# ---- the pipeline's language stage
+
+
+def test_language_stage_sets_languages_by_its_model(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+    from gridloom.llm import langid
+    from gridloom.llm.common import held_out
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null")
+    # held-out documents lose their language or get another one; a text without a letter is rejected
+    wrong = docs.withColumn("lang", F.when(held_out() & (F.col("doc_id") % 2 == 0), F.lit(None)).when(held_out(), F.when(F.col("lang") == "en", "de").otherwise("en")).otherwise(F.col("lang")))
+    wrong = wrong.unionByName(spark.createDataFrame([(10**9, "12345 %%% 678", "en", "x", 13)], docs.schema))
+    true = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    own = {r["doc_id"] for r in docs.where(held_out()).collect()}
+
+    def restored():
+        rows = corpus_pipeline.language(spark, wrong, SF).collect()
+        assert 10**9 not in {r["doc_id"] for r in rows} and {r["doc_id"] for r in rows} <= set(true)
+        return np.mean([r["lang"] == true[r["doc_id"]] for r in rows if r["doc_id"] in own])
+
+    assert len(own) > 20 and restored() > 0.9
+    # a test for letters in the place of the model restores next to nothing
+    monkeypatch.setattr(langid.Filters, "predict", lambda self, text: ("en" if any(map(str.isalpha, text or "")) else langid.UNKNOWN, 0.0))
+    model = langid.learn(wrong)
+    monkeypatch.setattr(langid, "identify", lambda df, filters, text="text": df.withColumns({"lang_pred": F.when(F.col(text).rlike("[a-zA-Z]"), "en").otherwise(langid.UNKNOWN), "lang_score": F.lit(0.0)}))
+    assert model.languages and restored() < 0.7
