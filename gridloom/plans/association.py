@@ -71,24 +71,30 @@ def alias_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy(F.col(f"`{c}`").alias("cluster")).agg(F.sum(F.col(f"`{n}`")).alias("n"))
 
 
-# A small literal table with holes, as researchers keep them.
-STUDY = [
-    ("North", "tessera", "highland", 60.0, 20.0, 5.0, 15.0, 12000.0), ("North", "plains", "plain", 10.0, 70.0, 15.0, 5.0, None), ("North", "baseline", "baseline", 40.0, 40.0, 10.0, 10.0, 50000.0),
-    ("South", "Tessera inlier", "highland", 55.0, None, 25.0, 20.0, 9000.0), ("South", "corona", "corona", 5.0, 30.0, 60.0, 5.0, 20000.0), ("South", None, "unknown", 25.0, 25.0, 25.0, 25.0, 100.0), ("East", "ridge belt", "plain", None, 80.0, 15.0, 5.0, 15000.0),
-]
-STUDY_COLUMNS = "region string, geology string, category string, C0_pct double, C1_pct double, C2_pct double, C3_pct double, pixels double"
-_lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE"
-STUDY_SQL = "study(region, geology, category, C0_pct, C1_pct, C2_pct, C3_pct, pixels) AS (VALUES " + ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in STUDY) + ")"
 PCT = [f"C{i}_pct" for i in range(4)]
+#: What the study's rows are called in these tables: the reference rows, those without a class, one region, words of the names.
+BASELINE, UNKNOWN, REGION, WORD, CLASS, LARGE = "BUILDING", "HOUSEHOLD", "EUROPE", "nation_1", "auto", 5
+STUDY_SQL = """study AS (SELECT r_name AS region, n_name AS geology, c_mktsegment AS category, """ + ", ".join(f"nullif(round(100.0::DOUBLE * count(*) FILTER (left(o_orderpriority, 1) = '{i + 1}') / count(*), 6), 0) AS {c}" for i, c in enumerate(PCT)) + """, CAST(nullif(count(*), 1) AS DOUBLE) AS pixels
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2, 3)"""
 
 
-def study(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STUDY, STUDY_COLUMNS)
+def study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(region, geology, category, C0_pct .. C3_pct, pixels): shares of the first four priorities among the orders of a region, nation and segment.
 
+    With holes, as such tables have them: a share of nothing and the size of a single order are not known.
+    """
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.left("o_orderpriority", F.lit(1)).alias("p"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("category"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("geology"), F.col("n_regionkey").alias("r_regionkey"))
+    r = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
+    own = o.join(c, "c_custkey").join(n, "n_nationkey").join(r, "r_regionkey")
+    share = lambda i: F.nullif(F.round(100 * F.count(F.when(F.col("p") == str(i + 1), 1)) / F.count("*"), 6), F.lit(0.0))
+    return own.groupBy("region", "geology", "category").agg(*[share(i).alias(c) for i, c in enumerate(PCT)], F.nullif(F.count("*"), F.lit(1)).cast("double").alias("pixels"))
 
-@query("cross_region_means", f"WITH {STUDY_SQL} SELECT category, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in PCT) + " FROM study WHERE category <> 'baseline' GROUP BY category")
+
+@query("cross_region_means", f"WITH {STUDY_SQL} SELECT category, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in PCT) + " FROM study WHERE category <> '" + BASELINE + "' GROUP BY category")
 def cross_region_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return study(spark).where("category <> 'baseline'").groupBy("category").agg(*[r6(F.avg(c)).alias(c) for c in PCT])
+    return study(spark, sf_dir).where(F.col("category") != BASELINE).groupBy("category").agg(*[r6(F.avg(c)).alias(c) for c in PCT])
 
 
 _G = "greatest(C0_pct, C1_pct, C2_pct, C3_pct)"
@@ -97,35 +103,35 @@ _G = "greatest(C0_pct, C1_pct, C2_pct, C3_pct)"
 @query("dominant_cluster", f"WITH {STUDY_SQL} SELECT region, geology, CASE WHEN C0_pct = {_G} THEN 'C0' WHEN C1_pct = {_G} THEN 'C1' WHEN C2_pct = {_G} THEN 'C2' WHEN C3_pct = {_G} THEN 'C3' END AS dominant, {_G} AS purity FROM study")
 def dominant_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, top = argmax([c.removesuffix("_pct") for c in PCT], [F.col(c) for c in PCT])
-    return study(spark).select("region", "geology", name.alias("dominant"), top.alias("purity"))
+    return study(spark, sf_dir).select("region", "geology", name.alias("dominant"), top.alias("purity"))
 
 
-@query("tessera_like_filter", f"WITH {STUDY_SQL} SELECT region, geology FROM study WHERE coalesce(contains(lower(geology), 'tessera'), false) OR coalesce(contains(lower(category), 'corona'), false)")
+@query("tessera_like_filter", f"WITH {STUDY_SQL} SELECT region, geology FROM study WHERE coalesce(contains(lower(geology), '{WORD}'), false) OR coalesce(contains(lower(category), '{CLASS}'), false)")
 def tessera_like_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = lambda c, w: F.coalesce(F.lower(c).contains(w), F.lit(False))
-    return study(spark).where(has("geology", "tessera") | has("category", "corona")).select("region", "geology")
+    return study(spark, sf_dir).where(has("geology", WORD) | has("category", CLASS)).select("region", "geology")
 
 
 @query("harmonise_union", f"WITH {STUDY_SQL} SELECT region, geology, 'study' AS source, pixels FROM study UNION ALL SELECT r_name, NULL, 'tables', CAST(count(*) AS DOUBLE) FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
 def harmonise_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of different origin under one schema; what a table lacks is null."""
-    a = study(spark).select("region", "geology", F.lit("study").alias("source"), "pixels")
+    a = study(spark, sf_dir).select("region", "geology", F.lit("study").alias("source"), "pixels")
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("region")).agg(F.count("*").cast("double").alias("pixels"))
     return a.unionByName(n.withColumn("source", F.lit("tables")), allowMissingColumns=True)
 
 
-@query("figure_top_contexts", f"WITH {STUDY_SQL}, a AS (SELECT region, geology, {_G} AS purity FROM study WHERE category NOT IN ('unknown', 'baseline') AND (pixels IS NULL OR pixels >= 10000)), b AS (SELECT region, geology, {_G} AS purity FROM study WHERE C0_pct IS NOT NULL AND C1_pct IS NOT NULL AND C2_pct IS NOT NULL AND C3_pct IS NOT NULL AND region = 'North') SELECT region, geology, purity, region || ' — ' || geology AS label FROM (SELECT * FROM a UNION SELECT * FROM b) ORDER BY purity DESC, region, geology LIMIT 20")
+@query("figure_top_contexts", f"WITH {STUDY_SQL}, a AS (SELECT region, geology, {_G} AS purity FROM study WHERE category NOT IN ('{UNKNOWN}', '{BASELINE}') AND (pixels IS NULL OR pixels >= {LARGE})), b AS (SELECT region, geology, {_G} AS purity FROM study WHERE C0_pct IS NOT NULL AND C1_pct IS NOT NULL AND C2_pct IS NOT NULL AND C3_pct IS NOT NULL AND region = '{REGION}') SELECT region, geology, purity, region || ' — ' || geology AS label FROM (SELECT * FROM a UNION SELECT * FROM b) ORDER BY purity DESC, region, geology LIMIT 20")
 def figure_top_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = study(spark).withColumn("purity", F.greatest(*PCT))
-    a = s.where(~F.col("category").isin("unknown", "baseline") & (F.col("pixels").isNull() | (F.col("pixels") >= 10000)))
-    b = s.dropna("any", subset=PCT).where("region = 'North'")
+    s = study(spark, sf_dir).withColumn("purity", F.greatest(*PCT))
+    a = s.where(~F.col("category").isin(UNKNOWN, BASELINE) & (F.col("pixels").isNull() | (F.col("pixels") >= LARGE)))
+    b = s.dropna("any", subset=PCT).where(F.col("region") == REGION)
     both = a.select("region", "geology", "purity").unionByName(b.select("region", "geology", "purity")).distinct()
     return both.withColumn("label", F.concat(F.col("region"), F.lit(" — "), F.col("geology"))).orderBy(F.desc_nulls_last("purity"), "region", "geology").limit(20)
 
 
-@query("key_associations", f"WITH {STUDY_SQL} SELECT region, geology, round(C0_pct / nullif(C0_pct + C1_pct + C2_pct + C3_pct, 0), 6) AS share0 FROM study WHERE pixels >= 10000")
+@query("key_associations", f"WITH {STUDY_SQL} SELECT region, geology, round(C0_pct / nullif(C0_pct + C1_pct + C2_pct + C3_pct, 0), 6) AS share0 FROM study WHERE pixels >= {LARGE}")
 def key_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return study(spark).where("pixels >= 10000").select("region", "geology", r6(ratio("C0_pct", F.col("C0_pct") + F.col("C1_pct") + F.col("C2_pct") + F.col("C3_pct"))).alias("share0"))
+    return study(spark, sf_dir).where(F.col("pixels") >= LARGE).select("region", "geology", r6(ratio("C0_pct", F.col("C0_pct") + F.col("C1_pct") + F.col("C2_pct") + F.col("C3_pct"))).alias("share0"))
 
 
 @query("harmonised_validation")
@@ -133,4 +139,4 @@ def harmonised_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of different layout in the canonical sixteen columns."""
     regions = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     counts = regions.groupBy(F.col("r_name").alias("Description")).agg(F.count("*").cast("string").alias("feature_pixels"), F.lit("12.5").alias("cluster_2_percentage"))
-    return workflows.harmonised(study(spark), "study", "unit").unionByName(workflows.harmonised(counts, "tables", "category"))
+    return workflows.harmonised(study(spark, sf_dir), "study", "unit").unionByName(workflows.harmonised(counts, "tables", "category"))
