@@ -3,10 +3,9 @@
 Equal vectors are one class.  Classes are dealt to shards by a hash, bounded in rows and bytes; each shard builds one graph.
 Every class queries every shard: a shard's graph and the queries meet in a task that reads the graph once and then streams
 the queries, a block at a time; only for every ``PART_ROWS`` queries does the graph travel once more.  A query whose whole beam is linked gets a wider beam until the beam ends
-outside the threshold or holds the shard; one query in ``AUDIT`` is also compared with the whole shard, more of them until the audit
-has ``EVIDENCE`` links of different classes.  Unless the links found reach ``RECALL`` of the true ones the block is searched
-again with twice the beam; where the beam ``WIDEST`` still fails, or all queries were audited, the block's links are those
-of the exact comparison.  Links are confirmed by cosine in double precision and counted; a block hands on only a spanning forest of its links, which keeps its rows
+outside the threshold or holds the shard.  Some queries of a part are audited, that is compared with the whole shard: the beam is doubled until the
+graph leads to ``RECALL`` of their links and, where links are rare, of their nearest neighbours.  A part whose audit fails at the beam ``WIDEST``
+has the exact links instead.  Links are confirmed by cosine in double precision and counted; a block hands on only a spanning forest of its links, which keeps its rows
 linear in the vectors.  Components are united over all blocks.
 
 Vectors of different length are in different shards and link with nothing of each other.  Defined results: vectors that
@@ -34,9 +33,9 @@ COSINE = 0.9
 SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 65_536, 1 << 28
 #: Queries that are searched together, and those that meet a shard in one task.
 BLOCK_ROWS, PART_ROWS = 8_192, 65_536
-BEAM, AUDIT, RECALL = 32, 16, 0.98
-#: Audited links below which more queries are audited; beam after which a block is compared with the shard exactly.
-EVIDENCE, WIDEST = 100, 512
+BEAM, AUDITED, RECALL = 32, 128, 0.98
+#: Audited links below which nearest neighbours, so many of each query, are audited too; beam after which a part is compared with the shard exactly.
+EVIDENCE, NEIGHBOURS, WIDEST = 100, 10, 512
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -71,48 +70,70 @@ def exact_links(rows: np.ndarray, queries: np.ndarray, own: np.ndarray, at: np.n
     return np.concatenate(q), np.concatenate(s)
 
 
-def found_links(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query number, shard row) of the links from ``cosine`` on; ``own`` is each query's row in the shard, or -1."""
-    limit = 2 - 2 * cosine + 1e-4  # squared distance of unit vectors, with room for single precision
-    audited, true = np.zeros(len(queries), bool), ([], [])
-    step = AUDIT
-    while True:
-        new = np.setdiff1d(np.arange(0, len(queries), step), np.flatnonzero(audited))
-        audited[new] = True
-        for known, more in zip(true, exact_links(rows, queries, own, new, cosine)):
-            known.append(more)
-        links = sum(map(len, true[0]))
-        if audited.all():
-            return np.concatenate(true[0]), np.concatenate(true[1])
-        if links >= EVIDENCE:
-            break
-        step = max(1, step // 2)
-    beam = BEAM
+def graph_links(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, todo: np.ndarray, beam: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, shard row) of the links of the queries ``todo`` that the graph leads to."""
+    limit, width, q, s = 2 - 2 * cosine + 1e-4, beam, [], []  # squared distance of unit vectors, with room for single precision
+    while len(todo):
+        at, dist = graph.search(queries[todo], width)
+        full = (dist[:, -1] <= limit) & (width < len(rows))  # the beam ends inside the threshold: widen
+        i, j = np.nonzero((dist <= limit) & (at >= 0) & ~full[:, None])
+        q.append(todo[i])
+        s.append(at[i, j])
+        todo, width = todo[full], min(width * 4, len(rows))
+    return confirmed(rows, queries, own, np.concatenate(q), np.concatenate(s), cosine)
+
+
+def audited_beam(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float) -> int | None:
+    """The narrowest beam that passes the audit of some of the queries; None if even ``WIDEST`` fails.
+
+    Audited queries are compared with the whole shard.  The graph must lead to ``RECALL`` of their links and, unless these are
+    ``EVIDENCE``, to ``RECALL`` of their nearest neighbours as well: those are there however rare links are, and harder to find.
+    """
+    at = np.arange(0, len(queries), max(1, len(queries) // AUDITED))
+    links = len(exact_links(rows, queries, own, at, cosine)[0])
+    k = min(NEIGHBOURS, len(rows) - 1)
+    if k < 1:
+        return BEAM
+    near, step = [], max(1, 4_000_000 // len(rows))
+    for a in range(0, len(at), step):
+        close = queries[at[a : a + step]] @ rows.T
+        mine = own[at[a : a + step]]
+        close[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -2  # not a query itself
+        near.append(np.argpartition(-close, k - 1, axis=1)[:, :k])
+    near, beam = np.concatenate(near), BEAM
     while True:
-        todo, width, q, s = np.arange(len(queries)), beam, [], []
-        while len(todo):
-            at, dist = graph.search(queries[todo], width)
-            full = (dist[:, -1] <= limit) & (width < len(rows))  # the beam ends inside the threshold: widen
-            i, j = np.nonzero((dist <= limit) & (at >= 0) & ~full[:, None])
-            q.append(todo[i])
-            s.append(at[i, j])
-            todo, width = todo[full], min(width * 4, len(rows))
-        q, s = confirmed(rows, queries, own, np.concatenate(q), np.concatenate(s), cosine)
-        if audited[q].sum() >= RECALL * links:
-            return q, s
+        enough = len(graph_links(graph, rows, queries, own, at, beam, cosine)[0]) >= RECALL * links
+        if enough and links < EVIDENCE:
+            got = graph.search(queries[at], max(beam, k + 1))[0]
+            enough = np.mean([np.isin(n, g).mean() for n, g in zip(near, got)]) >= RECALL
+        if enough:
+            return beam
         if beam >= min(WIDEST, len(rows)):
-            return exact_links(rows, queries, own, np.arange(len(queries)), cosine)
+            return None
         beam = min(beam * 2, len(rows))
 
 
+def found_links(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float, beam: list[int | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, shard row) of the links from ``cosine`` on; ``own`` is each query's row in the shard, or -1.
+
+    ``beam`` keeps the outcome of the audit for the blocks that follow.
+    """
+    beam = [] if beam is None else beam
+    if not beam:
+        beam.append(audited_beam(graph, rows, queries, own, cosine))
+    every = np.arange(len(queries))
+    return exact_links(rows, queries, own, every, cosine) if beam[0] is None else graph_links(graph, rows, queries, own, every, beam[0], cosine)
+
+
 def searched(cosine: float):
     """For rows sorted by shard, part and role: the graph of each part, then its queries, block by block."""
 
     def answered(shard, block: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, copies, rows, graph = shard
+        ids, copies, rows, graph, beam = shard
         own = np.concatenate([b.column("rep").to_numpy() for b in block])
         place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-        q, s = found_links(graph, rows, unit(np.vstack([matrix(b.column("embedding")) for b in block])), np.where(ids[place] == own, place, -1), cosine)
+        # the first block of a part is audited for all of the part
+        q, s = found_links(graph, rows, unit(np.vstack([matrix(b.column("embedding")) for b in block])), np.where(ids[place] == own, place, -1), cosine, beam)
         n = np.bincount(q, weights=copies[s], minlength=len(own)).astype(np.int64)
         a, b = forest(own[q], ids[s])
         columns = (np.concatenate([own[n > 0], a]), np.concatenate([own[n > 0], b]), np.concatenate([n[n > 0], np.zeros(len(a), np.int64)]))
@@ -129,7 +150,7 @@ def searched(cosine: float):
                         yield from answered(shard, block)
                     ids, copies, rows, graph = pickle.loads(batch.column("payload")[heads.pop(0)].as_py())
                     rows = unit(rows.astype(np.float64))
-                    shard, block, held, at = (ids, copies, rows, graph.attach(rows)), [], 0, at + 1
+                    shard, block, held, at = (ids, copies, rows, graph.attach(rows), []), [], 0, at + 1
                     continue
                 end = min(heads[0] if heads else batch.num_rows, at + BLOCK_ROWS - held)
                 block.append(batch.slice(at, end - at))

@@ -249,3 +249,36 @@ def test_language_stage_sets_languages_by_its_model(spark, monkeypatch):
     model = langid.learn(wrong)
     monkeypatch.setattr(langid, "identify", lambda df, filters, text="text": df.withColumns({"lang_pred": F.when(F.col(text).rlike("[a-zA-Z]"), "en").otherwise(langid.UNKNOWN), "lang_score": F.lit(0.0)}))
     assert model.languages and restored() < 0.7
+
+
+# ---- the share of embedding queries that are compared exactly
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.2])
+def test_links_come_from_the_graphs(share, monkeypatch):
+    from gridloom.llm import embeddup
+    from gridloom.llm.hnsw import Graph
+
+    rng, n, shards = np.random.default_rng(8), 3_000, 2
+    x = rng.normal(size=(n, 32))
+    m = int(n * share / 2)
+    x[:m] = x[n - m :] + 0.25 * rng.normal(size=(m, 32))
+    x = embeddup.unit(x)
+    asked = {"exact_links": 0, "graph_links": 0}
+    for name, at in (("exact_links", 3), ("graph_links", 4)):
+        plain = getattr(embeddup, name)
+        monkeypatch.setattr(embeddup, name, lambda *a, plain=plain, name=name, at=at: (asked.__setitem__(name, asked[name] + len(a[at])), plain(*a))[1])
+    found = set()
+    for k in range(shards):
+        at = np.arange(k, n, shards)
+        own, beam = np.full(n, -1), []
+        own[at] = np.arange(len(at))
+        graph = Graph(x[at]).attach(x[at])
+        for a in range(0, n, 1_000):  # blocks of one part share the audit
+            q, s = embeddup.found_links(graph, x[at], x[a : a + 1_000], own[a : a + 1_000], 0.9, beam)
+            found |= {(a + int(i), int(at[j])) for i, j in zip(q, s)}
+        assert beam[0] is not None
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    true = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a != b}
+    assert found <= true and len(found) >= 0.98 * len(true) and (share == 0) == (not true)
+    assert asked["exact_links"] < 0.1 * n * shards and asked["graph_links"] > n * shards
