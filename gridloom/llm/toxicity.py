@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import held_out, parts_of, table
+from gridloom.llm.common import held_out, parts_of, released, table
 
 #: Bounds of the labelled sample: about so many texts of each class (all, if fewer), and the longest text that is drawn.
 SAMPLE, LONGEST_DRAWN = 2_500, 6_000
@@ -356,6 +356,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     short = docs.where(F.length("text") <= LONGEST_DRAWN).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     one = short.join(drawn, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))  # an id may be there often
     rows = one.collect()  # bounded: rows and length
+    released(docs.sparkSession)  # the fit below needs the driver's memory
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["text"]))
     return Model([r["text"] for r in rows], [r["toxic"] for r in rows])
 
