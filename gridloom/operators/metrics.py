@@ -140,6 +140,7 @@ def rand_pairs(df: DataFrame, names: list[str]) -> DataFrame:
 
 def stability_verdict(mean: Column, low: Column) -> Column:
     """What agreement over seeds says about a clustering."""
+    # The verdicts' words and limits.
     return F.when((mean >= 0.9) & (low >= 0.8), "VERY STRONG").when((mean >= 0.75) & (low >= 0.6), "GOOD").when(mean >= 0.5, "MODERATE").otherwise("WEAK")
 
 

@@ -110,6 +110,7 @@ def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     return next((df for df in (read_csv_or_none(spark, p) for p in paths) if df is not None), None)
 
 
+# The names under which these columns are found.
 CLUSTER, UNIT, COUNT = ["cluster", "cluster_id", "ml_cluster"], ["unit", "geology", "category", "geologic_unit"], ["count", "pixels", "n", "pixel_count"]
 
 
