@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import id_hash
-from gridloom.functions.graphs import cut
+from gridloom.functions.graphs import cut, shared_path
+
+#: Entries of a tree's node; partitions whose subclusters are gathered at once.
+BRANCHES, MERGED = 50, 8
 
 
 def standardised(df: DataFrame, dims: int, of: DataFrame | None = None) -> DataFrame:
@@ -111,13 +114,20 @@ def lloyd(df: DataFrame, centres: list[list[float]], rounds: int) -> list[list[f
 
 
 def minibatch(df: DataFrame, centres: list[list[float]], batch: int, rounds: int) -> list[list[float]]:
-    """Mini-batch k-means: each step moves centres towards the means of a hash-drawn batch, at the rate of their share so far."""
+    """Mini-batch k-means: each step moves centres towards the means of a hash-drawn batch, at the rate of their share so far.
+
+    All batches are dealt in one pass over the table and written by step, so a step reads its batch and nothing else.
+    """
     n = df.count()
+    limit = 4294967296 * min(1.0, batch / max(1, n))
+    drawn = F.filter(F.sequence(F.lit(1), F.lit(rounds)), lambda step: id_hash(F.col("id") + 7919 * step) < limit)
+    own, path = df.select("id", "x"), shared_path(df.sparkSession, "minibatch")
+    own.withColumn("step", F.explode(drawn)).repartition("step").write.partitionBy("step").parquet(path)
+    batches = df.sparkSession.read.schema(own.withColumn("step", F.lit(0)).schema).parquet(path)
     seen = [0] * len(centres)
     dims = len(centres[0])
-    for step in range(rounds):
-        drawn = df.where(id_hash(F.col("id") + 7919 * (step + 1)) < 4294967296 * min(1.0, batch / max(1, n)))
-        for r in assigned(drawn, centres).groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(dims)]).collect():
+    for step in range(1, rounds + 1):
+        for r in assigned(batches.where(F.col("step") == step), centres).groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(dims)]).collect():
             c = r["cluster"]
             seen[c] += r["n"]
             rate = r["n"] / seen[c]
@@ -243,32 +253,95 @@ def ward(df: DataFrame, k: int) -> DataFrame:
     return df.select("id", "x", F.lit(1).alias("_one")).groupBy("_one").applyInPandas(run, "id long, cluster int")
 
 
+class Features:
+    """A node of a clustering-feature tree: entries (count, sum, sum of squared lengths), each above a node or a subcluster of its own."""
+
+    def __init__(self, dims: int, leaf: bool) -> None:
+        self.n, self.total, self.square = np.zeros(BRANCHES + 1), np.zeros((BRANCHES + 1, dims)), np.zeros(BRANCHES + 1)
+        self.below: list[Features] | None = None if leaf else []
+        self.size = 0
+
+    def put(self, n: float, total: np.ndarray, square: float, below: Features | None = None) -> None:
+        self.n[self.size], self.total[self.size], self.square[self.size] = n, total, square
+        self.size += 1
+        if below is not None:
+            self.below.append(below)
+
+    def gap(self, centre: np.ndarray) -> np.ndarray:
+        """Squared distances of the entries' centres."""
+        return ((self.total[: self.size] / self.n[: self.size, None] - centre) ** 2).sum(1)
+
+    def whole(self) -> tuple[float, np.ndarray, float]:
+        return self.n[: self.size].sum(), self.total[: self.size].sum(0), self.square[: self.size].sum()
+
+    def add(self, n: float, total: np.ndarray, square: float, limit: float) -> Features | None:
+        """Adds an entry; a node that has grown too large hands half of its entries to a new one, which is returned."""
+        if self.size:
+            at = int(self.gap(total / n).argmin())
+            m, t, q = self.n[at] + n, self.total[at] + total, self.square[at] + square
+            if self.below is None:
+                if q / m - ((t / m) ** 2).sum() <= limit:
+                    self.n[at], self.total[at], self.square[at] = m, t, q
+                    return None
+                self.put(n, total, square)
+            else:
+                half = self.below[at].add(n, total, square, limit)
+                self.n[at], self.total[at], self.square[at] = (m, t, q) if half is None else self.below[at].whole()
+                if half is not None:
+                    self.put(*half.whole(), half)
+        else:
+            self.put(n, total, square)
+        return self._halved() if self.size > BRANCHES else None
+
+    def _halved(self) -> Features:
+        """Entries go to the nearer of the two that are farthest apart."""
+        centre = self.total[: self.size] / self.n[: self.size, None]
+        d = ((centre[:, None] - centre[None]) ** 2).sum(2)
+        a, b = np.unravel_index(int(d.argmax()), d.shape)
+        far = d[:, b] < d[:, a]
+        far[a], far[b] = False, True
+        other, held = Features(centre.shape[1], self.below is None), [(self.n[i], self.total[i].copy(), self.square[i], None if self.below is None else self.below[i]) for i in range(self.size)]
+        self.size, self.below = 0, None if self.below is None else []
+        for entry, away in zip(held, far):
+            (other if away else self).put(*entry)
+        return other
+
+    def leaves(self) -> list[Features]:
+        return [self] if self.below is None else [x for b in self.below for x in b.leaves()]
+
+
 def clustering_features(rows: np.ndarray, own: np.ndarray, squares: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(count, sum, sum of squared lengths) of subclusters of radius ``threshold`` at most, in order of arrival.
+    """(count, sum, sum of squared lengths) of subclusters of radius ``threshold`` at most, by a tree.
 
-    Each entry joins the nearest subcluster if that stays within the threshold; beyond ``most`` subclusters the threshold
-    grows by half and the subclusters are gathered again, which bounds memory for any input.
+    Each entry goes down to the nearest subcluster and joins it if that stays within the threshold; beyond ``most`` subclusters the
+    threshold grows by half and the subclusters are gathered again, which bounds memory for any input.
     """
-    n, total, square = np.zeros(0), np.zeros((0, rows.shape[1])), np.zeros(0)
-    for c, s, q in zip(own, rows, squares):
-        if len(n):
-            at = int(((total / n[:, None] - s / c) ** 2).sum(1).argmin())
-            m, t, r = n[at] + c, total[at] + s, square[at] + q
-            if r / m - ((t / m) ** 2).sum() <= threshold**2 + 1e-12:
-                n[at], total[at], square[at] = m, t, r
-                continue
-        n, total, square = np.append(n, c), np.vstack([total, s]), np.append(square, q)
-        if len(n) > most:
-            threshold *= 1.5
-            n, total, square, threshold = clustering_features(total, n, square, threshold, most)
-    return n, total, square, threshold
+    root, count = Features(rows.shape[1], True), 0
+    for i, (n, total, square) in enumerate(zip(own, rows, squares)):
+        half = root.add(n, total, square, threshold**2 + 1e-12)
+        if half is not None:
+            above = Features(rows.shape[1], False)
+            above.put(*root.whole(), root)
+            above.put(*half.whole(), half)
+            root = above
+        count += 1
+        if count > most:  # an upper bound of the subclusters; counted anew, it is seldom reached again
+            leaves = root.leaves()
+            count = sum(x.size for x in leaves)
+            if count > most:
+                held = [np.concatenate([getattr(x, c)[: x.size] for x in leaves]) for c in ("n", "total", "square")]
+                rest = [np.concatenate([h, r[i + 1 :]]) for h, r in zip(held, (own, rows, squares))]
+                return clustering_features(rest[1], rest[0], rest[2], threshold * 1.5, most)
+    leaves = root.leaves()
+    return *(np.concatenate([getattr(x, c)[: x.size] for x in leaves]) for c in ("n", "total", "square")), threshold
 
 
 def birch(df: DataFrame, threshold: float, k: int, most: int = 500) -> DataFrame:
-    """(id, cluster): each partition gathers its rows to at most ``most`` subclusters, partitions' subclusters are gathered
-    pairwise to as many, Ward merges those to ``k`` clusters, and each row takes the cluster of the nearest subcluster's centre.
+    """(id, cluster): each partition gathers its rows to at most ``most`` subclusters, ``MERGED`` partitions' subclusters are gathered
+    to as many, again and again, Ward merges the last to ``k`` clusters, and each row takes the cluster of the nearest subcluster's centre.
 
-    Rows are read in order of id within a fixed number of partitions, for subclusters depend on the order of arrival.
+    Rows are read in order of id; there are as many partitions as the session's shuffles have.  Subclusters depend on the order of
+    arrival, so other partitions give slightly other ones.
     """
     schema = "part int, at int, n double, total array<double>, square double, threshold double"
 
@@ -289,13 +362,13 @@ def birch(df: DataFrame, threshold: float, k: int, most: int = 500) -> DataFrame
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "at"])
-        return out(int(pdf["part"].min()) // 2, clustering_features(np.array(pdf["total"].tolist()), pdf["n"].to_numpy(), pdf["square"].to_numpy(), float(pdf["threshold"].max()), most))
+        return out(int(pdf["part"].min()) // MERGED, clustering_features(np.array(pdf["total"].tolist()), pdf["n"].to_numpy(), pdf["square"].to_numpy(), float(pdf["threshold"].max()), most))
 
-    parts = 8
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut(df.select("id", "x").repartitionByRange(parts, "id").sortWithinPartitions("id").mapInPandas(gathered, schema))
     while parts > 1:
-        found = cut(found.groupBy(F.floor(F.col("part") / 2).alias("pair")).applyInPandas(lambda pdf: joined(pdf), schema))
-        parts = -(-parts // 2)
+        found = cut(found.groupBy(F.floor(F.col("part") / MERGED).alias("some")).applyInPandas(lambda pdf: joined(pdf), schema))
+        parts = -(-parts // MERGED)
     last = found.orderBy("part", "at").toPandas()  # at most ``most`` rows
     if last.empty:
         return df.select("id", F.lit(None).cast("int").alias("cluster"))
@@ -306,7 +379,8 @@ def birch(df: DataFrame, threshold: float, k: int, most: int = 500) -> DataFrame
     @F.pandas_udf("int")
     def nearest(x: pd.Series) -> pd.Series:
         rows = np.array(x.tolist(), dtype=float)
-        at = [((centre - r) ** 2).sum(1).argmin() for r in rows]
-        return pd.Series(label[at].astype(np.int32) if at else [], dtype="int32")
+        step = max(1, 1_000_000 // len(centre))
+        at = [((rows[a : a + step, None] - centre[None]) ** 2).sum(2).argmin(1) for a in range(0, len(rows), step)]
+        return pd.Series(label[np.concatenate(at)].astype(np.int32) if at else [], dtype="int32")
 
     return df.select("id", nearest("x").alias("cluster"))
