@@ -70,29 +70,29 @@ def mapped(key, table: dict) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), _c(key))
 
 
-def running(df: DataFrame, keys: list[Column], amount: Column, name: str) -> DataFrame:
+def running(df: DataFrame, keys: list[Column], amount: Column, name: str, parts: int | None = None) -> DataFrame:
     """``df`` with the sum of ``amount`` over the rows up to and with each one in the order of ``keys`` (which must be unique).
 
-    No window over all rows: range partitions, as many as the session's shuffles have, are summed inside and shifted by the sums of those before.  The partitions are
+    No window over all rows: range partitions (``parts``, or as many as the session's shuffles have) are summed inside and shifted by the sums of those before.  The partitions are
     written once, for the borders of a range partitioning are drawn anew whenever it is computed.
     """
-    dealt = cut(df.repartitionByRange(*keys).withColumns({"_p": F.spark_partition_id(), "_a": amount}))
+    dealt = cut(df.repartitionByRange(*([parts] if parts else []), *keys).withColumns({"_p": F.spark_partition_id(), "_a": amount}))
     sizes = dealt.groupBy("_p").agg(F.sum("_a").alias("_n"))  # one row a partition
     shift = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = dealt.withColumn("_i", F.sum("_a").over(Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)))
     return inside.join(F.broadcast(shift), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_a", "_i", "_before")
 
 
-def ordinal(df: DataFrame, keys: list[Column], name: str = "ordinal") -> DataFrame:
+def ordinal(df: DataFrame, keys: list[Column], name: str = "ordinal", parts: int | None = None) -> DataFrame:
     """``df`` with its 1-based position in the order of ``keys`` (which must be unique)."""
-    return running(df, keys, F.lit(1).cast("long"), name)
+    return running(df, keys, F.lit(1).cast("long"), name, parts)
 
 
-def reference_share(df: DataFrame, ref: DataFrame, c: str, out: str) -> DataFrame:
+def reference_share(df: DataFrame, ref: DataFrame, c: str, out: str, parts: int | None = None) -> DataFrame:
     """``df`` with the share of ``ref``'s values of ``c`` at or below its own: a running count over distinct values."""
     own = ref.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
     steps = own.unionByName(df.select(F.col(c).alias("_v")).distinct().withColumn("_n", F.lit(0).cast("long"))).groupBy("_v").agg(F.sum("_n").alias("_n"))
-    upto = running(steps, [F.col("_v")], F.col("_n"), "_c").select("_v", "_c")
+    upto = running(steps, [F.col("_v")], F.col("_n"), "_c", parts).select("_v", "_c")
     total = F.broadcast(ref.agg(F.count("*").alias("_all")))  # one row
     return df.join(upto, F.col(c) == F.col("_v")).crossJoin(total).withColumn(out, ratio("_c", "_all")).drop("_v", "_c", "_all")
 
