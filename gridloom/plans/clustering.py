@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import replace
 
 from pyspark.ml.feature import PCA
@@ -417,28 +419,40 @@ def full_map_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", "cluster", r6("confidence").alias("confidence"), r6("anomaly").alias("anomaly"))
 
 
-# Published quality figures of three models.
-MODELS = [("K-Means", 0.265054, 1.159043), ("GMM", 0.169883, 1.620612), ("Ward", 0.250624, 1.166653)]
-_M = ", ".join(f"('{m}', {s}::DOUBLE, {d}::DOUBLE)" for m, s, d in MODELS)
+#: Models that are compared: the first two, three and four of the starting centres.
+KS = (2, 3, 4)
+_MODELS = f"""{DIST}, s AS (SELECT k, list_sort(d[1 : k]) AS e FROM dist, (SELECT unnest([2, 3, 4]) AS k)), q AS (SELECT CAST(k AS INTEGER) AS k, count(*) AS n, sum(e[1] * e[1]) AS inertia, round(avg(CASE WHEN e[2] > 0 THEN (e[2] - e[1]) / e[2] ELSE 0 END), 6) AS silhouette, round(avg(e[1]), 6) AS spread FROM s GROUP BY k),
+    m AS (SELECT 'K' || k AS model, silhouette, spread FROM q)"""
+
 
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, n, inertia, silhouette, spread) of each model: simplified silhouette (of the two nearest centres) and mean distance to the nearest."""
+    e = distances(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.array_sort(F.slice("d", 1, k)).alias("e")) for k in KS])).alias("m")).select("m.k", F.col("m.e")[0].alias("a"), F.col("m.e")[1].alias("b"))
+    width = F.avg(F.when(F.col("b") > 0, (F.col("b") - F.col("a")) / F.col("b")).otherwise(0.0))
+    return e.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("a") * F.col("a")).alias("inertia"), r6(width).alias("silhouette"), r6(F.avg("a")).alias("spread"))
 
-@query("model_verdict_table", f"WITH m(model, silhouette, davies_bouldin) AS (VALUES {_M}) SELECT model, silhouette, davies_bouldin, silhouette = max(silhouette) OVER () AS best_silhouette, davies_bouldin = min(davies_bouldin) OVER () AS best_davies_bouldin FROM m")
+
+@query("model_verdict_table", f"WITH {_MODELS} SELECT model, silhouette, spread, silhouette = max(silhouette) OVER () AS best_silhouette, spread = min(spread) OVER () AS best_spread FROM m")
 def model_verdict_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spark.createDataFrame(MODELS, "model string, silhouette double, davies_bouldin double")
-    all_ = Window.partitionBy()
-    return m.withColumns({"best_silhouette": F.col("silhouette") == F.max("silhouette").over(all_), "best_davies_bouldin": F.col("davies_bouldin") == F.min("davies_bouldin").over(all_)})
+    m = compared(spark, sf_dir).select(F.concat(F.lit("K"), F.col("k")).alias("model"), "silhouette", "spread")
+    all_ = Window.partitionBy()  # a row a model
+    return m.withColumns({"best_silhouette": F.col("silhouette") == F.max("silhouette").over(all_), "best_spread": F.col("spread") == F.min("spread").over(all_)})
 
 
-@query("winner_verdict", f"WITH m(model, silhouette, davies_bouldin) AS (VALUES {_M}), k AS (SELECT * FROM m WHERE model = 'K-Means'), g AS (SELECT * FROM m WHERE model = 'GMM') SELECT CASE WHEN k.silhouette > g.silhouette THEN 'K-Means' ELSE 'GMM' END AS by_silhouette, CASE WHEN k.davies_bouldin < g.davies_bouldin THEN 'K-Means' ELSE 'GMM' END AS by_davies_bouldin FROM k, g")
+@query("winner_verdict", f"WITH {_MODELS}, a AS (SELECT * FROM m WHERE model = 'K2'), b AS (SELECT * FROM m WHERE model = 'K4') SELECT CASE WHEN a.silhouette > b.silhouette THEN 'K2' ELSE 'K4' END AS by_silhouette, CASE WHEN a.spread < b.spread THEN 'K2' ELSE 'K4' END AS by_spread FROM a, b")
 def winner_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spark.createDataFrame(MODELS, "model string, s double, d double")
-    one = m.agg(*[F.max(F.when(F.col("model") == n, F.col(c))).alias(f"{a}{c}") for n, a in (("K-Means", "k"), ("GMM", "g")) for c in "sd"])
-    return one.select(F.when(F.col("ks") > F.col("gs"), "K-Means").otherwise("GMM").alias("by_silhouette"), F.when(F.col("kd") < F.col("gd"), "K-Means").otherwise("GMM").alias("by_davies_bouldin"))
+    """Which of two models is better by either measure."""
+    of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    return compared(spark, sf_dir).agg(F.when(of("silhouette", 2) > of("silhouette", 4), "K2").otherwise("K4").alias("by_silhouette"), F.when(of("spread", 2) < of("spread", 4), "K2").otherwise("K4").alias("by_spread"))
 
 
-@query("bic_aic_from_params", "SELECT k, round((k * 5 + k * 15 + k - 1) * ln(100000.0::DOUBLE) - 2 * (-512345.678), 6) AS bic, round(2.0::DOUBLE * (k * 5 + k * 15 + k - 1) - 2 * (-512345.678), 6) AS aic FROM (SELECT CAST(unnest([2, 3, 4]) AS INTEGER) AS k)")
+@query("bic_aic_from_params", f"""WITH {_MODELS}, l AS (SELECT k, n, k * 5 + k * 15 + k - 1 AS p, -(n * 5 / 2.0::DOUBLE) * (ln(2 * pi() * inertia / (n * 5)) + 1) AS ll FROM q) SELECT k, round(p * ln(n::DOUBLE) - 2 * ll, 4) AS bic, round(2.0::DOUBLE * p - 2 * ll, 4) AS aic FROM l""")
 def bic_aic_from_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, *(round(v, 6) for v in models.information(-512345.678, 100_000, k, 5))) for k in (2, 3, 4)]
+    """Criteria of each model from the likelihood of its rows under one spherical variance; a row a model reaches the driver."""
+    rows = []
+    for r in compared(spark, sf_dir).collect():
+        likelihood = -(r["n"] * DIMS / 2) * (math.log(2 * math.pi * r["inertia"] / (r["n"] * DIMS)) + 1)
+        rows.append((r["k"], *(round(v, 4) for v in models.information(likelihood, r["n"], r["k"], DIMS))))
     return spark.createDataFrame(rows, "k int, bic double, aic double")
 
 
