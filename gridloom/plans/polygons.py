@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.exprs import r6
 from gridloom.functions.graphs import shared_path
 from gridloom.operators.polygons import extent_of, histogram, meeting, polygon_members, validation
-from gridloom.operators.zones import feature_counts, representative_points
 from gridloom.registry import query
 from gridloom.sources.tables import clusters, table
 from gridloom.sources.vectors import layer_profile, read_shapes, shape_attributes, write_shapes
@@ -16,7 +14,7 @@ from gridloom.sources.vectors import layer_profile, read_shapes, shape_attribute
 #: Polygons are small beside the grid; a fifth of them have a second ring, many cross themselves.
 EIGHTHS, RINGS = 8, 5
 
-_POLY = """h AS (SELECT max("row") + 1 AS h FROM clusters), o AS (SELECT o_orderkey AS feature, o_orderpriority AS unit, o_orderstatus AS category, h, 3 + o_orderkey % 4 AS k FROM orders, h),
+POLY = """h AS (SELECT max("row") + 1 AS h FROM clusters), o AS (SELECT o_orderkey AS feature, o_orderpriority AS unit, o_orderstatus AS category, h, 3 + o_orderkey % 4 AS k FROM orders, h),
   r AS (SELECT *, unnest(range(0, CASE WHEN feature % 5 = 0 THEN 2 ELSE 1 END)) AS part FROM o), s AS (SELECT *, unnest(range(0, k)) AS seq FROM r),
   v AS (SELECT feature, part, seq, (feature * 7919 % 240) / 8.0::DOUBLE + ((feature * (seq + 3) * 31 + part * 5) % 17 - 8) / 2.0::DOUBLE AS x,
     (feature * 104729 % (h * 8)) / 8.0::DOUBLE + ((feature * (seq + 5) * 37 + part * 3) % 13 - 6) / 2.0::DOUBLE AS y FROM s)"""
@@ -31,7 +29,7 @@ _FIGURES = (
     + ", ".join(f"round((c{k}::DOUBLE / nullif(valid, 0)) / nullif(b{k}, 0), 6) AS enrichment{k}" for k in range(4))
 )
 _BASE = "b AS (SELECT " + ", ".join(f"count(*) FILTER (cluster = {k})::DOUBLE / nullif(count(cluster), 0) AS b{k}" for k in range(4)) + " FROM clusters)"
-_COUNTED = f"WITH {_POLY}{_MEET}, n AS (SELECT feature, unit, category, {_N} FROM m JOIN o USING (feature) GROUP BY 1, 2, 3 HAVING count(cluster) > 0), {_BASE}"
+_COUNTED = f"WITH {POLY}{_MEET}, n AS (SELECT feature, unit, category, {_N} FROM m JOIN o USING (feature) GROUP BY 1, 2, 3 HAVING count(cluster) > 0), {_BASE}"
 _OUT = "valid, c0, c1, c2, c3"
 
 
@@ -46,6 +44,11 @@ def order_polygons(spark: SparkSession, sf_dir: str, height: int) -> DataFrame:
     return v.select("feature", "part", "seq", x.alias("x"), y.alias("y"))
 
 
+def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons on the grid's own height."""
+    return order_polygons(spark, sf_dir, extent_of(clusters(spark, sf_dir))[1] + 1)
+
+
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     cells = clusters(spark, sf_dir)
     attributes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("feature"), F.col("o_orderpriority").alias("unit"), F.col("o_orderstatus").alias("category"))
@@ -106,30 +109,20 @@ def polygon_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.where("cluster is not null").join(polygon_members(cells, vertices).select("row", "col"), ["row", "col"], "left_semi").groupBy("cluster").agg(F.count("*").alias("cells"))
 
 
-@query("polygons_meeting_grid", f'WITH {_POLY}, x AS (SELECT feature, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY feature), g AS (SELECT min("row") AS t, max("row") + 1 AS b FROM clusters) SELECT feature, x0, x1, y0, y1 FROM x, g WHERE x0 <= 30 AND x1 >= 0 AND y0 <= b AND y1 >= t')
+@query("polygons_meeting_grid", f'WITH {POLY}, x AS (SELECT feature, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY feature), g AS (SELECT min("row") AS t, max("row") + 1 AS b FROM clusters) SELECT feature, x0, x1, y0, y1 FROM x, g WHERE x0 <= 30 AND x1 >= 0 AND y0 <= b AND y1 >= t')
 def polygons_meeting_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds of the polygons that touch the grid at all."""
     cells, vertices, _ = _inputs(spark, sf_dir)
     return meeting(vertices, extent_of(cells))
 
 
-@query("polygon_total_bounds", f"WITH {_POLY} SELECT category, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM v JOIN o USING (feature) GROUP BY category")
+@query("polygon_total_bounds", f"WITH {POLY} SELECT category, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM v JOIN o USING (feature) GROUP BY category")
 def polygon_total_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extent of all vertices of a category."""
     _, vertices, attributes = _inputs(spark, sf_dir)
     return vertices.join(attributes, "feature").groupBy("category").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
 
 
-@query("polygon_label_points", f"WITH {_POLY} SELECT feature, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM v GROUP BY feature")
-def polygon_label_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return representative_points(_inputs(spark, sf_dir)[1]).select("feature", r6("x").alias("x"), r6("y").alias("y"))
-
-
-@query("polygon_part_counts", f"WITH {_POLY} SELECT CASE WHEN parts > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry, CAST(count(*) AS BIGINT) AS features FROM (SELECT feature, count(DISTINCT part) AS parts FROM v GROUP BY feature) GROUP BY 1")
-def polygon_part_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_counts(_inputs(spark, sf_dir)[1])
-
-
 def written_shapes(spark: SparkSession, sf_dir: str) -> str:
     """Path of the polygons as shapefiles."""
     path = shared_path(spark, "polygon-shapes")
@@ -137,7 +130,7 @@ def written_shapes(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query("shapefile_vertices", f"WITH {_POLY} SELECT feature, CAST(part AS INTEGER) AS part, CAST(seq AS INTEGER) AS seq, x, y FROM v")
+@query("shapefile_vertices", f"WITH {POLY} SELECT feature, CAST(part AS INTEGER) AS part, CAST(seq AS INTEGER) AS seq, x, y FROM v")
 def shapefile_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings written as shapefiles and read again; records are named by the attribute table beside them."""
     path = written_shapes(spark, sf_dir)
@@ -145,7 +138,7 @@ def shapefile_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shapes(spark, path).join(key, "feature").select(F.col("key").alias("feature"), "part", "seq", "x", "y")
 
 
-@query("shapefile_profile", f"WITH {_POLY} SELECT CAST(count(DISTINCT feature) AS BIGINT) AS records, min(x) AS x_min, min(y) AS y_min, max(x) AS x_max, max(y) AS y_max FROM v")
+@query("shapefile_profile", f"WITH {POLY} SELECT CAST(count(DISTINCT feature) AS BIGINT) AS records, min(x) AS x_min, min(y) AS y_min, max(x) AS x_max, max(y) AS y_max FROM v")
 def shapefile_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and extent as the files' heads state them."""
     own = layer_profile(spark, written_shapes(spark, sf_dir))

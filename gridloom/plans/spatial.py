@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import RADIUS, r6, ratio
-from gridloom.operators.zones import feature_counts, inside_box, located, polygons_table, representative_points
+from gridloom.operators.zones import feature_counts, inside_box, located, representative_points
+from gridloom.plans.polygons import POLY, vertices
 from gridloom.registry import query
 from gridloom.sources.tables import COLUMNS_WIDE, clusters, table
 
@@ -164,9 +165,10 @@ def geo_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo(spark, sf_dir).select("row", "col", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), r6(F.degrees(x / RADIUS)).alias("lon_back"), r6(mercator).alias("mercator_lat"), r6(F.pmod("lon", F.lit(360.0))).alias("lon_360"))
 
 
-@query("vertex_extent", "WITH v(feature, x, y) AS (VALUES (1, 2.0::DOUBLE, 1.0::DOUBLE), (1, 12.0, 1.0), (1, 12.0, 9.0), (1, 2.0, 9.0), (2, 5.0, 5.0), (2, 25.0, 5.0), (2, 15.0, 14.0)) SELECT feature, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM v GROUP BY feature")
+@query("vertex_extent", f"WITH {POLY} SELECT feature, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM v GROUP BY feature")
 def vertex_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = polygons_table(spark, [(1, [[(2, 1), (12, 1), (12, 9), (2, 9)]]), (2, [[(5, 5), (25, 5), (15, 14)]])])
+    """Bounds of each polygon's vertices."""
+    v = vertices(spark, sf_dir)
     return v.groupBy("feature").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
 
 
@@ -177,18 +179,14 @@ def customers_by_region_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("share", r6(ratio("customers", F.sum("customers").over(Window.partitionBy()))))
 
 
-SHAPES = [(1, [[(2, 1), (12, 1), (12, 9), (2, 9)]]), (2, [[(5, 5), (25, 5), (15, 14)]]), (3, [[(0, 0), (4, 0), (4, 4)], [(8, 8), (12, 8), (12, 12), (8, 12)]])]
-_V = "v(feature, part, x, y) AS (VALUES " + ", ".join(f"({f}, {i}, {float(x)}::DOUBLE, {float(y)}::DOUBLE)" for f, rings in SHAPES for i, ring in enumerate(rings) for x, y in ring) + ")"
-
-
-@query("representative_point", f"WITH {_V} SELECT feature, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM v GROUP BY feature")
+@query("representative_point", f"WITH {POLY} SELECT feature, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM v GROUP BY feature")
 def representative_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return representative_points(polygons_table(spark, SHAPES)).select("feature", r6("x").alias("x"), r6("y").alias("y"))
+    return representative_points(vertices(spark, sf_dir)).select("feature", r6("x").alias("x"), r6("y").alias("y"))
 
 
-@query("vector_feature_counts", f"WITH {_V} SELECT CASE WHEN parts > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry, CAST(count(*) AS BIGINT) AS features FROM (SELECT feature, count(DISTINCT part) AS parts FROM v GROUP BY feature) GROUP BY 1")
+@query("vector_feature_counts", f"WITH {POLY} SELECT CASE WHEN parts > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry, CAST(count(*) AS BIGINT) AS features FROM (SELECT feature, count(DISTINCT part) AS parts FROM v GROUP BY feature) GROUP BY 1")
 def vector_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_counts(polygons_table(spark, SHAPES))
+    return feature_counts(vertices(spark, sf_dir))
 
 
 @query("raster_shape", """SELECT CAST(max("row") + 1 AS INTEGER) AS height, 30 AS width, 12.0::DOUBLE AS step_x, round(-180.0::DOUBLE / (max("row") + 1), 9) AS step_y, -180.0::DOUBLE AS origin_x, 90.0::DOUBLE AS origin_y, CAST(count(*) AS BIGINT) AS cells FROM grid""")

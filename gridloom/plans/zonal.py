@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import r6, ratio
-from gridloom.operators.zones import histogram, members, shares
+from gridloom.operators.polygons import boxes
+from gridloom.operators.zones import histogram, members, polygons_table, shares
+from gridloom.plans.polygons import POLY, vertices
 from gridloom.registry import query
 from gridloom.sources.tables import clusters
 
@@ -126,11 +128,13 @@ def purity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(F.broadcast(t), "cluster").select("feature", "cluster", "cells", r6(ratio(100 * F.col("cells"), F.col("f"))).alias("purity"), r6(ratio(100 * F.col("cells"), F.col("total"))).alias("coverage"), r6(F.try_divide(ratio("cells", "f"), ratio("total", "all"))).alias("enrichment"))
 
 
-@query("bbox_overlap_prefilter", "WITH b(feature, x0, x1, y0, y1) AS (VALUES " + ", ".join(f"({f}, {min(p[0] for q in r for p in q)}::DOUBLE, {max(p[0] for q in r for p in q)}::DOUBLE, {min(p[1] for q in r for p in q)}::DOUBLE, {max(p[1] for q in r for p in q)}::DOUBLE)" for f, r in POLYGONS) + ") SELECT a.feature AS a, b.feature AS b FROM b a JOIN b ON a.feature < b.feature AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
-def bbox_overlap_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridloom.operators.zones import polygons_table
+_WINDOWS = "b(feature, x0, x1, y0, y1) AS (VALUES " + ", ".join(f"({f}, {min(p[0] for q in r for p in q)}::DOUBLE, {max(p[0] for q in r for p in q)}::DOUBLE, {min(p[1] for q in r for p in q)}::DOUBLE, {max(p[1] for q in r for p in q)}::DOUBLE)" for f, r in POLYGONS) + ")"
+
 
-    box = polygons_table(spark, POLYGONS).groupBy("feature").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    other = box.select(*[F.col(c).alias(f"b_{c}") for c in box.columns])
-    meet = (F.col("feature") < F.col("b_feature")) & (F.col("x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("x1")) & (F.col("y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("y1"))
-    return box.join(other, meet).select(F.col("feature").alias("a"), F.col("b_feature").alias("b"))
+@query("bbox_overlap_prefilter", f"WITH {POLY}, {_WINDOWS}, x AS (SELECT feature, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY feature) SELECT CAST(b.feature AS INTEGER) AS a, x.feature AS b FROM x JOIN b ON x.x0 <= b.x1 AND b.x0 <= x.x1 AND x.y0 <= b.y1 AND b.y0 <= x.y1")
+def bbox_overlap_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): polygons b whose bounds meet window a; the few windows are broadcast."""
+    windows = boxes(polygons_table(spark, POLYGONS)).select(F.col("feature").alias("a"), *[F.col(c).alias(f"w_{c}") for c in ("x0", "x1", "y0", "y1")])
+    own = boxes(vertices(spark, sf_dir))
+    meet = (F.col("x0") <= F.col("w_x1")) & (F.col("w_x0") <= F.col("x1")) & (F.col("y0") <= F.col("w_y1")) & (F.col("w_y0") <= F.col("y1"))
+    return own.join(F.broadcast(windows), meet).select("a", F.col("feature").alias("b"))
