@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.graphs import shared_path
-from gridloom.operators.polygons import extent_of, histogram, meeting, polygon_members, validation
+from gridloom.operators.polygons import covered_cells, extent_of, last_features, meeting, validation
+from gridloom.operators.zones import histogram
 from gridloom.registry import query
 from gridloom.sources.tables import clusters, table
 from gridloom.sources.vectors import layer_profile, read_shapes, shape_attributes, write_shapes
@@ -98,15 +99,14 @@ def polygon_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygon_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where polygons overlap, the later one has the cell."""
     cells, vertices, _ = _inputs(spark, sf_dir)
-    last = polygon_members(cells, vertices).groupBy("row", "col").agg(F.max("feature").alias("feature"), F.first("cluster").alias("cluster"))
-    return histogram(last, "feature")
+    return histogram(last_features(cells, vertices), "feature")
 
 
 @query("polygon_masked", f'{_COUNTED} SELECT cluster, CAST(count(*) AS BIGINT) AS cells FROM clusters c WHERE cluster IS NOT NULL AND EXISTS (SELECT 1 FROM m WHERE m."row" = c."row" AND m.col = c.col) GROUP BY cluster')
 def polygon_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid cells inside any polygon, by cluster."""
     cells, vertices, _ = _inputs(spark, sf_dir)
-    return cells.where("cluster is not null").join(polygon_members(cells, vertices).select("row", "col"), ["row", "col"], "left_semi").groupBy("cluster").agg(F.count("*").alias("cells"))
+    return covered_cells(cells.where("cluster is not null"), vertices).groupBy("cluster").agg(F.count("*").alias("cells"))
 
 
 @query("polygons_meeting_grid", f'WITH {POLY}, x AS (SELECT feature, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY feature), g AS (SELECT min("row") AS t, max("row") + 1 AS b FROM clusters) SELECT feature, x0, x1, y0, y1 FROM x, g WHERE x0 <= 30 AND x1 >= 0 AND y0 <= b AND y1 >= t')
@@ -120,7 +120,7 @@ def polygons_meeting_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygon_total_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extent of all vertices of a category."""
     _, vertices, attributes = _inputs(spark, sf_dir)
-    return vertices.join(attributes, "feature").groupBy("category").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    return vertices.hint("merge").join(attributes, "feature").groupBy("category").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
 
 
 def written_shapes(spark: SparkSession, sf_dir: str) -> str:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
 
-from gridloom.operators.polygons import edges, meeting, polygon_members, validation
+from gridloom.operators.polygons import CROWDED, WORD, covered_cells, covered_counts, edges, last_features, meeting, polygon_members, span_counts, validation, written_spans
 from gridloom.operators.zones import members, polygons_table
 from gridloom.plans.zonal import POLYGONS
 from gridloom.sources import tiff
@@ -199,3 +199,26 @@ def test_well_known_binary(spark):
     assert sorted(map(tuple, rings_of_wkb(df).collect())) == [(5, 0, i, *p) for i, p in enumerate(SQUARE)] + [(5, 1, i, *p) for i, p in enumerate(TRIANGLE)]
     with pytest.raises(ValueError, match="no polygon"):
         wkb_rings(struct.pack("<BI2d", 1, 1, 0, 0))
+
+
+def test_counts_by_bits_equal_counts_of_members(spark):
+    rng = random.Random(5)
+    shapes = [(f, [[(rng.uniform(-9, 159), rng.uniform(-3, 13)) for _ in range(rng.randint(3, 7))] for _ in range(rng.randint(1, 2))]) for f in range(30)]
+    shapes.append((90, [[(-5.0, -5.0), (200.0, -5.0), (200.0, 50.0), (-5.0, 50.0)]]))  # whole words
+    cells, table = grid_of(spark, 10, 150).withColumn("col", F.col("col") - 3), polygons_table(spark, shapes)
+    met = [r.asDict() for r in polygon_members(cells, table).collect()]
+    tally = lambda rows: tuple(sum(r["cluster"] == k if k is not None else r["cluster"] is not None for r in rows) for k in (None, 0, 1, 2, 3))
+    of = lambda key: {v: [r for r in met if key(r) == v] for v in {key(r) for r in met}}
+    for crowded in (1, CROWDED):
+        got = {r["feature"]: tuple(r)[1:] for r in span_counts(cells, written_spans(cells, table, WORD), crowded).collect()}
+        assert got == {f: tally(rows) for f, rows in of(lambda r: r["feature"]).items()}
+    once = {at: rows[0] for at, rows in of(lambda r: (r["row"], r["col"])).items()}
+    assert tuple(covered_counts(cells, written_spans(cells, table, WORD)).first()) == tally(once.values())
+    assert sorted((r["row"], r["col"]) for r in covered_cells(cells, table).collect()) == sorted(once)
+    last = {at: max(r["feature"] for r in rows) for at, rows in of(lambda r: (r["row"], r["col"])).items()}
+    assert {(r["row"], r["col"]): r["feature"] for r in last_features(cells, table).collect()} == last
+
+
+def test_joins_of_exploded_rows_are_not_broadcast(spark):
+    vertices = spark.range(50).select(F.col("id").alias("feature"), F.lit(0).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    assert "Broadcast" not in edges(vertices)._jdf.queryExecution().executedPlan().toString()
