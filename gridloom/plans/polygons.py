@@ -135,7 +135,8 @@ def shapefile_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings written as shapefiles and read again; records are named by the attribute table beside them."""
     path = written_shapes(spark, sf_dir)
     key = shape_attributes(spark, path).where("name = 'feature'").select("feature", F.col("value").cast("long").alias("key"))
-    return read_shapes(spark, path).join(key, "feature").select(F.col("key").alias("feature"), "part", "seq", "x", "y")
+    # neither side has a size that Spark could know
+    return read_shapes(spark, path).hint("merge").join(key, "feature").select(F.col("key").alias("feature"), "part", "seq", "x", "y")
 
 
 @query("shapefile_profile", f"WITH {POLY} SELECT CAST(count(DISTINCT feature) AS BIGINT) AS records, min(x) AS x_min, min(y) AS y_min, max(x) AS x_max, max(y) AS y_max FROM v")

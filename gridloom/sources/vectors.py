@@ -21,8 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from gridloom.sources.raster import opened
 
-#: Bytes of records in a partition.
-PARTITION_BYTES = 1 << 24
+#: Bytes of records in a partition, and in a file that a task writes (it is held until its bounds are known).
+PARTITION_BYTES, FILE_BYTES = 1 << 24, 1 << 26
 # The format's file code and shape types (polygons; with measures; with heights), and those of well-known binary.
 FILE_CODE, VERSION, POLYGON, POLYGON_M, POLYGON_Z = 9994, 1000, 5, 25, 15
 WKB_POLYGON, WKB_MULTIPOLYGON, WKB_COLLECTION = 3, 6, 7
@@ -41,9 +41,16 @@ def whole(store: fs.FileSystem, file: str) -> bytes:
         return f.read()
 
 
-def record_places(store: fs.FileSystem, layer: str) -> np.ndarray:
-    """(offset, bytes) of each record, from the index: eight bytes a record."""
-    own = np.frombuffer(whole(store, f"{layer}.shx")[100:], ">i4").reshape(-1, 2).astype(np.int64) * 2
+def record_count(store: fs.FileSystem, layer: str) -> int:
+    """Records of a file by the size of its index: eight bytes a record."""
+    return (store.get_file_info(f"{layer}.shx").size - 100) // 8
+
+
+def record_places(store: fs.FileSystem, layer: str, first: int, until: int) -> np.ndarray:
+    """(offset, bytes) of the records from ``first`` to before ``until``, from the index."""
+    with store.open_input_file(f"{layer}.shx") as f:
+        f.seek(100 + 8 * first)
+        own = np.frombuffer(f.read(8 * (until - first)), ">i4").reshape(-1, 2).astype(np.int64) * 2
     return own + np.array([0, 8])
 
 
@@ -84,9 +91,9 @@ def shape_rings(content: bytes) -> list[np.ndarray]:
 @dataclass
 class Records(InputPartition):
     layer: str
-    first: int  # number of the first record over all files
-    offset: int
-    ends: list[int]  # of the records, from ``offset``
+    number: int  # of the first record over all files
+    first: int  # of the first record in its file
+    until: int
 
 
 class ShapeReader(DataSourceReader):
@@ -94,35 +101,39 @@ class ShapeReader(DataSourceReader):
         self.path, self.most = options["path"], int(options.get("partitionBytes", PARTITION_BYTES))
 
     def partitions(self) -> list[Records]:
+        """Ranges of records by the files' sizes alone; tasks read their part of the index."""
         store, _ = opened(self.path)
         out, number = [], 0
         for layer in layers_of(self.path):
-            places, at = record_places(store, layer), 0
-            while at < len(places):
-                start = int(places[at, 0])
-                until = places[at:].sum(axis=1) - start
-                n = max(1, int(np.searchsorted(until, self.most, side="right")))
-                out.append(Records(layer, number + at, start, until[:n].tolist()))
-                at += n
-            number += len(places)
+            n = record_count(store, layer)
+            step = max(1, n * self.most // max(1, store.get_file_info(f"{layer}.shp").size))
+            out += [Records(layer, number + a, a, min(n, a + step)) for a in range(0, n, step)]
+            number += n
         return out
 
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing to read is one empty task
             return
         store, _ = opened(self.path)
+        places = record_places(store, partition.layer, partition.first, partition.until)
+        ends = places.sum(axis=1)
         with store.open_input_file(f"{partition.layer}.shp") as f:
-            f.seek(partition.offset)
-            data = f.read(partition.ends[-1])
-        held, size = [], 0
-        for i, (a, b) in enumerate(zip([0, *partition.ends[:-1]], partition.ends)):
-            rings = shape_rings(data[a + 8 : b])
-            held.append((partition.first + i, rings))
-            size += sum(map(len, rings))
-            if size > 1 << 16:
-                yield pa.RecordBatch.from_arrays(ring_columns(held), RING_NAMES)
+            at = 0
+            while at < len(places):  # long records are fetched a few at a time
+                start = int(places[at, 0])
+                n = max(1, int(np.searchsorted(ends[at:], start + self.most, side="right")))
+                f.seek(start)
+                data = f.read(int(ends[at + n - 1]) - start)
                 held, size = [], 0
-        yield pa.RecordBatch.from_arrays(ring_columns(held), RING_NAMES)
+                for i in range(at, at + n):
+                    rings = shape_rings(data[places[i, 0] - start + 8 : ends[i] - start])
+                    held.append((partition.number + i, rings))
+                    size += sum(map(len, rings))
+                    if size > 1 << 16:
+                        yield pa.RecordBatch.from_arrays(ring_columns(held), RING_NAMES)
+                        held, size = [], 0
+                yield pa.RecordBatch.from_arrays(ring_columns(held), RING_NAMES)
+                at += n
 
 
 @dataclass
@@ -134,41 +145,42 @@ class ShapeWriter(DataSourceArrowWriter):
     """Rows (feature, rings: array of arrays of (x, y)); a task writes files of its own, with the feature in the table beside."""
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
-        self.path, self.overwrite, self.most = options["path"], overwrite, int(options.get("fileBytes", 1 << 30))
+        self.path, self.overwrite, self.most = options["path"], overwrite, int(options.get("fileBytes", FILE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Shapes:
         store, at = opened(self.path)
         store.create_dir(at, recursive=True)
         layers: list[str] = []
-        shapes, index, keys, bounds, size = [], [], [], [], 50
+        shapes, index, keys, number = bytearray(), bytearray(), bytearray(), 0
+        low, high = np.full(2, np.inf), np.full(2, -np.inf)
 
         def put() -> None:
-            nonlocal shapes, index, keys, bounds, size
-            if shapes:
-                box = np.array(bounds)
-                low, high = box[:, :2].min(0), box[:, 2:].max(0)
+            nonlocal shapes, index, keys, number, low, high
+            if number:
                 head = lambda words: struct.pack(">7i2i", FILE_CODE, 0, 0, 0, 0, 0, words, 0, 0)[:28] + struct.pack("<2i8d", VERSION, POLYGON, *low, *high, 0, 0, 0, 0)
-                table = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(keys), 65, 21) + struct.pack("<11sc4xBB14x", b"feature", b"N", 20, 0) + b"\r" + b"".join(b" " + str(k).rjust(20).encode() for k in keys) + b"\x1a"
+                table = struct.pack("<4BIHH20x", 3, 100, 1, 1, number, 65, 21) + struct.pack("<11sc4xBB14x", b"feature", b"N", 20, 0) + b"\r"
                 layer = f"{at}/.shapes-{uuid.uuid4().hex}"
-                for suffix, data in (("shp", head(size) + b"".join(shapes)), ("shx", head(50 + 4 * len(index)) + b"".join(index)), ("dbf", table)):
+                for suffix, parts in (("shp", (head(50 + len(shapes) // 2), shapes)), ("shx", (head(50 + len(index) // 2), index)), ("dbf", (table, keys, b"\x1a"))):
                     with store.open_output_stream(f"{layer}.{suffix}.part") as f:
-                        f.write(data)
+                        for part in parts:
+                            f.write(part)
                 layers.append(layer)
-            shapes, index, keys, bounds, size = [], [], [], [], 50
+            shapes, index, keys, number = bytearray(), bytearray(), bytearray(), 0
+            low, high = np.full(2, np.inf), np.full(2, -np.inf)
 
         for batch in iterator:
             for key, rings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 closed = [np.array([(p["x"], p["y"]) for p in [*r, r[0]]]) for r in rings if r]
                 points = np.concatenate(closed)
-                box = [*points.min(0), *points.max(0)]
+                box = points.min(0), points.max(0)
                 starts = np.cumsum([0, *map(len, closed[:-1])])
-                content = struct.pack("<i4d2i", POLYGON, *box, len(closed), len(points)) + starts.astype("<i4").tobytes() + points.astype("<f8").tobytes()
-                shapes.append(struct.pack(">2i", len(shapes) + 1, len(content) // 2) + content)
-                index.append(struct.pack(">2i", size, len(content) // 2))
-                keys.append(key)
-                bounds.append(box)
-                size += len(shapes[-1]) // 2
-                if 2 * size >= self.most:
+                content = struct.pack("<i4d2i", POLYGON, *box[0], *box[1], len(closed), len(points)) + starts.astype("<i4").tobytes() + points.astype("<f8").tobytes()
+                index += struct.pack(">2i", 50 + len(shapes) // 2, len(content) // 2)
+                number += 1
+                shapes += struct.pack(">2i", number, len(content) // 2) + content
+                keys += b" " + str(key).rjust(20).encode()
+                low, high = np.minimum(low, box[0]), np.maximum(high, box[1])
+                if len(shapes) + 100 >= self.most:
                     put()
         put()
         return Shapes(layers)
@@ -276,7 +288,7 @@ def layer_profile(spark: SparkSession, path: str) -> DataFrame:
         with store.open_input_file(f"{layer}.shp") as f:
             box = struct.unpack("<4d", f.read(68)[36:68])
         crs = whole(store, f"{layer}.prj").decode("utf-8", "replace") if store.get_file_info(f"{layer}.prj").type == fs.FileType.File else None
-        out.append((layer.rsplit("/", 1)[-1], len(record_places(store, layer)), *box, crs))
+        out.append((layer.rsplit("/", 1)[-1], record_count(store, layer), *box, crs))
     return spark.createDataFrame(out, "layer string, records long, x_min double, y_min double, x_max double, y_max double, crs string")
 
 

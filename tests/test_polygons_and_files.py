@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 import struct
 import zlib
@@ -16,7 +17,7 @@ from gridloom.operators.zones import members, polygons_table
 from gridloom.plans.zonal import POLYGONS
 from gridloom.sources import tiff
 from gridloom.sources.raster import RasterReader, raster_profile, read_raster, write_raster
-from gridloom.sources.vectors import layer_profile, read_shapes, rings_of_wkb, shape_attributes, wkb_rings, write_shapes
+from gridloom.sources.vectors import ShapeReader, ShapeWriter, layer_profile, read_shapes, rings_of_wkb, shape_attributes, wkb_rings, write_shapes
 
 
 def grid_of(spark, height, width):
@@ -222,3 +223,17 @@ def test_counts_by_bits_equal_counts_of_members(spark):
 def test_joins_of_exploded_rows_are_not_broadcast(spark):
     vertices = spark.range(50).select(F.col("id").alias("feature"), F.lit(0).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
     assert "Broadcast" not in edges(vertices)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_planning_holds_ranges_of_records_not_records(spark, tmp_path):
+    path = f"file://{tmp_path}/shapes"
+    write_shapes(polygons_table(spark, [(f, [[(float(f), 0.0), (f + 1.0, 0.0), (f + 1.0, 1.0)]]) for f in range(2_000)]).repartition(1), path, fileBytes=40_000)
+    whole_parts, parts = ShapeReader({"path": path}).partitions(), ShapeReader({"path": path, "partitionBytes": "10000"}).partitions()
+    assert max(len(pickle.dumps(p)) for p in whole_parts) < 1_000 and len(parts) > len(whole_parts) > 4
+    back = read_shapes(spark, path, partitionBytes=10_000)
+    assert back.count() == 6_000 and back.select("feature").distinct().count() == 2_000
+    assert layer_profile(spark, path).agg(F.sum("records"), F.min("x_min"), F.max("x_max")).first()[:] == (2_000, 0.0, 2_000.0)
+
+
+def test_shapefile_writer_holds_one_bounded_file():
+    assert ShapeWriter({"path": "file:///nowhere"}, True).most <= 1 << 26
