@@ -215,6 +215,17 @@ def test_alignment_agrees_with_brute_force(spark):
     assert sorted(map(tuple, alignment.op13_alignment(spark, SF).collect())) == sorted(naive_alignment(rows))
 
 
+def test_chunks_return_to_their_parts_together(spark, monkeypatch):
+    """Written tables and shuffles: a row for each part that a task has chunks of, not one for each chunk; chunks' texts are written once."""
+    seen, own, keep = {}, alignment.sent, alignment.written
+    monkeypatch.setattr(alignment, "sent", lambda whole, pairs: seen.setdefault("sent", own(whole, pairs)))
+    monkeypatch.setattr(alignment, "written", lambda df, name, *rest: seen.setdefault(name, keep(df, name, *rest)))
+    assert alignment.align(spark.read.parquet(f"{SF}/documents.parquet").repartition(2)).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert not {"chunk", "text"} & {*seen["alignment-chunks"].columns, *seen["alignment-groups"].columns}
+    sent, distinct = seen["sent"], seen["alignment-groups"].count()
+    assert sent.select("part").distinct().count() == 2 and 20 * sent.count() < distinct
+
+
 def test_chunks_are_certain_cuts():
     texts = pa.array(["two words", "", None, "  a  b ", "x  y", "▁", "tail "])
     chunks, counts, able = alignment.chunk_texts(texts)
