@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table, written
+from gridloom.llm.common import small_batches, table, written
 from gridloom.llm.graphs import components, forest
 from gridloom.llm.words import shingle_set, texts_words
 
@@ -252,7 +252,8 @@ def merged(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (columns doc_id, text)."""
-    marked = written(features(docs, words), "minhash-features")
+    with small_batches(docs.sparkSession):
+        marked = written(features(docs, words), "minhash-features")
     classes = written(
         marked.where("doc_id is not null and n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bins").alias("bins")),
         "minhash-classes",
@@ -265,7 +266,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     heads = prefix.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("size")).where("size > 1").select("key", (-F.col("top.minus")).alias("a"))
     stars = prefix.join(heads, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = written(star_links(written(alike(stars, classes, percent), "minhash-stars"), docs, words, percent), "minhash-links")
+    with small_batches(docs.sparkSession):
+        links = written(star_links(written(alike(stars, classes, percent), "minhash-stars"), docs, words, percent), "minhash-links")
     first = components(links, "minhash-first")
 
     # lists that still hold several components; a class without a link is its own

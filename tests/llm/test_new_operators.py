@@ -226,6 +226,22 @@ def test_chunks_return_to_their_parts_together(spark, monkeypatch):
     assert sent.select("part").distinct().count() == 2 and 20 * sent.count() < distinct
 
 
+def test_whole_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """The steps that read whole texts hold at most 1,000 of them in a batch, and the session's own setting stays."""
+    from gridloom.llm import minhash
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(name)
+    for module in (alignment, minhash):
+        keep = module.written
+        monkeypatch.setattr(module, "written", lambda df, step, *rest, keep=keep: seen.setdefault(step, int(spark.conf.get(name))) and keep(df, step, *rest))
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(20)], "doc_id long, text string")
+    alignment.align(docs)
+    minhash.near_duplicates(docs)
+    assert seen["alignment-parts"] <= 1_000 and seen["minhash-features"] <= 1_000 and seen["minhash-links"] <= 1_000
+    assert spark.conf.get(name) == before
+
+
 def test_chunks_are_certain_cuts():
     texts = pa.array(["two words", "", None, "  a  b ", "x  y", "▁", "tail "])
     chunks, counts, able = alignment.chunk_texts(texts)
