@@ -104,13 +104,14 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_OF_T
     def place(block: list[tuple[pa.Array, np.ndarray, np.ndarray]], first: int) -> tuple[pa.RecordBatch, int]:
         keys = pa.concat_arrays([k for k, _, _ in block])
         sizes, flat = (np.concatenate([b[i] for b in block]) for i in (1, 2))
+        block.clear()
         pieces = -(-sizes // window)
         doc = np.repeat(np.arange(len(sizes)), pieces)
         start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
         length = np.minimum(window, sizes[doc] - start)
         bins, offsets, opened = best_fit_decreasing(length, window)
         ends = pa.array(4 * np.concatenate([[0], np.cumsum(length)]), pa.int32())
-        raw = pa.Array.from_buffers(pa.binary(), len(doc), [None, ends.buffers()[1], pa.py_buffer(flat.astype("<u4"))])
+        raw = pa.Array.from_buffers(pa.binary(), len(doc), [None, ends.buffers()[1], pa.py_buffer(flat.astype("<u4", copy=False))])
         columns = [keys.take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, sizes[doc], bins + first, offsets))]
         return pa.RecordBatch.from_arrays([*columns, raw], PIECES.names), first + opened
 
@@ -119,15 +120,16 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_OF_T
         block: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         held = 0
         for batch in batches:
-            for part in parts_of(batch, "text", 1 << 24):
+            for part in parts_of(batch, "text"):
                 flat, ends = own.encode(part.column("text"))
-                flat = np.insert(flat, ends, end_id)
+                flat = np.insert(flat.view(np.uint32), ends, end_id)
                 block.append((part.column("doc_id"), np.diff(ends, prepend=0) + 1, flat))
                 held += len(flat)
                 if held >= block_tokens:
                     out, first = place(block, first)
-                    block, held = [], 0
+                    held = 0
                     yield out
+                    del out
         if block:
             yield place(block, first)[0]
 

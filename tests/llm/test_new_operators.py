@@ -242,6 +242,21 @@ def test_whole_texts_reach_python_in_small_batches(spark, monkeypatch):
     assert spark.conf.get(name) == before
 
 
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    """Packing runs after its stage has returned, so the session itself has to keep the batches small."""
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        docs = spark.createDataFrame([(1, "a text", "en", "x", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+        corpus_pipeline.packed(spark, docs, "")
+        assert int(spark.conf.get(name)) <= 1_000
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_chunks_are_certain_cuts():
     texts = pa.array(["two words", "", None, "  a  b ", "x  y", "▁", "tail "])
     chunks, counts, able = alignment.chunk_texts(texts)
