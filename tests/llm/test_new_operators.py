@@ -242,6 +242,18 @@ def test_whole_texts_reach_python_in_small_batches(spark, monkeypatch):
     assert spark.conf.get(name) == before
 
 
+def test_groups_sort_tokens_twice(spark):
+    """A task of the alignment holds few sorts at once: tokens of both sides go through one window for their ends and one for their groups."""
+    import re
+
+    size = alignment.LENGTH
+    rows = [(1, [10 * size + 2, 11 * size + 3, 12 * size + 1], [20 * size + 5, 21 * size + 1]), (2, [13 * size + 4], [22 * size + 1, 23 * size + 3])]
+    found = alignment.grouped(spark.createDataFrame(rows, "id long, a array<int>, b array<int>"))
+    assert len(re.findall(r"\bSort \[", found._jdf.queryExecution().executedPlan().toString())) <= 3
+    own = {r["id"]: (r["n_a"], r["n_b"], r["groups"], [tuple(x) for x in r["links"]]) for r in found.collect()}
+    assert own == {1: (3, 2, "10,11|20;12|21", [(11, 20), (12, 21)]), 2: (1, 2, "13|22,23", [(13, 23)])}
+
+
 def test_stages_hand_texts_to_python_in_small_batches(spark):
     """Packing runs after its stage has returned, so the session itself has to keep the batches small."""
     import corpus_pipeline
